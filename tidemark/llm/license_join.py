@@ -109,7 +109,8 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, percent
 
     Returns doc_id, n_words, n_base (places of base phrases), first_word,
     last_word (their smallest and largest start; else null), base_labels, labels
-    (base ones and those of similar blocks; distinct, sorted, comma-joined) and
+    (base ones and, for each similar block, those it holds most of; distinct,
+    sorted, comma-joined) and
     score (largest containment, 1 with a base label, else 0). A null text counts
     as empty. Rows with equal doc_id and text get equal results; an empty table
     gives no rows.
@@ -117,7 +118,10 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, percent
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("tm_hash", F.xxhash64(text))
     found = similar_blocks(keyed, ["doc_id", "tm_hash"], templates, percent)
-    found = found.groupBy("doc_id", "tm_hash").agg(F.collect_set("license").alias("more"), F.max("containment").alias("best"))
+    # a block is labelled by the licenses it holds most of: notices of related licenses share most of their words
+    found = found.groupBy("doc_id", "tm_hash", "block", "containment").agg(F.collect_set("license").alias("own"))
+    found = found.groupBy("doc_id", "tm_hash", "block").agg(F.max(F.struct("containment", "own")).alias("top"))
+    found = found.groupBy("doc_id", "tm_hash").agg(F.array_distinct(F.flatten(F.collect_list("top.own"))).alias("more"), F.max("top.containment").alias("best"))
     found = found.withColumnsRenamed({"doc_id": "tm_id", "tm_hash": "tm_own"})
     base = keyed.select("doc_id", "tm_hash", words_of(F.col("text")).alias("w"))
     base = base.select("doc_id", "tm_hash", F.size("w").cast("long").alias("n_words"), phrase_places(F.col("w")).alias("p"))

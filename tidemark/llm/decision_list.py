@@ -191,7 +191,8 @@ def learn(labelled: DataFrame, rows: int = TRAIN_ROWS) -> list[list[Condition]]:
     sample = stored(sample.select((F.col("quality") == 0).alias("bad"), (F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(3)) == 0).alias("pruning"), *[F.col(f).cast("double").alias(f) for f in FEATURES]).coalesce(2), "labelled")
     points = [(k + 0.5) / BINS for k in range(BINS)]
     found = sample.agg(*[F.percentile_approx(f, points, 10_000).alias(f) for f in FEATURES]).first()
-    bins = {f: sorted(set(found[f] or [])) for f in FEATURES}
+    values = {f: sorted(set(found[f] or [])) for f in FEATURES}
+    bins = {f: [(a + b) / 2 for a, b in zip(v, v[1:], strict=False)] for f, v in values.items()}  # thresholds lie between quantiles
     # a row's bin is the number of edges that do not lie above its value
     edge_sum = {f: reduce(lambda a, b: a + b, [(F.col(f) >= F.lit(e)).cast("int") for e in edges], F.lit(0)) for f, edges in bins.items()}
     table = stored(sample.select("*", *[c.alias(f"bin_{f}") for f, c in edge_sum.items()]).coalesce(2), "binned")

@@ -90,14 +90,14 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: SQL twin of op3: windows by their text, the first by (doc_id, line), removed lines merged.
 OP3_SQL = """
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
-w AS (SELECT doc_id, at, ls[at + 1] || chr(10) || ls[at + 2] || chr(10) || ls[at + 3] AS h
-      FROM (SELECT doc_id, ls, unnest(range(0, len(ls) - 2)) AS at FROM d WHERE len(ls) >= 3)),
-f AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, at) AS k FROM w),
-gone AS (SELECT DISTINCT doc_id, unnest([at, at + 1, at + 2]) AS line FROM f WHERE k > 1),
-lines AS (SELECT doc_id, unnest(range(0, len(ls))) AS line, unnest(ls) AS t FROM d),
-left_over AS (SELECT l.doc_id, count(g.line) AS n, string_agg(CASE WHEN g.line IS NULL THEN l.t END, chr(10) ORDER BY l.line) AS t
-              FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.line = g.line GROUP BY l.doc_id)
-SELECT doc_id, CAST(n AS INTEGER) AS lines_removed, coalesce(t, '') AS text_left FROM left_over
+w AS (SELECT doc_id, pos, ls[pos + 1] || chr(10) || ls[pos + 2] || chr(10) || ls[pos + 3] AS h
+      FROM (SELECT doc_id, ls, unnest(range(0, len(ls) - 2)) AS pos FROM d WHERE len(ls) >= 3)),
+f AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, pos) AS k FROM w),
+gone AS (SELECT DISTINCT doc_id, unnest([pos, pos + 1, pos + 2]) AS line FROM f WHERE k > 1),
+own AS (SELECT doc_id, unnest(range(0, len(ls))) AS line, unnest(ls) AS t FROM d),
+rest AS (SELECT l.doc_id, count(g.line) AS n, string_agg(CASE WHEN g.line IS NULL THEN l.t END, chr(10) ORDER BY l.line) AS t
+         FROM own l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.line = g.line GROUP BY l.doc_id)
+SELECT doc_id, CAST(n AS INTEGER) AS lines_removed, coalesce(t, '') AS text_left FROM rest
 """
 
 #: SQL twin of op4's columns can't be given: DuckDB has no crc32 and writes no media boxes.

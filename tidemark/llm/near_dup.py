@@ -7,12 +7,14 @@
    reaches the similarity shares at least ``t`` retained values, so it shares one
    among the first k - t + 1 of each in this order. Inverted lists of these values
    give the overlaps; values of passages that many texts share come last in the
-   order and make few lists.
+   order and make few lists. Only classes in such lists keep their full sets.
 3. In every list all members are first compared with the list's most central
-   member only. What this links becomes components; then pairs of a list are
-   compared only if they lie in different components, pass the bounds on sizes
-   and on the place in the order, and have not been compared.
-4. Union sketches filter the pairs, and the full sets decide.
+   member only. Union sketches filter the pairs and the full sets decide. The
+   links make components.
+4. Classes of lists that hold several components are joined once more, by exact
+   prefixes of their full sets in the order of their frequency: pairs within a
+   component and pairs whose places in the order rule the similarity out are
+   never made. The full sets decide again.
 
 ``t`` lies 5.5 standard deviations under the expected number of shared values
 (k * similarity), so a pair at the similarity is missed with a probability of
@@ -23,7 +25,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -77,18 +78,35 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "digest binary, hashes binary")
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Keep the pairs (a, b) whose full sets reach the similarity; sets: (node, hashes)."""
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame:
+    """Keep the pairs (a, b) that reach the similarity; sets: (node, hashes).
+
+    The union sketch, the k smallest values of both sets, comes first; the full
+    sets are compared only where it does not rule the similarity out.
+    """
+    least = least_shared(k, percent)
+
+    def shared(x: np.ndarray, y: np.ndarray, most: int | None = None) -> tuple[int, int]:
+        """(values in both, values in either), over the ``most`` smallest of the union."""
+        both = np.concatenate([x, y])
+        both.sort(kind="stable")
+        again = both[1:] == both[:-1]
+        if most is not None and len(both) - int(again.sum()) > most:
+            first = np.flatnonzero(np.cumsum(np.append(True, ~again)) > most)[0]
+            return int(again[: first - 1].sum()), most
+        return int(again.sum()), len(both) - int(again.sum())
 
     def run(batches):
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64)
-                both = np.concatenate([x, y])
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * shared >= percent * (len(both) - shared))
+                both, either = shared(x[:k], y[:k], k)
+                if either == k and both < least:
+                    keep.append(False)
+                    continue
+                both, either = shared(x, y)
+                keep.append(100 * both >= percent * either)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x"))
@@ -97,28 +115,51 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def sketch_filter(pairs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
-    """Keep the pairs (a, b) whose union sketch does not rule the similarity out."""
-    left = reps.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    right = reps.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    both = both.withColumn("u", F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k))
-    shared = F.size(F.array_intersect(F.array_intersect("sa", "sb"), "u"))
-    small = F.size("u") < k  # then the union sketch holds the whole union
-    limit = F.when(small, F.ceil(F.size("u") * F.lit(percent) / 100)).otherwise(F.lit(least_shared(k, percent)))
-    return both.where(shared >= limit).select("a", "b")
+def ordered_values(entries: DataFrame) -> DataFrame:
+    """Values (v, node) that several nodes hold, as (node, vs): structs (df, v) by rising frequency, and their sum."""
+    often = entries.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
+    return entries.join(often, "v").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"), F.sum("df").alias("weight"))
 
 
 def prefix_lists(reps: DataFrame, k: int, percent: int) -> DataFrame:
-    """Inverted lists: (v, node, n, size, place, need, weight) for the values that can generate a pair."""
+    """Inverted lists of sketches: (v, node, n, weight), of at least two members each."""
     t = least_shared(k, percent)
-    entries = reps.select("node", "n", F.size("sketch").alias("size"), F.explode("sketch").alias("v"))
-    often = entries.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    shared = entries.join(often, "v").groupBy("node").agg(F.first("n").alias("n"), F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"), F.sum("df").alias("weight"))
+    shared = ordered_values(reps.select("node", F.explode("sketch").alias("v")))
     need = F.least(F.lit(t), F.ceil(F.col("n") * F.lit(percent) / 100)).cast("int")
-    rest = shared.withColumn("need", need).select("node", "n", "size", "need", "weight", F.posexplode("vs").alias("at", "e"), F.size("vs").alias("many"))
-    placed = rest.select(F.col("e.v").alias("v"), "node", "n", "size", (F.col("size") - F.col("many") + F.col("at")).alias("place"), "need", "weight")
-    return placed.where("place <= size - need")
+    sizes = reps.select("node", "n", F.least(F.col("n"), F.lit(k)).alias("size"), need.alias("need"))
+    # values that no other class holds come first in the order and leave less room in the prefix
+    room = F.col("size") - F.col("need") + 1 - (F.col("size") - F.size("vs"))
+    rows = shared.join(sizes, "node").withColumn("room", room).where("room > 0")
+    lists = rows.select("node", "n", "weight", F.explode(F.slice("vs", 1, F.col("room"))).alias("e")).select(F.col("e.v").alias("v"), "node", "n", "weight")
+    return lists
+
+
+def cross_pairs(sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that the exact prefixes of their full sets leave possible.
+
+    ``sets`` holds (node, hashes) and ``roots`` (node, root) of the same nodes.
+    """
+
+    def spread(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                nodes, own = batch.column(0).slice(at, 256).to_numpy(), [x.as_buffer() for x in batch.column(1).slice(at, 256)]
+                values = np.concatenate([np.frombuffer(x, np.int64) for x in own])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nodes, [x.size // 8 for x in own])), pa.array(values)], ["node", "v"])
+
+    n = (F.length("hashes") / 8).cast("int")
+    shared = ordered_values(sets.select("node", "hashes").mapInArrow(spread, "node long, v long"))
+    need = F.ceil(F.col("n") * F.lit(percent) / 100).cast("int")
+    rows = shared.join(sets.select("node", n.alias("n")), "node").join(roots, "node")
+    own = F.col("n") - F.size("vs")
+    rows = rows.select("node", "root", "n", own.alias("own"), F.posexplode(F.slice("vs", 1, F.greatest(F.col("n") - need + 1 - own, F.lit(0)))).alias("at", "e"))
+    rows = rows.select(F.col("e.v").alias("v"), "node", "root", "n", (F.col("own") + F.col("at")).alias("place"))
+    x = rows.select("v", *[F.col(c).alias(f"x_{c}") for c in ("node", "root", "n", "place")])
+    y = rows.select("v", *[F.col(c).alias(f"y_{c}") for c in ("node", "root", "n", "place")])
+    most = F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place"))
+    rule = (F.col("x_node") < F.col("y_node")) & (F.col("x_root") != F.col("y_root"))
+    rule &= most * (100 + percent) >= percent * (F.col("x_n") + F.col("y_n"))  # shared values of a pair at the similarity
+    return x.join(y, "v").where(rule).select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int = SKETCH) -> DataFrame:
@@ -132,53 +173,41 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     are linked like other copies. A null doc_id is ignored in the minimum; a row
     whose whole component has null ids is kept. An empty table gives no rows.
     """
-    rows = stored(sketches(docs, width, k).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    made = stored(sketches(docs, width, k).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    rows = stored(made.drop("sketch"), "rows")
     classes = stored(rows.where("n > 0").groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("low")), "classes")
-    reps = rows.join(classes.select("node"), rows["row"] == F.col("node"), "left_semi").select(F.col("row").alias("node"), "n", "digest", "sketch")
-    lists = stored(prefix_lists(reps, k, percent), "lists")
+    reps = stored(made.join(classes.select("node"), made["row"] == F.col("node"), "left_semi").select(F.col("row").alias("node"), "n", "sketch"), "reps")
+    drop(made)
+    raw = stored(prefix_lists(reps, k, percent), "lists")
+    drop(reps)
+    hubs = raw.groupBy("v").agg(F.max(F.struct("weight", "n", "node")).alias("h"), F.count("*").alias("m")).where("m > 1").select("v", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"))
+    lists = stored(raw.join(hubs, "v"), "lists")
+    drop(raw)
+
+    nodes = lists.select("node").distinct()
+    wanted = stored(nodes.join(classes, "node").select("node", "digest"), "wanted")
+    ids = rows.join(wanted, rows["row"] == wanted["node"], "left_semi").select(F.col("doc_id").alias("id")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    # a repeated doc_id may bring further texts; their digests are not wanted
+    sets = stored(full_sets(texts, width).join(wanted, "digest").dropDuplicates(["node"]).select("node", "hashes"), "sets")
 
-    hubs = lists.groupBy("v").agg(F.max(F.struct("weight", "n", "node")).alias("h"), F.count("*").alias("m")).where("m > 1").select("v", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"))
     near = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent
-    first = lists.join(hubs, "v").where((F.col("node") != F.col("hub")) & near).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    first = stored(sketch_filter(first, reps, k, percent), "pairs")
-
-    def sets_for(*pairs: DataFrame) -> DataFrame:
-        """Full sets of the nodes in the pairs, from their texts."""
-        ends = [p.select(F.col(c).alias("node")) for p in pairs for c in ("a", "b")]
-        nodes = reduce(DataFrame.union, ends).distinct()
-        wanted = reps.join(nodes, "node", "left_semi").select("node", "digest")
-        ids = rows.join(wanted, rows["row"] == wanted["node"], "left_semi").select("doc_id").distinct()
-        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        texts = texts.join(ids.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-        return full_sets(texts, width).join(wanted, "digest").dropDuplicates(["node"]).select("node", "hashes")
-
-    sets = stored(sets_for(first), "sets")
-    links = stored(confirm(first, sets, percent), "links")
+    first = lists.where((F.col("node") != F.col("hub")) & near).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    links = stored(confirm(first, sets, percent, k), "links")
     roots = connected_components(links)
 
-    # pairs of a list that the central member left in different components
-    placed = lists.join(roots.withColumnRenamed("root", "known"), "node", "left").withColumn("root", F.coalesce("known", "node")).drop("known")
+    placed = lists.select("v", "node").join(roots.withColumnRenamed("root", "known"), "node", "left").withColumn("root", F.coalesce("known", "node"))
     mixed = placed.groupBy("v").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("v")
-    placed = stored(placed.join(mixed, "v", "left_semi"), "mixed")
-    x = placed.select("v", *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "size", "place", "need", "root")])
-    y = placed.select("v", *[F.col(c).alias(f"y_{c}") for c in ("node", "n", "size", "place", "need", "root")])
-    most = 1 + F.least(F.col("x_size") - 1 - F.col("x_place"), F.col("y_size") - 1 - F.col("y_place"))
-    rule = (F.col("x_node") < F.col("y_node")) & (F.col("x_root") != F.col("y_root")) & (most >= F.greatest("x_need", "y_need"))
-    rule &= F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * percent
-    rest = x.join(y, "v").where(rule).select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
-    tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = stored(sketch_filter(rest.join(tried, ["a", "b"], "left_anti"), reps, k, percent), "pairs")
-    if second.isEmpty():
-        final = roots
-    else:
-        more = confirm(second, sets_for(second), percent)
-        final = connected_components(links.select("a", "b").union(more))
-    for table in (lists, placed, first, second, sets):
+    open_nodes = stored(placed.join(mixed, "v", "left_semi").select("node", "root").distinct(), "open")
+    second = cross_pairs(sets.join(open_nodes.select("node"), "node", "left_semi"), open_nodes, percent)
+    more = stored(confirm(second, sets, percent, k), "links")
+    final = roots if more.isEmpty() else connected_components(links.select("a", "b").union(more.select("a", "b")))
+    for table in (lists, wanted, sets, open_nodes):
         drop(table)
 
     linked = classes.join(final, "node", "left").select("digest", "low", F.coalesce("root", "node").alias("root"))
     lows = linked.groupBy("root").agg(F.min("low").alias("component_id"))
     labels = linked.join(lows, "root").select("digest", "component_id")
-    out = rows.drop("sketch", "row").join(labels, "digest", "left")
+    out = rows.drop("row").join(labels, "digest", "left")
     label = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), label.alias("component_id"), F.col("doc_id").eqNullSafe(label).alias("kept"))

@@ -187,7 +187,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     nodes = lists.select("node").distinct()
     wanted = stored(nodes.join(classes, "node").select("node", "digest"), "wanted")
     ids = rows.join(wanted, rows["row"] == wanted["node"], "left_semi").select(F.col("doc_id").alias("id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    # merged at every size: the ids grow with the corpus
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
     # a repeated doc_id may bring further texts; their digests are not wanted
     sets = stored(full_sets(texts, width).join(wanted, "digest").dropDuplicates(["node"]).select("node", "hashes"), "sets")
 

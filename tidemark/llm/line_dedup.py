@@ -15,9 +15,8 @@ from pyspark.sql import functions as F
 WIDTH = 3
 
 
-def window_hashes(text: Column, width: int) -> Column:
-    """128-bit hashes of all windows of a text, as structs of two longs."""
-    lines = F.split(text, "\n", -1)
+def window_hashes(lines: Column, width: int) -> Column:
+    """128-bit hashes of all windows of an array column of lines, as structs of two longs."""
 
     def one(at: Column) -> Column:
         own = [F.element_at(lines, at + k) for k in range(1, width + 1)]
@@ -31,7 +30,9 @@ def window_hashes(text: Column, width: int) -> Column:
 
 def later_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, text_hash, at): the windows that occur earlier in the corpus, by the number of their first line."""
-    each = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(window_hashes(F.col("text"), width)).alias("at", "h")).select("doc_id", "text_hash", "at", "h.h1", "h.h2")
+    # the lines are a column of their own: inside a lambda the text would be split again for every window
+    split = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("text_hash"), F.split("text", "\n", -1).alias("tm_lines"))
+    each = split.select("doc_id", "text_hash", F.posexplode(window_hashes(F.col("tm_lines"), width)).alias("at", "h")).select("doc_id", "text_hash", "at", "h.h1", "h.h2")
     firsts = each.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "at", "text_hash")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     place = F.struct("doc_id", "at", "text_hash")
     return each.join(firsts, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first"))).select("doc_id", "text_hash", "at")
@@ -53,8 +54,9 @@ def dedup_lines(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     spots = spots.withColumnsRenamed({"doc_id": "tm_id", "text_hash": "tm_hash"})
     columns = [c for c in docs.columns if c != "lines_removed"]
     same = F.col("doc_id").eqNullSafe(F.col("tm_id")) & (F.xxhash64("text") == F.col("tm_hash"))
-    joined = docs.select(columns).join(spots, same, "left")
-    lines, at = F.split("text", "\n", -1), F.col("tm_at")
+    at = F.col("tm_at")
+    joined = docs.select(columns).join(spots, same, "left").withColumn("tm_lines", F.when(at.isNotNull(), F.split("text", "\n", -1)))
+    lines = F.col("tm_lines")
 
     def before(place: Column, k: Column) -> Column:
         """Lines between the end of the previous removed window and this one."""

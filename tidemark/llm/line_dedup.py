@@ -55,7 +55,8 @@ def dedup_lines(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     columns = [c for c in docs.columns if c != "lines_removed"]
     same = F.col("doc_id").eqNullSafe(F.col("tm_id")) & (F.xxhash64("text") == F.col("tm_hash"))
     at = F.col("tm_at")
-    joined = docs.select(columns).join(spots, same, "left").withColumn("tm_lines", F.when(at.isNotNull(), F.split("text", "\n", -1)))
+    # merged at every size: the removed places grow with the corpus
+    joined = docs.select(columns).join(spots.hint("merge"), same, "left").withColumn("tm_lines", F.when(at.isNotNull(), F.split("text", "\n", -1)))
     lines = F.col("tm_lines")
 
     def before(place: Column, k: Column) -> Column:

@@ -15,9 +15,9 @@ import numpy as np
 import pyarrow as pa
 
 #: Longest text, in bytes, that one step of the vectorised split handles at once (a longer single text makes its own step).
-STEP_BYTES = 6 << 20
+STEP_BYTES = 4 << 20
 #: Distinct pre-tokens remembered by one worker before it starts over.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 400_000
 
 _OTHER, _LETTER, _NUMBER, _SPACE, _END, _NEWER = range(6)
 

@@ -7,6 +7,10 @@ r >= 0 that start at 1 so that the expected totals meet the targets:
 
     minimise  sum_k (sum_d r[d] n[d] p[d,k] - T[k])**2 / E[k],   E[k] = sum_d n[d] p[d,k]
 
+The wanted domains set the total. The share of any other domain is an upper bound:
+one that has less than its share is left as it is and doesn't reduce the total, and
+a domain without labels takes no part.
+
 In the metric weighted by n the gradient of a rate is sum_k p[k] (s[k] - T[k]) / E[k]
 and 1 bounds the curvature, so a step of 1 is safe. A step scaled by the Gram
 matrix of the rows with positive rates is tried first. One step is one
@@ -34,9 +38,11 @@ TRAIN_ROWS = 20_000
 #: Weaker differences, and words that a domain lacks, mostly follow length and language and would be counted for every word.
 LEAST_Z, LEAST_RATIO = 4.0, 3.0
 STEPS, TOLERANCE, STORE_EVERY = 40, 1e-3, 20
-#: Share of the largest total that no domain's tokens limit; over 1, the limiting domain is asked for a little more than it has, so that its texts keep rates of 1 and more.
+#: Share of the largest total that no wanted domain's tokens limit; over 1, the limiting domain is asked for a little more than it has, so that its texts keep rates of 1 and more.
 HEADROOM = 1.25
 TARGETS = {"good": 0.95, "low": 0.03, "toxic": 0.02}
+#: Domains that set the total; where the targets name none of them, all domains do.
+WANTED = ("good",)
 
 
 def label_domains(labels: DataFrame) -> DataFrame:
@@ -72,11 +78,12 @@ def with_features(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 @dataclass
 class Classifier:
-    """Log weights: ``start`` of each domain, and for each of the few ``features`` one weight for each domain."""
+    """Log weights: ``start`` of each domain, and for each of the few ``features`` one weight for each domain; ``known``: domains with labelled rows."""
 
     start: list[float]
     features: list[int]
     weights: list[list[float]]
+    known: list[int]
 
 
 def fit(features: DataFrame, domains: list[str], rows: int = TRAIN_ROWS) -> Classifier:
@@ -110,7 +117,7 @@ def fit(features: DataFrame, domains: list[str], rows: int = TRAIN_ROWS) -> Clas
         k, p, q = r["s"]["k"], r["s"]["p"], r["s"]["q"]
         weights[r["f"]][k] = math.log(p / q) - math.log((1 - p) / (1 - q))
         start[k] += math.log((1 - p) / (1 - q))
-    return Classifier(start, places, [weights[f] for f in places])
+    return Classifier(start, places, [weights[f] for f in places], [k for k, d in enumerate(domains) if n[d]])
 
 
 def _numbers(values: list, kind: str) -> Column:
@@ -133,16 +140,24 @@ def posteriors(features: DataFrame, model: Classifier) -> DataFrame:
     return raised.select(*rest, F.transform("tm_e", lambda x: x / F.aggregate("tm_e", F.lit(0.0), lambda a, y: a + y)).alias("posterior"))
 
 
-def fit_rates(members: DataFrame, shares: list[float], total: float | None = None) -> DataFrame:
+def fit_rates(members: DataFrame, shares: list[float], total: float | None = None, wanted: list[int] | None = None, known: list[int] | None = None) -> DataFrame:
     """Add ``rate`` to a table with n_tokens and posterior so that expected domain totals meet the shares.
 
-    Without ``total`` it is ``HEADROOM`` times the largest one at which no
-    domain needs more tokens than it has. Rates are at least 0; where the
-    targets can't be met they minimise the objective. An empty table gives no rows.
+    ``wanted`` and ``known`` are numbers of domains, by default all. Without
+    ``total`` it is ``HEADROOM`` times the largest one at which no wanted domain
+    needs more tokens than it has; a share of another domain that needs more than
+    ``HEADROOM`` times what it has is then an upper bound only. Domains that aren't
+    known have no target; without a known wanted domain all rates are 1. Rates are
+    at least 0; where the targets can't be met they minimise the objective. An
+    empty table gives no rows.
     """
     k = len(shares)
+    known = list(range(k)) if known is None else known
+    leading = [j for j in known if shares[j] > 0 and (wanted is None or j in wanted)]
     rest = [c for c in members.columns if c != "rate"]
     state = members.select(*rest, F.lit(1.0).alias("rate"))
+    if total is None and not leading:
+        return state
     p = [F.get("posterior", j) for j in range(k)]
 
     def sums(rate: Column) -> tuple[np.ndarray, np.ndarray]:
@@ -156,17 +171,33 @@ def fit_rates(members: DataFrame, shares: list[float], total: float | None = Non
 
     now, gram = sums(F.lit(1.0))
     have = now.copy()
+    scarce = np.zeros(k, bool)
     if total is None:
-        total = HEADROOM * min((have[j] / shares[j] for j in range(k) if shares[j] > 0), default=0.0)
-    goal = np.array(shares) * total
+        total = HEADROOM * min(have[j] / shares[j] for j in leading)
+        scarce = np.array(shares) * total > HEADROOM * have
+        scarce[leading] = False
+    goal = np.where(scarce, HEADROOM * have, np.array(shares) * total)
+    target = np.isin(np.arange(k), known)
     scale = np.where(have > 0, have, 1.0)
-    error = lambda x: float(((x - goal) ** 2 / scale).sum())
+
+    def excess(x: np.ndarray) -> np.ndarray:
+        """Distances to the targets, 0 where a bound is kept or there is no target."""
+        return np.where(target & ~(scarce & (x <= goal)), x - goal, 0.0)
+
+    def scaled(over: np.ndarray) -> np.ndarray:
+        """``over`` scaled by the curvature of the live rows, in the domains that are off their targets."""
+        own, slope = np.flatnonzero(over), np.zeros(k)
+        slope[own] = np.linalg.lstsq((gram + 1e-9 * np.diag(scale))[np.ix_(own, own)], over[own], rcond=None)[0]
+        return slope
+
+    error = lambda x: float((excess(x) ** 2 / scale).sum())
     rate, since = F.col("rate"), 0
     for _ in range(STEPS):
-        if np.abs(now - goal).max(initial=0.0) <= TOLERANCE * total:
+        over = excess(now)
+        if np.abs(over).max(initial=0.0) <= TOLERANCE * total:
             break
         # the gradient scaled by the curvature of the live rows; if that overshoots, the safe step
-        for slope in (np.linalg.lstsq(gram + 1e-9 * np.diag(scale), now - goal, rcond=None)[0], (now - goal) / scale):
+        for slope in (scaled(over), over / scale):
             tried = F.greatest(F.lit(0.0), rate - sum((F.lit(float(slope[j])) * p[j] for j in range(1, k)), F.lit(float(slope[0])) * p[0]))
             then, then_gram = sums(tried)
             if error(then) < error(now):
@@ -187,7 +218,8 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     each domain by name, rate and taken (whether sampling without replacement
     takes the row: rate + u >= 1 for a u in [0, 1) fixed by doc_id). A null text
     has no token and the prior's posterior. Repeated rows get equal rates. Labels
-    of unknown documents and of other domains are ignored.
+    of unknown documents and of other domains are ignored. Domains without labels
+    aren't rated: if no wanted domain (``WANTED``) has any, all rates are 1.
     """
     targets = targets or TARGETS
     keep = keep or ["doc_id"]
@@ -198,6 +230,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     labelled = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
     model = fit(with_features(labelled, ["doc_id", "domain"]), domains)
     members = stored(posteriors(with_features(docs, keep), model), "members")
-    rated = fit_rates(members, [targets[d] / weight for d in domains])
+    wanted = [j for j, d in enumerate(domains) if d in WANTED] or None
+    rated = fit_rates(members, [targets[d] / weight for d in domains], wanted=wanted, known=model.known)
     u = F.pmod(F.xxhash64(F.lit("take"), "doc_id"), F.lit(1 << 24)) / F.lit(float(1 << 24))
     return rated.select(*keep, "n_tokens", *[F.get("posterior", j).alias(f"p_{d}") for j, d in enumerate(domains)], "rate", (F.col("rate") + u >= 1).alias("taken"))

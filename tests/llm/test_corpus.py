@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -311,6 +312,55 @@ def test_license_join_equals_brute_force(spark):
     assert got == want and want
 
 
+def wrapped(notice, width):
+    return textwrap.fill(notice, width, initial_indent=" * ", subsequent_indent=" * ", break_long_words=False)
+
+
+@pytest.mark.parametrize("width", [20, 44, 72])
+def test_wrapped_notices(spark, width):
+    notices = {
+        "apache-2": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
+        "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+        "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation,",
+        "mpl-2": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "gpl-3": "This work is licensed under the GNU General Public License version 3",
+    }
+    filler = " ".join(words(60, 5))
+    rows = [(k, f"{filler}\n\n{wrapped(n, width)}\n\n{filler}") for k, n in enumerate(notices.values())]
+    rows.append((len(rows), "This work is\nlicensed under the GNU General Public License version 3"))
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in license_join.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: (n, 1.0) for k, n in enumerate([*notices, "gpl-3"])}
+
+
+def windows_by_force(text, percent=80):
+    """Templates that some window of the text holds."""
+    own, out = re.findall("[a-z0-9]+", text.lower()), set()
+    for name, templates in license_join.TEMPLATES.items():
+        for number, t in enumerate(templates):
+            want, span = set(t.split()), -(-len(t.split()) * 100 // percent)
+            share = max((len(want & set(own[k : k + span])) / len(want) for k in range(len(own))), default=0)
+            if share * 100 >= percent:
+                out.add((name, number, round(share, 9)))
+    return out
+
+
+def test_license_windows_equal_brute_force(spark):
+    r = random.Random(6)
+    notices = [t.split() for x in license_join.TEMPLATES.values() for t in x]
+    rows = []
+    for k in range(80):
+        own = words(r.randrange(40), k)
+        for _ in range(3):
+            own += [w for w in r.choice(notices) if r.random() < 0.9] + words(r.randrange(30), r.random())
+        rows.append((k, "".join(w + r.choice("    \n") for w in own)))
+    got = {}
+    for x in license_join.similar_windows(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"]).collect():
+        place = (x["doc_id"], x["license"], x["template"])
+        got[place] = max(got.get(place, 0), round(x["containment"], 9))
+    assert got == {(k, n, t): c for k, text in rows for n, t, c in windows_by_force(text)} and got
+
+
 def test_rates_meet_targets(spark, empty):
     r = random.Random(9)
     rows, labels = [], []

@@ -333,6 +333,22 @@ def test_wrapped_notices(spark, width):
     assert got == {k: (n, 1.0) for k, n in enumerate([*notices, "gpl-3"])}
 
 
+def test_notices_of_unequal_containment_in_one_line(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."
+    apache = "Licensed under the Apache Licence, Version 2.0."  # one word of eight is another
+    gpl, agpl = "This work is licensed under the GNU General Public License version 3.", "Licensed under the GNU Afero General Public License version 3."
+    filler = " ".join(words(50, 8))
+    rows = [
+        (1, f"{mit} {apache}"),
+        (2, f"{filler} {apache} {filler} {mit} {filler}"),
+        (3, f"{gpl} {filler} {agpl}"),  # the second shares nine of its ten words with the first, at another place
+        (4, f"{filler} {gpl} {filler}"),
+        (5, f"{gpl} {agpl}"),
+    ]
+    got = {r["doc_id"]: r["labels"] for r in license_join.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "apache-2,mit", 2: "apache-2,mit", 3: "agpl-3,gpl-3", 4: "gpl-3", 5: "agpl-3,gpl-3"}
+
+
 def windows_by_force(text, percent=80):
     """Templates that some window of the text holds."""
     own, out = re.findall("[a-z0-9]+", text.lower()), set()

@@ -150,7 +150,8 @@ def found_licenses(docs: DataFrame, key: list[str], templates: dict[str, list[st
     """Licenses of all lines and windows: the key columns, more (array of licenses) and best (largest containment).
 
     Notices of related licenses share most of their words, so a template is left
-    out where another license's holds more at the same place or in the same line.
+    out where another license's holds more and has all of its words at that very place
+    (in a line: all of its words there). Others in the block stay.
     """
     templates = TEMPLATES if templates is None else templates
     order = word_order(docs, templates)
@@ -161,7 +162,7 @@ def found_licenses(docs: DataFrame, key: list[str], templates: dict[str, list[st
     def kept(rows: DataFrame, group: str) -> DataFrame:
         """Licenses of the judged rows of each group that no better row of it covers."""
         each = rows.groupBy(*key, group).agg(F.collect_set(F.struct("judged", "license", "c", "held", "words")).alias("m"))
-        covers = lambda b, m: (b["license"] != m["license"]) & (b["held"] > m["held"])
+        covers = lambda b, m: (b["license"] != m["license"]) & (b["held"] > m["held"]) & (F.size(F.array_except(m["words"], b["words"])) == 0)
         own = F.filter("m", lambda m: m["judged"] & ~F.exists("m", lambda b: covers(b, m)))
         return each.select(*key, F.transform(own, lambda m: m["license"]).alias("own"), F.array_max(F.transform("m", lambda m: m["c"])).alias("c"))
 

@@ -430,6 +430,25 @@ def test_language_edge_cases(spark, docs, empty):
     assert langid.identify(empty, model).count() == 0
 
 
+def test_language_training_with_copies_rare_languages_and_long_texts(spark):
+    r = random.Random(12)
+    letters = {"aa": "abcdefg", "bb": "hijklmn", "rare": "opqrstu", "long": "vwxyzäö"}
+    text = lambda lang, n: " ".join("".join(r.choices(letters[lang], k=5)) for _ in range(n))
+    rows = [(text(lang, 20), lang) for lang in ("aa", "bb") for _ in range(400)]
+    rows += [(text("rare", 20), "rare") for _ in range(3)] + [(text("long", 4000), "long") for _ in range(2)]
+    table = spark.createDataFrame(rows, "text string, lang string")
+    first = table.where("lang = 'aa'").orderBy(F.xxhash64("text", "lang")).first()
+    copies = spark.createDataFrame([tuple(first)] * 200, table.schema)
+    model = langid.fit(table.unionByName(copies), rows=60)
+    assert model.languages == sorted(letters)
+    counts, _, langs = langid.training_vectors(table.unionByName(copies), 4096, 60)
+    assert len(np.unique(counts, axis=0)) == len(counts) == 60
+    assert Counter(langs.tolist()) == {"aa": 27, "bb": 28, "rare": 3, "long": 2}
+    fresh = [(lang, text(lang, 20)) for lang in letters for _ in range(20)]
+    found = langid.identify(spark.createDataFrame(fresh, "lang string, text string"), model).collect()
+    assert all(x["lang_pred"] == x["lang"] and not x["lang_rejected"] for x in found)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as cp
 

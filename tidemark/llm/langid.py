@@ -20,7 +20,8 @@ from .subword import byte_view, steps, text_column
 
 DIMS = 4096
 CENTROIDS = 4
-#: Most training texts, over all languages; they are those with the smallest hashes of their rows.
+#: Most distinct training texts, over all languages. Languages have equal parts of it; what small ones leave goes to the others.
+#: Of a language, those with the smallest hashes are taken. A language always has one text at least.
 TRAIN_ROWS = 3000
 STEP_BYTES = 1 << 20
 #: Upper bounds, in letters, of the size classes that have a rejection distance of their own.
@@ -99,19 +100,59 @@ class LanguageModel:
         return language, np.where(letters > 0, score, 0), far | (letters == 0)
 
 
+def language_parts(counts: dict[str, int], rows: int) -> dict[str, int]:
+    """Number of training texts of each language: all it has, or an equal part of what smaller ones leave."""
+    out = {}
+    for k, (name, count) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        out[name] = min(count, max(1, rows // (len(counts) - k)))
+        rows -= out[name]
+    return out
+
+
+def training_vectors(train: DataFrame, dims: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(n-gram counts, letters, languages) of the training texts, by hash.
+
+    Copies of a row count once and texts are taken whole, whatever their length;
+    only the counts reach the driver.
+    """
+    usable = train.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", "lang", F.xxhash64("text", "lang").alias("h"))
+    counts = {r["lang"]: r["count"] for r in usable.select("lang", "h").distinct().groupBy("lang").count().collect()}
+    parts = language_parts(counts, rows)
+    # hashes are uniform, so few more texts than needed lie below these bounds
+    bounds = [(name, (n + 6 * n**0.5 + 10) / counts[name]) for name, n in parts.items()]
+    limit = train.sparkSession.createDataFrame(bounds, "lang string, bound double")
+    near = usable.join(F.broadcast(limit), "lang").where(F.col("h") / 2.0**64 + 0.5 <= F.col("bound"))
+    chosen = near.groupBy("lang", "h").agg(F.first("text").alias("text"))
+
+    def run(batches):
+        for batch in batches:
+            for at, part in steps(text_column(batch.column(2)), STEP_BYTES):
+                for lo in range(0, len(part), 512):
+                    some = part.slice(lo, 512)
+                    found, letters = vectors(some, dims)
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at + lo, len(some)) for c in (0, 1)), pa.array(letters), pa.array([x.tobytes() for x in found], pa.binary())], ["lang", "h", "letters", "counts"])
+
+    got = chosen.select("lang", "h", "text").mapInArrow(run, "lang string, h long, letters long, counts binary").toArrow().sort_by([("h", "ascending"), ("lang", "ascending")])
+    langs, seen, take = got["lang"].to_pylist(), dict.fromkeys(parts, 0), []
+    for k, name in enumerate(langs):
+        seen[name] += 1
+        if seen[name] <= parts[name]:
+            take.append(k)
+    found = np.empty((len(take), dims), np.float32)
+    for row, k in enumerate(take):
+        found[row] = np.frombuffer(got["counts"][k].as_buffer(), np.float32)
+    return found, got["letters"].to_numpy()[take], np.array([langs[k] for k in take])
+
+
 def fit(train: DataFrame, dims: int = DIMS, centroids: int = CENTROIDS, rows: int = TRAIN_ROWS) -> LanguageModel:
-    """Fit on (text, lang); at most ``rows`` rows are used, those with the smallest row hashes.
+    """Fit on distinct (text, lang); at most ``rows`` are used, of every language as many as ``language_parts`` says.
 
     Null texts and languages are left out. Without training rows the model has
     no language and rejects every text. Languages are ordered by name.
     """
-    usable = train.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", "lang")
-    chosen = usable.withColumn("h", F.xxhash64("text", "lang")).where(F.length("text") <= 20_000).orderBy("h", "lang").limit(rows).select("text", "lang").toArrow()
-    if not chosen.num_rows:
+    counts, letters, langs = training_vectors(train, dims, rows)
+    if not len(counts):
         return LanguageModel([], np.zeros(0, int), np.zeros((0, dims), np.float32), np.ones(dims, np.float32), np.zeros(len(SIZES) + 1))
-    texts, langs = text_column(chosen["text"]), np.array(chosen["lang"].to_pylist())
-    got = [vectors(part, dims) for _, part in steps(texts, STEP_BYTES)]
-    counts, letters = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
     idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + np.float32(0.1)
     x = scale(counts, idf).astype(np.float32)
     names = sorted(set(langs.tolist()))

@@ -241,6 +241,16 @@ def test_media_tables_and_damage(spark):
     assert all(r["tracks"] is None and r["media_error"] for r in got[1:])
 
 
+def test_fragmented_media_are_reported(spark):
+    file = isomedia.mux(bytes(576))
+    at = file.rindex(b"moov") - 4
+    box = lambda kind, content: (8 + len(content)).to_bytes(4, "big") + kind + content
+    extended = file[:at] + box(b"moov", file[at + 8 :] + box(b"mvex", box(b"trex", bytes(24))))
+    fragment = file + box(b"moof", box(b"mfhd", bytes(8)))
+    got = isomedia.probe(spark.createDataFrame([(bytearray(file),), (bytearray(extended),), (bytearray(fragment),)], "media binary")).collect()
+    assert got[0]["media_error"] is None and all(r["tracks"] is None and "fragmented" in r["media_error"] for r in got[1:])
+
+
 def test_statistics(docs):
     got = Counter(tuple(r) for r in decision_list.with_statistics(docs, ["doc_id"]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words").collect())
     want = Counter()

@@ -112,10 +112,13 @@ def _track(data: memoryview, trak: dict) -> dict:
 
 
 def parse(data: bytes) -> list[dict]:
-    """Tracks of a file. Raises ValueError where the bytes are no well-formed file with a ``moov`` box."""
+    """Tracks of a file. Raises ValueError where the bytes are no well-formed file with a ``moov`` box, or a fragmented one (its samples aren't in ``moov``)."""
     view = memoryview(data)
     try:
-        return [_track(view, trak) for trak in _tree(view, 0, len(view))[b"moov"][0].get(b"trak", [])]
+        top = _tree(view, 0, len(view))
+        if b"moof" in top or b"mvex" in top[b"moov"][0]:
+            raise ValueError("fragmented media files are not read")
+        return [_track(view, trak) for trak in top[b"moov"][0].get(b"trak", [])]
     except (KeyError, IndexError, struct.error, StopIteration) as e:
         raise ValueError(f"not a complete media file: {e!r}") from e
 

@@ -1,26 +1,30 @@
 """Tables that cut lineage, kept in the folder that all executors share.
 
-The folder is the session's ``spark.checkpoint.dir``. Only where that is not
-set (single-machine tests) a temporary folder of this machine is used.
+The folder is the session's ``spark.checkpoint.dir``. Only a session on one
+machine may do without it: a temporary folder is used then.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+_made: list[str] = []  # tables of this process that haven't been dropped
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Return the folder for intermediate tables, setting one if the session has none."""
+    """Return the folder for intermediate tables. Raises ValueError on a cluster that names none."""
     base = spark.conf.get(_SETTING, None)
     if not base:
         known = spark.sparkContext.getCheckpointDir()
         if known:
             return known.rstrip("/")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{_SETTING} must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -28,7 +32,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, tag: str) -> str:
     """Return an unused path below the shared folder."""
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
 
 
 def stored(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
@@ -39,11 +45,32 @@ def stored(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(conf).delete(p, True)
+    if path in _made:
+        _made.remove(path)
+
+
 def drop(df: DataFrame) -> None:
     """Delete the table that ``stored`` made for ``df``; nothing may read it after this."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsc.hadoopConfiguration()
-    parents = {name.rsplit("/", 1)[0] for name in df.inputFiles()}
-    for parent in parents:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(conf).delete(path, True)
+    names = {name.rsplit("/", 1)[0] for name in df.inputFiles()}
+    for path in [p for p in _made if any(n.endswith(p.rsplit("/", 1)[1]) for n in names)]:
+        _delete(df.sparkSession, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession, keep: list[DataFrame]):
+    """Delete all tables made inside, save those of the tables in ``keep`` at the end.
+
+    Results of an operator read their intermediate tables until they are written,
+    so the writing belongs inside.
+    """
+    before = len(_made)
+    try:
+        yield
+    finally:
+        kept = {name.rsplit("/", 1)[0].rsplit("/", 1)[1] for df in keep for name in df.inputFiles()}
+        for path in [p for p in _made[before:] if p.rsplit("/", 1)[1] not in kept]:
+            _delete(spark, path)

@@ -26,6 +26,8 @@ FRAME_SIDE = 24  # a frame of 24 x 24 samples of 8 bits takes 576 bytes
 FRAME_BYTES = FRAME_SIDE * FRAME_SIDE
 TIMESCALE, TICKS = 25, 1
 KEY_EVERY = 12
+#: Containers inside one another; well-formed files have five.
+MOST_DEPTH = 16
 
 
 def boxes(data: memoryview, at: int, end: int):
@@ -47,10 +49,12 @@ def boxes(data: memoryview, at: int, end: int):
         at += size
 
 
-def _tree(data: memoryview, at: int, end: int) -> dict[bytes, list]:
+def _tree(data: memoryview, at: int, end: int, depth: int = 0) -> dict[bytes, list]:
+    if depth > MOST_DEPTH:
+        raise ValueError(f"boxes nest deeper than {MOST_DEPTH}")
     found: dict[bytes, list] = {}
     for kind, a, b in boxes(data, at, end):
-        found.setdefault(kind, []).append(_tree(data, a, b) if kind in CONTAINERS else (a, b))
+        found.setdefault(kind, []).append(_tree(data, a, b, depth + 1) if kind in CONTAINERS else (a, b))
     return found
 
 
@@ -81,21 +85,35 @@ def _track(data: memoryview, trak: dict) -> dict:
     a, b = _one(stbl, b"stsz")
     same, count = struct.unpack_from(">II", data, a + 4)
     if same:
+        if same * count > len(data):
+            raise ValueError(f"{count} samples of {same} bytes are more than the file holds")
         sizes = np.full(count, same, np.int64)
     else:
         sizes = _array(data, (a, b), 1, 4)[:, 0]
-    chunks = np.frombuffer(data, ">u8", struct.unpack_from(">I", data, stbl[b"co64"][0][0] + 4)[0], stbl[b"co64"][0][0] + 8).astype(np.int64) if b"co64" in stbl else _array(data, _one(stbl, b"stco"), 1)[:, 0]
+    if b"co64" in stbl:
+        a, b = stbl[b"co64"][0]
+        (n,) = struct.unpack_from(">I", data, a + 4)
+        if a + 8 + 8 * n > b:
+            raise ValueError("a sample table is cut off")
+        chunks = np.frombuffer(data, ">u8", n, a + 8).astype(np.int64)
+    else:
+        chunks = _array(data, _one(stbl, b"stco"), 1)[:, 0]
     runs = _array(data, _one(stbl, b"stsc"), 3)
+    if len(runs) and (runs[0, 0] != 1 or (np.diff(runs[:, 0]) <= 0).any()):
+        raise ValueError("runs of chunks are out of order")
     per_chunk = np.zeros(len(chunks), np.int64)
     for k, (first, samples, _) in enumerate(runs.tolist()):
-        per_chunk[first - 1 : int(runs[k + 1, 0]) - 1 if k + 1 < len(runs) else None] = samples
-    owner = np.repeat(np.arange(len(chunks)), per_chunk)[: len(sizes)]
-    if len(owner) < len(sizes):
+        per_chunk[first - 1 : int(runs[k + 1, 0]) - 1 if k + 1 < len(runs) else None] = min(samples, len(sizes))
+    upto = np.cumsum(per_chunk)  # samples of a chunk and all before it
+    if len(sizes) and (not len(upto) or upto[-1] < len(sizes)):
         raise ValueError("chunks hold fewer samples than the size table")
+    number = np.arange(len(sizes))
+    owner = np.searchsorted(upto, number, "right")
     ends = np.cumsum(sizes)
-    firsts = np.searchsorted(owner, np.arange(len(chunks)))
-    base = np.append(0, ends)[np.minimum(firsts, len(sizes))]
+    base = np.append(0, ends)[np.minimum(upto - per_chunk, len(sizes))]
     offsets = chunks[owner] + (ends - sizes) - base[owner]
+    if len(sizes) and (offsets.min() < 0 or (offsets + sizes).max() > len(data)):
+        raise ValueError("samples lie outside the file")
     times = _array(data, _one(stbl, b"stts"), 2)
     keys = _array(data, stbl[b"stss"][0], 1)[:, 0] - 1 if b"stss" in stbl else np.arange(len(sizes))
     return {
@@ -107,12 +125,17 @@ def _track(data: memoryview, trak: dict) -> dict:
         "ticks": int((times[:, 0] * times[:, 1]).sum()),
         "offsets": offsets,
         "sizes": sizes,
-        "keys": keys[keys < len(sizes)],
+        "keys": keys[(keys >= 0) & (keys < len(sizes))],
     }
 
 
 def parse(data: bytes) -> list[dict]:
-    """Tracks of a file. Raises ValueError where the bytes are no well-formed file with a ``moov`` box, or a fragmented one (its samples aren't in ``moov``)."""
+    """Tracks of a file.
+
+    Raises ValueError where the bytes are no well-formed file with a ``moov`` box
+    (sizes, counts, nesting and byte ranges must fit the file), or a fragmented
+    one, whose samples aren't in ``moov``.
+    """
     view = memoryview(data)
     try:
         top = _tree(view, 0, len(view))
@@ -171,7 +194,8 @@ def probe(media: DataFrame, column: str = "media") -> DataFrame:
 
     tracks: for each track handler, codec, timescale, duration, samples and the
     byte ranges of its key frames. Null or malformed bytes give null tracks; the
-    reason is in ``media_error`` (null: none). Input columns of these two names
+    reason is in ``media_error`` (null: none); a file without tracks gives an
+    empty array. Input columns of these two names
     are replaced. Other columns, repeated rows and empty tables pass unchanged.
     """
     keep = [c for c in media.columns if c not in ("tracks", "media_error")]

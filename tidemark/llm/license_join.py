@@ -40,8 +40,11 @@ PERCENT = 80
 
 
 def words_of(text: Column) -> Column:
-    """Words of a text in lower case."""
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), _BETWEEN), "")
+    """Words of a text with A-Z in lower case; other letters stay."""
+    t = F.coalesce(text, F.lit(""))
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    low = F.when(F.octet_length(t) == F.length(t), F.lower(t)).otherwise(F.translate(t, upper, upper.lower()))
+    return F.array_remove(F.split(low, _BETWEEN), "")
 
 
 def _strings(values: list[str]) -> Column:

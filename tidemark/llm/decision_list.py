@@ -17,6 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .skew import smallest_hashes
 from .storage import drop, stored
 
 #: Statistics that rules may test.
@@ -187,7 +188,7 @@ def learn(labelled: DataFrame, rows: int = TRAIN_ROWS) -> list[list[Condition]]:
     At most ``rows`` rows are used. Null labels are left out. Without rows of
     both kinds there are no rules. Equal rows count each time.
     """
-    sample = labelled.where(F.col("quality").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES).limit(rows)
+    sample = smallest_hashes(labelled.where(F.col("quality").isNotNull()), rows, "doc_id", ["doc_id", *FEATURES])
     sample = stored(sample.select((F.col("quality") == 0).alias("bad"), (F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(3)) == 0).alias("pruning"), *[F.col(f).cast("double").alias(f) for f in FEATURES]).coalesce(2), "labelled")
     points = [(k + 0.5) / BINS for k in range(BINS)]
     found = sample.agg(*[F.percentile_approx(f, points, 10_000).alias(f) for f in FEATURES]).first()
@@ -216,13 +217,18 @@ def judge(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None) ->
     """Judge every whole text by a decision list learned from the labelled ones.
 
     Returns ``keep`` (by default doc_id), the statistics, base_failed, rule
-    (number of the rule that rejects the text, 0: none) and kept. Labels are
-    (doc_id, quality); repeated labels of a document count each time. Repeated
-    rows are judged alike; an empty table gives no rows.
+    (number of the rule that rejects the text, 0: none) and kept. Kept columns of
+    these names are replaced by the results; names that start with ``tm_`` are
+    reserved. Labels are (doc_id, quality); repeated labels of a document count
+    each time. Null and empty texts fail the base. Repeated rows are judged alike;
+    an empty table gives no rows.
     """
-    keep = keep or ["doc_id"]
-    stats = stored(with_statistics(docs, keep), "statistics")
-    labelled = stats.join(labels.select("doc_id", "quality"), "doc_id").where(~base_failed())
+    made = {*FEATURES, "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rule", "kept"}
+    keep = [c for c in keep or ["doc_id"] if c not in made]
+    stats = stored(with_statistics(docs.withColumn("tm_id", F.col("doc_id")), ["tm_id", *keep]), "statistics")
+    known = labels.select(F.col("doc_id").alias("tm_doc"), F.col("quality").alias("tm_quality"))
+    own = stats.select("tm_id", *FEATURES, "n_repeat_words").where(~base_failed())
+    labelled = own.join(known, F.col("tm_id") == F.col("tm_doc")).select(F.col("tm_id").alias("doc_id"), F.col("tm_quality").alias("quality"), *FEATURES)
     rules = learn(labelled)
     failed = base_failed()
-    return stats.withColumn("base_failed", failed).withColumn("rule", verdict(rules)).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
+    return stats.drop("tm_id").withColumn("base_failed", failed).withColumn("rule", verdict(rules)).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))

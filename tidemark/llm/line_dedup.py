@@ -3,8 +3,9 @@
 Every window of three consecutive lines gets a 128-bit hash. The first place of
 a window in the corpus, by (doc_id, line), stays; all later places are removed.
 The removed places of a document are merged: a line goes if any later window
-covers it. Windows are counted with map-side sums, so a window that a third of
-all rows hold is one row for each task.
+covers it. Windows are counted with map-side sums, and those that are frequent
+find their first place in a broadcast copy of bounded size, so a window that a
+third of all rows hold fills no task.
 """
 
 from __future__ import annotations
@@ -12,6 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .skew import join_unique
+from .storage import stored
+
 WIDTH = 3
 
 
@@ -33,9 +37,9 @@ def later_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     # the lines are a column of their own: inside a lambda the text would be split again for every window
     split = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("text_hash"), F.split("text", "\n", -1).alias("tm_lines"))
     each = split.select("doc_id", "text_hash", F.posexplode(window_hashes(F.col("tm_lines"), width)).alias("at", "h")).select("doc_id", "text_hash", "at", "h.h1", "h.h2")
-    firsts = each.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "at", "text_hash")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     place = F.struct("doc_id", "at", "text_hash")
-    return each.join(firsts, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first"))).select("doc_id", "text_hash", "at")
+    firsts = stored(each.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"), "windows")
+    return join_unique(each, firsts, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first"))).select("doc_id", "text_hash", "at")
 
 
 def dedup_lines(docs: DataFrame, width: int = WIDTH) -> DataFrame:

@@ -11,10 +11,13 @@
 3. In every list all members are first compared with the list's most central
    member only. Union sketches filter the pairs and the full sets decide. The
    links make components.
-4. Classes of lists that hold several components are joined once more, by exact
-   prefixes of their full sets in the order of their frequency: pairs within a
-   component and pairs whose places in the order rule the similarity out are
-   never made. The full sets decide again.
+4. A completion step, exact and not by sketches: classes of lists that hold
+   several components are joined once more, by prefixes of their full sets in the
+   order of their frequency. Pairs within a component and pairs whose places in
+   the order rule the similarity out are never made. The full sets decide again.
+
+Frequent values find what belongs to them in broadcast copies of bounded size,
+and long lists and central nodes are cut into blocks, so none fills one task.
 
 ``t`` lies 5.5 standard deviations under the expected number of shared values
 (k * similarity), so a pair at the similarity is missed with a probability of
@@ -33,11 +36,14 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .shingles import shingle_sets
+from .skew import attach_large, frequent_keys, join_unique
 from .storage import drop, stored
 from .subword import byte_view, steps, text_column
 
 SKETCH = 64
 STEP_BYTES = 2 << 20
+#: Members of an exact prefix list that are compared with the whole list in one task.
+LIST_BLOCK = 1000
 
 
 def least_shared(k: int, percent: int) -> int:
@@ -109,16 +115,17 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFram
                 keep.append(100 * both >= percent * either)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
-    # the member's set joins first: members are mostly distinct, central nodes are not, and that join can be split
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    pairs = stored(pairs, "pairs")
+    for key, other, name in (("a", "b", "x"), ("b", "a", "y")):
+        counts = stored(pairs.groupBy(key).agg(F.count("*").alias("n")), "counts")
+        rows = attach_large(pairs if key == "a" else rows, counts, sets.select(F.col("node").alias(key), F.col("hashes").alias(name)), key, other)
+    return rows.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def ordered_values(entries: DataFrame) -> DataFrame:
     """Values (v, node) that several nodes hold, as (node, vs): structs (df, v) by rising frequency, and their sum."""
-    often = entries.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    return entries.join(often, "v").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"), F.sum("df").alias("weight"))
+    often = stored(entries.groupBy("v").agg(F.count("*").alias("n")).where("n > 1").withColumn("df", F.col("n")), "values")
+    return join_unique(entries, often, ["v"]).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"), F.sum("df").alias("weight"))
 
 
 def prefix_lists(reps: DataFrame, k: int, percent: int) -> DataFrame:
@@ -154,12 +161,17 @@ def cross_pairs(sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     own = F.col("n") - F.size("vs")
     rows = rows.select("node", "root", "n", own.alias("own"), F.posexplode(F.slice("vs", 1, F.greatest(F.col("n") - need + 1 - own, F.lit(0)))).alias("at", "e"))
     rows = rows.select(F.col("e.v").alias("v"), "node", "root", "n", (F.col("own") + F.col("at")).alias("place"))
-    x = rows.select("v", *[F.col(c).alias(f"x_{c}") for c in ("node", "root", "n", "place")])
-    y = rows.select("v", *[F.col(c).alias(f"y_{c}") for c in ("node", "root", "n", "place")])
+    rows = stored(rows, "prefixes")
+    long_lists = frequent_keys(rows.groupBy("v").agg(F.count("*").alias("n")), 2 * LIST_BLOCK)
+    blocks = F.broadcast(long_lists.select("v", F.ceil(F.col("n") / LIST_BLOCK).cast("int").alias("blocks")))
+    rows = rows.join(blocks, "v", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    sides = lambda c: [F.col(k).alias(f"{c}_{k}") for k in ("node", "root", "n", "place")]
+    x = rows.select("v", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), *sides("x"))
+    y = rows.select("v", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *sides("y"))
     most = F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place"))
     rule = (F.col("x_node") < F.col("y_node")) & (F.col("x_root") != F.col("y_root"))
     rule &= most * (100 + percent) >= percent * (F.col("x_n") + F.col("y_n"))  # shared values of a pair at the similarity
-    return x.join(y, "v").where(rule).select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
+    return x.join(y, ["v", "block"]).where(rule).select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int = SKETCH) -> DataFrame:
@@ -180,8 +192,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     drop(made)
     raw = stored(prefix_lists(reps, k, percent), "lists")
     drop(reps)
-    hubs = raw.groupBy("v").agg(F.max(F.struct("weight", "n", "node")).alias("h"), F.count("*").alias("m")).where("m > 1").select("v", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"))
-    lists = stored(raw.join(hubs, "v"), "lists")
+    hubs = stored(raw.groupBy("v").agg(F.max(F.struct("weight", "n", "node")).alias("h"), F.count("*").alias("m")).where("m > 1").select("v", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"), F.col("m").alias("n")), "hubs")
+    lists = stored(join_unique(raw.withColumnRenamed("n", "size"), hubs, ["v"]), "lists")
     drop(raw)
 
     nodes = lists.select("node").distinct()
@@ -192,18 +204,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     # a repeated doc_id may bring further texts; their digests are not wanted
     sets = stored(full_sets(texts, width).join(wanted, "digest").dropDuplicates(["node"]).select("node", "hashes"), "sets")
 
-    near = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent
+    near = F.least("size", "hub_n") * 100 >= F.greatest("size", "hub_n") * percent
     first = lists.where((F.col("node") != F.col("hub")) & near).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     links = stored(confirm(first, sets, percent, k), "links")
     roots = connected_components(links)
 
     placed = lists.select("v", "node").join(roots.withColumnRenamed("root", "known"), "node", "left").withColumn("root", F.coalesce("known", "node"))
-    mixed = placed.groupBy("v").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("v")
-    open_nodes = stored(placed.join(mixed, "v", "left_semi").select("node", "root").distinct(), "open")
+    mixed = stored(placed.groupBy("v").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("n")).where("r1 <> r2").select("v", "n"), "mixed")
+    open_nodes = stored(join_unique(placed.select("v", "node", "root"), mixed, ["v"]).select("node", "root").distinct(), "open")
     second = cross_pairs(sets.join(open_nodes.select("node"), "node", "left_semi"), open_nodes, percent)
     more = stored(confirm(second, sets, percent, k), "links")
     final = roots if more.isEmpty() else connected_components(links.select("a", "b").union(more.select("a", "b")))
-    for table in (lists, wanted, sets, open_nodes):
+    for table in (lists, hubs, wanted, sets, mixed, open_nodes):
         drop(table)
 
     linked = classes.join(final, "node", "left").select("digest", "low", F.coalesce("root", "node").alias("root"))

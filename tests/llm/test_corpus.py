@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import decision_list, isomedia, langid, license_join, line_dedup, mixing, near_dup, packing, queries, rans, subword, token_counts
+from tidemark.llm import decision_list, isomedia, langid, license_join, line_dedup, near_dup, packing, queries, rans, subword, token_counts
 from tidemark.llm.components import connected_components
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -387,43 +387,6 @@ def test_license_windows_equal_brute_force(spark):
     assert got == {(k, n, t): c for k, text in rows for n, t, c in windows_by_force(text)} and got
 
 
-def test_rates_meet_targets(spark, empty):
-    r = random.Random(9)
-    rows, labels = [], []
-    for k in range(600):
-        kind = r.choices(["good", "low", "toxic"], [0.7, 0.2, 0.1])[0]
-        w = words(30, k, 50) + {"good": [], "low": ["junk"] * 4, "toxic": ["vile", "nasty"]}[kind]
-        rows.append((k, " ".join(w), "clash"))
-        if k % 2:
-            labels.append((k, kind))
-    table = spark.createDataFrame(rows, "doc_id long, text string, rate string")
-    out = mixing.mix(table, spark.createDataFrame(labels, "doc_id long, domain string"))
-    sums = out.agg(*[F.sum(F.col("rate") * F.col("n_tokens") * F.col(f"p_{d}")).alias(d) for d in mixing.TARGETS]).first()
-    total = sum(sums)
-    assert all(sums[d] / total == pytest.approx(w, abs=5e-3) for d, w in mixing.TARGETS.items())
-    assert out.agg(F.min("rate")).first()[0] >= 0
-    assert mixing.mix(empty, spark.createDataFrame(labels, "doc_id long, domain string")).count() == 0
-
-
-@pytest.mark.parametrize("toxic,labelled", [(0.0, True), (0.005, True), (0.005, False), (0.1, False), (0.1, None)])
-def test_scarce_or_unlabelled_domains_cost_no_clean_documents(spark, toxic, labelled):
-    r = random.Random(3)
-    rows, labels = [], []
-    for k in range(1000):
-        kind = "toxic" if k < 1000 * toxic else "low" if k % 5 == 0 else "good"
-        w = words(30, k, 50) + {"good": [], "low": ["junk", "spam"], "toxic": ["vile", "nasty"]}[kind]
-        r.shuffle(w)
-        rows.append((k, " ".join(w), kind))
-        if labelled is not None and (k % 2 or kind == "toxic") and (labelled or kind != "toxic"):
-            labels.append((k, kind))
-    table = spark.createDataFrame(rows, "doc_id long, text string, kind string")
-    out = mixing.mix(table, spark.createDataFrame(labels, "doc_id long, domain string"), keep=["doc_id", "kind"]).collect()
-    assert len(out) == 1000 and all(x["taken"] for x in out if x["kind"] == "good")
-    assert labelled is not None or all(x["rate"] == 1 for x in out)
-    # a domain with more than its share is still sampled down
-    assert labelled is None or sum(x["taken"] for x in out if x["kind"] == "low") < 0.5 * sum(x["kind"] == "low" for x in out)
-
-
 def test_language_of_held_out_documents(spark):
     found = queries.op10_language(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert sum(r["lang_pred"] == r["lang"] for r in found) >= 0.95 * len(found)

@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a table; ``run`` writes every
 stage's result as Parquet in the shared folder and gives it to the next one.
-All but the last return the columns of ``documents``.
+All but the last return the columns of ``documents``. Stages work on whole
+tables and texts. Further columns, whatever their names, pass unchanged; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -12,36 +14,63 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import langid, line_dedup, mixing, near_dup, packing
-from tidemark.llm.storage import stored
+from tidemark.llm.storage import drop, scratch, stored
+
+
+def _carried(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text`` beside the whole row, so that no name of an operator's result meets an input column."""
+    return docs.select("doc_id", "text", F.struct(*docs.columns).alias("tm_doc"))
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents whose language is rejected: no letters, or far from all centroids."""
-    model = langid.fit(docs)
-    return langid.identify(docs, model).where(~F.col("lang_rejected")).select(docs.columns)
+    """Drop documents whose language is rejected: null texts, no letters, or far from all centroids.
+
+    Learned from the rows with a lang. Repeated rows share their fate.
+    """
+    found = langid.identify(_carried(docs), langid.fit(docs))
+    return found.where(~F.col("lang_rejected")).select("tm_doc.*")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Remove later occurrences of repeated three-line windows; every document stays."""
-    return line_dedup.dedup_lines(docs).select(docs.columns)
+    """Remove later occurrences of repeated three-line windows; every row stays, n_chars is recounted.
+
+    Null, empty and short texts stay as they are; rows with equal doc_id and text
+    are one document and get equal texts.
+    """
+    kept = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    packed = docs.select(*[c for c in docs.columns if c not in kept], F.struct(F.lit(0).alias("tm_0"), *kept).alias("tm_doc"))
+    done = line_dedup.dedup_lines(packed)
+    return done.select(*[F.col(f"tm_doc.{c}").alias(c) if c in kept else F.col(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near duplicates (five-word shingles, similarity 0.8)."""
-    groups = near_dup.near_duplicates(docs)
+    """Keep one document of each group of near duplicates (five-word shingles, similarity 0.8).
+
+    Null and empty texts have no duplicates and stay. Of rows with equal doc_id
+    and text one stays.
+    """
+    groups = near_dup.near_duplicates(docs.select("doc_id", "text"))
     kept = groups.where("kept").select(F.col("doc_id").alias("tm_id")).distinct()
-    survivors = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("tm_id")), "left_semi")
-    return survivors.dropDuplicates(["doc_id", "text"]).select(docs.columns)
+    survivors = _carried(docs).join(kept, F.col("doc_id").eqNullSafe(F.col("tm_id")), "left_semi")
+    return survivors.dropDuplicates(["doc_id", "text"]).select("tm_doc.*")
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sample documents so that expected tokens of the labelled domains meet the target weights."""
+    """Sample documents so that expected tokens of the labelled domains meet the target weights.
+
+    Rates are at most 1, so no row is taken twice. Texts of the wanted domain keep
+    rates at or near 1. A null text has no token and the prior's rate; repeated
+    rows are taken together.
+    """
     labels = mixing.label_domains(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return mixing.mix(docs, labels, keep=docs.columns).where("taken").select(docs.columns)
+    return mixing.mix(_carried(docs), labels, keep=["tm_doc"]).where("taken").select("tm_doc.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack the remaining documents into sequences of 2048 tokens."""
+    """Pack the remaining documents into sequences of 2048 tokens, one row for each piece.
+
+    A null text packs its end id alone; repeated rows are packed each time.
+    """
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -58,8 +87,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to ``documents`` and return the packed pieces."""
+    """Apply all stages to ``documents`` and return the packed pieces.
+
+    What a stage needed on the way, its input included, is deleted when its result is written.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        result: list[DataFrame] = []
+        with scratch(spark, result):
+            result.append(stored(stage(spark, docs, sf_dir), f"stage-{name}"))
+        if before is not None:
+            drop(before)
+        docs = before = result[0]
     return docs

@@ -4,11 +4,13 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import ordering
 from tidemark.functions import series as S
 from tidemark.functions.normal import normal_cdf
-from tidemark.functions.ordering import max_drawdown, row_numbers, with_running
+from tidemark.functions.ordering import max_drawdowns, row_numbers, with_last, with_running
 from tidemark.operators import gaps, levels, pools, retracement, signals, structure, zones
 from tidemark.plans.config import ExecutionConfig, FeatureConfig, GapConfig, PoolConfig, SessionConfig, ZoneConfig
 
@@ -186,25 +188,57 @@ def test_features_do_not_see_the_future(spark, bars):
 
 
 def test_running_values_over_several_blocks(spark, monkeypatch):
-    from tidemark.functions import ordering
-
     monkeypatch.setattr(ordering, "BLOCK", 16)
+    monkeypatch.setattr(ordering, "GROUP", 4)
     r = random.Random(5)
     values = [r.randint(-5, 5) for _ in range(200)]
-    df = spark.createDataFrame(list(enumerate(values, 1)), "row_id long, v int")
-    got = {x["row_id"]: (x["cum"], x["peak"]) for x in with_running(df, F.col("v"), "row_id", None, "cum", "peak").collect()}
-    cum, peak, worst = 0, None, 0
+    df = spark.createDataFrame([(k, v, v if k % 3 else None) for k, v in enumerate(values, 1)], "row_id long, v int, some int")
+    got = {x["row_id"]: x for x in with_last(with_running(df, {"cum": F.col("v"), "twice": F.col("v") * 2}, "row_id", None, {"cum": "peak"}), F.col("some"), "row_id", "known").collect()}
+    cum, peak, worst, known = 0, None, 0, None
     for k, v in enumerate(values, 1):
         cum += v
         peak = cum if peak is None else max(peak, cum)
         worst = max(worst, peak - cum)
-        assert got[k] == (cum, peak)
-    assert max_drawdown(df, F.col("v"), "row_id").first()["max_drawdown"] == worst
+        known = v if k % 3 else known
+        assert (got[k]["cum"], got[k]["twice"], got[k]["peak"], got[k]["known"]) == (cum, 2 * cum, peak, known)
+    falls = max_drawdowns(df, {"a": F.col("v").cast("double"), "b": F.lit(0.0)}, "row_id").first()
+    assert (falls["a"], falls["b"]) == (worst, 0)
     numbered = row_numbers(df.repartition(7), ["v", "row_id"], "n").orderBy("n").collect()
     assert [x["n"] for x in numbered] == list(range(1, 201))
     assert [(x["v"], x["row_id"]) for x in numbered] == sorted((v, k) for k, v in enumerate(values, 1))
 
 
+def test_keyed_running_values_with_null_keys(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "BLOCK", 8)
+    r = random.Random(8)
+    rows = [(r.choice(["a", "b", None]), k, r.random()) for k in range(150)]
+    df = spark.createDataFrame(rows, "key string, at int, v double").repartition(5)
+    numbered = row_numbers(df, [F.desc("v")], "n", ["key"], "size")
+    got = with_running(numbered, {"cum": F.col("v")}, "n", ["key"]).collect()
+    assert len(got) == 150
+    for key in ("a", "b", None):
+        want = sorted((v for k, _, v in rows if k == key), reverse=True)
+        own = sorted((x for x in got if x["key"] == key), key=lambda x: x["n"])
+        assert [x["n"] for x in own] == list(range(1, len(want) + 1)) and {x["size"] for x in own} == {len(want)}
+        assert [x["cum"] for x in own] == pytest.approx([sum(want[: k + 1]) for k in range(len(want))])
+    assert row_numbers(df.where("false"), ["v"]).count() == 0
+
+
+@pytest.mark.parametrize("parts", [None, 6])
+def test_row_numbers_lose_no_rows_with_carried_columns(spark, parts):
+    raw = spark.read.parquet("/root/testdata/sf0.1/lineitem.parquet")
+    if parts:
+        raw = raw.repartition(parts)
+    out = row_numbers(raw, ["l_shipdate", "l_orderkey", "l_linenumber"])
+    row = out.agg(F.count("*").alias("n"), F.count_distinct("row_id").alias("ids"), F.min("row_id").alias("low"), F.max("row_id").alias("high"), F.sum("l_tax").alias("tax")).first()
+    assert (row["n"], row["ids"], row["low"], row["high"]) == (600_000, 600_000, 1, 600_000)
+    assert row["tax"] == pytest.approx(raw.agg(F.sum("l_tax")).first()[0])
+    # later rows don't lie before earlier ones
+    w = Window.orderBy("row_id")
+    assert out.select("row_id", "l_shipdate", F.lag("l_shipdate").over(w).alias("before")).where("l_shipdate < before").count() == 0
+    spark.catalog.clearCache()
+
+
 def test_normal_distribution(spark):
     from statistics import NormalDist
 

@@ -140,3 +140,14 @@ def require(df: DataFrame, *names: str) -> None:
     """Raise ValueError for missing columns."""
     if missing := [n for n in names if n not in df.columns]:
         raise ValueError(f"missing columns: {', '.join(missing)}")
+
+
+def unordered(df: DataFrame, time: str, order: str, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """Rows whose time lies before that of the row before them, by ``order``, within each series."""
+    before = F.lag(time).over(Window.partitionBy(*keys).orderBy(order))
+    return df.withColumn("tm_before", before).where(F.col(time) < F.col("tm_before")).drop("tm_before")
+
+
+def optional_int(x: Column) -> Column:
+    """A whole number from text or a number, rounded half to even; NULL for what is no number."""
+    return F.bround(x.try_cast("double")).cast("long")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.ordering import with_running
+from tidemark.functions.ordering import row_numbers, with_running
+from tidemark.functions.tables import join_on
 
 
 def confusion(df: DataFrame, keys: list[str], target: str = "label", chosen: str = "selected") -> DataFrame:
@@ -27,17 +28,16 @@ def _by_score(df: DataFrame, keys: list[str], target: str, score: str) -> DataFr
 def roc_auc(df: DataFrame, keys: list[str], target: str = "label", score: str = "score") -> DataFrame:
     """Area under the ROC curve by average ranks; NULL with one class only."""
     cells = _by_score(df, keys, target, score).withColumn("neg", F.col("n") - F.col("pos"))
-    w = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
-    wins = F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0))
+    cells = with_running(row_numbers(cells, [score], "tm_rank", keys), {"tm_upto": F.col("neg")}, "tm_rank", keys)
+    wins = F.sum(F.col("pos") * (F.col("tm_upto") - F.col("neg") / 2.0))
     out = cells.groupBy(*keys).agg(wins.alias("w"), F.sum("pos").alias("p"), F.sum("neg").alias("q"))
     return out.select(*keys, F.try_divide(F.col("w"), (F.col("p") * F.col("q")).cast("double")).alias("roc_auc"))
 
 
 def average_precision(df: DataFrame, keys: list[str], order: str, target: str = "label", score: str = "score") -> DataFrame:
     """Mean precision at each positive row, by falling score and then row order; 0 without positives."""
-    ranked = df.withColumn("tm_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(score), order)))
-    run = with_running(ranked, (F.col(target) == 1).cast("long"), "tm_rank", keys, "tm_hits")
+    ranked = row_numbers(df.select(*keys, score, order, target), [F.desc(score), order], "tm_rank", keys)
+    run = with_running(ranked, {"tm_hits": (F.col(target) == 1).cast("long")}, "tm_rank", keys)
     hit = F.when(F.col(target) == 1, F.col("tm_hits") / F.col("tm_rank"))
     return run.groupBy(*keys).agg(F.coalesce(F.avg(hit), F.lit(0.0)).alias("average_precision"))
 
@@ -45,10 +45,10 @@ def average_precision(df: DataFrame, keys: list[str], order: str, target: str =
 def roc_points(df: DataFrame, keys: list[str], target: str = "label", score: str = "score") -> DataFrame:
     """False and true positive rates at every distinct threshold."""
     cells = _by_score(df, keys, target, score).withColumn("neg", F.col("n") - F.col("pos"))
-    w = Window.partitionBy(*keys).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*keys)
-    rate = lambda c: F.try_divide(F.sum(c).over(w).cast("double"), F.sum(c).over(whole))
-    return cells.select(*keys, F.col(score).alias("threshold"), rate("neg").alias("fpr"), rate("pos").alias("tpr"))
+    run = with_running(row_numbers(cells, [F.desc(score)], "tm_rank", keys), {"tm_neg": F.col("neg"), "tm_pos": F.col("pos")}, "tm_rank", keys)
+    run = join_on(run, cells.groupBy(*keys).agg(F.sum("neg").alias("tm_all_neg"), F.sum("pos").alias("tm_all_pos")), keys)
+    rate = lambda c: F.try_divide(F.col(f"tm_{c}").cast("double"), F.col(f"tm_all_{c}"))
+    return run.select(*keys, F.col(score).alias("threshold"), rate("neg").alias("fpr"), rate("pos").alias("tpr"))
 
 
 def all_metrics(df: DataFrame, keys: list[str], order: str, target: str = "label", chosen: str = "selected", score: str = "score") -> DataFrame:
@@ -56,6 +56,26 @@ def all_metrics(df: DataFrame, keys: list[str], order: str, target: str = "label
     return confusion(df, keys, target, chosen).join(roc_auc(df, keys, target, score), keys).join(average_precision(df, keys, order, target, score), keys)
 
 
+METRICS = ("roc_auc", "average_precision", "precision", "recall", "f1", "accuracy", "selected_rate", "positive_rate")
+
+
+def run_metrics(predictions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(metrics of each run and split, pooled metrics of each split with the means over runs as ``mean_*``).
+
+    ``predictions`` has run, split, label, selected, ranking_score and row_id. Areas
+    and precisions of one class alone are NULL.
+    """
+    def of(df: DataFrame, keys: list[str]) -> DataFrame:
+        rows = all_metrics(df, keys, "row_id", score="ranking_score")
+        single = (F.col("tp") + F.col("fn") == 0) | (F.col("fp") + F.col("tn") == 0)
+        return rows.withColumn("average_precision", F.when(~single, F.col("average_precision")))
+
+    per_run = of(predictions, ["run", "split"])
+    means = per_run.groupBy("split").agg(*[F.avg(c).alias(f"mean_{c}") for c in METRICS])
+    pooled = of(predictions, ["split"]).join(means, "split").select(F.lit("AGGREGATE").alias("run"), "*")
+    return per_run.orderBy("run", "split"), pooled.orderBy("split")
+
+
 def pooled_and_mean(per_run: DataFrame, split: str = "split") -> DataFrame:
     """An aggregate row for each split: summed counts with their rates, and mean rates over runs."""
     s = lambda c: F.sum(c).cast("double")

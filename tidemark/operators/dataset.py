@@ -44,11 +44,11 @@ def match_counts(dataset: DataFrame, reports: DataFrame) -> DataFrame:
     """For each candidate report: rows, matched dataset rows, full match, equal length. ``reports`` has a ``report`` column."""
     keys = list(KEYS)
     rows = dataset.select(keys).distinct()
-    size = rows.count()
     own = reports.select("report", *keys).distinct()
     hit = own.join(rows.withColumn("tm_hit", F.lit(1)), keys, "left")
     out = hit.groupBy("report").agg(F.count("*").alias("report_rows"), F.count("tm_hit").alias("matches"))
-    return out.withColumns({"full_match": F.col("matches") == size, "same_length": F.col("report_rows") == size})
+    out = out.crossJoin(F.broadcast(rows.agg(F.count("*").alias("tm_size"))))  # one row
+    return out.withColumns({"full_match": F.col("matches") == F.col("tm_size"), "same_length": F.col("report_rows") == F.col("tm_size")}).drop("tm_size")
 
 
 def enrich(dataset: DataFrame, reports: DataFrame, outcomes: list[str]) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.normal import normal_cdf, normal_quantile
-from tidemark.functions.ordering import max_drawdown
+from tidemark.functions.ordering import max_drawdowns, row_numbers, with_last, with_running
+from tidemark.functions.tables import join_on
 
 #: Profit and loss smaller than this counts as none in ranking metrics.
 TOLERANCE = 1e-6
@@ -46,9 +47,7 @@ def trading_metrics(trades: DataFrame, order: str = "row_id", keys: list[str] |
         F.coalesce(F.avg((p > TOLERANCE).cast("double")) * 100.0, F.lit(0.0)).alias("win_rate"),
         F.when(lost > TOLERANCE, won / lost).when(won > TOLERANCE, F.lit(math.inf)).otherwise(F.lit(0.0)).alias("profit_factor"),
     )
-    for column, name in (("pnl_cash", "max_drawdown"), ("pnl_r", "max_drawdown_r")):
-        falls = max_drawdown(trades, cash(column), order, keys, name)
-        base = base.join(falls, keys, "left") if keys else base.crossJoin(F.broadcast(falls))  # one row on each side
+    base = join_on(base, max_drawdowns(trades, {"max_drawdown": p, "max_drawdown_r": r}, order, keys), keys, "left")
     return base.withColumns({n: F.coalesce(n, F.lit(0.0)) for n in ("max_drawdown", "max_drawdown_r")})
 
 
@@ -117,10 +116,8 @@ def deflated_sharpe(trades: DataFrame, balance: float, keys: list[str] | None =
 
 def account_info(trades: DataFrame, balance: float, order: str = "row_id", keys: list[str] | None = None) -> DataFrame:
     """Balances and both drawdowns, from the running peak and from the first balance, absolute and in percent."""
-    from tidemark.functions.ordering import with_running
-
     keys = keys or []
-    run = with_running(trades, cash(), order, keys, "tm_cum", "tm_peak")
+    run = with_running(trades, {"tm_cum": cash()}, order, keys, {"tm_cum": "tm_peak"})
     equity, peak = F.lit(float(balance)) + F.col("tm_cum"), F.greatest(F.lit(float(balance)) + F.col("tm_peak"), F.lit(float(balance)))
     fall = peak - equity
     return run.groupBy(*keys).agg(
@@ -131,3 +128,22 @@ def account_info(trades: DataFrame, balance: float, order: str = "row_id", keys:
         F.max(F.greatest(F.lit(float(balance)) - equity, F.lit(0.0))).alias("initial_drawdown"),
         (F.max(F.greatest(F.lit(float(balance)) - equity, F.lit(0.0))) / balance * 100.0).alias("initial_drawdown_pct"),
     )
+
+
+def rebuilt_equity(trades: DataFrame, balance: float, order: list[str] | None = None) -> DataFrame:
+    """Equity after each stored trade by date: step, time, equity, and step 0 with the first balance.
+
+    Stored balances are used where the table has any, the last known one for
+    missing ones; else the results are summed. ``order`` breaks ties of the date.
+    """
+    rows = row_numbers(trades, ["trade_date", *(order or [])], "tm_step")
+    summed = with_running(rows, {"tm_cash": cash() if "pnl_cash" in trades.columns else F.lit(0.0)}, "tm_step")
+    equity = F.lit(float(balance)) + F.col("tm_cash")
+    if "balance_after" in trades.columns:
+        summed = with_last(summed, F.col("balance_after"), "tm_step", "tm_known")
+        known = trades.agg((F.count("balance_after") > 0).alias("tm_any"))  # one row
+        summed = summed.crossJoin(F.broadcast(known))
+        equity = F.when(F.col("tm_any"), F.col("tm_known")).otherwise(equity)
+    points = summed.select(F.col("tm_step").alias("step"), F.col("trade_date").alias("time"), equity.alias("equity"))
+    first = trades.agg(F.count("*").alias("n"), F.min("trade_date").alias("time")).where("n > 0")
+    return first.select(F.lit(0).cast("long").alias("step"), "time", F.lit(float(balance)).alias("equity")).unionByName(points)

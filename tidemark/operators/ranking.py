@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.ordering import by_blocks, row_numbers
 from tidemark.operators.performance import trading_metrics
 
 
@@ -30,9 +31,9 @@ class RankingConfig:
 
 
 def _ranked(df: DataFrame, group: str, score: str, order: str) -> DataFrame:
-    w = Window.partitionBy(group)
-    by = F.coalesce(F.col(score).try_cast("double"), F.lit(0.0))
-    return df.withColumns({"tm_score": by, "tm_n": F.count("*").over(w)}).withColumn("tm_rank", F.row_number().over(w.orderBy(F.desc("tm_score"), order)))
+    """Add tm_rank (place by falling score in the group, earlier row first), tm_n (size of the group) and tm_score."""
+    scored = df.withColumn("tm_score", F.coalesce(F.col(score).try_cast("double"), F.lit(0.0)))
+    return row_numbers(scored, [F.desc("tm_score"), order], "tm_rank", [group], "tm_n")
 
 
 def rank_percent(df: DataFrame, group: str = "fold", score: str = "score", order: str = "row_id") -> DataFrame:
@@ -55,20 +56,21 @@ def flag_selected(df: DataFrame, ratio: float, group: str = "fold", score: str =
 def keep_ratio_sweep(df: DataFrame, cfg: RankingConfig | None = None, group: str = "fold", score: str = "score", order: str = "row_id") -> DataFrame:
     """Metrics, retention and objective of every candidate ratio.
 
-    Every row is exploded to the few candidates that keep it, so one shuffle
-    by ratio serves all of them.
+    Rows are brought together by blocks of their order first and then exploded to
+    the few candidates that keep them, with one more (-1) that keeps all as the
+    baseline. Blocks of every candidate are summed apart, so no candidate is one task.
     """
     cfg = cfg or RankingConfig()
-    ranked = _ranked(df, group, score, order)
-    ratios = F.array(*[F.struct(F.lit(k).alias("ratio_no"), F.lit(r).alias("keep_ratio")) for k, r in enumerate(cfg.ratios())])
-    kept = F.filter(ratios, lambda x: F.col("tm_rank") <= F.greatest(F.lit(1), F.ceil(F.col("tm_n") * x["keep_ratio"])))
-    rows = ranked.select(order, group, "pnl_cash", "pnl_r", "tm_score", F.inline(kept))
-    place = F.row_number().over(Window.partitionBy("keep_ratio").orderBy(order))
-    metrics = trading_metrics(rows.withColumn("tm_place", place), "tm_place", ["keep_ratio"])
+    ranked = _ranked(df.select(order, group, "pnl_cash", "pnl_r", score), group, score, order)
+    ratios = F.array(*[F.lit(r) for r in (-1.0, *cfg.ratios())])
+    kept = F.filter(ratios, lambda x: F.col("tm_rank") <= F.greatest(F.lit(1), F.ceil(F.col("tm_n") * F.abs(x))))
+    rows = by_blocks(ranked.select(order, group, "pnl_cash", "pnl_r", "tm_score", kept.alias("tm_kept")), order)
+    rows = rows.select(order, group, "pnl_cash", "pnl_r", "tm_score", F.explode("tm_kept").alias("keep_ratio"))
+    metrics = trading_metrics(rows, order, ["keep_ratio"])
     cuts = rows.groupBy("keep_ratio", group).agg(F.min("tm_score").alias("c")).groupBy("keep_ratio").agg(F.median("c").alias("cutoff_score"))
-    base = trading_metrics(df, order)
-    base = base.select(F.col("pnl").alias("b_pnl"), F.col("max_drawdown_r").alias("b_dd"))
-    out = metrics.join(cuts, "keep_ratio").crossJoin(F.broadcast(base))  # one row of baseline
+    every = Window.partitionBy(F.lit(0))  # a row for each candidate
+    base = {n: F.max(F.when(F.col("keep_ratio") < 0, F.col(c))).over(every) for n, c in (("b_pnl", "pnl"), ("b_dd", "max_drawdown_r"))}
+    out = metrics.withColumns(base).where("keep_ratio > 0").join(cuts, "keep_ratio")
     factor = F.least(F.col("profit_factor"), F.lit(cfg.max_profit_factor))
     retention, fall = F.col("pnl") / F.col("b_pnl"), F.col("max_drawdown_r") / F.col("b_dd")
     out = out.withColumns({

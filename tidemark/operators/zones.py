@@ -35,11 +35,12 @@ def with_zone_inputs(df: DataFrame, cfg: ZoneConfig | None = None, atr: str | No
     return departures(df, cfg).withColumns(pivots)
 
 
-def zone_candidates(df: DataFrame, pip: float, cfg: ZoneConfig | None = None) -> DataFrame:
+def zone_candidates(df: DataFrame, pip: float | Column, cfg: ZoneConfig | None = None) -> DataFrame:
     """Buildable zones before spacing, one row for each: side, created and pivot bar, box, entry and stop.
 
     Everything refers to the bar where the base ends, so all values come from
-    fixed frames around it; the base is cut at the ends of the series.
+    fixed frames around it; the base is cut at the ends of the series. ``pip`` is
+    a size for all series or a column of the bars.
     """
     cfg = cfg or ZoneConfig()
     left, right, ahead = cfg.base_left, cfg.base_right, cfg.departure_ahead
@@ -52,6 +53,7 @@ def zone_candidates(df: DataFrame, pip: float, cfg: ZoneConfig | None = None) ->
     pivot_atr = lag("atr", right)
     base_bars = F.least(F.lit(left), F.col("bar") - right) + (right + 1)
     rows = df.withColumns({
+        "tm_pip": pip if isinstance(pip, Column) else F.lit(float(pip)),
         "tm_atr": pivot_atr,
         "tm_mean": F.sum("candle_range").over(base) / base_bars,
         "tm_start": F.greatest(F.col("bar") - (left + right), F.lit(0)),
@@ -78,12 +80,12 @@ def zone_candidates(df: DataFrame, pip: float, cfg: ZoneConfig | None = None) ->
             bottom = F.when(own, F.least(o, c)).otherwise(body_bottom)
         created = F.greatest(F.col("bar") + later, F.col(departure))
         hit = rows.where(quiet & F.col(pivot) & F.col(departure).isNotNull())
-        sides.append(hit.select(*KEYS, F.lit(side).alias("side"), created.alias("created"), (F.col("bar") - right).alias("pivot_bar"), F.col("tm_start").alias("base_start"), F.col("bar").alias("base_end"), F.col(departure).alias("departure"), F.col("tm_atr").alias("zone_atr"), top.alias("top"), bottom.alias("bottom")))
+        sides.append(hit.select(*KEYS, F.lit(side).alias("side"), created.alias("created"), (F.col("bar") - right).alias("pivot_bar"), F.col("tm_start").alias("base_start"), F.col("bar").alias("base_end"), F.col(departure).alias("departure"), F.col("tm_atr").alias("zone_atr"), top.alias("top"), bottom.alias("bottom"), F.col("tm_pip").alias("tm_pip")))
     both = sides[0].unionByName(sides[1])
     demand, width = F.col("side") == "demand", F.col("top") - F.col("bottom")
-    buffer = F.greatest(F.lit(cfg.stop_buffer_atr) * F.col("zone_atr"), F.lit(cfg.stop_buffer_pips * pip))
-    both = both.withColumns({"entry": F.when(demand, F.col("top")).otherwise(F.col("bottom")), "stop": F.when(demand, F.col("bottom") - buffer).otherwise(F.col("top") + buffer), "width_pips": width / pip})
-    both = both.withColumn("stop_pips", F.abs(F.col("entry") - F.col("stop")) / pip)
+    buffer = F.greatest(F.lit(cfg.stop_buffer_atr) * F.col("zone_atr"), F.lit(cfg.stop_buffer_pips) * F.col("tm_pip"))
+    both = both.withColumns({"entry": F.when(demand, F.col("top")).otherwise(F.col("bottom")), "stop": F.when(demand, F.col("bottom") - buffer).otherwise(F.col("top") + buffer), "width_pips": width / F.col("tm_pip")})
+    both = both.withColumn("stop_pips", F.abs(F.col("entry") - F.col("stop")) / F.col("tm_pip")).drop("tm_pip")
     fits = (width > 0) & (F.col("width_pips") <= cfg.max_width_pips) & (width >= F.col("zone_atr") * cfg.width_atr[0]) & (width <= F.col("zone_atr") * cfg.width_atr[1])
     return both.where(fits & (F.col("stop_pips") <= cfg.max_stop_pips))
 
@@ -91,12 +93,16 @@ def zone_candidates(df: DataFrame, pip: float, cfg: ZoneConfig | None = None) ->
 def accepted_zones(candidates: DataFrame, cfg: ZoneConfig | None = None) -> DataFrame:
     """Candidates that keep their distance from the zone accepted before them on the same side.
 
-    The greedy choice is a fold over the candidates of one series and side, a few
-    for every hundred bars; each becomes a ``zone_id`` in order of birth.
+    A candidate far enough from the one before it is always accepted, so the greedy
+    choice is a fold over each run of close candidates, a few at a time. Accepted
+    ones get a ``zone_id`` in order of birth.
     """
     cfg = cfg or ZoneConfig()
     fields = ["created", "pivot_bar", "base_start", "base_end", "departure", "zone_atr", *ZONE]
-    grouped = candidates.groupBy(*KEYS, "side").agg(F.array_sort(F.collect_list(F.struct("created", "pivot_bar", *[c for c in fields if c not in ("created", "pivot_bar")]))).alias("all"))
+    order = Window.partitionBy(*KEYS, "side").orderBy("created", "pivot_bar")
+    fresh = F.coalesce(F.col("created") - F.lag("created").over(order) >= cfg.spacing, F.lit(True))
+    runs = candidates.withColumn("tm_fresh", fresh.cast("int")).withColumn("tm_run", F.sum("tm_fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    grouped = runs.groupBy(*KEYS, "side", "tm_run").agg(F.array_sort(F.collect_list(F.struct("created", "pivot_bar", *[c for c in fields if c not in ("created", "pivot_bar")]))).alias("all"))
 
     def step(acc: Column, z: Column) -> Column:
         far = acc["last"].isNull() | (z["created"] - acc["last"] >= cfg.spacing)
@@ -105,7 +111,6 @@ def accepted_zones(candidates: DataFrame, cfg: ZoneConfig | None = None) -> Data
     start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("kept"))
     kept = grouped.select(*KEYS, "side", F.aggregate("all", start, step)["kept"].alias("kept"), "all")
     rows = kept.select(*KEYS, "side", F.inline(F.filter("all", lambda z: F.array_contains("kept", z["pivot_bar"]))))
-    order = Window.partitionBy(*KEYS, "side").orderBy("created", "pivot_bar")
     return rows.withColumn("zone_id", F.row_number().over(order))
 
 
@@ -158,7 +163,7 @@ def attach_zones(df: DataFrame, nearest: DataFrame, cfg: ZoneConfig | None = Non
     return out.withColumns(flags)
 
 
-def add_zones(df: DataFrame, pip: float, config: ZoneConfig | None = None, atr: str | None = None) -> DataFrame:
+def add_zones(df: DataFrame, pip: float | Column, config: ZoneConfig | None = None, atr: str | None = None) -> DataFrame:
     """Add the supply-and-demand layer."""
     cfg = config or ZoneConfig()
     df = with_zone_inputs(df, cfg, atr)

@@ -12,11 +12,15 @@ from tidemark.operators.performance import cash
 CORE = ("atr_valid", "supply_demand_valid", "market_structure_valid")
 #: Texts that stand for an outcome (fixed values).
 OUTCOMES = {"win": "Win", "winner": "Win", "w": "Win", "profit": "Win", "loss": "Loss", "loser": "Loss", "l": "Loss", "breakeven": "Breakeven", "break-even": "Breakeven", "be": "Breakeven"}
+#: Columns of a stored trade table that are times, numbers and flags (fixed names).
+TIMES = ("trade_date", "exit_time", "signal_time", "last_partial_time")
+NUMBERS = ("pnl_cash", "pnl_r", "entry", "exit", "initial_stop", "final_stop", "target", "risk_price", "risk_pips", "target_pips", "size", "balance_after", "confluence_count", "commission")
+MORE_FLAGS = ("label_hit_target", "label_runner", "runner_qualified", "runner_active")
 
 
 def coerced_bool(name: str) -> Column:
     """Text, number or boolean as a boolean; anything unknown is false."""
-    return F.coalesce(F.lower(F.trim(F.col(name).cast("string"))).isin("true", "1", "1.0", "yes", "y"), F.lit(False))
+    return F.coalesce(F.lower(F.trim(F.col(name).cast("string"))).isin("true", "1", "yes"), F.lit(False))
 
 
 def conditions(df: DataFrame, optional: bool = True) -> list[str]:
@@ -31,11 +35,11 @@ def readable(name: str) -> str:
     return text.replace("_", " ")
 
 
-def normalise(df: DataFrame, times: tuple[str, ...] = ("trade_date", "exit_time"), numbers: tuple[str, ...] = ("pnl_cash", "pnl_r")) -> DataFrame:
-    """Coerce times, numbers and condition flags, and add ``outcome_group``."""
+def normalise(df: DataFrame, times: tuple[str, ...] = TIMES, numbers: tuple[str, ...] = NUMBERS, flags: tuple[str, ...] = MORE_FLAGS) -> DataFrame:
+    """Coerce times, numbers, condition flags and a few more, and add ``outcome_group``. What can't be read is NULL, a flag false."""
     new = {c: F.col(c).try_cast("timestamp_ntz") for c in times if c in df.columns and dict(df.dtypes)[c] == "string"}
     new |= {c: F.col(c).try_cast("double") for c in numbers if c in df.columns}
-    new |= {c: coerced_bool(c) for c in conditions(df, optional=False)}
+    new |= {c: coerced_bool(c) for c in (*conditions(df, optional=False), *flags) if c in df.columns}
     return outcome_groups(df.withColumns(new))
 
 

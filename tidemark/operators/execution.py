@@ -9,6 +9,7 @@ the entry. One position is open at a time.
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.series import KEYS, first_existing, is_true
 from tidemark.plans.config import ExecutionConfig
+from tidemark.sources.specs import SPEC, pip_of
 
 
 def with_costs(df: DataFrame, cfg: ExecutionConfig) -> DataFrame:
@@ -41,7 +43,8 @@ def with_costs(df: DataFrame, cfg: ExecutionConfig) -> DataFrame:
     both = F.col("session_factor") * F.col("volatility_factor")
     low, top = (F.lit(cfg.slippage_pips * b) for b in cfg.slippage_bounds)
     df = df.withColumns({"spread_pips": F.greatest(F.lit(cfg.spread_pips) * both, F.lit(0.0)), "slippage_pips": F.greatest(low, F.least(F.lit(cfg.slippage_pips) * both, top))})
-    return df.withColumn("fill_cost", F.col("spread_pips") * cfg.pip / 2.0 + F.col("slippage_pips") * cfg.pip)
+    pip = pip_of(df, cfg.pip)
+    return df.withColumn("fill_cost", F.col("spread_pips") * pip / 2.0 + F.col("slippage_pips") * pip)
 
 
 def lots_for(balance: float, risk: float, distance: float, cfg: ExecutionConfig) -> float:
@@ -137,8 +140,16 @@ TRADES = (
 )
 
 
+def own_config(rows: pd.DataFrame, cfg: ExecutionConfig) -> ExecutionConfig:
+    """Settings with the spec that the bars of one series carry in place of those of the settings."""
+    first = rows.iloc[0]
+    known = {c: float(first[c]) for c in SPEC if c in rows.columns and pd.notna(first[c])}
+    return replace(cfg, **{"pip" if c == "pip_size" else c: v for c, v in known.items()})
+
+
 def simulate(rows: pd.DataFrame, cfg: ExecutionConfig) -> pd.DataFrame:
     """Trades of one series in order."""
+    cfg = own_config(rows, cfg)
     rows = rows.sort_values("bar").reset_index(drop=True)
     sides = {"long": Bars(rows, 1), "short": Bars(rows, -1)}
     signal = {s: rows[f"{s}_signal"].fillna(False).to_numpy(bool) for s in sides}
@@ -195,7 +206,7 @@ def run_trades(features: DataFrame, cfg: ExecutionConfig | None = None) -> DataF
     rows = costed.select(
         *KEYS, "bar", "high", "low", "close", "fill_cost", (none if atr is None else atr).alias("atr"), "long_signal", "short_signal",
         F.col("demand_zone_entry").alias("long_entry"), F.col("demand_zone_stop").alias("long_stop"), F.col("supply_zone_entry").alias("short_entry"), F.col("supply_zone_stop").alias("short_stop"),
-        plan["long"].alias("long_runner"), plan["short"].alias("short_runner"),
+        plan["long"].alias("long_runner"), plan["short"].alias("short_runner"), *[c for c in SPEC if c in features.columns],
     )
     return rows.groupBy(*KEYS).applyInPandas(lambda g: simulate(g, cfg), TRADES)
 
@@ -207,15 +218,18 @@ SNAPSHOT = ("session_name", "trend_state", "atr_feature", "Session_Liquidity_Val
 def trade_report(trades: DataFrame, features: DataFrame, cfg: ExecutionConfig) -> DataFrame:
     """Trades joined to their entry and exit bars: times, adaptive costs, direction-dependent flags and labels."""
     costed = with_costs(features, cfg)
-    have = [c for c in SNAPSHOT if c in features.columns]
-    entry = costed.select(*KEYS, F.col("bar").alias("entry_bar"), F.col("time").alias("trade_date"), F.col("spread_pips").alias("entry_spread_pips"), F.col("slippage_pips").alias("entry_slippage_pips"), *have, *[c for c in costed.columns if c.endswith(("_long_valid", "_short_valid"))])
+    have = [c for c in (*SNAPSHOT, *[f"sr_{s}_{c}" for s in ("long", "short") for c in ("reference_level", "target_rr")]) if c in features.columns]
+    entry = costed.select(*KEYS, F.col("bar").alias("entry_bar"), F.col("time").alias("trade_date"), F.col("spread_pips").alias("entry_spread_pips"), F.col("slippage_pips").alias("entry_slippage_pips"), pip_of(costed, cfg.pip).alias("tm_pip"), *have, *[c for c in costed.columns if c.endswith(("_long_valid", "_short_valid"))])
     exit_ = costed.select(*KEYS, F.col("bar").alias("exit_bar"), F.col("time").alias("exit_time"), F.col("spread_pips").alias("exit_spread_pips"), F.col("slippage_pips").alias("exit_slippage_pips"), F.col("session_factor").alias("exit_session_factor"), F.col("volatility_factor").alias("exit_volatility_factor"))
     out = trades.join(entry, [*KEYS, "entry_bar"], "left").join(exit_, [*KEYS, "exit_bar"], "left")
+    for c in ("reference_level", "target_rr"):
+        if f"sr_long_{c}" in out.columns and f"sr_short_{c}" in out.columns:
+            out = out.withColumn(f"sr_{c}", F.when(F.col("runner_qualified"), F.when(F.col("side") == "long", F.col(f"sr_long_{c}")).otherwise(F.col(f"sr_short_{c}")))).drop(f"sr_long_{c}", f"sr_short_{c}")
     names = sorted({c.removesuffix("_long_valid") for c in out.columns if c.endswith("_long_valid")})
     own = {f"{n}_valid": F.when(F.col("side") == "long", F.col(f"{n}_long_valid")).otherwise(F.col(f"{n}_short_valid")) for n in names if f"{n}_short_valid" in out.columns}
     count = sum((is_true(c).cast("int") for c in own.values()), F.lit(0))
-    out = out.withColumns(own | {"confluence_count": count, "duration_bars": F.col("exit_bar") - F.col("entry_bar"), "risk_pips": F.col("risk_price") / cfg.pip, "label_positive": (F.col("pnl_cash") > 0).cast("int"), "label_hit_target": F.col("partial_bar").isNotNull().cast("int"), "label_runner": F.col("runner_active").cast("int")})
-    return out.drop(*[c for c in out.columns if c.endswith(("_long_valid", "_short_valid"))])
+    out = out.withColumns(own | {"confluence_count": count, "duration_bars": F.col("exit_bar") - F.col("entry_bar"), "risk_pips": F.col("risk_price") / F.col("tm_pip"), "label_positive": (F.col("pnl_cash") > 0).cast("int"), "label_hit_target": F.col("partial_bar").isNotNull().cast("int"), "label_runner": F.col("runner_active").cast("int")})
+    return out.drop("tm_pip", *[c for c in out.columns if c.endswith(("_long_valid", "_short_valid"))])
 
 
 def equity_curve(trades: DataFrame, bars: DataFrame, balance: float) -> DataFrame:

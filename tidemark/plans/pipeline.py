@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from tidemark.functions.series import add_atr, require
+from tidemark.functions.tables import materialise
 from tidemark.operators.gaps import add_gaps
 from tidemark.operators.levels import add_levels
 from tidemark.operators.pools import add_pools
@@ -15,6 +16,7 @@ from tidemark.operators.sessions import add_profile, add_sessions
 from tidemark.operators.structure import add_structure
 from tidemark.operators.zones import add_zones
 from tidemark.plans.config import FeatureConfig
+from tidemark.sources.specs import pip_of
 
 #: Columns that stand in for a layer that is switched off: flags are false, numbers null (fixed names).
 DEFAULTS = {
@@ -47,21 +49,15 @@ def check_layer(df: DataFrame, layer: str) -> DataFrame:
     return df
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Compute a table that several later steps read only once.
+def build_features(bars: DataFrame, config: FeatureConfig | None = None) -> DataFrame:
+    """All feature layers over bars. ATR, structure and zones are always on.
 
-    Where the session names a shared checkpoint folder the plan is cut there;
-    elsewhere the table is persisted, and lost parts are computed again.
+    Bars may carry their symbol's pip size (``specs.attach_specs``); the settings' stands in for others.
     """
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()
-
-
-def build_features(bars: DataFrame, config: FeatureConfig | None = None) -> DataFrame:
-    """All feature layers over bars. ATR, structure and zones are always on."""
     cfg = config or FeatureConfig()
     df = add_atr(bars, cfg.atr_period, cfg.atr_method)
     df = add_structure(df, cfg.structure, "atr_feature")
-    df = add_zones(df, cfg.pip, cfg.zones, "atr_feature")
+    df = add_zones(df, pip_of(df, cfg.pip), cfg.zones, "atr_feature")
     df = materialise(df)
     layers = {"sessions": add_sessions, "profile": add_profile, "gaps": add_gaps, "retracement": add_retracement, "pools": add_pools, "levels": add_levels}
     for name, add in layers.items():

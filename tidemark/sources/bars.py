@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.series import require, with_bar
+from tidemark.sources.stores import optional_table
 
 #: Bar lengths by name (fixed values).
 TIMEFRAMES = {"M5": "5 minutes", "M10": "10 minutes", "M15": "15 minutes", "M30": "30 minutes", "H1": "1 hour"}
+BAR_SCHEMA = "symbol string, timeframe string, time timestamp_ntz, open double, high double, low double, close double, tick_volume double"
 CANONICAL = ("time", "open", "high", "low", "close", "tick_volume")
 
 
@@ -17,11 +19,11 @@ def standardise(df: DataFrame) -> DataFrame:
     require(df, *CANONICAL)
     kind = dict(df.dtypes)["time"]
     if kind in ("int", "bigint", "double", "float"):
-        time = F.timestamp_seconds(F.col("time"))
+        time = F.timestamp_seconds(F.col("time")).cast("timestamp_ntz")
     elif kind == "string":
-        time = F.try_to_timestamp("time")
+        time = F.try_to_timestamp("time").cast("timestamp_ntz")
     else:
-        time = F.col("time")
+        time = F.col("time").cast("timestamp_ntz")
     keys = [c for c in ("symbol", "timeframe") if c in df.columns]
     one = df.select(*keys, time.alias("time"), *[F.col(c).try_cast("double").alias(c) for c in CANONICAL[1:]]).where("time is not null")
     first = Window.partitionBy(*keys, "time").orderBy("open", "high", "low", "close", "tick_volume")
@@ -61,7 +63,7 @@ def read_bars(spark: SparkSession, path: str, fmt: str = "parquet", symbols: lis
     """Scan stored bars; symbol, timeframe and time predicates reach the files. Raises ValueError if there are none."""
     reader = spark.read
     if fmt == "csv":
-        reader = reader.option("header", True).schema("symbol string, timeframe string, time timestamp_ntz, open double, high double, low double, close double, tick_volume double")
+        reader = reader.option("header", True).schema(BAR_SCHEMA)
     df = reader.format(fmt).load(path)
     if symbols:
         df = df.where(F.col("symbol").isin(symbols))
@@ -83,6 +85,45 @@ def coverage(df: DataFrame) -> DataFrame:
     return df.groupBy("symbol", "timeframe").agg(F.min("time").alias("first_time"), F.max("time").alias("last_time"), F.count("*").alias("bars"))
 
 
+def covers(df: DataFrame, start, end) -> DataFrame:
+    """Whether the stored bars of each series lie within a requested range, as a cache must: series, first_time, last_time, usable."""
+    return coverage(df).select("symbol", "timeframe", "first_time", "last_time", ((F.col("first_time") >= F.lit(start)) & (F.col("last_time") <= F.lit(end))).alias("usable"))
+
+
+def clamped_dates(bounds: DataFrame, start: str, end: str) -> DataFrame:
+    """Requested days moved into the range of each series, a day long at least where the series is.
+
+    ``bounds`` is what ``coverage`` returns.
+    """
+    low, high = F.to_date("first_time"), F.to_date("last_time")
+    a, b = (F.greatest(low, F.least(F.lit(x).cast("date"), high)) for x in (start, end))
+    days = bounds.select("symbol", "timeframe", low.alias("low"), high.alias("high"), a.alias("a"), b.alias("b"))
+    empty, at_start = F.col("a") >= F.col("b"), F.col("b") <= F.col("low")
+    first = F.when(~empty, F.col("a")).when(at_start, F.col("low")).otherwise(F.greatest("low", F.date_sub("b", 1)))
+    last = F.when(empty & at_start, F.least("high", F.date_add("low", 1))).otherwise(F.col("b"))
+    return days.select("symbol", "timeframe", first.alias("start"), last.alias("end"))
+
+
+def fetch_bars(spark: SparkSession, path: str, symbol: str, timeframe: str, start, end, remote=None, fallback=None, overwrite: bool = False) -> DataFrame:
+    """Bars of one series and range: the store, else the remote source in chunks, else the last bars of the fallback.
+
+    ``remote`` and ``fallback`` are functions of the session that return bars (see
+    ``remote.chunked_bars`` and ``latest``). What they bring is standardised,
+    clipped to the closed range and stored below ``path`` for the next call. A
+    store is used if its bars lie within the range. Raises ValueError without bars.
+    """
+    own = f"{path.rstrip('/')}/{symbol}_{timeframe}_{str(start)[:10]}_{str(end)[:10]}"
+    if not overwrite and not (known := optional_table(spark, own, BAR_SCHEMA)).isEmpty():
+        if covers(known, start, end).where("not usable").isEmpty():
+            return with_bar(known)
+    for source in filter(None, (remote, fallback)):
+        found = clip(standardise(source(spark)), start, end)
+        if not found.isEmpty():
+            found.coalesce(1).write.mode("overwrite").parquet(own)  # one series and range
+            return with_bar(spark.read.schema(BAR_SCHEMA).parquet(own))
+    raise ValueError(f"no bars of {symbol} {timeframe} between {start} and {end}")
+
+
 def latest(df: DataFrame, n: int = 200_000) -> DataFrame:
     """The last ``n`` bars of each series."""
     w = Window.partitionBy("symbol", "timeframe").orderBy(F.desc("time"))

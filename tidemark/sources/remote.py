@@ -3,19 +3,23 @@
     spark.dataSource.register(ChunkedBars)
     spark.read.format("chunked_bars").options(fetcher="package.module:function", symbol="EURUSD", timeframe="M30", start="2024-01-01", end="2024-12-31").load()
 
-The function takes (symbol, timeframe, start, end) and returns rows of the
-canonical columns; it is imported on the executors. Every chunk is one
+The function takes (symbol, timeframe, start, end), and options that start with
+``arg_`` by name, and returns rows of the canonical columns; it is imported on
+the executors. Every chunk is one
 partition, and a lost one is fetched again. Chunks share their bounds, so the
 result goes through ``standardise``, which keeps one row of equal times.
 """
 
 from __future__ import annotations
 
+import time
 from datetime import datetime, timedelta
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 CHUNK_DAYS = 180
+TRIES, WAIT = 3, 1.0
 
 
 def chunks(start: datetime, end: datetime, days: int = CHUNK_DAYS) -> list[tuple[datetime, datetime]]:
@@ -30,6 +34,17 @@ def chunks(start: datetime, end: datetime, days: int = CHUNK_DAYS) -> list[tuple
     return out
 
 
+def with_retries(call, tries: int = TRIES, wait: float = WAIT):
+    """Call until it succeeds, at most ``tries`` times, waiting a little longer after each failure; the last failure is raised."""
+    for k in range(1, tries + 1):
+        try:
+            return call()
+        except Exception:
+            if k == tries:
+                raise
+            time.sleep(wait * k)
+
+
 class _Range(InputPartition):
     def __init__(self, start: datetime, end: datetime):
         self.start, self.end = start, end
@@ -49,7 +64,9 @@ class _Reader(DataSourceReader):
         module, _, name = self.options["fetcher"].partition(":")
         fetch = getattr(importlib.import_module(module), name)
         symbol, timeframe = self.options["symbol"], self.options["timeframe"]
-        for row in fetch(symbol, timeframe, partition.start, partition.end):
+        tries, wait = int(self.options.get("tries", TRIES)), float(self.options.get("wait", WAIT))
+        more = {k.removeprefix("arg_"): v for k, v in self.options.items() if k.startswith("arg_")}
+        for row in with_retries(lambda: list(fetch(symbol, timeframe, partition.start, partition.end, **more)), tries, wait):
             yield (symbol, timeframe, *row)
 
 
@@ -65,3 +82,21 @@ class ChunkedBars(DataSource):
 
     def reader(self, schema):
         return _Reader(dict(self.options))
+
+
+def chunked_bars(spark: SparkSession, fetcher: str, symbol: str, timeframe: str, start, end, **options) -> DataFrame:
+    """Bars of one series behind a function (``package.module:function``), a partition for each chunk of the range."""
+    spark.dataSource.register(ChunkedBars)
+    given = {"fetcher": fetcher, "symbol": symbol, "timeframe": timeframe, "start": str(start), "end": str(end)} | {k: str(v) for k, v in options.items()}
+    return spark.read.format("chunked_bars").options(**given).load()
+
+
+def stored_bars(symbol: str, timeframe: str, start: datetime, end: datetime, path: str):
+    """A fetcher over Parquet bars in a file system: rows of the closed range."""
+    import pyarrow.compute as pc
+    import pyarrow.dataset as ds
+
+    columns = ["time", "open", "high", "low", "close", "tick_volume"]
+    test = (pc.field("symbol") == symbol) & (pc.field("timeframe") == timeframe) & (pc.field("time") >= start) & (pc.field("time") <= end)
+    for row in ds.dataset(path, format="parquet").to_table(columns, filter=test).to_pylist():
+        yield tuple(row[c] for c in columns)

@@ -7,6 +7,9 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.analytics import normalise
+from tidemark.sources.stores import optional_table
+
 #: Name of a run folder: symbol, timeframe, first and last day, time of the run (fixed pattern).
 RUN = r"^([A-Za-z0-9.]+)_([A-Z]+[0-9]+)_([0-9]{8})_([0-9]{8})_([0-9]{8}T?[0-9]{6})Z?$"
 
@@ -56,8 +59,45 @@ def dataset_summary(df: DataFrame) -> DataFrame:
     return df.groupBy("dataset").agg(F.count("*").alias("rows"), F.first("symbol", ignorenulls=True).alias("symbol"), F.first("timeframe", ignorenulls=True).alias("timeframe"), F.min("trade_date").alias("first_date"), F.max("trade_date").alias("last_date"))
 
 
-def delete_run(spark: SparkSession, path: str) -> bool:
-    """Delete a run folder; false where it does not exist."""
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
+def delete_path(spark: SparkSession, path: str) -> bool:
+    """Delete a file or folder; false where there is none."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def delete_run(spark: SparkSession, root: str, name: str, datasets: str | None = None) -> dict[str, bool]:
+    """Delete the run ``name`` below ``root``, and its data set if no other run there has the same symbol and timeframe.
+
+    Data sets are ``<datasets>/<symbol>_<timeframe>``. Returns what was deleted.
+    """
+    known = parse_runs(list_runs(spark, root))
+    own = parse_runs(spark.createDataFrame([(name,)], "name string")).where("stamp is not null").select("symbol", "timeframe")
+    others = known.where((F.col("name") != name) & F.col("stamp").isNotNull()).select("symbol", "timeframe")
+    free = own.join(others, ["symbol", "timeframe"], "left_anti").first() if datasets else None  # one row at most
+    done = {"run": delete_path(spark, f"{root}/{name}"), "dataset": False}
+    if free is not None:
+        done["dataset"] = delete_path(spark, f"{datasets}/{free['symbol']}_{free['timeframe']}")
+    return done
+
+
+#: Tables of a stored simulation and of a stored training, with their formats (fixed names).
+SIMULATION = {"account_info": "json", "trade_stats": "json", "trades": "csv"}
+TRAINING = {"training_summary": "json", "walk_forward_fold_summary": "csv", "feature_importance": "csv", "validation_keep_ratio_sweep": "csv", "validation_predictions": "csv", "test_predictions": "csv", "validation_confluence_lift": "csv", "test_confluence_lift": "csv", "model_metadata": "json"}
+
+
+def load_bundle(spark: SparkSession, folder: str, tables: dict[str, str]) -> dict[str, DataFrame]:
+    """All tables of a stored run by name; a missing one is empty. Trades are normalised."""
+    found = {name: optional_table(spark, f"{folder}/{name}", None, fmt) for name, fmt in tables.items()}
+    if "trades" in found and found["trades"].columns:
+        found["trades"] = normalise(found["trades"])
+    return found
+
+
+#: What is known of a stored model without loading it (fixed names).
+METADATA = ("target", "keep_ratio", "selection_method", "walk_forward_folds", "feature_columns", "config")
+
+
+def model_metadata(spark: SparkSession, folder: str) -> dict:
+    """Metadata of the model stored with a training run; empty where there is none."""
+    row = optional_table(spark, f"{folder}/model_metadata", None, "json").first()  # one row
+    return {} if row is None else {k: v for k, v in row.asDict(recursive=True).items() if k in METADATA}

@@ -6,17 +6,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Parts of names whose values have two decimals; all others have four (fixed values).
-TWO_DECIMALS = ("_pct", "percent", "balance", "pnl", "profit", "loss", "drawdown", "win_rate", "avg_win")
+#: Names and parts of names whose values have two decimals; all others have four (fixed values).
+PERCENT_NAMES = ("win_rate", "baseline_freq", "accepted_freq", "long_signal_hit_rate", "short_signal_hit_rate", "overall_signal_hit_rate")
+TWO_DECIMALS = ("balance", "pnl", "profit", "loss", "drawdown", "roi_pct", "avg_pnl", "largest_", "commission", "price", "pips", "bars")
+
+
+def places(name: str) -> int:
+    """Decimals of a figure of that name."""
+    low = name.lower()
+    return 2 if low.endswith("_pct") or low in PERCENT_NAMES or any(part in low for part in TWO_DECIMALS) else 4
 
 
 def display_value(name: str, kind: str) -> Column:
-    """A figure rounded by the kind of its name; infinite and undefined values become NULL; whole numbers stay."""
+    """A figure rounded by its name; infinite and undefined values become NULL; whole numbers, flags and texts stay."""
     x = F.col(name)
     if kind not in ("double", "float"):
         return x
-    places = 2 if any(part in name.lower() for part in TWO_DECIMALS) else 4
-    return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), F.bround(x, places))
+    return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), F.bround(x, places(name)))
 
 
 def display(df: DataFrame) -> DataFrame:
@@ -61,3 +67,18 @@ def save_dataset(df: DataFrame, path: str, label: str = "label_positive") -> Non
     if not row["n"] or not row["labels"]:
         raise ValueError(f"{row['n']} rows with {row['labels']} labels can't be stored for training")
     df.write.mode("overwrite").parquet(path)
+
+
+#: Columns of the raw log of trades with what they are taken from (fixed names).
+LOG = {
+    "direction": "side", "entry_time": "trade_date", "exit_time": "exit_time", "open_bar": "entry_bar", "close_bar": "exit_bar", "entry": "entry", "stop": "final_stop", "initial_stop": "initial_stop", "target": "target", "exit_price": "exit", "size": "size", "remaining_size": None, "risk": "risk_price", "breakeven_moved": "be_moved",
+    "is_breakeven_exit": None, "partial_taken": None, "partial_price": "partial_price", "partial_bar": "partial_bar", "runner_qualified": "runner_qualified", "runner_active": "runner_active", "runner_reference_level": "sr_reference_level", "runner_target_price": "runner_target", "runner_target_rr": "sr_target_rr", "runner_stop_price": "runner_stop",
+    "runner_exit_reason": "runner_exit_reason", "final_exit_type": "exit_type", "result_r": "pnl_r", "pnl": "pnl_cash", "commission_paid": "commission", "balance_after": "balance_after", "entry_slippage_pips": "entry_slippage_pips", "entry_spread_pips": "entry_spread_pips",
+}
+
+
+def trade_log(report: DataFrame) -> DataFrame:
+    """The raw log of a trade report: 32 columns after the series; nothing remains of a finished trade's size."""
+    own = {"remaining_size": F.lit(0.0), "is_breakeven_exit": F.col("outcome") == "Breakeven", "partial_taken": F.col("partial_bar").isNotNull()}
+    cells = [own[n] if n in own else F.col(c) if c in report.columns else F.lit(None).cast("double") for n, c in LOG.items()]
+    return report.select("symbol", "timeframe", *[c.alias(n) for n, c in zip(LOG, cells, strict=True)])

@@ -48,14 +48,18 @@ def normalise_symbol(name: Column) -> Column:
 
 
 def resolve_symbols(wanted: DataFrame, listed: DataFrame) -> DataFrame:
-    """Broker name for each wanted symbol: exact, unique substring, unique prefix, closest prefix, closest substring.
+    """Broker name for each wanted symbol: the exact one, else of those that hold it the closest that starts with it, else the closest.
 
-    ``listed`` is a catalogue of names, joined on a shared start of three letters
-    or on containment; closeness is edit distance.
+    ``listed`` is a catalogue of names; closeness is edit distance, then the name.
+    Names are cut to every part that is as long as some wanted symbol, so the
+    search for holders is an equi-join.
     """
-    w = wanted.select(F.upper(F.trim("symbol")).alias("symbol")).distinct()
-    cat = listed.select(F.col("name"), F.upper("name").alias("up"))
-    near = w.join(F.broadcast(cat), F.col("up").contains(F.col("symbol")))  # the catalogue of one broker, some thousand names
+    w = wanted.select(F.upper(F.trim("symbol")).alias("symbol")).where("symbol <> ''").distinct()
+    sizes = w.agg(F.collect_set(F.length("symbol")).alias("sizes"))  # some small numbers
+    cat = listed.select(F.col("name"), F.upper("name").alias("up")).crossJoin(F.broadcast(sizes))
+    part = F.flatten(F.transform("sizes", lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("up") - n + 1)), lambda k: F.substr(F.col("up"), k, n))))
+    cat = cat.select("name", "up", F.explode(F.array_distinct(part)).alias("symbol"))
+    near = w.join(cat, "symbol")
     rank = F.struct((F.col("up") != F.col("symbol")).alias("a"), (~F.col("up").startswith(F.col("symbol"))).alias("b"), F.levenshtein("up", "symbol").alias("c"), F.col("name").alias("d"))
     best = near.groupBy("symbol").agg(F.min_by("name", rank).alias("broker_symbol"), F.count("*").alias("candidates"))
     return w.join(best, "symbol", "left")
@@ -68,3 +72,21 @@ def tradable(names: DataFrame, preferred: list[str] | None = None) -> DataFrame:
     out = names.where(fx).select(normalise_symbol(F.col("name")).alias("symbol")).distinct()
     first = F.when(F.col("symbol").isin(preferred or []), 0).otherwise(1)
     return out.orderBy(first, "symbol")
+
+
+#: Columns of a spec that features and execution read from a bar.
+SPEC = ("pip_size", "tick_size", "tick_value", "contract_size", "volume_min", "volume_max", "volume_step")
+
+
+def attach_specs(bars: DataFrame, specs: DataFrame, few: int = 100_000) -> DataFrame:
+    """Add each symbol's spec to its bars; bars without one have nulls, which settings stand in for.
+
+    ``specs`` has a row for each symbol. It is broadcast if it has at most ``few`` rows.
+    """
+    have = specs.select("symbol", *[c for c in SPEC if c in specs.columns]).dropDuplicates(["symbol"])
+    return bars.join(F.broadcast(have) if have.limit(few + 1).count() <= few else have, "symbol", "left")
+
+
+def pip_of(df: DataFrame, default: float) -> Column:
+    """Pip size of each row: the symbol's own where the table has it, else the default."""
+    return F.coalesce(F.col("pip_size"), F.lit(float(default))) if "pip_size" in df.columns else F.lit(float(default))

@@ -165,6 +165,8 @@ def test_sources_and_sinks(spark, tmp_path, trades):
     assert found == {"EURUSD": "EURUSD", "GOLD": "GOLD.spot", "NOPE": None}
     shown = sinks.display(spark.createDataFrame([(1.005, 12.345678, float("inf"))], "roi_pct double, other double, x double")).first()
     assert shown["other"] == 12.3457 and shown["x"] is None
+    names = {"roi_pct": 2, "win_rate": 2, "profit_factor": 2, "avg_bars_in_trade": 2, "sharpe": 4, "expectancy_r": 4, "avg_win": 4}
+    assert {n: sinks.places(n) for n in names} == names
     with pytest.raises(ValueError):
         sinks.save_dataset(trades.withColumn("label_positive", F.lit(None).cast("int")), str(tmp_path / "set"))
 

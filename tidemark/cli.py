@@ -1,4 +1,4 @@
-"""Command line: ``python -m tidemark.cli simulate|train ...``"""
+"""Command line: ``python -m tidemark.cli simulate|train|analyse ...``"""
 
 from __future__ import annotations
 
@@ -22,19 +22,24 @@ def main(args: list[str] | None = None) -> None:
     train.add_argument("out")
     train.add_argument("--target", default="label_positive")
     train.add_argument("--trees", type=int, default=400)
+    analyse = sub.add_parser("analyse", help="classification metrics of stored trainings")
+    analyse.add_argument("runs")
+    analyse.add_argument("out")
     got = parser.parse_args(args)
 
     from pyspark.sql import SparkSession
 
     from tidemark.operators.model import TrainConfig
     from tidemark.plans.config import ExecutionConfig, FeatureConfig
-    from tidemark.plans.workflows import run_simulation, run_training
+    from tidemark.plans.workflows import run_analysis, run_simulation, run_training
     from tidemark.sources.bars import read_bars
 
     spark = SparkSession.builder.appName("tidemark").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if got.command == "simulate":
         bars = read_bars(spark, got.bars, symbols=got.symbols, timeframes=got.timeframes, start=got.start, end=got.end)
         run_simulation(bars, got.out, FeatureConfig(pip=got.pip), ExecutionConfig(pip=got.pip, runner=got.runner))
+    elif got.command == "analyse":
+        run_analysis(spark, got.runs, got.out)
     else:
         run_training(spark, got.data, got.out, TrainConfig(target=got.target, trees=got.trees))
 

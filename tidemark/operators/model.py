@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.dataset import LABELS, LEAKAGE, FoldConfig, quality_features, sample_weight, walk_forward
+from tidemark.functions.ordering import row_numbers
+from tidemark.functions.tables import join_on, materialise
+from tidemark.operators.analytics import conditions
+from tidemark.operators.dataset import KEYS, LABELS, LEAKAGE, FoldConfig, quality_features, sample_weight, walk_forward
 from tidemark.operators.performance import trading_metrics
-from tidemark.operators.ranking import RankingConfig, best_ratio, flag_selected, keep_ratio_sweep, rank_percent
+from tidemark.operators.ranking import RankingConfig, best_ratio, condition_lift, flag_selected, keep_ratio_sweep, rank_percent
 
 #: Raw price levels, which carry no information across time (fixed names).
 RAW_LEVELS = frozenset(["entry", "initial_stop", "target", "demand_zone_entry", "demand_zone_stop", "supply_zone_entry", "supply_zone_stop", "sr_nearest_resistance", "sr_nearest_support", "vp_reference_poc", "liquidity_pool_high", "liquidity_pool_low"])
@@ -73,7 +77,9 @@ def fit_scorer(train: DataFrame, valid: DataFrame | None, cfg: TrainConfig):
         rows = rows.unionByName(valid.withColumn("tm_valid", F.lit(True)))
         gbt = gbt.setValidationIndicatorCol("tm_valid")
     ready = encode.transform(prepared(rows.withColumn("weight", sample_weight()), numeric)).withColumn(cfg.target, F.col(cfg.target).cast("double"))
+    ready = ready.select("features", "weight", "tm_valid", cfg.target).persist()  # every tree reads it
     model = gbt.fit(ready)
+    ready.unpersist()
 
     def score(df: DataFrame) -> DataFrame:
         out = model.transform(encode.transform(prepared(df, numeric)))
@@ -82,35 +88,100 @@ def fit_scorer(train: DataFrame, valid: DataFrame | None, cfg: TrainConfig):
     return score, model, encode
 
 
+def feature_names(encoded: DataFrame) -> list[str]:
+    """Names of the assembled features in their order."""
+    groups = encoded.schema["features"].metadata.get("ml_attr", {}).get("attrs", {})
+    return [a["name"] for a in sorted((a for group in groups.values() for a in group), key=lambda a: a["idx"])]
+
+
 def importance(encoded: DataFrame, model) -> DataFrame:
     """Non-zero importances by feature name, largest first. ``encoded`` is a table with the assembled features."""
-    groups = encoded.schema["features"].metadata.get("ml_attr", {}).get("attrs", {})
-    names = {a["idx"]: a["name"] for group in groups.values() for a in group}
+    names = dict(enumerate(feature_names(encoded)))
     values = model.featureImportances
     rows = [(names.get(int(i), f"feature_{int(i)}"), float(v)) for i, v in zip(values.indices, values.values, strict=True) if v > 0]
     return encoded.sparkSession.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
-def train_filter(data: DataFrame, cfg: TrainConfig | None = None) -> dict[str, DataFrame]:
-    """Walk-forward training: validation and test predictions, the ratio sweep and choice, and metrics."""
+@dataclass
+class Training:
+    """Result of a walk-forward training: tables by name, the model refitted on all rows, and what is known of it."""
+
+    tables: dict[str, DataFrame]
+    model: PipelineModel
+    metadata: dict
+    summary: dict
+
+
+def _metrics_of(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Baseline and filtered metrics for each key, side by side as ``baseline_*`` and ``filtered_*``."""
+    both = {}
+    for kind, part in (("baseline", df), ("filtered", df.where("selected > 0"))):
+        rows = trading_metrics(part, keys=keys)
+        both[kind] = rows.withColumnsRenamed({c: f"{kind}_{c}" for c in rows.columns if c not in keys})
+    return join_on(both["baseline"], both["filtered"], keys, "left")
+
+
+def prediction_metrics(predictions: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """What a stored selection does to the results: baseline and filtered metrics, rows kept, folds, for each key.
+
+    Rows without a ``row_id`` are numbered by date and the other keys of a trade.
+    """
+    keys = keys or []
+    if "row_id" not in predictions.columns:
+        predictions = row_numbers(predictions, [c for c in ("trade_date", *KEYS) if c in predictions.columns])
+    kept = predictions.groupBy(*keys).agg(F.count("*").alias("rows"), F.count_if(F.col("selected") > 0).alias("kept"), F.count_distinct("fold").alias("folds"))
+    return join_on(kept, _metrics_of(predictions, keys), keys, "left")
+
+
+def fold_table(assigned: DataFrame, predictions: dict[str, DataFrame]) -> DataFrame:
+    """One row for each fold: rows and date range of its splits, and results of baseline and filtered trades."""
+    ranges = None
+    for split in ("train", "valid", "test"):
+        part = assigned.where(F.col("split") == split).groupBy("fold").agg(F.count("*").alias(f"{split}_rows"), F.min("trade_date").alias(f"{split}_start"), F.max("trade_date").alias(f"{split}_end"))
+        ranges = part if ranges is None else ranges.join(part, "fold", "left")
+    for split, wanted in (("valid", ("pnl",)), ("test", ("pnl", "expectancy_r", "profit_factor", "max_drawdown_r"))):
+        rows = _metrics_of(predictions[split], ["fold"])
+        ranges = ranges.join(rows.select("fold", *[F.col(f"{kind}_{c}").alias(f"{split}_{kind}_{c}") for c in wanted for kind in ("baseline", "filtered")]), "fold", "left")
+    return ranges.orderBy("fold")
+
+
+def train_filter(data: DataFrame, cfg: TrainConfig | None = None) -> Training:
+    """Walk-forward training of the filter.
+
+    A model for each fold scores its validation and test rows; the ratio to keep
+    is chosen on all validation rows and applied to both splits; one more model is
+    fitted on all rows. Needs six distinct dates. Folds are a few, so they are
+    trained one after another, each over the whole cluster.
+    """
     cfg = cfg or TrainConfig()
-    rows = walk_forward(quality_features(data), cfg.folds)
+    data = materialise(quality_features(data))
+    rows = materialise(walk_forward(data, cfg.folds))
     folds = [r["fold"] for r in rows.select("fold").distinct().orderBy("fold").collect()]  # a few folds
     scored: dict[str, DataFrame | None] = {"valid": None, "test": None}
     for fold in folds:
         own = rows.where(F.col("fold") == fold)
-        train, valid = own.where("split = 'train'"), own.where("split = 'valid'")
-        score, _, _ = fit_scorer(train, valid, cfg)
+        score, _, _ = fit_scorer(own.where("split = 'train'"), own.where("split = 'valid'"), cfg)
         for split in scored:
             part = score(own.where(F.col("split") == split))
             scored[split] = part if scored[split] is None else scored[split].unionByName(part)
-    valid, test = (rank_percent(scored[s]) for s in ("valid", "test"))
-    sweep = keep_ratio_sweep(valid, cfg.ranking)
+    ranked = {s: rank_percent(df) for s, df in scored.items()}
+    sweep = materialise(keep_ratio_sweep(ranked["valid"], cfg.ranking))
     ratio = best_ratio(sweep).first()["keep_ratio"]
-    chosen = {s: flag_selected(df, ratio) for s, df in (("valid", valid), ("test", test))}
-    metrics = None
-    for name, df in chosen.items():
-        for kind, part in (("baseline", df), ("filtered", df.where("selected = 1"))):
-            row = trading_metrics(part).select(F.lit(name).alias("split"), F.lit(kind).alias("kind"), "*")
-            metrics = row if metrics is None else metrics.unionByName(row)
-    return {"valid_predictions": chosen["valid"], "test_predictions": chosen["test"], "sweep": sweep, "metrics": metrics}
+    chosen = {s: materialise(flag_selected(df, ratio)) for s, df in ranked.items()}
+    flags = [c for c in conditions(data)]
+    lifts = {s: condition_lift(df, df.where("selected > 0"), flags) if flags else df.sparkSession.createDataFrame([], "feature string, baseline_freq double, accepted_freq double, lift double") for s, df in chosen.items()}
+    _, trees, encode = fit_scorer(data, None, cfg)
+    encoded = encode.transform(prepared(data, feature_columns(data, cfg.target)[0]))
+    found = importance(encoded, trees)
+    keys = [c for c in KEYS if c in data.columns]
+    columns = [*keys, "fold", "pnl_cash", "pnl_r", cfg.target, "rank_pct", "selected"]
+    names = feature_names(encoded)
+    metadata = {"target": cfg.target, "keep_ratio": float(ratio), "selection_method": "walk_forward_top_x_percent", "walk_forward_folds": len(folds), "feature_columns": names, "config": asdict(cfg)}
+    tables = {
+        "validation_keep_ratio_sweep": sweep.drop("cutoff_score"), "validation_predictions": chosen["valid"].select(columns), "test_predictions": chosen["test"].select(columns),
+        "walk_forward_fold_summary": fold_table(rows, chosen), "validation_confluence_lift": lifts["valid"], "test_confluence_lift": lifts["test"], "feature_importance": found,
+    }
+    totals = {s: prediction_metrics(df).first().asDict() for s, df in chosen.items()}  # one row each
+    summary = {"evaluation_mode": "walk_forward", "walk_forward_folds": len(folds), "initial_train_ratio": cfg.folds.train_ratio, "selected_keep_ratio": float(ratio), "feature_count": len(names), "validation": totals["valid"], "test": totals["test"]}
+    whole = PipelineModel(stages=[*encode.stages, trees])
+    return Training(tables, whole, metadata, summary)

@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import series as S
-from tidemark.functions.ordering import max_drawdown, row_numbers, with_running
+from tidemark.functions.ordering import max_drawdowns, row_numbers, with_running
+from tidemark.functions.tables import materialise
 from tidemark.operators import analytics, classification, dataset, execution, gaps, levels, performance, pools, ranking, retracement, sessions, signals, structure, zones
-from tidemark.plans import oracle
+from tidemark.plans import oracle, oracle_states
 from tidemark.plans.config import DEMO, DEMO_EXECUTION, FeatureConfig
-from tidemark.plans.pipeline import build_features, materialise
+from tidemark.plans.pipeline import build_features
 from tidemark.sources import bars as bar_source
 from tidemark.sources import runs, specs
 
@@ -170,7 +171,7 @@ def fvg_gaps(spark, sf_dir):
 
 def fvg_fill(spark, sf_dir):
     df = gaps.add_gaps(_zoned(spark, sf_dir), SETTINGS.gaps)
-    return df.select(*KEY, "bullish_imbalance_filled", "active_bullish_imbalance_low", "active_bullish_imbalance_high", "imbalance_long_valid")
+    return df.select(*KEY, *[c for kind, side in (("bullish", "long"), ("bearish", "short")) for c in (f"{kind}_imbalance_filled", f"active_{kind}_imbalance_low", f"active_{kind}_imbalance_high", f"imbalance_{side}_valid")], "Imbalance_Valid")
 
 
 def fib_legs(spark, sf_dir):
@@ -178,6 +179,12 @@ def fib_legs(spark, sf_dir):
     return _rounded(df.select(*KEY, "fib_bull_impulse_low", "fib_bull_impulse_high", "fib_bear_impulse_low", "fib_bear_impulse_high", "fib_long_band_high", "fib_short_band_low"), "fib_long_band_high", "fib_short_band_low")
 
 
+def fib_valid(spark, sf_dir):
+    """Validity of the retracement bands against the zones."""
+    df = retracement.add_retracement(zones.add_zones(_structure(spark, sf_dir).drop("atr"), PIP))
+    return df.select(*KEY, "fibonacci_long_valid", "fibonacci_short_valid", "Fibonacci_Valid")
+
+
 def _leveled(spark, sf_dir):
     return levels.add_levels(_zoned(spark, sf_dir), SETTINGS.levels, "atr")
 
@@ -199,7 +206,7 @@ def _features(spark, sf_dir, each_type: bool = True):
 
 def liquidity_pools(spark, sf_dir):
     df = zones.add_zones(_structure(spark, sf_dir).drop("atr"), PIP)
-    return pools.add_pools(df, SETTINGS.pools).select(*KEY, "liquidity_pool_low", "liquidity_pool_high", "liquidity_long_valid", "liquidity_short_valid")
+    return _rounded(pools.add_pools(df, SETTINGS.pools).select(*KEY, "liquidity_pool_low", "liquidity_pool_high", "liquidity_long_valid", "liquidity_short_valid"), "liquidity_pool_low", "liquidity_pool_high")
 
 
 def signals_all(spark, sf_dir):
@@ -221,21 +228,22 @@ def sizing(spark, sf_dir):
 
 
 def trades(spark, sf_dir):
-    f = _features(spark, sf_dir)
-    return execution.trade_report(execution.run_trades(f, DEMO_EXECUTION), f, DEMO_EXECUTION)
+    """Simulated trades of all series."""
+    out = execution.run_trades(_features(spark, sf_dir), DEMO_EXECUTION)
+    return _rounded(out, *[c for c, kind in out.dtypes if kind == "double"])
 
 
 def equity_curve(spark, sf_dir):
     f = _features(spark, sf_dir)
-    return execution.equity_curve(execution.run_trades(f, DEMO_EXECUTION), f, DEMO_EXECUTION.balance)
+    return _rounded(execution.equity_curve(execution.run_trades(f, DEMO_EXECUTION), f, DEMO_EXECUTION.balance), "equity")
 
 
 def drawdown(spark, sf_dir):
-    return max_drawdown(_trades(spark, sf_dir), F.col("pnl_cash"), "row_id")
+    return max_drawdowns(_trades(spark, sf_dir), {"max_drawdown": F.col("pnl_cash")}, "row_id")
 
 
 def running_equity(spark, sf_dir):
-    run = with_running(_trades(spark, sf_dir), F.col("pnl_cash"), "row_id", None, "cum", "peak")
+    run = with_running(_trades(spark, sf_dir), {"cum": F.col("pnl_cash")}, "row_id", None, {"cum": "peak"})
     return run.select("row_id", "cum", "peak")
 
 
@@ -324,7 +332,7 @@ def join_enrich(spark, sf_dir):
     """Outcomes of the better of two reports joined to a data set by five keys."""
     t = _trades(spark, sf_dir).groupBy("symbol", "timeframe", "trade_date", "entry_bar", "position").agg(F.sum("pnl_cash").alias("pnl_cash"))
     reports = t.withColumn("report", F.lit("full")).unionByName(t.where("symbol = 'A'").withColumn("report", F.lit("part")))
-    data = t.where("entry_bar % 2 = 0").drop("pnl_cash")
+    data = t.drop("pnl_cash")
     return dataset.enrich(data, reports, ["pnl_cash"]).groupBy("symbol", "matched").agg(F.count("*").alias("n"), F.sum("pnl_cash").alias("pnl"))
 
 
@@ -411,7 +419,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (
     bars_h1, bar_coverage, bars_latest, true_range, atr_sma, atr_rma, atr_ema, pivots, swing_labels, trend_state, structure_breaks, last_opposing, departures, zone_candidates, zones_accepted, zone_lifecycle, nearest_zone,
-    session_blocks, session_levels, session_sweeps, volume_profile_poc, fvg_gaps, fvg_fill, fib_legs, sr_levels, sr_targets, liquidity_pools, signals_all, exec_costs, sizing, trades, equity_curve, drawdown, running_equity, trade_stats, engine_summary,
+    session_blocks, session_levels, session_sweeps, volume_profile_poc, fvg_gaps, fvg_fill, fib_legs, fib_valid, sr_levels, sr_targets, liquidity_pools, signals_all, exec_costs, sizing, trades, equity_curve, drawdown, running_equity, trade_stats, engine_summary,
     account_info, trading_metrics, sharpe_moments, deflated_sharpe, outcome_groups, confluence_summary, confluence_impact, confluence_sets, confluence_counts, mean_confluences, filter_trades, run_labels, latest_runs, pip_sizes, join_enrich, walk_forward_folds,
     trade_quality_features, sample_weights, rank_pct, top_fraction, keep_ratio_sweep, confluence_lift, confusion_metrics, roc_auc, average_precision, roc_points, pooled_metrics, dataset_overview, gbt_scores, flagship,
 )
@@ -424,4 +432,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """SQL twins by name."""
-    return oracle.SQL
+    return oracle.SQL | oracle_states.SQL

@@ -123,17 +123,31 @@ p3 AS (SELECT b.symbol, b.session_block, last_value(CASE WHEN b.session_name IS
   last_value(CASE WHEN b.session_name IS NOT NULL THEN poc END IGNORE NULLS) OVER (PARTITION BY b.symbol ORDER BY b.session_block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS poc FROM blk b JOIN p2 USING (symbol, session_block))"""
 
 _GAPS = f"""gp AS (SELECT *, lag(high, 2) OVER {W} AS h2, lag(low, 2) OVER {W} AS l2 FROM {{source}})"""
-_FILL = f"""gk AS (SELECT *, CASE WHEN d_valid THEN (bar - d_age)::VARCHAR || '|' || d_bottom || '|' || d_top END AS key FROM gp),
-gf AS (SELECT *, CASE WHEN lag(bar) OVER {W} IS NULL OR key IS DISTINCT FROM lag(key) OVER {W} THEN 1 ELSE 0 END AS fresh FROM gk),
-ge AS (SELECT *, sum(fresh) OVER {W} AS ep, key IS NOT NULL AND coalesce(low - h2 > 0, false) AND NOT d_touch AND d_age >= 0 AND low >= d_entry - greatest(0, CASE WHEN atr > 0 THEN {_D(0.1)} * atr ELSE 0 END) AS gap FROM gf),
-fl AS (SELECT g.symbol, g.ep, min(b.bar) AS fill FROM ge g JOIN ge b ON b.symbol = g.symbol AND b.ep = g.ep AND b.key IS NOT NULL AND b.bar BETWEEN g.bar + 1 AND g.bar + 120 AND b.high >= g.h2 AND b.low <= g.low WHERE g.gap GROUP BY ALL),
-fg AS (SELECT f.symbol, f.ep, f.fill, arg_max(g.h2, g.bar) AS glow, arg_max(g.low, g.bar) AS ghigh FROM fl f JOIN ge b ON b.symbol = f.symbol AND b.bar = f.fill JOIN ge g ON g.symbol = f.symbol AND g.ep = f.ep AND g.gap AND f.fill BETWEEN g.bar + 1 AND g.bar + 120 AND b.high >= g.h2 AND b.low <= g.low GROUP BY ALL),
-gl AS (SELECT *, last_value(CASE WHEN gap THEN bar END IGNORE NULLS) OVER e AS lastg, last_value(CASE WHEN gap THEN h2 END IGNORE NULLS) OVER e AS lastlow, last_value(CASE WHEN gap THEN low END IGNORE NULLS) OVER e AS lasthigh FROM ge WINDOW e AS (PARTITION BY symbol, ep ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
+
+
+def _fill(source: str, p: str, z: str, gap: str, low: str, high: str, beyond: str) -> str:
+    """Gap fills of one side; p: prefix of the expressions, z: of the zone's columns."""
+    e = f"(PARTITION BY symbol, {p}ep ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    return f"""{p}k AS (SELECT *, CASE WHEN {z}_valid THEN (bar - {z}_age)::VARCHAR || '|' || {z}_bottom || '|' || {z}_top END AS {p}key FROM {source}),
+{p}f AS (SELECT *, CASE WHEN lag(bar) OVER {W} IS NULL OR {p}key IS DISTINCT FROM lag({p}key) OVER {W} THEN 1 ELSE 0 END AS {p}fresh FROM {p}k),
+{p}e AS (SELECT *, sum({p}fresh) OVER {W} AS {p}ep, {low} AS {p}low, {high} AS {p}high, {p}key IS NOT NULL AND coalesce({gap} > 0, false) AND NOT {z}_touch AND {z}_age >= 0 AND {beyond} AS {p}gap FROM {p}f),
+{p}l AS (SELECT g.symbol, g.{p}ep, min(b.bar) AS {p}fill FROM {p}e g JOIN {p}e b ON b.symbol = g.symbol AND b.{p}ep = g.{p}ep AND b.{p}key IS NOT NULL AND b.bar BETWEEN g.bar + 1 AND g.bar + 120 AND b.high >= g.{p}low AND b.low <= g.{p}high WHERE g.{p}gap GROUP BY ALL),
+{p}g AS (SELECT f.symbol, f.{p}ep, f.{p}fill, arg_max(g.{p}low, g.bar) AS {p}glow, arg_max(g.{p}high, g.bar) AS {p}ghigh FROM {p}l f JOIN {p}e b ON b.symbol = f.symbol AND b.bar = f.{p}fill JOIN {p}e g ON g.symbol = f.symbol AND g.{p}ep = f.{p}ep AND g.{p}gap AND f.{p}fill BETWEEN g.bar + 1 AND g.bar + 120 AND b.high >= g.{p}low AND b.low <= g.{p}high GROUP BY ALL),
+{p}a AS (SELECT *, last_value(CASE WHEN {p}gap THEN bar END IGNORE NULLS) OVER {e} AS {p}lastg, last_value(CASE WHEN {p}gap THEN {p}low END IGNORE NULLS) OVER {e} AS {p}lastlow, last_value(CASE WHEN {p}gap THEN {p}high END IGNORE NULLS) OVER {e} AS {p}lasthigh FROM {p}e),
+{p}z AS (SELECT a.*, {p}key IS NOT NULL AND coalesce(bar = {p}fill, false) AS {p}filled, CASE WHEN {p}key IS NOT NULL AND bar >= {p}fill THEN {p}glow WHEN {p}key IS NOT NULL AND bar - {p}lastg <= 120 THEN {p}lastlow END AS {p}alow,
+  CASE WHEN {p}key IS NOT NULL AND bar >= {p}fill THEN {p}ghigh WHEN {p}key IS NOT NULL AND bar - {p}lastg <= 120 THEN {p}lasthigh END AS {p}ahigh, {p}key IS NOT NULL AND coalesce(bar >= {p}fill, false) AS {p}valid FROM {p}a a LEFT JOIN {p}g g ON g.symbol = a.symbol AND g.{p}ep = a.{p}ep)"""
+
+
+_SLACK = f"greatest(0, CASE WHEN atr > 0 THEN {_D(0.1)} * atr ELSE 0 END)"
+_FILL = _fill("gp", "g", "d", "low - h2", "h2", "low", f"low >= d_entry - {_SLACK}") + ",\n" + _fill("gz", "h", "s", "l2 - high", "high", "l2", f"high <= s_entry + {_SLACK}")
 
 _LEGS = f"""fb AS (SELECT *, last_value(e_sh IGNORE NULLS) OVER {BEFORE} AS h, last_value(e_sl IGNORE NULLS) OVER {UPTO} AS l, last_value(CASE WHEN e_sl IS NOT NULL THEN bar END IGNORE NULLS) OVER {UPTO} AS lb0 FROM el),
 fc AS (SELECT *, CASE WHEN e_sl IS NOT NULL AND h - e_sl >= 0 THEN {{'lo': e_sl, 'hi': h}} END AS fall, CASE WHEN e_sh IS NOT NULL AND lb0 < bar AND e_sh - l >= 0 THEN {{'lo': l, 'hi': e_sh}} END AS rise FROM fb),
 fd AS (SELECT *, last_value(fall IGNORE NULLS) OVER {UPTO} AS bear, last_value(rise IGNORE NULLS) OVER {UPTO} AS bull FROM fc)"""
 
+_BANDS = """fz AS (SELECT z.*, fd.bull.lo AS bl, fd.bull.lo + 0.5 * (fd.bull.hi - fd.bull.lo) AS bh, fd.bear.hi - 0.5 * (fd.bear.hi - fd.bear.lo) AS sl0, fd.bear.hi AS sh0 FROM zoned z JOIN fd USING (symbol, bar)),
+bands AS (SELECT *, coalesce(d_entry BETWEEN bl AND bh, false) OR coalesce(d_top >= bl AND d_bottom <= bh, false) AS fib_long, coalesce(s_entry BETWEEN sl0 AND sh0, false) OR coalesce(s_top >= sl0 AND s_bottom <= sh0, false) AS fib_short FROM fz)"""
+
 # clusters of one window as a fold: finished means, running mean, count
 _CLUSTER = """list_reduce({levels}, lambda acc, x: CASE WHEN acc.n > 0 AND abs(x - acc.m) <= {tol} THEN {{'d': acc.d, 'm': (acc.m * acc.n + x) / (acc.n + 1), 'n': acc.n + 1}}
   WHEN acc.n = 0 THEN {{'d': acc.d, 'm': x, 'n': 1}} ELSE {{'d': list_append(acc.d, acc.m), 'm': x, 'n': 1}} END, {{'d': []::DOUBLE[], 'm': CAST(0 AS DOUBLE), 'n': 0}})"""
@@ -209,9 +223,8 @@ SELECT symbol, bar, dl AS session_low_swept, dh AS session_high_swept, recent AN
     "volume_profile_poc": _with(*_ZCHAIN, _blocks("zoned"), _PROFILE) + """SELECT s2.symbol, bar, session_name AS vp_session_name, ref AS vp_reference_session_name, poc AS vp_reference_poc,
 coalesce(abs(d_entry - poc) <= 5, false) OR coalesce(d_bottom - 5 <= poc AND poc <= d_top + 5, false) AS volume_profile_long_valid, coalesce(abs(s_entry - poc) <= 5, false) OR coalesce(s_bottom - 5 <= poc AND poc <= s_top + 5, false) AS volume_profile_short_valid FROM s2 JOIN p3 USING (symbol, session_block)""",
     "fvg_gaps": _with(BARS, _GAPS.format(source="bars")) + """SELECT symbol, bar, coalesce(low - h2 > 0, false) AS bullish_imbalance_created, coalesce(l2 - high > 0, false) AS bearish_imbalance_created, CASE WHEN low - h2 > 0 THEN h2 END AS bullish_imbalance_zone_low, CASE WHEN low - h2 > 0 THEN low END AS bullish_imbalance_zone_high, CASE WHEN l2 - high > 0 THEN high END AS bearish_imbalance_zone_low, CASE WHEN l2 - high > 0 THEN l2 END AS bearish_imbalance_zone_high FROM gp""",
-    "fvg_fill": _with(*_ZCHAIN, _GAPS.format(source="zoned"), _FILL) + """SELECT gl.symbol, bar, key IS NOT NULL AND coalesce(bar = fill, false) AS bullish_imbalance_filled,
-CASE WHEN key IS NOT NULL AND bar >= fill THEN glow WHEN key IS NOT NULL AND bar - lastg <= 120 THEN lastlow END AS active_bullish_imbalance_low, CASE WHEN key IS NOT NULL AND bar >= fill THEN ghigh WHEN key IS NOT NULL AND bar - lastg <= 120 THEN lasthigh END AS active_bullish_imbalance_high,
-key IS NOT NULL AND coalesce(bar >= fill, false) AS imbalance_long_valid FROM gl LEFT JOIN fg ON fg.symbol = gl.symbol AND fg.ep = gl.ep""",
+    "fvg_fill": _with(*_ZCHAIN, _GAPS.format(source="zoned"), _FILL) + "SELECT symbol, bar, gfilled AS bullish_imbalance_filled, galow AS active_bullish_imbalance_low, gahigh AS active_bullish_imbalance_high, gvalid AS imbalance_long_valid, hfilled AS bearish_imbalance_filled, halow AS active_bearish_imbalance_low, hahigh AS active_bearish_imbalance_high, hvalid AS imbalance_short_valid, gvalid OR hvalid AS Imbalance_Valid FROM hz",
+    "fib_valid": f"WITH RECURSIVE {STRUCT},\n" + ",\n".join(_ZCHAIN[3:]) + ",\n" + _LEGS + ",\n" + _BANDS + "\nSELECT symbol, bar, fib_long AS fibonacci_long_valid, fib_short AS fibonacci_short_valid, fib_long OR fib_short AS Fibonacci_Valid FROM bands",
     "fib_legs": _with(BARS, TR, ATR, _swing("e", 8).format(source="atr"), _LEGS) + "SELECT symbol, bar, bull.lo AS fib_bull_impulse_low, bull.hi AS fib_bull_impulse_high, bear.lo AS fib_bear_impulse_low, bear.hi AS fib_bear_impulse_high, round(bull.lo + 0.5 * (bull.hi - bull.lo), 6) AS fib_long_band_high, round(bear.hi - 0.5 * (bear.hi - bear.lo), 6) AS fib_short_band_low FROM fd",
     "sr_levels": _with(*_ZCHAIN, _SR) + "SELECT symbol, bar, ph AS sr_pivot_high, pl AS sr_pivot_low, round(res, 9) AS sr_nearest_resistance, round(sup, 9) AS sr_nearest_support FROM r6",
     "sr_targets": _with(*_ZCHAIN, _SR) + f"""SELECT symbol, bar, round(lref, 9) AS sr_long_reference_level, round(lt, 9) AS sr_long_target, round(lrr, 9) AS sr_long_target_rr, round(sref, 9) AS sr_short_reference_level, round(stg, 9) AS sr_short_target, round(srr, 9) AS sr_short_target_rr,
@@ -250,7 +263,7 @@ FROM z WHERE len(st) > 0 GROUP BY st HAVING bool_or(outcome = 'Win' OR pnl_r > 0
     "latest_runs": _with(_RUNS) + "SELECT symbol, timeframe, arg_max(name, (stamp, name)) AS name, max(stamp) AS stamp FROM r GROUP BY symbol, timeframe",
     "pip_sizes": """WITH r AS (SELECT p_partkey AS part, CASE WHEN p_partkey % 4 = 0 THEN 'USDJPY' WHEN p_partkey % 4 = 1 THEN 'XAUUSD' ELSE 'EURUSD' END AS symbol, CASE WHEN p_partkey % 5 <> 0 THEN p_partkey % 6 END AS digits, CASE WHEN p_partkey % 3 <> 0 THEN 0.001::DOUBLE END AS point FROM part)
 SELECT part, symbol, round(CASE WHEN symbol = 'XAUUSD' THEN 0.1 WHEN point IS NULL THEN CASE WHEN symbol = 'USDJPY' THEN 0.01 ELSE 0.0001 END WHEN digits IN (3, 5) THEN 10 * point WHEN digits IS NOT NULL THEN point ELSE 0.25 END, 6) AS pip_size, CASE WHEN symbol = 'XAUUSD' THEN 'override' WHEN point IS NOT NULL THEN 'broker' ELSE 'fallback' END AS source FROM r""",
-    "join_enrich": _t() + """, g AS (SELECT symbol, timeframe, trade_date, entry_bar, position, sum(pnl_cash) AS pnl_cash FROM t GROUP BY ALL) SELECT symbol, true AS matched, count(*) AS n, sum(pnl_cash) AS pnl FROM g WHERE entry_bar % 2 = 0 GROUP BY symbol""",
+    "join_enrich": _t() + """, g AS (SELECT symbol, timeframe, trade_date, entry_bar, position, sum(pnl_cash) AS pnl_cash FROM t GROUP BY ALL) SELECT symbol, true AS matched, count(*) AS n, sum(pnl_cash) AS pnl FROM g GROUP BY symbol""",
     "walk_forward_folds": _t(_FOLDS) + "SELECT CAST(fold_no AS INTEGER) AS fold, CASE WHEN rk <= a THEN 'train' WHEN rk <= b THEN 'valid' ELSE 'test' END AS split, count(*) AS rows, min(t.trade_date) AS start, max(t.trade_date) AS \"end\" FROM t JOIN u USING (trade_date) JOIN b3 ON rk <= c GROUP BY ALL",
     "trade_quality_features": _with(*_ZCHAIN, _SR) + "SELECT symbol, bar, " + ", ".join(f"round(({e} - {s}) * {g}, 6) AS feat_{n}_risk_price, round(({e} - {s}) * {g} / nullif(atr, 0), 6) AS feat_{n}_risk_atr, round(({lv} - {e}) * {g} / nullif(({e} - {s}) * {g}, 0), 6) AS feat_{n}_rr_to_sr" for n, e, s, g, lv in _QF) + " FROM r6",
     "sample_weights": _t() + "SELECT row_id, round(1 + least(abs(pnl_r), 5), 6) AS weight FROM t",

@@ -17,9 +17,15 @@ from tidemark.llm import langid, line_dedup, mixing, near_dup, packing
 from tidemark.llm.storage import drop, scratch, stored
 
 
-def _carried(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and ``text`` beside the whole row, so that no name of an operator's result meets an input column."""
-    return docs.select("doc_id", "text", F.struct(*docs.columns).alias("tm_doc"))
+def _carried(docs: DataFrame, *plain: str) -> DataFrame:
+    """``doc_id``, ``text`` and ``plain`` columns, all others in one struct, so that no name of an operator's result meets an input column."""
+    open_ = [c for c in docs.columns if c in ("doc_id", "text", *plain)]
+    return docs.select(*open_, F.struct(F.lit(0).alias("tm_0"), *[c for c in docs.columns if c not in open_]).alias("tm_doc"))
+
+
+def _restored(carried: DataFrame, columns: list[str], *plain: str) -> DataFrame:
+    """The columns of a table that ``_carried`` packed, in their order."""
+    return carried.select(*[F.col(c) if c in ("doc_id", "text", *plain) else F.col(f"tm_doc.{c}").alias(c) for c in columns])
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +34,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Learned from the rows with a lang. Repeated rows share their fate.
     """
     found = langid.identify(_carried(docs), langid.fit(docs))
-    return found.where(~F.col("lang_rejected")).select("tm_doc.*")
+    return _restored(found.where(~F.col("lang_rejected")), docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,10 +43,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null, empty and short texts stay as they are; rows with equal doc_id and text
     are one document and get equal texts.
     """
-    kept = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    packed = docs.select(*[c for c in docs.columns if c not in kept], F.struct(F.lit(0).alias("tm_0"), *kept).alias("tm_doc"))
-    done = line_dedup.dedup_lines(packed)
-    return done.select(*[F.col(f"tm_doc.{c}").alias(c) if c in kept else F.col(c) for c in docs.columns])
+    return _restored(line_dedup.dedup_lines(_carried(docs, "n_chars")), docs.columns, "n_chars")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +54,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     groups = near_dup.near_duplicates(docs.select("doc_id", "text"))
     kept = groups.where("kept").select(F.col("doc_id").alias("tm_id")).distinct()
-    survivors = _carried(docs).join(kept, F.col("doc_id").eqNullSafe(F.col("tm_id")), "left_semi")
-    return survivors.dropDuplicates(["doc_id", "text"]).select("tm_doc.*")
+    survivors = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("tm_id")), "left_semi")
+    return survivors.dropDuplicates(["doc_id", "text"])
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +66,7 @@ def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows are taken together.
     """
     labels = mixing.label_domains(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return mixing.mix(_carried(docs), labels, keep=["tm_doc"]).where("taken").select("tm_doc.*")
+    return _restored(mixing.mix(_carried(docs), labels, keep=["doc_id", "text", "tm_doc"]).where("taken"), docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -51,23 +51,34 @@ def first_fills(df: DataFrame, cfg: GapConfig) -> DataFrame:
     return hit.groupBy(*KEYS, "tm_ep").agg(F.min(F.struct(F.col("bar"), -F.col("gap_bar"), "gap_low", "gap_high")).alias("f")).select(*KEYS, "tm_ep", F.col("f.bar").alias("fill_bar"), F.col("f.gap_low").alias("gap_low"), F.col("f.gap_high").alias("gap_high"))
 
 
-def add_gaps(df: DataFrame, config: GapConfig | None = None) -> DataFrame:
-    """Add the imbalance layer: gaps of the current zone episode, their first fill, and validity after it."""
-    cfg = config or GapConfig()
-    df = detect_gaps(df, cfg.min_gap)
+def _marked(df: DataFrame, zone: str, side: str, kind: str, cfg: GapConfig) -> DataFrame:
+    """Add the zone episode of each bar, whether it leaves a gap on the way out of the zone, and the last one of the episode."""
     atr = first_existing(df, "atr_feature", "atr")
     tolerance = effective_tolerance(cfg.tolerance, cfg.relevance_atr, atr if atr is not None else F.lit(None).cast("double"))
+    touched, entry = first_existing(df, f"sd_{zone}_touched", f"{zone}_touched"), first_existing(df, f"{zone}_zone_entry", f"{side}_entry_price", f"{side}_entry")
+    work = df.withColumn("tm_key", zone_key(df, zone)).withColumn("tm_ep", runs(F.col("tm_key")))
+    low, high = F.col(f"{kind}_imbalance_zone_low"), F.col(f"{kind}_imbalance_zone_high")
+    entry = entry if entry is not None else F.lit(None).cast("double")
+    beyond = high >= entry - tolerance if zone == "demand" else low <= entry + tolerance
+    gap = F.col("tm_key").isNotNull() & F.col(f"{kind}_imbalance_created") & ~(is_true(touched) if touched is not None else F.lit(False)) & is_true(F.col("bar") >= F.col("tm_key.born")) & is_true(beyond)
+    work = work.withColumns({"tm_gap": gap, "tm_low": low, "tm_high": high})
+    episode = Window.partitionBy(*KEYS, "tm_ep").orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
+    return work.withColumn("tm_last", F.last(F.when(F.col("tm_gap"), F.struct("bar", "tm_low", "tm_high")), ignorenulls=True).over(episode)).withColumn("tm_latest", F.col("tm_last.bar"))
+
+
+def add_gaps(df: DataFrame, config: GapConfig | None = None, source: DataFrame | None = None) -> DataFrame:
+    """Add the imbalance layer: gaps of the current zone episode, their first fill, and validity after it.
+
+    ``source`` is a table of the same bars that fills are looked for in: a
+    materialised one that ``df`` was made from saves making ``df`` once more.
+    """
+    cfg = config or GapConfig()
+    df = detect_gaps(df, cfg.min_gap)
+    found = df if source is None else detect_gaps(source, cfg.min_gap)
     for zone, side, kind in (("demand", "long", "bullish"), ("supply", "short", "bearish")):
-        touched, entry = first_existing(df, f"sd_{zone}_touched", f"{zone}_touched"), first_existing(df, f"{zone}_zone_entry", f"{side}_entry_price", f"{side}_entry")
-        work = df.withColumn("tm_key", zone_key(df, zone)).withColumn("tm_ep", runs(F.col("tm_key")))
-        low, high = F.col(f"{kind}_imbalance_zone_low"), F.col(f"{kind}_imbalance_zone_high")
-        entry = entry if entry is not None else F.lit(None).cast("double")
-        beyond = high >= entry - tolerance if zone == "demand" else low <= entry + tolerance
-        gap = F.col("tm_key").isNotNull() & F.col(f"{kind}_imbalance_created") & ~(is_true(touched) if touched is not None else F.lit(False)) & is_true(F.col("bar") >= F.col("tm_key.born")) & is_true(beyond)
-        work = work.withColumns({"tm_gap": gap, "tm_low": low, "tm_high": high})
-        episode = Window.partitionBy(*KEYS, "tm_ep").orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
-        work = work.withColumn("tm_last", F.last(F.when(F.col("tm_gap"), F.struct("bar", "tm_low", "tm_high")), ignorenulls=True).over(episode)).withColumn("tm_latest", F.col("tm_last.bar"))
-        work = work.join(first_fills(work, cfg), [*KEYS, "tm_ep"], "left")
+        work = _marked(df, zone, side, kind, cfg)
+        fills = first_fills(work if source is None else _marked(found, zone, side, kind, cfg), cfg)
+        work = work.join(fills, [*KEYS, "tm_ep"], "left")
         filled = F.col("tm_key").isNotNull() & is_true(F.col("bar") >= F.col("fill_bar"))
         young = F.col("tm_key").isNotNull() & is_true(F.col("bar") - F.col("tm_latest") <= cfg.max_age)
         df = work.withColumns({
@@ -77,5 +88,3 @@ def add_gaps(df: DataFrame, config: GapConfig | None = None) -> DataFrame:
             f"imbalance_{side}_valid": filled,
         }).drop("tm_key", "tm_ep", "tm_gap", "tm_low", "tm_high", "tm_last", "tm_latest", "fill_bar", "gap_low", "gap_high")
     return df.withColumn("Imbalance_Valid", F.col("imbalance_long_valid") | F.col("imbalance_short_valid"))
-
-

@@ -79,13 +79,14 @@ def fold_rows(rows: pd.DataFrame, sides: tuple[Side, Side]) -> pd.DataFrame:
     return pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
 
 
-def add_pools(df: DataFrame, config: PoolConfig | None = None) -> DataFrame:
-    """Add the liquidity layer."""
-    cfg = config or PoolConfig()
+def add_pools(df: DataFrame, config: PoolConfig | None = None, source: DataFrame | None = None) -> DataFrame:
+    """Add the liquidity layer. ``source``: a materialised table of the same bars to find the pools in."""
+    cfg, bars = config or PoolConfig(), df
+    df = df if source is None else source
     high, low = first_existing(df, "ext_swing_high", "int_swing_high"), first_existing(df, "ext_swing_low", "int_swing_low")
     if high is None or low is None:
         none = {c: F.lit(None).cast("double") for c in ("liquidity_pool_high", "liquidity_pool_low")}
-        return df.withColumns(none | {c: F.lit(False) for c in ("liquidity_long_valid", "liquidity_short_valid", "Liquidity_Valid")})
+        return bars.withColumns(none | {c: F.lit(False) for c in ("liquidity_long_valid", "liquidity_short_valid", "Liquidity_Valid")})
     atr = first_existing(df, "atr_feature", "atr")
     tolerance = effective_tolerance(cfg.tolerance, cfg.proximity_atr, atr if atr is not None else F.lit(None).cast("double"))
     keyed = df.withColumns({"tm_d": zone_key(df, "demand"), "tm_s": zone_key(df, "supply")})
@@ -97,6 +98,6 @@ def add_pools(df: DataFrame, config: PoolConfig | None = None) -> DataFrame:
         return fold_rows(group.sort_values("bar"), (Side(1, cfg), Side(-1, cfg)))
 
     found = rows.groupBy(*KEYS).applyInPandas(run, OUT)
-    out = df.join(found, [*KEYS, "bar"], "left")
+    out = bars.join(found, [*KEYS, "bar"], "left")
     out = out.withColumns({c: is_true(F.col(c)) for c in ("liquidity_long_valid", "liquidity_short_valid")})
     return out.withColumn("Liquidity_Valid", F.col("liquidity_long_valid") | F.col("liquidity_short_valid"))

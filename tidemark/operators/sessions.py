@@ -76,11 +76,14 @@ def block_profiles(df: DataFrame, decimals: int) -> DataFrame:
     return cells.groupBy(*KEYS, "session_block").agg(F.first("session").alias("session"), F.max_by("price", F.struct("volume", "price")).alias("poc"))
 
 
-def add_profile(df: DataFrame, config: ProfileConfig | None = None) -> DataFrame:
-    """Add the volume-profile layer: the point of control of the last completed session, and validity near it."""
+def add_profile(df: DataFrame, config: ProfileConfig | None = None, source: DataFrame | None = None) -> DataFrame:
+    """Add the volume-profile layer: the point of control of the last completed session, and validity near it.
+
+    ``source``: a materialised table of the same bars to make the profiles of.
+    """
     cfg = config or ProfileConfig()
     df = with_blocks(df, cfg.sessions, "vp_session_name")
-    blocks = block_profiles(df, cfg.decimals)
+    blocks = block_profiles(df if source is None else with_blocks(source, cfg.sessions, "vp_session_name"), cfg.decimals)
     before = Window.partitionBy(*KEYS).orderBy("session_block").rowsBetween(Window.unboundedPreceding, -1)
     known = F.last(F.when(F.col("session").isNotNull(), F.struct("session", "poc")), ignorenulls=True).over(before)
     blocks = blocks.withColumn("tm_ref", known).select(*KEYS, "session_block", F.col("tm_ref.session").alias("vp_reference_session_name"), F.col("tm_ref.poc").alias("vp_reference_poc"))

@@ -58,11 +58,14 @@ def build_features(bars: DataFrame, config: FeatureConfig | None = None) -> Data
     df = add_atr(bars, cfg.atr_period, cfg.atr_method)
     df = add_structure(df, cfg.structure, "atr_feature")
     df = add_zones(df, pip_of(df, cfg.pip), cfg.zones, "atr_feature")
-    df = materialise(df)
+    df = base = materialise(df)
     layers = {"sessions": add_sessions, "profile": add_profile, "gaps": add_gaps, "retracement": add_retracement, "pools": add_pools, "levels": add_levels}
     for name, add in layers.items():
         setting = getattr(cfg, name)
-        df = add_defaults(df, name) if setting is None else check_layer(add(df, setting), name)
+        if setting is None:
+            df = add_defaults(df, name)
+        else:  # layers that need a table of their own make it from the base, not from all layers before them
+            df = check_layer(add(df, setting, base) if name in ("profile", "gaps", "pools") else add(df, setting), name)
     return materialise(df)
 
 

@@ -318,6 +318,16 @@ def test_notices_of_unequal_containment_in_one_line(spark):
     assert got == {1: "apache-2,mit", 2: "apache-2,mit", 3: "agpl-3,gpl-3", 4: "gpl-3", 5: "agpl-3,gpl-3"}
 
 
+def test_words_scattered_over_a_long_line_are_no_notice(spark):
+    r = random.Random(2)
+    scattered = words(300, 3)
+    for w in "all rights reserved released under the mit license".split():
+        scattered.insert(r.randrange(len(scattered)), f"x {w} y {w[::-1]}")
+    rows = [(1, " ".join(scattered)), (2, " ".join(words(200, 4)) + " All rights reserved " + " ".join(words(200, 5)))]
+    got = {x["doc_id"]: x["labels"] for x in license_join.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "", 2: "all-rights-reserved"}
+
+
 def windows_by_force(text, percent=80):
     """Templates that some window of the text holds."""
     own, out = re.findall("[a-z0-9]+", text.lower()), set()

@@ -1,8 +1,9 @@
 """License scans: exact set-similarity join of text blocks with license templates.
 
-Blocks are lines, and windows of words that ignore line breaks, so that wrapped
-notices are found too. A window is as long as a template that has ``percent`` of
-its words. A template is found in a block when the block holds at least
+Blocks are lines of at most ``LINE_WORDS`` words, and windows of words that ignore
+line breaks, so that wrapped notices are found too, and notices in long lines,
+which hold many words of a template by chance. A window is as long as a template
+that has ``percent`` of its words. A template is found in a block when the block holds at least
 ``percent`` of the template's distinct words. Words of the templates are ordered
 by the number of texts of the corpus that hold them, rare ones first. A block
 that holds enough of a template holds one of its first ``size - need + 1`` words
@@ -37,6 +38,8 @@ TEMPLATES = {
 PHRASES = {"apache license version 2": "apache-2", "cc by nc": "cc-by-nc", "under the mit license": "mit"}
 _BETWEEN = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 PERCENT = 80
+#: Words of the longest line that is a block by itself.
+LINE_WORDS = 100
 
 
 def words_of(text: Column) -> Column:
@@ -64,7 +67,7 @@ def similar_blocks(docs: DataFrame, key: list[str], templates: dict[str, list[st
 
     Returns the key columns, block (line number from 0), license, template
     (number among its license's), containment (0 to 1) and words (the template's
-    words in the line). Null and empty texts have no block. Repeated rows give
+    words in the line). Null and empty texts have no block, longer lines are none. Repeated rows give
     their pairs once for each key. ``order``: what ``word_order`` returns.
     """
     templates = TEMPLATES if templates is None else templates
@@ -85,7 +88,8 @@ def similar_blocks(docs: DataFrame, key: list[str], templates: dict[str, list[st
     own = docs.where(F.arrays_overlap(words_of(F.col("text")), prefix_words))
     blocks = own.select(*key, F.posexplode(F.split("text", "\n")).alias("block", "line"))
     # template words of a block by rank; other words change no containment
-    ranks = F.sort_array(F.transform(F.array_intersect(words_of(F.col("line")), _strings(order)), lambda w: (F.array_position(_strings(order), w) - 1).cast("int")))
+    ranks = F.sort_array(F.transform(F.array_intersect("ws", _strings(order)), lambda w: (F.array_position(_strings(order), w) - 1).cast("int")))
+    blocks = blocks.select(*key, "block", words_of(F.col("line")).alias("ws")).where(F.size("ws") <= LINE_WORDS)
     blocks = blocks.select(*key, "block", ranks.alias("b_ranks")).where(F.size("b_ranks") >= F.lit(least or 0))
     tokens = blocks.select(*key, "block", "b_ranks", F.posexplode("b_ranks").alias("b_place", "rank"))
     enough = F.least(F.col("t_size") - F.col("t_place"), F.size("b_ranks") - F.col("b_place")) >= F.col("need")

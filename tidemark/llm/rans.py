@@ -326,7 +326,12 @@ def read_blocks(spark, path: str, with_ids: bool = False) -> DataFrame:
 
 
 def encode_decode(docs: DataFrame, vocabulary: str, vocabulary_size: int) -> DataFrame:
-    """Write a corpus into a new folder of the shared storage and return it read back."""
+    """Write a corpus into a new folder of the shared storage and return it read back.
+
+    One row for each input row, as ``read_blocks`` gives it: a null text counts as
+    empty and has its end id alone, a null doc_id comes first, repeated rows come
+    one after another, other columns are ignored, and an empty table gives no rows.
+    """
     spark = docs.sparkSession
     path = new_path(spark, "rans")
     write_blocks(docs, path, vocabulary, vocabulary_size)

@@ -229,6 +229,8 @@ def judge(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None) ->
     known = labels.select(F.col("doc_id").alias("tm_doc"), F.col("quality").alias("tm_quality"))
     own = stats.select("tm_id", *FEATURES, "n_repeat_words").where(~base_failed())
     labelled = own.join(known, F.col("tm_id") == F.col("tm_doc")).select(F.col("tm_id").alias("doc_id"), F.col("tm_quality").alias("quality"), *FEATURES)
+    labelled = stored(labelled, "labelled")  # read to count, to choose and to learn
     rules = learn(labelled)
+    drop(labelled)
     failed = base_failed()
     return stats.drop("tm_id").withColumn("base_failed", failed).withColumn("rule", verdict(rules)).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))

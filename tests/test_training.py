@@ -70,6 +70,15 @@ def test_analysis_of_stored_trainings(spark, trained):
     assert workflows.stored_predictions(spark, f"{root}/nowhere").count() == 0
 
 
+def test_training_folders_are_named_by_their_rows(spark, trained):
+    root, _, _ = trained
+    name = workflows.training_folder(spark, f"{root}/sets/*", "/out/").rsplit("/", 1)[1]
+    parsed = runs.parse_runs(spark.createDataFrame([(name,)], "name string")).first()
+    assert (parsed["symbol"], parsed["timeframe"], parsed["mode"], parsed["start_day"]) == ("EURUSD", "H1", "walk_forward", None)
+    run = runs.parse_runs(spark.createDataFrame([("US_500.x_M30_2024-01-01_2024-02-09_20240301T000000Z",)], "name string")).first()
+    assert (run["symbol"], run["timeframe"], run["mode"], run["start_day"], run["end_day"]) == ("US_500.x", "M30", None, "20240101", "20240209")
+
+
 def test_numbers_round_by_their_names():
     got = workflows.rounded({"a": {"win_rate": 12.3456, "sharpe": 1.23456}, "x": float("inf"), "n": 3})
     assert got == {"a": {"win_rate": 12.35, "sharpe": 1.2346}, "x": None, "n": 3} and json.dumps(got)

@@ -22,6 +22,7 @@ def main(args: list[str] | None = None) -> None:
     train.add_argument("out")
     train.add_argument("--target", default="label_positive")
     train.add_argument("--trees", type=int, default=400)
+    train.add_argument("--named", action="store_true", help="store below OUT in a folder named by series, days and time")
     analyse = sub.add_parser("analyse", help="classification metrics of stored trainings")
     analyse.add_argument("runs")
     analyse.add_argument("out")
@@ -31,7 +32,7 @@ def main(args: list[str] | None = None) -> None:
 
     from tidemark.operators.model import TrainConfig
     from tidemark.plans.config import ExecutionConfig, FeatureConfig
-    from tidemark.plans.workflows import run_analysis, run_simulation, run_training
+    from tidemark.plans.workflows import run_analysis, run_simulation, run_training, training_folder
     from tidemark.sources.bars import read_bars
 
     spark = SparkSession.builder.appName("tidemark").config("spark.sql.session.timeZone", "UTC").getOrCreate()
@@ -41,7 +42,8 @@ def main(args: list[str] | None = None) -> None:
     elif got.command == "analyse":
         run_analysis(spark, got.runs, got.out)
     else:
-        run_training(spark, got.data, got.out, TrainConfig(target=got.target, trees=got.trees))
+        out = training_folder(spark, got.data, got.out) if got.named else got.out
+        run_training(spark, got.data, out, TrainConfig(target=got.target, trees=got.trees))
 
 
 if __name__ == "__main__":

@@ -75,6 +75,16 @@ def run_training(spark: SparkSession, pattern: str, folder: str, cfg: TrainConfi
     return run
 
 
+def training_folder(spark: SparkSession, pattern: str, root: str) -> str:
+    """Folder below ``root`` for a training on these data sets, named as ``stored_predictions`` looks for it.
+
+    Its name has the symbol and timeframe (``ALL`` where there are several) and the time.
+    """
+    seen = dataset.load_training_data(spark, pattern).agg(F.min("symbol").alias("s1"), F.max("symbol").alias("s2"), F.min("timeframe").alias("t1"), F.max("timeframe").alias("t2")).first()
+    symbol, timeframe = (seen[f"{c}1"] if seen[f"{c}1"] == seen[f"{c}2"] else "ALL" for c in "st")
+    return f"{root.rstrip('/')}/{runs.training_name(symbol, timeframe)}"
+
+
 def rounded(value, name: str = ""):
     """A nested figure rounded by its names, as ``sinks.display`` rounds columns; infinite and undefined ones become None."""
     if isinstance(value, dict):

@@ -10,20 +10,29 @@ from pyspark.sql import functions as F
 from tidemark.operators.analytics import normalise
 from tidemark.sources.stores import optional_table
 
-#: Name of a run folder: symbol, timeframe, first and last day, time of the run (fixed pattern).
-RUN = r"^([A-Za-z0-9.]+)_([A-Z]+[0-9]+)_([0-9]{8})_([0-9]{8})_([0-9]{8}T?[0-9]{6})Z?$"
+#: Name of a run folder: symbol, timeframe, first and last day, time of the run; and of a training: symbol, timeframe, mode, time (fixed patterns).
+RUN = r"^(.+?)_([A-Z0-9]+)_([0-9]{4}-?[0-9]{2}-?[0-9]{2})_([0-9]{4}-?[0-9]{2}-?[0-9]{2})_([0-9]{8}T?[0-9]{6})Z?$"
+TRAINED = r"^(.+?)_([A-Z0-9]+)_([A-Za-z0-9_]+)_([0-9]{8}T?[0-9]{6})Z?$"
+MODE = "walk_forward"
 
 
 def run_name(symbol: str, timeframe: str, start, end, now: datetime | None = None) -> str:
     """Folder name of a run."""
-    day = lambda x: str(x)[:10].replace("-", "")
-    return f"{symbol}_{timeframe}_{day(start)}_{day(end)}_{(now or datetime.now(timezone.utc)):%Y%m%dT%H%M%S}Z"
+    return f"{symbol}_{timeframe}_{str(start)[:10]}_{str(end)[:10]}_{(now or datetime.now(timezone.utc)):%Y%m%dT%H%M%S}Z"
+
+
+def training_name(symbol: str, timeframe: str, now: datetime | None = None) -> str:
+    """Folder name of a training."""
+    return f"{symbol}_{timeframe}_{MODE}_{(now or datetime.now(timezone.utc)):%Y%m%dT%H%M%S}Z"
 
 
 def parse_runs(names: DataFrame, column: str = "name") -> DataFrame:
-    """Run names with their parts; names of another form have NULL parts."""
-    parts = {p: F.regexp_extract(column, RUN, k) for k, p in enumerate(("symbol", "timeframe", "start_day", "end_day", "stamp"), 1)}
-    return names.withColumns({p: F.when(F.col(column).rlike(RUN), x) for p, x in parts.items()})
+    """Names of runs and trainings with their parts (days as eight digits, mode of a training); names of another form have NULL parts."""
+    part = lambda pattern, k: F.when(F.col(column).rlike(pattern), F.regexp_extract(column, pattern, k))
+    day = lambda k: F.replace(part(RUN, k), F.lit("-"), F.lit(""))
+    both = {p: F.coalesce(part(RUN, a), part(TRAINED, b)) for p, a, b in (("symbol", 1, 1), ("timeframe", 2, 2), ("stamp", 5, 4))}
+    mode = F.when(~F.col(column).rlike(RUN), part(TRAINED, 3))
+    return names.withColumns(both | {"start_day": day(3), "end_day": day(4), "mode": mode})
 
 
 def run_versions(runs: DataFrame, column: str = "name") -> DataFrame:

@@ -130,17 +130,19 @@ def training_vectors(train: DataFrame, dims: int, rows: int) -> tuple[np.ndarray
                 for lo in range(0, len(part), 512):
                     some = part.slice(lo, 512)
                     found, letters = vectors(some, dims)
-                    yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at + lo, len(some)) for c in (0, 1)), pa.array(letters), pa.array([x.tobytes() for x in found], pa.binary())], ["lang", "h", "letters", "counts"])
+                    places = [np.flatnonzero(x).astype(np.uint16) for x in found]  # few places of a text are used
+                    counts = [x[at_].tobytes() for x, at_ in zip(found, places, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at + lo, len(some)) for c in (0, 1)), pa.array(letters), pa.array([x.tobytes() for x in places], pa.binary()), pa.array(counts, pa.binary())], ["lang", "h", "letters", "places", "counts"])
 
-    got = chosen.select("lang", "h", "text").mapInArrow(run, "lang string, h long, letters long, counts binary").toArrow().sort_by([("h", "ascending"), ("lang", "ascending")])
+    got = chosen.select("lang", "h", "text").mapInArrow(run, "lang string, h long, letters long, places binary, counts binary").toArrow().sort_by([("h", "ascending"), ("lang", "ascending")])
     langs, seen, take = got["lang"].to_pylist(), dict.fromkeys(parts, 0), []
     for k, name in enumerate(langs):
         seen[name] += 1
         if seen[name] <= parts[name]:
             take.append(k)
-    found = np.empty((len(take), dims), np.float32)
+    found = np.zeros((len(take), dims), np.float32)
     for row, k in enumerate(take):
-        found[row] = np.frombuffer(got["counts"][k].as_buffer(), np.float32)
+        found[row, np.frombuffer(got["places"][k].as_buffer(), np.uint16)] = np.frombuffer(got["counts"][k].as_buffer(), np.float32)
     return found, got["letters"].to_numpy()[take], np.array([langs[k] for k in take])
 
 

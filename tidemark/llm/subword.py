@@ -17,7 +17,7 @@ import pyarrow as pa
 #: Longest text, in bytes, that one step of the vectorised split handles at once (a longer single text makes its own step).
 STEP_BYTES = 2 << 20
 #: Distinct pre-tokens remembered by one worker before it starts over.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 250_000
 
 _OTHER, _LETTER, _NUMBER, _SPACE, _END, _NEWER = range(6)
 

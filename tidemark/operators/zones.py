@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.series import KEYS, confirmed_pivot, is_true, lag, last_bar, require, rolling_mean, series, true_range
+from tidemark.functions.series import KEYS, confirmed_pivot, is_true, lag, require, rolling_mean, series, true_range
 from tidemark.plans.config import ZoneConfig
 
 ZONE = ("top", "bottom", "entry", "stop", "width_pips", "stop_pips")

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import series as S
 from tidemark.functions.ordering import row_numbers
 from tidemark.functions.tables import materialise
 from tidemark.operators import analytics, classification, dataset, execution, model, performance, ranking, zones
-from tidemark.plans.catalogue import FLAGS, KEY, PIP, SETTINGS, _bars, _features, _folded, _predicted, _rounded, _trades
+from tidemark.plans.catalogue import KEY, PIP, SETTINGS, _bars, _features, _folded, _predicted, _rounded, _trades
 from tidemark.plans.config import DEMO_EXECUTION
 from tidemark.plans.pipeline import DEFAULTS, build_features
 from tidemark.sources import bars as bar_source

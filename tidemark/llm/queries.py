@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decision_list, isomedia, langid, license_join, line_dedup, mixing, near_dup, packing, rans, token_counts
+from . import curve_search, decision_list, isomedia, langid, lexical_search, license_join, line_dedup, mixing, near_dup, packing, rans, token_counts, whitening
 
 BYTE_BPE, BYTE_BPE_SIZE = "byte_bpe_50k.json", 50_257
 
@@ -80,6 +80,21 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every benchmark item."""
+    return lexical_search.search(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings on the first 32 whitened components."""
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_curve_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty nearest of all embeddings for every twentieth one."""
+    return curve_search.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline over all documents."""
     import corpus_pipeline
@@ -103,10 +118,28 @@ SELECT doc_id, CAST(n AS INTEGER) AS lines_removed, coalesce(t, '') AS text_left
 #: SQL twin of op4's columns can't be given: DuckDB has no crc32 and writes no media boxes.
 
 
+#: SQL twin of op11: postings of the asked terms only, statistics over all terms.
+OP11_SQL = r"""
+WITH low AS (SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+words AS (SELECT doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM low WHERE t IS NOT NULL),
+sizes AS (SELECT count(*) FILTER (len(ws) > 0) AS n_docs, CAST(sum(len(ws)) AS BIGINT) AS n_terms FROM words),
+asked AS (SELECT item_id, term, count(*) AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY ALL),
+held AS (SELECT doc_id, term, count(*) AS tf, any_value(n) AS n FROM (SELECT doc_id, len(ws) AS n, unnest(ws) AS term FROM words)
+         WHERE term IN (SELECT term FROM asked) GROUP BY doc_id, term),
+weights AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(n_docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM held, sizes GROUP BY term),
+hits AS (SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms))) AS impact FROM held JOIN weights USING (term), sizes),
+sums AS (SELECT item_id, doc_id, CAST(sum(times * impact) AS BIGINT) AS score FROM asked JOIN hits USING (term) GROUP BY item_id, doc_id HAVING sum(times * impact) > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM sums) WHERE rank <= 10
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_rans, op2_mixing, op3_line_dedup, op4_media, op5_packing, op6_decision_list, op7_licenses, op8_token_counts, op9_near_dup, op10_language)
+    own = (op1_rans, op2_mixing, op3_line_dedup, op4_media, op5_packing, op6_decision_list, op7_licenses, op8_token_counts, op9_near_dup, op10_language, op11_lexical_search, op12_whitening, op13_curve_search)
     return {f.__name__: f for f in own} | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL}
+    return {"op3_line_dedup": OP3_SQL, "op11_lexical_search": OP11_SQL}

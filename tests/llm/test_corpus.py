@@ -264,21 +264,28 @@ def test_licenses(spark, empty):
     assert license_join.scan(empty).count() == 0
 
 
-def test_license_join_equals_brute_force(spark):
-    r = random.Random(4)
+@pytest.mark.parametrize("length", [1, 2, 4, 5, 6, 7, 20, 60, 99, 100, 101, 102, 150, 200, 300])
+def test_lines_of_any_length(spark, length):
+    """A line's length and breaks decide nothing: windows alone do."""
+    r = random.Random(length)
     vocabulary = sorted({w for t in license_join.TEMPLATES.values() for x in t for w in x.split()})
-    rows = [(k, "\n".join(" ".join(r.choices(vocabulary if r.random() < 0.5 else r.choice(r.choice(list(license_join.TEMPLATES.values()))).split(), k=r.randrange(1, 25))) for _ in range(4))) for k in range(60)]
-    got = {(x["doc_id"], x["block"], x["license"], x["template"]): round(x["containment"], 9) for x in license_join.similar_blocks(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"]).collect()}
-    want = {}
-    for k, text in rows:
-        for block, line in enumerate(text.split("\n")):
-            for name, templates in license_join.TEMPLATES.items():
-                for number, t in enumerate(templates):
-                    own = set(t.split())
-                    share = len(own & set(line.split())) / len(own)
-                    if share >= 0.8:
-                        want[k, block, name, number] = round(share, 9)
-    assert got == want and want
+    notice = "released under the mit license".split()
+    rows, spread = [], words(length, 7)
+    for k, w in enumerate(notice):  # the same words all over a line
+        spread[k * length // len(notice)] = w
+    rows.append((0, " ".join(spread)))
+    at = r.randrange(max(1, length - 4))
+    rows.append((1, " ".join([*words(length, 8)[:at], *notice, *words(length, 9)[at + 5 :]])))
+    rows += [(k, " ".join(r.choices(vocabulary if k % 2 else r.choice(r.choice(list(license_join.TEMPLATES.values()))).split(), k=length))) for k in range(2, 14)]
+    rows += [(k + 100, re.sub(" ", lambda _: r.choice(" \n"), t)) for k, t in rows]
+    got, table = {}, spark.createDataFrame(rows, "doc_id long, text string")
+    for x in license_join.similar_windows(table, ["doc_id"]).collect():
+        place = (x["doc_id"], x["license"], x["template"])
+        got[place] = max(got.get(place, 0), round(x["containment"], 9))
+    assert got == {(k, n, t): c for k, text in rows for n, t, c in windows_by_force(text)}
+    labels = {x["doc_id"]: (x["labels"], x["score"]) for x in license_join.scan(table.where("doc_id < 2")).collect()}
+    assert labels[1] == ("mit", 1.0)
+    assert length < 8 or labels[0] == ("", 0.0)
 
 
 def wrapped(notice, width):

@@ -1,16 +1,16 @@
 """License scans: exact set-similarity join of text blocks with license templates.
 
-Blocks are lines of at most ``LINE_WORDS`` words, and windows of words that ignore
-line breaks, so that wrapped notices are found too, and notices in long lines,
-which hold many words of a template by chance. A window is as long as a template
-that has ``percent`` of its words. A template is found in a block when the block holds at least
-``percent`` of the template's distinct words. Words of the templates are ordered
-by the number of texts of the corpus that hold them, rare ones first. A block
-that holds enough of a template holds one of its first ``size - need + 1`` words
-(prefix filter), at least ``need`` words of any template (length filter), and
-from the first shared word on, both sides still have enough words left
-(positional filter). What passes is verified by the exact intersection. All
-steps are DataFrame operations; only the template words are held by every task.
+Blocks are windows of words, whatever the line breaks, so wrapped notices and
+notices in long lines are found alike. A window is as long as a template that has
+``percent`` of its words. A template is found in a block when the block holds at
+least ``percent`` of the template's distinct words. Words of the templates are
+ordered by the number of texts of the corpus that hold them, rare ones first. A
+block that holds enough of a template holds one of its first ``size - need + 1``
+words (prefix filter), so only windows around such a word are looked at, and only
+if the words on either side of it hold enough of the template (length filter). A
+window starts at a word of the template and reaches the prefix word (positional
+filter). What passes is verified by the exact intersection. All steps are DataFrame
+operations; only the template words are held by every task.
 """
 
 from __future__ import annotations
@@ -18,8 +18,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import stored
-
 #: Notices by license (fixed values: wording of public license notices).
 TEMPLATES = {
     "agpl-3": ["licensed under the gnu affero general public license version 3"],
@@ -38,8 +36,6 @@ TEMPLATES = {
 PHRASES = {"apache license version 2": "apache-2", "cc by nc": "cc-by-nc", "under the mit license": "mit"}
 _BETWEEN = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 PERCENT = 80
-#: Words of the longest line that is a block by itself.
-LINE_WORDS = 100
 
 
 def words_of(text: Column) -> Column:
@@ -62,53 +58,15 @@ def word_order(docs: DataFrame, templates: dict[str, list[str]]) -> list[str]:
     return sorted(vocabulary, key=lambda w: (found.get(w, 0), w))
 
 
-def similar_blocks(docs: DataFrame, key: list[str], templates: dict[str, list[str]] | None = None, percent: int = PERCENT, order: list[str] | None = None) -> DataFrame:
-    """All (line, template) pairs at the containment threshold.
-
-    Returns the key columns, block (line number from 0), license, template
-    (number among its license's), containment (0 to 1) and words (the template's
-    words in the line). Null and empty texts have no block, longer lines are none. Repeated rows give
-    their pairs once for each key. ``order``: what ``word_order`` returns.
-    """
-    templates = TEMPLATES if templates is None else templates
-    order = word_order(docs, templates) if order is None else order
-    rank = {w: k for k, w in enumerate(order)}
-    rows, firsts, least = [], set(), None
-    for name, texts in sorted(templates.items()):
-        for number, text in enumerate(texts):
-            ranks = sorted({rank[w] for w in text.split()})
-            need = -(-len(ranks) * percent // 100)
-            least = need if least is None else min(least, need)
-            for place, r in enumerate(ranks[: len(ranks) - need + 1]):
-                firsts.add(r)
-                rows.append((r, name, number, place, len(ranks), need, ranks))
-    spark = docs.sparkSession
-    index = spark.createDataFrame(rows, "rank int, license string, template int, t_place int, t_size int, need int, t_ranks array<int>")
-    prefix_words = _strings([order[r] for r in sorted(firsts)])
-    own = docs.where(F.arrays_overlap(words_of(F.col("text")), prefix_words))
-    blocks = own.select(*key, F.posexplode(F.split("text", "\n")).alias("block", "line"))
-    # template words of a block by rank; other words change no containment
-    ranks = F.sort_array(F.transform(F.array_intersect("ws", _strings(order)), lambda w: (F.array_position(_strings(order), w) - 1).cast("int")))
-    blocks = blocks.select(*key, "block", words_of(F.col("line")).alias("ws")).where(F.size("ws") <= LINE_WORDS)
-    blocks = blocks.select(*key, "block", ranks.alias("b_ranks")).where(F.size("b_ranks") >= F.lit(least or 0))
-    tokens = blocks.select(*key, "block", "b_ranks", F.posexplode("b_ranks").alias("b_place", "rank"))
-    enough = F.least(F.col("t_size") - F.col("t_place"), F.size("b_ranks") - F.col("b_place")) >= F.col("need")
-    pairs = tokens.join(F.broadcast(index), "rank").where(enough).select(*key, "block", "license", "template", "t_size", "need", "b_ranks", "t_ranks").distinct()
-    shared = F.array_intersect("b_ranks", "t_ranks")
-    words = F.transform(shared, lambda r: F.get(_strings(order), r))
-    return pairs.where(F.size(shared) >= F.col("need")).select(*key, "block", "license", "template", (F.size(shared) / F.col("t_size")).alias("containment"), words.alias("words"))
-
-
 def similar_windows(docs: DataFrame, key: list[str], templates: dict[str, list[str]] | None = None, percent: int = PERCENT, order: list[str] | None = None) -> DataFrame:
     """Places of all templates at the containment threshold, whatever the line breaks.
 
     A place is the best window around a word of a template's prefix: the one with
     most of its words, of those the shortest. Windows have at most 100 / ``percent``
     times the template's number of words. Returns the key columns, license,
-    template, first and last (word numbers in the text, from 0), containment, held
-    (containment of the part around the place in its lines, up to a window on
-    either side) and words (array of the template's words at the place as structs
-    (at, block, w)). Repeated rows give their places once for each key.
+    template, first and last (word numbers in the text, from 0), containment and
+    words (array of the template's words at the place, each after its word number).
+    Null and empty texts have no place. Repeated rows give their places once for each key.
     """
     templates = TEMPLATES if templates is None else templates
     order = word_order(docs, templates) if order is None else order
@@ -124,64 +82,48 @@ def similar_windows(docs: DataFrame, key: list[str], templates: dict[str, list[s
     index = docs.sparkSession.createDataFrame(rows, "prefix string, license string, template int, span int, need int, t_words array<string>")
     prefixes = sorted({r[0] for r in rows})
     own = docs.where(F.arrays_overlap(words_of(F.col("text")), _strings(prefixes)))
-    # all words of a text with their lines
-    lines = F.transform(F.split("text", "\n"), lambda line, k: F.transform(words_of(line), lambda w: F.struct(k.alias("block"), w.alias("w"))))
-    own = own.select(*key, F.flatten(lines).alias("all"))
-    at = F.filter(F.sequence(F.lit(0), F.size("all") - 1), lambda i: F.get("all", i)["w"].isin(prefixes))
+    own = own.select(*key, words_of(F.col("text")).alias("all"))
+    at = F.filter(F.sequence(F.lit(0), F.size("all") - 1), lambda i: F.get("all", i).isin(prefixes))
     start = lambda i: F.greatest(F.lit(0), i - (widest - 1))
     near = F.transform(at, lambda i: F.struct(i.alias("at"), start(i).alias("start"), F.slice("all", start(i) + 1, i - start(i) + widest).alias("part")))
-    near = own.select(*key, F.explode(near).alias("n")).select(*key, "n.at", "n.start", "n.part", F.get("n.part", F.col("n.at") - F.col("n.start"))["w"].alias("prefix"))
+    near = own.select(*key, F.explode(near).alias("n")).select(*key, "n.at", "n.start", "n.part", F.get("n.part", F.col("n.at") - F.col("n.start")).alias("prefix"))
     pairs = near.join(F.broadcast(index), "prefix")
-    pairs = pairs.where(F.size(F.array_intersect(F.transform("part", lambda x: x["w"]), "t_words")) >= F.col("need"))
+    pairs = pairs.where(F.size(F.array_intersect("part", "t_words")) >= F.col("need"))
     # windows that hold the prefix word and start with a word of the template
     low, high = F.greatest(F.lit(0), F.col("at") - F.col("start") - F.col("span") + 1), F.col("at") - F.col("start")
-    starts = F.filter(F.sequence(low, high), lambda i: F.array_contains("t_words", F.get("part", i)["w"]))
-    windows = F.transform(starts, lambda i: F.struct(i.alias("i"), F.transform(F.slice("part", i + 1, F.col("span")), lambda x: x["w"]).alias("ws")))
+    starts = F.filter(F.sequence(low, high), lambda i: F.array_contains("t_words", F.get("part", i)))
+    windows = F.transform(starts, lambda i: F.struct(i.alias("i"), F.slice("part", i + 1, F.col("span")).alias("ws")))
     windows = F.transform(windows, lambda x: F.struct(x["i"].alias("i"), x["ws"].alias("ws"), F.array_intersect(x["ws"], F.col("t_words")).alias("hits")))
     # shorter first: less the place of the last of the distinct words
     ranked = F.transform(windows, lambda x: F.struct(F.size(x["hits"]).alias("n"), (-F.array_position(x["ws"], F.element_at(x["hits"], -1))).cast("int").alias("short"), (-x["i"]).alias("early")))
     best = pairs.select(*key, "license", "template", "start", "part", "need", "t_words", F.array_max(ranked).alias("b")).where(F.col("b.n") >= F.col("need"))
     first = -F.col("b.early")
     last = first - F.col("b.short") - 1
-    size = F.size("t_words")
-    touched = lambda x: (x["block"] >= F.get("part", first)["block"]) & (x["block"] <= F.get("part", last)["block"])
-    held = F.size(F.array_intersect(F.transform(F.filter("part", touched), lambda x: x["w"]), "t_words"))
-    words = F.transform(F.slice("part", first + 1, last - first + 1), lambda x, k: F.struct((F.col("start") + first + k).alias("at"), x["block"].alias("block"), x["w"].alias("w")))
-    words = F.filter(words, lambda x: F.array_contains("t_words", x["w"]))
-    found = best.select(*key, "license", "template", (F.col("start") + first).alias("first"), (F.col("start") + last).alias("last"), (F.col("b.n") / size).alias("containment"), (held / size).alias("held"), words.alias("words"))
+    words = F.transform(F.slice("part", first + 1, last - first + 1), lambda w, k: F.struct((F.col("start") + first + k).alias("at"), w.alias("w")))
+    words = F.transform(F.filter(words, lambda x: F.array_contains("t_words", x["w"])), lambda x: F.concat_ws(" ", x["at"], x["w"]))
+    found = best.select(*key, "license", "template", (F.col("start") + first).alias("first"), (F.col("start") + last).alias("last"), (F.col("b.n") / F.size("t_words")).alias("containment"), words.alias("words"))
     # one place for all prefix words around it
-    return found.groupBy(*key, "license", "template", "first", "last").agg(F.max("containment").alias("containment"), F.max("held").alias("held"), F.first("words").alias("words"))
+    return found.groupBy(*key, "license", "template", "first", "last").agg(F.max("containment").alias("containment"), F.first("words").alias("words"))
 
 
 def found_licenses(docs: DataFrame, key: list[str], templates: dict[str, list[str]] | None = None, percent: int = PERCENT) -> DataFrame:
-    """Licenses of all lines and windows: the key columns, more (array of licenses) and best (largest containment).
+    """Licenses of all windows: the key columns, more (array of licenses) and best (largest containment).
 
     Notices of related licenses share most of their words, so a template is left
-    out where another license's holds more and has all of its words at that very place
-    (in a line: all of its words there). Others in the block stay.
+    out where another license's holds more and has all of its words at that very
+    place. Others stay.
     """
     templates = TEMPLATES if templates is None else templates
-    order = word_order(docs, templates)
-    lines = similar_blocks(docs, key, templates, percent, order)
-    places = stored(similar_windows(docs, key, templates, percent, order), "licenses")
+    places = similar_windows(docs, key, templates, percent, word_order(docs, templates))
     reach = max((-(-len(t.split()) * 100 // percent) for texts in templates.values() for t in texts), default=1)
-
-    def kept(rows: DataFrame, group: str) -> DataFrame:
-        """Licenses of the judged rows of each group that no better row of it covers."""
-        each = rows.groupBy(*key, group).agg(F.collect_set(F.struct("judged", "license", "c", "held", "words")).alias("m"))
-        covers = lambda b, m: (b["license"] != m["license"]) & (b["held"] > m["held"]) & (F.size(F.array_except(m["words"], b["words"])) == 0)
-        own = F.filter("m", lambda m: m["judged"] & ~F.exists("m", lambda b: covers(b, m)))
-        return each.select(*key, F.transform(own, lambda m: m["license"]).alias("own"), F.array_max(F.transform("m", lambda m: m["c"])).alias("c"))
-
     # a place meets all that overlap it in the group of its first word, as it reaches into two groups at most
     own_group, end_group = F.floor(F.col("first") / reach), F.floor(F.col("last") / reach)
-    spots = places.select(*key, "license", F.col("containment").alias("c"), "held", F.transform("words", lambda x: F.concat_ws(" ", x["at"], x["w"])).alias("words"), own_group.alias("own_group"), F.explode(F.array_distinct(F.array(own_group, end_group))).alias("group"))
-    in_text = kept(spots.withColumn("judged", F.col("group") == F.col("own_group")), "group")
-    parts = places.select(*key, "license", F.col("containment").alias("c"), "held", F.explode("words").alias("x"), "first", "template").groupBy(*key, "license", "template", "first", "c", "held", F.col("x.block").alias("block")).agg(F.collect_set("x.w").alias("words"))
-    parts = parts.select(*key, "block", F.lit(False).alias("judged"), "license", "c", "held", "words")
-    own = lines.select(*key, "block", F.lit(True).alias("judged"), "license", F.col("containment").alias("c"), F.col("containment").alias("held"), "words")
-    in_lines = kept(own.unionByName(parts), "block")
-    return in_text.unionByName(in_lines).groupBy(*key).agg(F.array_distinct(F.flatten(F.collect_list("own"))).alias("more"), F.max("c").alias("best"))
+    spots = places.select(*key, "license", F.col("containment").alias("c"), "words", own_group.alias("own_group"), F.explode(F.array_distinct(F.array(own_group, end_group))).alias("group"))
+    each = spots.groupBy(*key, "group").agg(F.collect_set(F.struct((F.col("group") == F.col("own_group")).alias("judged"), "license", "c", "words")).alias("m"))
+    covers = lambda b, m: (b["license"] != m["license"]) & (b["c"] > m["c"]) & (F.size(F.array_except(m["words"], b["words"])) == 0)
+    own = F.filter("m", lambda m: m["judged"] & ~F.exists("m", lambda b: covers(b, m)))
+    found = each.select(*key, F.transform(own, lambda m: m["license"]).alias("own"), F.array_max(F.transform("m", lambda m: m["c"])).alias("c"))
+    return found.groupBy(*key).agg(F.array_distinct(F.flatten(F.collect_list("own"))).alias("more"), F.max("c").alias("best"))
 
 
 def _places(words: Column, phrase: list[str], label: str) -> Column:

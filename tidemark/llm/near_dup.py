@@ -36,13 +36,13 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .shingles import shingle_sets
-from .skew import attach_large, frequent_keys, join_unique
+from .skew import attach_large, join_unique
 from .storage import drop, stored
 from .subword import byte_view, steps, text_column
 
 SKETCH = 64
 STEP_BYTES = 2 << 20
-#: Members of an exact prefix list that are compared with the whole list in one task.
+#: Members of a class of an exact prefix list that meet as many of another class in one task.
 LIST_BLOCK = 1000
 
 
@@ -141,10 +141,34 @@ def prefix_lists(reps: DataFrame, k: int, percent: int) -> DataFrame:
     return lists
 
 
+def class_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes of list members that can hold a pair at the similarity and of different components.
+
+    A class of a list holds the members of one set size and one place of the
+    list's value. ``rows`` is (v, node, root, size, place). Returns v, and
+    for both classes (x before y by size and place) size, place and m (members).
+    """
+    each = rows.groupBy("v", "size", "place").agg(F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high"))
+    # sizes at the similarity lie in the same class of sizes or in neighbouring ones
+    step = F.floor(F.log("size") / math.log(100 / percent * 1.05)).cast("int")
+    sides = lambda c: [F.col(k).alias(f"{c}_{k}") for k in ("size", "place", "m", "low", "high")]
+    each = stored(each.withColumn("step", step), "classes")
+    x = each.select("v", "step", *sides("x"))
+    y = each.select("v", F.explode(F.array(F.col("step"), F.col("step") - 1)).alias("step"), *sides("y"))
+    order = lambda c: F.struct(f"{c}_size", f"{c}_place")
+    most = F.least(F.col("x_size") - F.col("x_place"), F.col("y_size") - F.col("y_place"))
+    rule = most * (100 + percent) >= percent * (F.col("x_size") + F.col("y_size"))  # shared values of a pair at the similarity
+    rule &= (order("x") < order("y")) | ((order("x") == order("y")) & (F.col("x_m") > 1))
+    rule &= F.least("x_low", "y_low") != F.greatest("x_high", "y_high")
+    return x.join(y, ["v", "step"]).where(rule).select("v", *[f"{c}_{k}" for c in "xy" for k in ("size", "place", "m")])
+
+
 def cross_pairs(sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that the exact prefixes of their full sets leave possible.
 
     ``sets`` holds (node, hashes) and ``roots`` (node, root) of the same nodes.
+    Members of a list meet by classes of size and place, so pairs that these rule
+    out are never made; members of large classes meet in blocks.
     """
 
     def spread(batches):
@@ -160,18 +184,24 @@ def cross_pairs(sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     rows = shared.join(sets.select("node", n.alias("n")), "node").join(roots, "node")
     own = F.col("n") - F.size("vs")
     rows = rows.select("node", "root", "n", own.alias("own"), F.posexplode(F.slice("vs", 1, F.greatest(F.col("n") - need + 1 - own, F.lit(0)))).alias("at", "e"))
-    rows = rows.select(F.col("e.v").alias("v"), "node", "root", "n", (F.col("own") + F.col("at")).alias("place"))
-    rows = stored(rows, "prefixes")
-    long_lists = frequent_keys(rows.groupBy("v").agg(F.count("*").alias("n")), 2 * LIST_BLOCK)
-    blocks = F.broadcast(long_lists.select("v", F.ceil(F.col("n") / LIST_BLOCK).cast("int").alias("blocks")))
-    rows = rows.join(blocks, "v", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    sides = lambda c: [F.col(k).alias(f"{c}_{k}") for k in ("node", "root", "n", "place")]
-    x = rows.select("v", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), *sides("x"))
-    y = rows.select("v", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *sides("y"))
-    most = F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place"))
-    rule = (F.col("x_node") < F.col("y_node")) & (F.col("x_root") != F.col("y_root"))
-    rule &= most * (100 + percent) >= percent * (F.col("x_n") + F.col("y_n"))  # shared values of a pair at the similarity
-    return x.join(y, ["v", "block"]).where(rule).select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
+    rows = stored(rows.select(F.col("e.v").alias("v"), "node", "root", F.col("n").alias("size"), (F.col("own") + F.col("at")).alias("place")), "prefixes")
+    live = stored(class_pairs(rows, percent), "classes")
+
+    def members(side: str, other: str) -> DataFrame:
+        """Members of the side's classes, each in its own block of every pair of classes and in all blocks of the other side."""
+        pair = F.struct(*[f"{c}_{k}" for c in "xy" for k in ("size", "place", "m")])
+        classes = live.groupBy("v", F.col(f"{side}_size").alias("size"), F.col(f"{side}_place").alias("place"))
+        classes = stored(classes.agg(F.first(f"{side}_m").alias("n"), F.collect_list(pair).alias("pairs")), "classes")
+        found = join_unique(rows, classes, ["v", "size", "place"]).select("v", "node", "root", F.explode("pairs").alias("p"))
+        blocks = lambda c: F.ceil(F.col(f"p.{c}_m") / LIST_BLOCK)
+        mine = F.pmod(F.xxhash64("node"), blocks(side)).cast("int")
+        keys = [F.col(f"p.{c}_{k}").alias(f"{c}_{k}") for c in "xy" for k in ("size", "place")]
+        return found.select("v", *keys, mine.alias(f"{side}_block"), F.explode(F.sequence(F.lit(0), (blocks(other) - 1).cast("int"))).alias(f"{other}_block"), F.col("node").alias(f"{side}_node"), F.col("root").alias(f"{side}_root"))
+
+    both = members("x", "y").join(members("y", "x"), ["v", "x_size", "x_place", "y_size", "y_place", "x_block", "y_block"])
+    twice = (F.col("x_size") == F.col("y_size")) & (F.col("x_place") == F.col("y_place")) & (F.col("x_node") >= F.col("y_node"))
+    found = both.where(~twice & (F.col("x_root") != F.col("y_root")))
+    return found.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int = SKETCH) -> DataFrame:

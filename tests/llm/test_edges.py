@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import decision_list, isomedia, langid, license_join, line_dedup, near_dup, packing, rans, skew, storage, token_counts
+from tidemark.llm import decision_list, isomedia, langid, license_join, line_dedup, mixing, near_dup, packing, rans, skew, storage, token_counts
 
 from helpers import SF, VOCABULARY, groups_by_force, library, words
 
@@ -28,7 +28,6 @@ def frequent_at_two(monkeypatch):
     real = skew.frequent_keys
     few = lambda counts, least, most=skew.MOST_KEYS: real(counts, 2, most)
     monkeypatch.setattr(skew, "frequent_keys", few)
-    monkeypatch.setattr(near_dup, "frequent_keys", few)
     monkeypatch.setattr(near_dup, "LIST_BLOCK", 3)
 
 
@@ -62,6 +61,30 @@ def test_cross_pairs_in_blocks_lose_none(spark, frequent_at_two):
     assert want and want <= got and all(a // 2 != b // 2 for a, b in got)
 
 
+@pytest.mark.parametrize("percent", [50, 80, 95])
+def test_classes_lose_no_pair(spark, percent):
+    """Pairs of classes are those that hold two members that size and place leave possible, in different components."""
+    r = random.Random(percent)
+    rows = [(v, k, r.randrange(6) if v else 0, r.choice((1, 2, 8, 10, 40, 50)), r.randrange(4)) for v in range(6) for k in range(r.randrange(1, 30))]
+    rows = [x for x in rows if x[4] < x[3]]
+    found = {tuple(x) for x in near_dup.class_pairs(spark.createDataFrame(rows, "v long, node long, root long, size int, place int"), percent).select("v", "x_size", "x_place", "y_size", "y_place").collect()}
+    want = set()
+    for v, n, root, size, place in rows:
+        for v2, n2, root2, size2, place2 in rows:
+            if v == v2 and n != n2 and root != root2 and (size, place) <= (size2, place2) and min(size - place, size2 - place2) * (100 + percent) >= percent * (size + size2):
+                want.add((v, size, place, size2, place2))
+    assert want <= found and want
+    assert not [x for x in found - want if x[0] == 0]
+
+
+def test_templated_texts_make_no_pairs(spark):
+    """Short texts that share all words but one: one long list, no pair of it can reach the similarity."""
+    sets = [[*range(6), 1000 + k] for k in range(3000)]
+    table = spark.createDataFrame([(k, bytearray(np.array(s, "<i8").tobytes())) for k, s in enumerate(sets)], "node long, hashes binary")
+    roots = spark.range(3000).selectExpr("id AS node", "id AS root")
+    assert near_dup.cross_pairs(table, roots, 80).count() == 0
+
+
 def test_line_windows_that_are_frequent(spark, frequent_at_two):
     rows = [(k, "\n".join(["h1", "h2", "h3", *(f"own {k} {j}" for j in range(k % 4)), *(["t1", "t2", "t3", "t4"] if k % 2 else [])])) for k in range(30)]
     seen, want = set(), {}
@@ -279,3 +302,55 @@ def test_the_whole_pipeline(spark):
     got = cp.run(spark, SF)
     assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got.collect()) == want
     assert len(storage._made) == before + 1  # the result alone is left
+
+
+ODD_NAMES = ["Rate", "Lang_Pred", "N_Words", "LINES_REMOVED", "tm_at", "tm_doc", "meta.url", "a`b", "Text", "DOC_ID", "tm_0", "Kept", "taken "]
+
+
+@pytest.fixture(scope="module")
+def oddly_named(spark):
+    """Documents with columns whose names differ from results only in case, hold dots or look internal."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    return docs.select("*", *[F.concat(F.lit(f"{n}:"), F.col("doc_id")).alias(n) for n in ODD_NAMES]).persist()
+
+
+def kept_as_they_were(out, names, at):
+    """Every named column holds what its row had."""
+    rows = out.toDF(*[f"c{i}" for i in range(len(out.columns))]).collect()
+    places = [out.columns.index(n) for n in names]
+    return rows and all(r[p] == f"{n}:{r[at]}" for r in rows for n, p in zip(names, places, strict=True))
+
+
+def test_operators_on_odd_names(spark, oddly_named):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    free = lambda made: [n for n in ODD_NAMES if n.lower() not in made]
+    found = langid.identify(oddly_named, langid.fit(spark.read.parquet(f"{SF}/documents.parquet")))
+    assert "Lang_Pred" not in found.columns and found.columns[-3:] == ["lang_pred", "lang_score", "lang_rejected"]
+    assert kept_as_they_were(found, free({"lang_pred"}), 0)
+    lines = line_dedup.dedup_lines(oddly_named)
+    assert [c for c in lines.columns if c.lower() == "lines_removed"] == ["lines_removed"]
+    assert kept_as_they_were(lines, free({"lines_removed"}), 0)
+    judged = decision_list.judge(oddly_named, labels, keep=oddly_named.columns)
+    assert [c for c in judged.columns if c.lower() in ("n_words", "kept")] == ["n_words", "kept"]
+    assert kept_as_they_were(judged, free({"n_words", "kept"}), 0)
+    mixed = mixing.mix(oddly_named, mixing.label_domains(labels), keep=oddly_named.columns)
+    assert [c for c in mixed.columns if c.lower() == "rate"] == ["rate"]
+    assert kept_as_they_were(mixed, free({"rate"}), 0)
+
+
+def test_stages_on_odd_names(spark, oddly_named):
+    import corpus_pipeline as cp
+
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, oddly_named, SF)
+        assert out.columns == oddly_named.columns, name
+        assert kept_as_they_were(out, ODD_NAMES, 0), name
+    assert cp.STAGES[-1][1](spark, oddly_named, SF).select("doc_id").distinct().count() == oddly_named.count()
+
+
+def test_labels_of_unknown_documents_use_up_no_sample(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "TRAIN_ROWS", 60)
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), mixing.label_domains(spark.read.parquet(f"{SF}/labels.parquet"))
+    strange = spark.range(10**6, 10**6 + 5000).selectExpr("id AS doc_id", "'good' AS domain")
+    a, b = (sorted(map(tuple, mixing.mix(docs, x).select("doc_id", "rate").collect())) for x in (labels, labels.unionByName(strange)))
+    assert a == b

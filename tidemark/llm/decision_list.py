@@ -17,6 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .columns import REST, carried, kept_column, place_of, without
 from .skew import smallest_hashes
 from .storage import drop, stored
 
@@ -218,14 +219,16 @@ def judge(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None) ->
 
     Returns ``keep`` (by default doc_id), the statistics, base_failed, rule
     (number of the rule that rejects the text, 0: none) and kept. Kept columns of
-    these names are replaced by the results; names that start with ``tm_`` are
-    reserved. Labels are (doc_id, quality); repeated labels of a document count
+    these names, in any case, are replaced by the results. Labels are (doc_id, quality); repeated labels of a document count
     each time. Null and empty texts fail the base. Repeated rows are judged alike;
     an empty table gives no rows.
     """
-    made = {*FEATURES, "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rule", "kept"}
-    keep = [c for c in keep or ["doc_id"] if c not in made]
-    stats = stored(with_statistics(docs.withColumn("tm_id", F.col("doc_id")), ["tm_id", *keep]), "statistics")
+    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *[f for f in FEATURES if f != "n_words"], "base_failed", "rule", "kept"]
+    columns, keep = docs.columns, without(keep or ["doc_id"], made)
+    docs = carried(docs, "doc_id", "text").withColumn("tm_id", F.col("doc_id"))
+    plain = ["doc_id", *(["text"] if any(place_of(columns, c) == place_of(columns, "text") for c in keep) else [])]
+    rest = [REST] if any(place_of(columns, c) not in (place_of(columns, "doc_id"), place_of(columns, "text")) for c in keep) else []
+    stats = stored(with_statistics(docs, ["tm_id", *plain, *rest]), "statistics")
     known = labels.select(F.col("doc_id").alias("tm_doc"), F.col("quality").alias("tm_quality"))
     own = stats.select("tm_id", *FEATURES, "n_repeat_words").where(~base_failed())
     labelled = own.join(known, F.col("tm_id") == F.col("tm_doc")).select(F.col("tm_id").alias("doc_id"), F.col("tm_quality").alias("quality"), *FEATURES)
@@ -233,4 +236,5 @@ def judge(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None) ->
     rules = learn(labelled)
     drop(labelled)
     failed = base_failed()
-    return stats.drop("tm_id").withColumn("base_failed", failed).withColumn("rule", verdict(rules)).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
+    judged = stats.withColumn("base_failed", failed).withColumn("rule", verdict(rules)).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
+    return judged.select(*[kept_column(columns, c, ["doc_id", "text"]) for c in keep], *made)

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .columns import REST, carried, restored
 from .subword import byte_view, steps, text_column
 
 DIMS = 4096
@@ -171,26 +172,27 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """Add lang_pred (string), lang_score (0 to 1) and lang_rejected (boolean) to a table with a text column.
 
     A text that is null or has no letter gets ``und``, 0 and true. Input columns
-    of these three names are replaced; all others, repeated rows and empty tables
-    pass unchanged.
+    of these three names, in any case, are replaced; all others, whatever their
+    names, repeated rows and empty tables pass unchanged.
     """
-    added = ("lang_pred", "lang_score", "lang_rejected")
-    keep = [c for c in docs.columns if c not in added]
+    added = ["lang_pred", "lang_score", "lang_rejected"]
+    own_docs = carried(docs, "text")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x centroids x dims numbers
 
     def run(batches):
         own = shared.value
         names = pa.array([*own.languages, "und"])
         for batch in batches:
-            texts = text_column(batch.column(keep.index("text")))
+            texts = text_column(batch.column(0))
             for at, part in steps(texts, STEP_BYTES):
                 for lo in range(0, len(part), 512):
                     some = part.slice(lo, 512)
                     language, score, rejected = own.classify(some)
                     rest = [c.slice(at + lo, len(some)) for c in batch.columns]
-                    yield pa.RecordBatch.from_arrays([*rest, names.take(pa.array(np.where(language < 0, len(own.languages), language))), pa.array(score.astype(np.float64)), pa.array(rejected)], [*keep, *added])
+                    yield pa.RecordBatch.from_arrays([*rest, names.take(pa.array(np.where(language < 0, len(own.languages), language))), pa.array(score.astype(np.float64)), pa.array(rejected)], ["text", REST, *added])
 
     from pyspark.sql.types import StructType
 
     kinds = StructType.fromDDL("lang_pred string, lang_score double, lang_rejected boolean")
-    return docs.select(keep).mapInArrow(run, StructType([*docs.select(keep).schema.fields, *kinds.fields]))
+    found = own_docs.mapInArrow(run, StructType([*own_docs.schema.fields, *kinds.fields]))
+    return restored(found, docs.columns, ["text"], added)

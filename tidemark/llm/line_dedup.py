@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .columns import carried, restored
 from .skew import join_unique
 from .storage import stored
 
@@ -47,16 +48,19 @@ def dedup_lines(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     Returns the columns of ``docs`` with ``text`` rewritten, ``n_chars`` (where
     the table has it) recounted for changed texts, and ``lines_removed`` (int,
-    last; an input column of that name is replaced). Lines are what ``\\n``
+    last; an input column of that name, in any case, is replaced). Other columns
+    pass unchanged, whatever their names. Lines are what ``\\n``
     separates, compared exactly. Texts of fewer than ``width`` lines, empty and
     null texts stay as they are. No row is dropped: a text all of whose lines go
     becomes empty. Rows with equal doc_id and text count as one document. A null
     doc_id comes before all others. An empty table gives no rows.
     """
+    every, plain = docs.columns, ["doc_id", "text", *(["n_chars"] if "n_chars" in docs.columns else [])]
+    docs = carried(docs, *plain)
     later = later_windows(docs.select("doc_id", "text"), width)
     spots = later.distinct().groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list("at")).alias("tm_at"))  # a number for each line at most
     spots = spots.withColumnsRenamed({"doc_id": "tm_id", "text_hash": "tm_hash"})
-    columns = [c for c in docs.columns if c != "lines_removed"]
+    columns = docs.columns
     same = F.col("doc_id").eqNullSafe(F.col("tm_id")) & (F.xxhash64("text") == F.col("tm_hash"))
     at = F.col("tm_at")
     # merged at every size: the removed places grow with the corpus
@@ -75,4 +79,5 @@ def dedup_lines(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     new = {"text": F.when(at.isNotNull(), F.array_join("tm_rest", "\n")).otherwise(F.col("text"))}
     if "n_chars" in columns:
         new["n_chars"] = F.when(at.isNotNull(), F.length(F.array_join("tm_rest", "\n")).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return joined.select(*[new[c].alias(c) if c in new else F.col(c) for c in columns], "lines_removed")
+    out = joined.select(*[new[c].alias(c) if c in new else F.col(c) for c in columns], "lines_removed")
+    return restored(out, every, plain, ["lines_removed"])

@@ -33,6 +33,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .columns import REST, carried, kept_column, place_of, without
 from .skew import smallest_hashes
 from .storage import drop, stored
 
@@ -251,8 +252,8 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     ``most`` is the largest rate; over 1, texts may be taken more than once.
     Returns ``keep`` (by default doc_id), n_tokens, one double ``p_<domain>`` for
     each domain by name, rate, copies (how often sampling takes the row) and taken
-    (copies > 0). Kept columns of these names are replaced by the results; names
-    that start with ``tm_`` are reserved. A null text has no token and the prior's
+    (copies > 0). Kept columns of these names, in any case, are replaced by the
+    results. A null text has no token and the prior's
     posterior. Repeated rows get equal results. Labels of unknown documents and of
     other domains are ignored; of equal (doc_id, text, domain) one counts. Domains
     without labels aren't rated: if no wanted domain (``WANTED``) has any, all
@@ -261,13 +262,16 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     targets = targets or TARGETS
     domains = sorted(targets)
     made = ["n_tokens", *[f"p_{d}" for d in domains], "rate", "copies", "taken"]
-    keep = [c for c in keep or ["doc_id"] if c not in made]
+    columns, keep = docs.columns, without(keep or ["doc_id"], made)
+    docs, places = carried(docs, "doc_id", "text"), {place_of(columns, c) for c in keep}
+    own = ["doc_id", *(["text"] if place_of(columns, "text") in places else []), *([REST] if places - {place_of(columns, c) for c in ("doc_id", "text")} else [])]
     weight = sum(targets.values())
-    # a bounded number of labels, so their texts need no shuffle
-    known = smallest_hashes(labels.where(F.col("domain").isin(domains)).select("doc_id", "domain"), TRAIN_ROWS, "doc_id", ["doc_id", "domain"])
+    # a bounded number of labels of documents that are here, so their texts need no shuffle
+    here = labels.where(F.col("domain").isin(domains)).select("doc_id", "domain").join(docs.select("doc_id"), "doc_id", "left_semi")
+    known = smallest_hashes(stored(here, "here"), TRAIN_ROWS, "doc_id", ["doc_id", "domain"])
     labelled = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
     model = fit(with_features(labelled, ["doc_id", "domain"]), domains)
-    members = stored(posteriors(with_features(docs, keep), model), "members")
+    members = stored(posteriors(with_features(docs, own), model), "members")
     wanted = [j for j, d in enumerate(domains) if d in WANTED] or None
     rated = with_copies(fit_rates(members, [targets[d] / weight for d in domains], wanted, model.known, most), len(domains))
-    return rated.select(*keep, F.col("tm_tokens").alias("n_tokens"), *[F.get("tm_p", j).alias(f"p_{d}") for j, d in enumerate(domains)], F.col("tm_rate").alias("rate"), F.col("tm_copies").alias("copies"), (F.col("tm_copies") > 0).alias("taken"))
+    return rated.select(*[kept_column(columns, c, ["doc_id", "text"]) for c in keep], F.col("tm_tokens").alias("n_tokens"), *[F.get("tm_p", j).alias(f"p_{d}") for j, d in enumerate(domains)], F.col("tm_rate").alias("rate"), F.col("tm_copies").alias("copies"), (F.col("tm_copies") > 0).alias("taken"))

@@ -3,8 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a table; ``run`` writes every
 stage's result as Parquet in the shared folder and gives it to the next one.
 All but the last return the columns of ``documents``. Stages work on whole
-tables and texts. Further columns, whatever their names, pass unchanged; an empty
-table gives no rows.
+tables and texts. Further columns, whatever their names (dots, other cases of a
+name that a stage uses), pass unchanged; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -14,27 +14,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import langid, line_dedup, mixing, near_dup, packing
+from tidemark.llm.columns import carried, restored
 from tidemark.llm.storage import drop, scratch, stored
 
 
-def _carried(docs: DataFrame, *plain: str) -> DataFrame:
-    """``doc_id``, ``text`` and ``plain`` columns, all others in one struct, so that no name of an operator's result meets an input column."""
-    open_ = [c for c in docs.columns if c in ("doc_id", "text", *plain)]
-    return docs.select(*open_, F.struct(F.lit(0).alias("tm_0"), *[c for c in docs.columns if c not in open_]).alias("tm_doc"))
-
-
-def _restored(carried: DataFrame, columns: list[str], *plain: str) -> DataFrame:
-    """The columns of a table that ``_carried`` packed, in their order."""
-    return carried.select(*[F.col(c) if c in ("doc_id", "text", *plain) else F.col(f"tm_doc.{c}").alias(c) for c in columns])
-
-
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose language is rejected: null texts, no letters, or far from all centroids.
 
     Learned from the rows with a lang. Repeated rows share their fate.
     """
-    found = langid.identify(_carried(docs), langid.fit(docs))
-    return _restored(found.where(~F.col("lang_rejected")), docs.columns)
+    plain = ["doc_id", "text", "lang"]
+    own = carried(docs, *plain)
+    found = langid.identify(own, langid.fit(own))
+    return restored(found.where(~F.col("lang_rejected")), docs.columns, plain)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +35,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null, empty and short texts stay as they are; rows with equal doc_id and text
     are one document and get equal texts.
     """
-    return _restored(line_dedup.dedup_lines(_carried(docs, "n_chars")), docs.columns, "n_chars")
+    plain = ["doc_id", "text", "n_chars"]
+    return restored(line_dedup.dedup_lines(carried(docs, *plain)), docs.columns, plain)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,10 +45,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Null and empty texts have no duplicates and stay. Of rows with equal doc_id
     and text one stays.
     """
-    groups = near_dup.near_duplicates(docs.select("doc_id", "text"))
+    own = carried(docs, "doc_id", "text")
+    groups = near_dup.near_duplicates(own.select("doc_id", "text"))
     kept = groups.where("kept").select(F.col("doc_id").alias("tm_id")).distinct()
-    survivors = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("tm_id")), "left_semi")
-    return survivors.dropDuplicates(["doc_id", "text"])
+    survivors = own.join(kept, F.col("doc_id").eqNullSafe(F.col("tm_id")), "left_semi")
+    return restored(survivors.dropDuplicates(["doc_id", "text"]), docs.columns, ["doc_id", "text"])
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,7 +60,8 @@ def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows are taken together.
     """
     labels = mixing.label_domains(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _restored(mixing.mix(_carried(docs), labels, keep=["doc_id", "text", "tm_doc"]).where("taken"), docs.columns)
+    plain = ["doc_id", "text"]
+    return restored(mixing.mix(carried(docs, *plain), labels, keep=[*plain, "tm_doc"]).where("taken"), docs.columns, plain)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,7 +69,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     A null text packs its end id alone; repeated rows are packed each time.
     """
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(carried(docs, "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [

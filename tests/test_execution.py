@@ -23,33 +23,45 @@ def path(prices, **more):
 CFG = ExecutionConfig(slippage_pips=0.0, contract_size=100.0)
 
 
+def simulated(rows, cfg=CFG):
+    """Trades of bars in a pandas table, in order."""
+    from pyspark.sql import SparkSession
+
+    numbers = [c for c in rows.columns if c not in ("symbol", "timeframe", "bar", "long_signal", "short_signal")]
+    schema = "symbol string, timeframe string, bar long, long_signal boolean, short_signal boolean, " + ", ".join(f"{c} double" for c in numbers)
+    names = [c.split()[0] for c in schema.split(", ")]
+    own = rows[names].astype(object).where(rows[names].notna(), None)
+    table = SparkSession.getActiveSession().createDataFrame([tuple(float(v) if c in numbers and v is not None else v for c, v in zip(names, r, strict=True)) for r in own.itertuples(index=False)], schema)
+    return execution.simulate(table, cfg).toPandas().sort_values(["symbol", "trade_no"]).reset_index(drop=True)
+
+
 def one(rows, cfg=CFG):
-    got = execution.simulate(rows, cfg)
+    got = simulated(rows, cfg)
     assert len(got) == 1
     return got.iloc[0]
 
 
-def test_stop_comes_before_target_on_one_bar():
+def test_stop_comes_before_target_on_one_bar(spark):
     t = one(path([(100.5, 99.9, 100), (103, 98.5, 101)], long_stop=99.0))
     assert (t.exit_type, t.outcome) == ("stop_before_2r", "Breakeven")  # 1R is reached first, so the stop has moved
     t = one(path([(100.5, 99.9, 100), (100.9, 98.5, 99)]))
     assert (t.exit_type, t.exit, t.outcome, t.pnl_r) == ("stop_before_2r", 99.0, "Loss", pytest.approx(-1))
 
 
-def test_break_even_covers_commission():
+def test_break_even_covers_commission(spark):
     t = one(path([(100, 100, 100), (101.2, 100.5, 101), (101, 99.9, 100)]), ExecutionConfig(slippage_pips=0.0, contract_size=100.0, commission_per_lot=7.0))
     assert (t.outcome, t.exit) == ("Breakeven", pytest.approx(100.07))
     assert t.pnl_cash == pytest.approx(0, abs=1e-9)
 
 
-def test_target_without_runner_closes_in_two_parts():
+def test_target_without_runner_closes_in_two_parts(spark):
     t = one(path([(100, 100, 100), (102.5, 100.5, 102)]))
     assert (t.exit_type, t.partial_bar, t.runner_active, t.pnl_r) == ("close_rest_at_2r", 1, False, pytest.approx(2))
     t = one(path([(100, 100, 100), (102.5, 100.5, 102)]), ExecutionConfig(slippage_pips=0.0, contract_size=100.0, runner="none"))
     assert (t.exit_type, t.partial_bar is pd.NA or pd.isna(t.partial_bar)) == ("full_close_at_2r", True)
 
 
-def test_runner_trails_and_stops_before_its_target():
+def test_runner_trails_and_stops_before_its_target(spark):
     rows = path([(100, 100, 100), (102.5, 100.5, 102.4), (103, 102.2, 102.9), (106, 101.5, 105)], long_runner=105.0)
     t = one(rows)
     assert (t.exit_type, t.runner_exit_reason, t.exit_bar) == ("runner_stop", "atr_trail_stop", 3)
@@ -58,12 +70,12 @@ def test_runner_trails_and_stops_before_its_target():
     assert (t.exit_type, t.exit) == ("runner_target", 105.0)
 
 
-def test_end_of_data_closes_at_the_last_close():
+def test_end_of_data_closes_at_the_last_close(spark):
     t = one(path([(100, 100, 100), (100.5, 99.5, 100.4)]))
     assert (t.exit_type, t.exit, t.exit_bar) == ("end_of_data", 100.4, 1)
 
 
-def test_shorts_mirror_longs():
+def test_shorts_mirror_longs(spark):
     prices = [(100, 100, 100), (102.5, 100.5, 102.4), (103, 102.2, 102.9), (106, 101.5, 105)]
     a = one(path(prices, long_runner=105.0))
     flipped = [(200 - lo, 200 - hi, 200 - c) for hi, lo, c in prices]
@@ -72,12 +84,12 @@ def test_shorts_mirror_longs():
     assert b.exit == pytest.approx(200 - a.exit)
 
 
-def test_one_position_and_cooldown():
+def test_one_position_and_cooldown(spark):
     prices = [(100, 100, 100)] + [(100.2, 98.9, 100)] * 9
     every = path(prices, long_signal=True)
-    assert execution.simulate(every, CFG).entry_bar.tolist() == [0, 2, 4, 6, 8]
-    assert execution.simulate(every, ExecutionConfig(slippage_pips=0.0, contract_size=100.0, cooldown=2)).entry_bar.tolist() == [0, 4, 8]
-    balance = execution.simulate(every, CFG)
+    assert simulated(every, CFG).entry_bar.tolist() == [0, 2, 4, 6, 8]
+    assert simulated(every, ExecutionConfig(slippage_pips=0.0, contract_size=100.0, cooldown=2)).entry_bar.tolist() == [0, 4, 8]
+    balance = simulated(every, CFG)
     assert balance.balance_after.iloc[-1] == pytest.approx(CFG.balance + balance.pnl_cash.sum())
 
 
@@ -87,8 +99,8 @@ def test_sizes_round_down_and_vanish():
     assert execution.lots_for(10_000, 0.01, 0.0, CFG) == 0.0
 
 
-def test_size_zero_opens_nothing():
-    assert execution.simulate(path([(100, 100, 100), (100, 98, 99)], long_stop=-1e9), CFG).empty
+def test_size_zero_opens_nothing(spark):
+    assert simulated(path([(100, 100, 100), (100, 98, 99)], long_stop=-1e9), CFG).empty
 
 
 @pytest.fixture(scope="module")

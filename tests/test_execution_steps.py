@@ -5,9 +5,12 @@ import random
 import pandas as pd
 import pytest
 
+from tidemark.functions import folds
 from tidemark.operators import execution
 from tidemark.plans.config import ExecutionConfig
 
+from tests.test_execution import simulated
+
 
 def series(n, seed):
     r = random.Random(seed)
@@ -25,6 +28,20 @@ def series(n, seed):
     return pd.DataFrame(rows)
 
 
+def quiet(n, seed):
+    """A slow drift: trades stay open over many blocks, some to the end."""
+    r = random.Random(seed)
+    rows = series(n, seed)
+    for c in ("high", "low", "close"):
+        rows[c] = [100 + 0.002 * k + {"high": 0.01, "low": -0.01, "close": 0.0}[c] * r.random() for k in range(n)]
+    for s, sign in (("long", 1), ("short", -1)):
+        rows[f"{s}_entry"] = rows["close"]
+        rows[f"{s}_stop"] = rows["close"] - sign * 0.06
+        rows[f"{s}_runner"] = [p + sign * 0.25 if k % 2 else None for k, p in enumerate(rows["close"])]
+    rows["fill_cost"], rows["atr"] = 0.0, 0.05
+    return rows
+
+
 def by_steps(rows, cfg):
     """One open position; stops before targets; management from the bar after the entry."""
     done, trade, balance = [], None, cfg.balance
@@ -89,15 +106,46 @@ def by_steps(rows, cfg):
     return done
 
 
-@pytest.mark.parametrize("runner", ["none", "sr_only", "sr_atr_trail"])
-@pytest.mark.parametrize("cooldown", [0, 3])
-def test_search_equals_steps(runner, cooldown):
+#: Bars of a block, blocks of a group, trades of a part, bars of a chunk.
+WHOLE, SMALL = (1024, 1024, 4096, 1 << 16), (16, 3, 5, 40)
+
+
+@pytest.mark.parametrize(("sizes", "runner", "cooldown"), [(WHOLE, "sr_atr_trail", 3), (SMALL, "none", 3), (SMALL, "sr_only", 0), (SMALL, "sr_atr_trail", 0)])
+def test_blocks_equal_steps(spark, monkeypatch, sizes, runner, cooldown):
+    """A series in one block and chunk, and in many small ones."""
+    for where, name, value in zip((execution, execution, execution, folds), ("BLOCK", "GROUP", "PART", "CHUNK"), sizes, strict=True):
+        monkeypatch.setattr(where, name, value)
     cfg = ExecutionConfig(runner=runner, cooldown=cooldown, commission_per_lot=4.0, contract_size=100.0)
+    every = [series(160 if k else 1, k).assign(symbol=f"S{k}") for k in range(12)] + [quiet(160, k).assign(symbol=f"Q{k}") for k in range(3)]
+    got = simulated(pd.concat(every), cfg)
     kinds = set()
-    for seed in range(25):
-        rows = series(160, seed)
-        got = execution.simulate(rows, cfg)
+    for rows in every:
+        own = got[got.symbol == rows.symbol.iat[0]]
         want = by_steps(rows, cfg)
-        assert [(t.side, t.entry_bar, t.exit_bar, round(t.exit, 9), t.exit_type, round(t.pnl_cash, 6)) for t in got.itertuples()] == want, seed
+        assert [(t.side, t.entry_bar, t.exit_bar, round(t.exit, 9), t.exit_type, round(t.pnl_cash, 6)) for t in own.itertuples()] == want, rows.symbol.iat[0]
         kinds |= {w[4] for w in want}
     assert {"stop_before_2r", "end_of_data"} <= kinds and len(kinds) >= 3
+
+
+def test_a_series_is_cut_over_time(spark, monkeypatch):
+    """Exits of one series are found by many tasks, none of which sees more than a block of bars."""
+    monkeypatch.setattr(execution, "BLOCK", 50)
+    seen = spark.sparkContext.accumulator(0)
+    real = execution.follow_block
+
+    def watched(trades, bars, cfg):
+        assert len(bars) <= 50
+        seen.add(1)
+        return real(trades, bars, cfg)
+
+    monkeypatch.setattr(execution, "follow_block", watched)
+    assert len(simulated(series(600, 3), ExecutionConfig(contract_size=100.0))) > 5
+    assert seen.value >= 8
+
+
+def test_a_ruined_account_takes_nothing_more(spark):
+    """Sizes of zero depend on the balance: the entries after them are still looked at."""
+    cfg = ExecutionConfig(contract_size=100.0, balance=150.0, risk_percent=30.0, commission_per_lot=40.0, volume_min=0.05)
+    rows = series(400, 11)
+    got, want = simulated(rows, cfg), by_steps(rows, cfg)
+    assert [(t.entry_bar, round(t.pnl_cash, 6)) for t in got.itertuples()] == [(w[1], w[5]) for w in want]

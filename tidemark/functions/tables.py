@@ -17,6 +17,11 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()
 
 
+def renewed(df: DataFrame) -> DataFrame:
+    """The same table with columns of its own, so that it can be grouped beside a table that it was made from."""
+    return df.toDF(*df.columns)
+
+
 def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join on keys of which nulls equal nulls; the keys of the left side stay. Without keys the right side is one row."""
     if not keys:

@@ -1,9 +1,10 @@
 """Simulated execution of signals: adaptive costs, sizing, staged exits, compounding balance.
 
-A trade's path does not depend on the balance, only its size does. Signed by its
-direction, a path is a few searches for the first bar that reaches a level, so
-the fold over a series touches bars only through array searches that start at
-the entry. One position is open at a time.
+A trade's path does not depend on the balance, only its size does, and not on
+other trades either. So the exits of all possible entries are found first, over
+blocks of bars in parallel; signed by its direction, a path is a few searches for
+the first bar that reaches a level. One position is open at a time: which entries
+are taken, and how large, is a fold with a state of a few numbers.
 """
 
 from __future__ import annotations
@@ -16,10 +17,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.folds import fold_in_chunks
 from tidemark.functions.series import KEYS, first_existing, is_true
+from tidemark.functions.tables import materialise, renewed
 from tidemark.plans.config import ExecutionConfig
 from tidemark.sources.specs import SPEC, pip_of
 
+#: Bars of a block, blocks of a group, and trades of one block that one task follows.
+BLOCK, GROUP, PART = 1024, 1024, 4096
+
 
 def with_costs(df: DataFrame, cfg: ExecutionConfig) -> DataFrame:
     """Add the session and volatility factors, adaptive spread and slippage in pips, and the cost of one fill as a price.
@@ -73,71 +79,73 @@ def lots_column(balance: Column, distance: Column, cfg: ExecutionConfig) -> Colu
     return F.when((distance > 0) & (raw > 0) & (capped >= cfg.volume_min), F.round(capped, places)).otherwise(F.lit(0.0))
 
 
-class Bars:
-    """Arrays of one series, signed so that every trade is a long."""
+class Block:
+    """Arrays of consecutive bars of one series, signed so that every trade is a long."""
 
-    def __init__(self, rows: pd.DataFrame, sign: int):
+    def __init__(self, rows: pd.DataFrame, sign: int, cfg: ExecutionConfig):
         high, low = (rows["high"], rows["low"]) if sign > 0 else (rows["low"], rows["high"])
+        self.start, self.n = int(rows["bar"].iat[0]), len(rows)
         self.best, self.worst = sign * high.to_numpy(float), sign * low.to_numpy(float)
         self.close, self.cost = sign * rows["close"].to_numpy(float), rows["fill_cost"].to_numpy(float)
-        self.atr = rows["atr"].to_numpy(float)
-
-    def first(self, test, start: int) -> int:
-        """First bar from ``start`` on whose slice passes, looking ever further ahead; the length if none."""
-        n, width = len(self.best), 64
-        while start < n:
-            hit = np.flatnonzero(test(slice(start, min(n, start + width))))
-            if len(hit):
-                return start + int(hit[0])
-            start, width = start + width, 4 * width
-        return n
-
-
-def walk(b: Bars, at: int, entry: float, stop: float, risk: float, target: float, runner: float | None, cfg: ExecutionConfig) -> dict:
-    """Follow one trade from its entry bar (signed prices) to its exit."""
-    n = len(b.best)
-    out = {"be": False, "partial_bar": None, "runner": False, "reason": "", "stop": stop, "runner_stop": None}
-    moved = b.first(lambda s: (b.best[s] - entry) / risk >= 1.0, at + 1)
-    stopped = b.first(lambda s: b.worst[s] <= stop, at + 1)
-    reached = b.first(lambda s: b.best[s] >= target, at + 1)
-    level = stop
-    if moved <= min(stopped, n - 1) and moved <= reached:
-        level = entry + cfg.commission_per_lot / cfg.cash_per_unit + b.cost[moved]
-        stopped = b.first(lambda s: b.worst[s] <= level, moved)
-        out["be"], out["stop"] = True, level
-    if stopped <= reached and stopped < n:
-        return out | {"exit": stopped, "raw": level, "type": "stop_before_2r"}
-    if reached >= n:
-        return out | {"exit": n - 1, "raw": b.close[-1], "type": "end_of_data"}
-    if cfg.runner == "none":
-        return out | {"exit": reached, "raw": target, "type": "full_close_at_2r", "reason": "runner_disabled"}
-    out["partial_bar"] = reached
-    if runner is None:
-        return out | {"exit": reached, "raw": target, "type": "close_rest_at_2r", "reason": "no_valid_sr_runner"}
-    out["runner"], trail, j, width = True, level, reached + 1, 64
-    while j < n:
-        s = slice(j, min(n, j + width))
-        stops = np.full(s.stop - j, trail)
-        if cfg.runner == "sr_atr_trail":
-            atr = b.atr[j - 1 : s.stop - 1]
-            candidate = np.where(atr > 0, b.close[j - 1 : s.stop - 1] - cfg.trail_atr * atr, -np.inf)
-            stops = np.maximum.accumulate(np.maximum(stops, candidate))
-        hit = np.flatnonzero((b.worst[s] <= stops) | (b.best[s] >= runner))
-        if len(hit):
-            k = int(hit[0])
-            out["runner_stop"] = float(stops[k])
-            if b.worst[j + k] <= stops[k]:
-                reason = "atr_trail_stop" if cfg.runner == "sr_atr_trail" else "initial_stop_after_partial"
-                return out | {"exit": j + k, "raw": float(stops[k]), "type": "runner_stop", "reason": reason}
-            return out | {"exit": j + k, "raw": runner, "type": "runner_target", "reason": "sr_target"}
-        trail, j, width = float(stops[-1]), s.stop, 4 * width
-    return out | {"exit": n - 1, "raw": b.close[-1], "type": "end_of_data", "reason": "end_of_data", "runner_stop": trail}
+        before, atr = sign * rows["close_before"].to_numpy(float), rows["atr_before"].to_numpy(float)
+        self.trail = np.where(atr > 0, before - cfg.trail_atr * atr, -np.inf) if cfg.runner == "sr_atr_trail" else np.full(self.n, -np.inf)
 
+    @staticmethod
+    def first(hit: np.ndarray, start: int) -> int:
+        """First place from ``start`` on that passes; the length if none does."""
+        k = int(np.argmax(hit[start:])) + start if start < len(hit) else len(hit)
+        return k if k < len(hit) and hit[k] else len(hit)
 
-TRADES = (
-    "symbol string, timeframe string, trade_no int, side string, entry_bar long, exit_bar long, entry double, exit double, initial_stop double, final_stop double, target double, executed_stop double, executed_target double, risk_price double, size double, pnl_cash double, pnl_r double, outcome string, be_moved boolean, partial_bar long, partial_price double, "
-    "runner_qualified boolean, runner_active boolean, runner_target double, runner_stop double, runner_exit_reason string, exit_type string, commission double, balance_after double"
-)
+
+def follow(t: dict, b: Block, ends: bool, cfg: ExecutionConfig) -> None:
+    """Take an open trade through the bars of one block; ``ends``: it is the last one of the series.
+
+    The trade's stage is 0 up to the partial exit and 1 for a runner. It either
+    gets its exit or waits for the next block.
+    """
+    at, n = t["next_bar"] - b.start, b.n
+
+    def done(k: int, raw: float, kind: str, reason: str = "") -> None:
+        t.update(exit_bar=b.start + k, raw=float(raw), exit_cost=float(b.cost[k]), exit_type=kind, reason=reason, open=False)
+
+    if t["stage"] == 0:
+        stopped, reached = b.first(b.worst <= t["level"], at), b.first(b.best >= t["target"], at)
+        if not t["be"]:
+            moved = b.first((b.best - t["entry"]) / t["risk"] >= 1.0, at)
+            if moved < n and moved <= stopped and moved <= reached:
+                t["be"], t["level"] = True, t["entry"] + cfg.commission_per_lot / cfg.cash_per_unit + float(b.cost[moved])
+                stopped = b.first(b.worst <= t["level"], moved)
+        if stopped < n and stopped <= reached:
+            return done(stopped, t["level"], "stop_before_2r")
+        if reached < n:
+            if cfg.runner == "none":
+                return done(reached, t["target"], "full_close_at_2r", "runner_disabled")
+            t.update(partial_bar=b.start + reached, partial_cost=float(b.cost[reached]))
+            if t["runner"] is None:
+                return done(reached, t["target"], "close_rest_at_2r", "no_valid_sr_runner")
+            t.update(stage=1, trail=t["level"])
+            at = reached + 1
+        elif ends:
+            return done(n - 1, b.close[-1], "end_of_data")
+    if t["stage"] == 1:
+        if at < n:
+            stops = np.maximum(t["trail"], np.maximum.accumulate(b.trail[at:]))
+            k = b.first((b.worst[at:] <= stops) | (b.best[at:] >= t["runner"]), 0)
+            t["trail"] = float(stops[min(k, len(stops) - 1)])
+            if at + k < n:
+                t["runner_stop"] = t["trail"]
+                if b.worst[at + k] <= t["trail"]:
+                    return done(at + k, t["trail"], "runner_stop", "atr_trail_stop" if cfg.runner == "sr_atr_trail" else "initial_stop_after_partial")
+                return done(at + k, t["runner"], "runner_target", "sr_target")
+        if ends:
+            t["runner_stop"] = t["trail"]
+            return done(n - 1, b.close[-1], "end_of_data", "end_of_data")
+    t["next_bar"] = b.start + n
+
+
+_STATE = "stage int, level double, be boolean, partial_bar long, partial_cost double, trail double, next_bar long, open boolean, exit_bar long, raw double, exit_cost double, exit_type string, reason string, runner_stop double"
+PATH = f"symbol string, timeframe string, bar long, side string, entry double, raw_stop double, risk double, target double, runner double, entry_cost double, {_STATE}"
+_PATH_COLUMNS = [c.split()[0] for c in PATH.split(", ")]
 
 
 def own_config(rows: pd.DataFrame, cfg: ExecutionConfig) -> ExecutionConfig:
@@ -147,54 +155,188 @@ def own_config(rows: pd.DataFrame, cfg: ExecutionConfig) -> ExecutionConfig:
     return replace(cfg, **{"pip" if c == "pip_size" else c: v for c, v in known.items()})
 
 
-def simulate(rows: pd.DataFrame, cfg: ExecutionConfig) -> pd.DataFrame:
-    """Trades of one series in order."""
-    cfg = own_config(rows, cfg)
-    rows = rows.sort_values("bar").reset_index(drop=True)
-    sides = {"long": Bars(rows, 1), "short": Bars(rows, -1)}
-    signal = {s: rows[f"{s}_signal"].fillna(False).to_numpy(bool) for s in sides}
-    cash, balance, free_from = cfg.cash_per_unit, cfg.balance, 0
-    ready = {"long": -1, "short": -1}  # last bar of a side's cooldown
-    commission = max(cfg.commission_per_lot, 0.0)
-    out = []
-    for i in np.flatnonzero(signal["long"] | signal["short"]).tolist():
-        if i < free_from:
-            continue
-        side = next((s for s in ("long", "short") if signal[s][i] and i > ready[s]), None)
-        if side is None:
+def follow_block(trades: pd.DataFrame, bars: pd.DataFrame, cfg: ExecutionConfig) -> pd.DataFrame:
+    """Take all open trades of a block through its bars."""
+    cfg, bars = own_config(bars, cfg), bars.sort_values("bar")
+    blocks, ends = {"long": Block(bars, 1, cfg), "short": Block(bars, -1, cfg)}, bool(bars["bar"].iat[-1] == bars["last_bar"].iat[-1])
+    rows = trades.astype(object).where(trades.notna(), None).to_dict("records")
+    for t in rows:
+        follow(t, blocks[t["side"]], ends, cfg)
+    return pd.DataFrame(rows, columns=trades.columns).astype({"partial_bar": "Int64", "exit_bar": "Int64"})
+
+
+def entries(rows: DataFrame, cfg: ExecutionConfig) -> DataFrame:
+    """Every signal of either side as a trade that waits for its first bar (prices signed); without a positive risk it opens nothing."""
+    sides = []
+    for side, sign in (("long", 1.0), ("short", -1.0)):
+        own = lambda c: F.lit(sign) * F.col(f"{side}_{c}")  # noqa: B023, E731
+        cost = F.col("fill_cost")
+        sides.append(F.when(is_true(F.col(f"{side}_signal")), F.struct(F.lit(side).alias("side"), (own("entry") + cost).alias("entry"), own("stop").alias("raw_stop"), ((own("entry") + cost) - (own("stop") - cost)).alias("risk"), own("runner").alias("runner"))))
+    found = rows.select(*KEYS, "bar", F.col("fill_cost").alias("entry_cost"), *[c for c in SPEC if c in rows.columns], F.explode(F.array(*sides)).alias("t")).where("t is not null")
+    found = found.select(*KEYS, "bar", "entry_cost", *[c for c in SPEC if c in rows.columns], "t.*")
+    risk = F.col("risk")
+    start = {"target": F.col("entry") + risk * cfg.target_rr + F.col("entry_cost"), "stage": F.lit(0), "level": F.col("raw_stop"), "be": F.lit(False), "next_bar": F.col("bar") + 1, "open": is_true((risk > 0) & ~F.isnan(risk))}
+    kinds = dict(c.split() for c in PATH.split(", "))
+    return found.withColumns(start | {c: F.lit(None).cast(k) for c, k in kinds.items() if c not in (*found.columns, *start)})
+
+
+def with_blocks(rows: DataFrame, cfg: ExecutionConfig) -> DataFrame:
+    """Add what a block of bars needs of the bar before it and of its series."""
+    whole = Window.partitionBy(*KEYS)
+    before = whole.orderBy("bar")
+    return rows.withColumns({"close_before": F.lag("close").over(before), "atr_before": F.lag("atr").over(before), "last_bar": F.max("bar").over(whole)})
+
+
+def block_extremes(rows: DataFrame, cfg: ExecutionConfig) -> DataFrame:
+    """What decides whether a block of bars can end a trade or move its stop, one row for each block.
+
+    Highest and lowest price, the furthest trailing stop of either side, and
+    whether a stop that is trailed inside the block alone is hit there.
+    """
+    inside = Window.partitionBy(*KEYS, "block").orderBy("bar")
+    known = (F.col("atr_before") > 0) & F.lit(cfg.runner == "sr_atr_trail")
+    trail = {"t_long": F.when(known, F.col("close_before") - cfg.trail_atr * F.col("atr_before")), "t_short": F.when(known, F.col("close_before") + cfg.trail_atr * F.col("atr_before"))}
+    work = rows.withColumn("block", F.floor(F.col("bar") / BLOCK)).withColumns(trail)
+    work = work.withColumns({"h_long": is_true(F.col("low") <= F.max("t_long").over(inside)), "h_short": is_true(F.col("high") >= F.min("t_short").over(inside))})
+    ends = F.max("block").over(Window.partitionBy(*KEYS))
+    cells = [F.max("high").alias("high"), F.min("low").alias("low"), F.max("t_long").alias("t_long"), F.min("t_short").alias("t_short"), F.max("h_long").alias("h_long"), F.max("h_short").alias("h_short")]
+    return work.groupBy(*KEYS, "block").agg(*cells).withColumn("ends", F.col("block") == ends)
+
+
+def next_blocks(trades: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
+    """Send open trades to the first block of a group that can change them, or to the next group.
+
+    The last block of a series can always. Trailing stops move on over the blocks between.
+    """
+    blocks = blocks.sort_values("block")
+    number, ends = blocks["block"].to_numpy(), blocks["ends"].to_numpy(bool)
+    out = trades.copy()
+    for k, t in enumerate(trades.astype(object).where(trades.notna(), None).to_dict("records")):
+        long = t["side"] == "long"
+        best, worst = (blocks["high"].to_numpy(float), blocks["low"].to_numpy(float)) if long else (-blocks["low"].to_numpy(float), -blocks["high"].to_numpy(float))
+        at = int(np.searchsorted(number, t["block"]))
+        if t["stage"] == 0:
+            hit = (worst <= t["level"]) | (best >= t["target"])
+            if not t["be"]:
+                hit |= (best - t["entry"]) / t["risk"] >= 1.0
+            stops = None
+        else:
+            own = blocks["t_long"].to_numpy(float) if long else -blocks["t_short"].to_numpy(float)
+            stops = np.maximum.accumulate(np.concatenate([[t["trail"]], np.where(np.isnan(own), -np.inf, own)[at:]]))
+            hit = blocks["h_long" if long else "h_short"].to_numpy(bool) | (best >= t["runner"])
+            hit[at:] |= worst[at:] <= stops[:-1]
+        go = Block.first(hit | ends, at)
+        found = go < len(number)
+        if stops is not None:
+            out.iat[k, out.columns.get_loc("trail")] = float(stops[go - at])
+        out.iat[k, out.columns.get_loc("block")] = int(number[go]) if found else int(number[-1]) + 1
+        out.iat[k, out.columns.get_loc("ready")] = found
+    return out
+
+
+def exits(trades: DataFrame, bars: DataFrame, cfg: ExecutionConfig) -> DataFrame:
+    """Exits of all trades, whether they are taken or not: what follows an entry doesn't depend on other trades.
+
+    Bars are cut into blocks. A round takes all open trades through the block that
+    they wait for, side by side over time and series; those that stay open look up,
+    in the extremes of groups of blocks, the next block that can change them. So a
+    task sees one block, and a trade costs a few rounds however long it lasts.
+    """
+    spec = [c for c in SPEC if c in trades.columns]
+    kinds = dict(trades.dtypes)
+    schema = ", ".join([PATH, *[f"{c} {kinds[c]}" for c in spec], "block long, ready boolean"])
+    names = [*_PATH_COLUMNS, *spec, "block", "ready"]
+    blocks = None
+    blocked = bars.withColumn("block", F.floor(F.col("bar") / BLOCK))
+    state = trades.withColumns({"block": F.floor(F.col("next_bar") / BLOCK), "ready": F.lit(True)})
+    last = F.col("bar") == F.col("last_bar")
+    # an entry on the last bar ends there
+    state = state.join(bars.where(last).select(*KEYS, F.col("last_bar").alias("tm_last")), [*KEYS])
+    state = state.withColumn("block", F.least("block", F.floor(F.col("tm_last") / BLOCK))).select(*names)
+    done = state.where("not open")
+    state = state.where("open")
+    while True:
+        # many trades can wait for one block: parts of them get their own copy of it
+        part = F.floor((F.row_number().over(Window.partitionBy(*KEYS, "block").orderBy("bar")) - 1) / PART)
+        waiting = state.where("ready").withColumn("part", part)
+        here = renewed(blocked.join(waiting.select(*KEYS, "block", "part").distinct(), [*KEYS, "block"]))
+
+        def through(own: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+            if own.empty or rows.empty:
+                return pd.DataFrame(columns=names)
+            out = follow_block(own.drop(columns="part"), rows, cfg)
+            out["block"] = own["block"].to_numpy() + 1
+            return out[names]
+
+        moved = waiting.groupBy(*KEYS, "block", "part").cogroup(here.groupBy(*KEYS, "block", "part")).applyInPandas(through, schema)
+        moved = materialise(moved.unionByName(state.where("not ready")))
+        done = done.unionByName(moved.where("not open"))
+        state = moved.where("open")
+        if state.isEmpty():
+            return done.drop("block", "ready")
+        blocks = materialise(block_extremes(bars, cfg)) if blocks is None else blocks
+        group = F.floor(F.col("block") / GROUP)
+        state = state.withColumns({"tm_group": group, "part": F.floor((F.row_number().over(Window.partitionBy(*KEYS, group).orderBy("bar")) - 1) / PART)})
+        near = renewed(blocks.withColumn("tm_group", group).join(state.select(*KEYS, "tm_group", "part").distinct(), [*KEYS, "tm_group"]))
+
+        def search(own: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+            return next_blocks(own[names], rows) if len(own) and len(rows) else pd.DataFrame(columns=names)
+
+        by = [*KEYS, "tm_group", "part"]
+        state = state.groupBy(*by).cogroup(near.groupBy(*by)).applyInPandas(search, schema)
+        step = materialise(state)
+        state = step.withColumn("next_bar", F.greatest(F.col("next_bar"), F.col("block") * BLOCK))
+
+
+TRADES = (
+    "symbol string, timeframe string, trade_no int, side string, entry_bar long, exit_bar long, entry double, exit double, initial_stop double, final_stop double, target double, executed_stop double, executed_target double, risk_price double, size double, pnl_cash double, pnl_r double, outcome string, be_moved boolean, partial_bar long, partial_price double, "
+    "runner_qualified boolean, runner_active boolean, runner_target double, runner_stop double, runner_exit_reason string, exit_type string, commission double, balance_after double"
+)
+
+
+def take_trades(paths: pd.DataFrame, state: dict | None, cfg: ExecutionConfig) -> tuple[pd.DataFrame, dict]:
+    """Take the entries of one series, with their exits known, in order: one position at a time, sized by the balance."""
+    cfg = own_config(paths, cfg)
+    cash, commission = cfg.cash_per_unit, max(cfg.commission_per_lot, 0.0)
+    state = state or {"balance": cfg.balance, "free_from": 0, "long": -1, "short": -1, "no": 0}  # of the sides: last bar of the cooldown
+    rows = paths.astype(object).where(paths.notna(), None).sort_values(["bar", "side"]).to_dict("records")
+    out, seen = [], None
+    for t in rows:
+        i, side = t["bar"], t["side"]
+        if i < state["free_from"] or i == seen or i <= state[side]:
             continue
-        sign, b = (1, sides[side]) if side == "long" else (-1, sides[side])
-        raw_entry, raw_stop = sign * rows[f"{side}_entry"].iat[i], sign * rows[f"{side}_stop"].iat[i]
-        entry, executed_stop = raw_entry + b.cost[i], raw_stop - b.cost[i]
-        risk = entry - executed_stop
-        size = lots_for(balance, cfg.risk_percent / 100, abs(risk), cfg) if risk == risk else 0.0
+        seen = i  # the first side that may enter decides; the other one isn't tried on this bar
+        sign, risk = (1 if side == "long" else -1), t["risk"]
+        size = lots_for(state["balance"], cfg.risk_percent / 100, abs(risk), cfg) if risk is not None and risk == risk else 0.0
         if not (size > 0 and risk > 0):
             continue
+        entry, cost, x, pnl, paid, left, partial_price = t["entry"], t["entry_cost"], t["exit_bar"], 0.0, 0.0, size, None
         executed_target = entry + risk * cfg.target_rr
-        plan = rows[f"{side}_runner"].iat[i]
-        runner = None if plan is None or plan != plan else sign * plan
-        got = walk(b, i, entry, raw_stop, risk, executed_target + b.cost[i], runner, cfg)
-        x, pnl, paid, left, partial_price = got["exit"], 0.0, 0.0, size, None
-        if got["partial_bar"] is not None:
+        if t["partial_bar"] is not None:
             part = size * cfg.partial
-            partial_price = executed_target + b.cost[i] - b.cost[got["partial_bar"]]
+            partial_price = executed_target + cost - t["partial_cost"]
             pnl, paid, left = (partial_price - entry) * part * cash - cfg.commission_per_lot * part, cfg.commission_per_lot * part, max(size - part, 0.0)
-        price = got["raw"] - b.cost[x]
+        price = t["raw"] - t["exit_cost"]
         rest = max(commission * size - paid, 0.0)
         pnl += (price - entry) * left * cash - rest
-        even = got["be"] and got["partial_bar"] is None and abs(got["raw"] - got["stop"]) < 1e-12
-        balance += pnl
+        even = t["be"] and t["partial_bar"] is None and abs(t["raw"] - t["level"]) < 1e-12
+        state["balance"] += pnl
+        state["no"] += 1
         outcome = "Breakeven" if even else "Win" if pnl > 0 else "Loss"
-        # rows are whole series, so positions are bar numbers
         flip = lambda v: None if v is None else sign * v  # noqa: B023, E731
-        out.append((rows["symbol"].iat[i], rows["timeframe"].iat[i], len(out) + 1, side, int(rows["bar"].iat[i]), int(rows["bar"].iat[x]), sign * entry, sign * price, sign * raw_stop, sign * got["stop"], sign * (executed_target + b.cost[i]), sign * executed_stop, sign * executed_target, risk, size, pnl, pnl / max(risk * size * cash, 1e-12), outcome, got["be"], None if got["partial_bar"] is None else int(rows["bar"].iat[got["partial_bar"]]), flip(partial_price), runner is not None, got["runner"], flip(runner), flip(got["runner_stop"]), got["reason"], got["type"], paid + rest, balance))
+        out.append((t["symbol"], t["timeframe"], state["no"], side, int(i), int(x), sign * entry, sign * price, sign * t["raw_stop"], sign * t["level"], sign * (executed_target + cost), sign * (t["raw_stop"] - cost), sign * executed_target, risk, size, pnl, pnl / max(risk * size * cash, 1e-12), outcome, t["be"], None if t["partial_bar"] is None else int(t["partial_bar"]), flip(partial_price), t["runner"] is not None, t["stage"] == 1, flip(t["runner"]), flip(t["runner_stop"]), t["reason"], t["exit_type"], paid + rest, state["balance"]))
         # an exit frees the next bar, and its side after the cooldown; end of data leaves none
-        free_from, ready[side] = x + 1, x + cfg.cooldown
-    return pd.DataFrame(out, columns=[c.split()[0] for c in TRADES.split(", ")]).astype({"partial_bar": "Int64"})
+        state["free_from"], state[side] = int(x) + 1, int(x) + cfg.cooldown
+    return pd.DataFrame(out, columns=[c.split()[0] for c in TRADES.split(", ")]).astype({"partial_bar": "Int64"}), state
 
 
 def run_trades(features: DataFrame, cfg: ExecutionConfig | None = None) -> DataFrame:
-    """Simulate every series on its own: one row for each trade."""
+    """Simulate every series on its own: one row for each trade.
+
+    Exits are found in blocks of bars, in parallel; what remains in order is to
+    take entries while no position is open and to size them by the balance, a few
+    numbers handed on from chunk to chunk.
+    """
     cfg = cfg or ExecutionConfig()
     costed = with_costs(features, cfg)
     none = F.lit(None).cast("double")
@@ -208,7 +350,14 @@ def run_trades(features: DataFrame, cfg: ExecutionConfig | None = None) -> DataF
         F.col("demand_zone_entry").alias("long_entry"), F.col("demand_zone_stop").alias("long_stop"), F.col("supply_zone_entry").alias("short_entry"), F.col("supply_zone_stop").alias("short_stop"),
         plan["long"].alias("long_runner"), plan["short"].alias("short_runner"), *[c for c in SPEC if c in features.columns],
     )
-    return rows.groupBy(*KEYS).applyInPandas(lambda g: simulate(g, cfg), TRADES)
+    return simulate(rows, cfg)
+
+
+def simulate(rows: DataFrame, cfg: ExecutionConfig) -> DataFrame:
+    """Trades of all series, from bars with costs, signals and the plans of both sides."""
+    rows = materialise(with_blocks(rows, cfg))
+    paths = exits(entries(rows, cfg), rows, cfg)
+    return fold_in_chunks(paths, [*KEYS], F.col("bar"), lambda own, state: take_trades(own, state, cfg), TRADES)
 
 
 #: Flags and numbers of the entry bar that a trade report keeps where the features have them (fixed names).

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import ordering
+from tidemark.functions import folds, ordering
 from tidemark.functions import series as S
 from tidemark.functions.normal import normal_cdf
 from tidemark.functions.ordering import max_drawdowns, row_numbers, with_last, with_running
@@ -254,3 +254,51 @@ def test_settings_are_checked_and_named():
             make()
     assert FeatureConfig().signature() == FeatureConfig().signature() != FeatureConfig(pip=0.01).signature()
     assert len(FeatureConfig().signature()) == 16
+
+
+@pytest.mark.parametrize("size", [7, 50, 1 << 16])
+def test_pools_in_chunks_of_any_size(bars, monkeypatch, size):
+    """The state that is handed on from chunk to chunk loses nothing."""
+    df = zones.add_zones(structure.add_structure(bars), 0.1, ZoneConfig(max_width_pips=1e9, max_stop_pips=1e9, body_atr=0.2, range_atr=0.3, base_range_atr=9.0, width_atr=(0.0, 9.0)))
+    cfg = PoolConfig(tolerance=1.0, two_touches=False)
+    monkeypatch.setattr(folds, "CHUNK", size)
+    out = pools.add_pools(df, cfg)
+    for symbol in ("X", "Y"):
+        rows = by_bar(out, symbol)
+        assert any(r["liquidity_pool_low"] is not None for r in rows) or symbol == "Y"
+        sides = [pools.Side(1, cfg), pools.Side(-1, cfg)]
+        for r in rows:
+            tolerance = max(cfg.tolerance, cfg.proximity_atr * (r["atr"] or 0))
+            for side, name, swing in ((sides[0], "demand", "low"), (sides[1], "supply", "high")):
+                key = (r["bar"] - r[f"{name}_zone_age"], r[f"{name}_zone_bottom"], r[f"{name}_zone_top"]) if r[f"sd_{name}_valid"] else None
+                price, valid = side.step(r["bar"], r[f"ext_swing_{swing}"], key, r["high"], r["low"], r["close"], tolerance)
+                assert (r[f"liquidity_pool_{swing}"], r[f"liquidity_{'long' if side.sign > 0 else 'short'}_valid"]) == (price, valid)
+
+
+@pytest.mark.parametrize("size", [10, 1 << 16])
+def test_spacing_of_dense_candidates(spark, monkeypatch, size):
+    monkeypatch.setattr(folds, "CHUNK", size)
+    rows = spark.range(120).select(F.lit("X").alias("symbol"), F.lit("H1").alias("timeframe"), F.lit("demand").alias("side"), (F.col("id") * 3 % 97).alias("created"), F.col("id").alias("pivot_bar"), *[F.col("id").alias(c) for c in ("base_start", "base_end", "departure")], *[F.lit(1.0).alias(c) for c in ("zone_atr", *zones.ZONE)])
+    got = [(r["created"], r["pivot_bar"]) for r in zones.accepted_zones(rows, ZoneConfig(spacing=8)).orderBy("zone_id").collect()]
+    want, last = [], None
+    for created, pivot in sorted((k * 3 % 97, k) for k in range(120)):
+        if last is None or created - last >= 8:
+            want.append((created, pivot))
+            last = created
+    assert got == want
+
+
+def test_spacing_is_linear(spark):
+    """A hundred thousand candidates one bar apart: one long chain."""
+    rows = spark.range(100_000).select(F.lit("X").alias("symbol"), F.lit("H1").alias("timeframe"), F.lit("supply").alias("side"), F.col("id").alias("created"), F.col("id").alias("pivot_bar"), *[F.col("id").alias(c) for c in ("base_start", "base_end", "departure")], *[F.lit(1.0).alias(c) for c in ("zone_atr", *zones.ZONE)])
+    assert zones.accepted_zones(rows, ZoneConfig(spacing=7)).agg(F.count("*"), F.max("created")).first() == (14_286, 99_995)
+
+
+@pytest.mark.parametrize("longest", [1, 5, 61])
+def test_interval_join_moves_a_span_twice_at_most(spark, longest):
+    r = random.Random(longest)
+    spans = [("X", k, (a := r.randrange(-20, 300)), a + r.randrange(-3, longest)) for k in range(80)]
+    bars = spark.range(200).select(F.lit("X").alias("symbol"), F.col("id").alias("bar"))
+    table = spark.createDataFrame(spans, "symbol string, k int, a long, b long")
+    got = sorted((x["k"], x["bar"]) for x in S.interval_join(bars, table, ["symbol"], F.col("a"), F.col("b"), longest).collect())
+    assert got == sorted((k, bar) for _, k, a, b in spans for bar in range(max(a, 0), min(b, 199) + 1))

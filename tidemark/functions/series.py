@@ -126,6 +126,20 @@ def zone_overlaps(a_low: Column, a_high: Column, b_low: Column, b_high: Column,
     return (a_high + t >= b_low) & (a_low - t <= b_high)
 
 
+def interval_join(bars: DataFrame, spans: DataFrame, keys: list[str], first: Column, last: Column, longest: int) -> DataFrame:
+    """Every span with the bars of its series from ``first`` to ``last``; no span holds more than ``longest`` bars.
+
+    Both sides meet in stretches of ``longest`` bars: a bar lies in one, a span
+    touches two at most, so a shuffle moves each bar once and each span twice.
+    ``spans`` has no column of ``bars`` but the keys.
+    """
+    stretch = lambda at: F.floor(at / longest)
+    cut = spans.withColumns({"tm_first": first, "tm_last": last})
+    cut = cut.withColumn("tm_stretch", F.explode(F.array_distinct(F.array(stretch(F.col("tm_first")), stretch(F.col("tm_last"))))))
+    both = cut.join(bars.withColumn("tm_stretch", stretch(F.col("bar"))), [*keys, "tm_stretch"])
+    return both.where(F.col("bar").between(F.col("tm_first"), F.col("tm_last"))).drop("tm_first", "tm_last", "tm_stretch")
+
+
 def effective_tolerance(fixed: float, share: float, atr: Column) -> Column:
     """The larger of a fixed distance and a share of a positive ATR."""
     return F.greatest(F.lit(fixed), F.when(atr > 0, F.lit(share) * atr).otherwise(F.lit(0.0)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.series import KEYS, effective_tolerance, first_existing, is_true, lag, require, runs, zone_overlaps
+from tidemark.functions.series import KEYS, effective_tolerance, first_existing, interval_join, is_true, lag, require, runs, zone_overlaps
 from tidemark.plans.config import GapConfig
 
 
@@ -38,14 +38,13 @@ def detect_gaps(df: DataFrame, min_gap: float = 0.0) -> DataFrame:
 def first_fills(df: DataFrame, cfg: GapConfig) -> DataFrame:
     """First filled gap of each episode: (series, tm_ep, fill_bar, gap_bar, gap_low, gap_high).
 
-    A gap meets the at most ``max_age`` bars after it, so the range join is an
-    equi-join on exploded bar numbers.
+    A gap meets the at most ``max_age`` bars after it, so gaps and bars are joined
+    by stretches of that many bars, of which a gap touches two at most.
     """
     gaps = df.where("tm_gap").select(*KEYS, "tm_ep", F.col("bar").alias("gap_bar"), F.col("tm_low").alias("gap_low"), F.col("tm_high").alias("gap_high"))
-    spread = gaps.withColumn("bar", F.explode(F.sequence(F.col("gap_bar") + 1, F.col("gap_bar") + cfg.max_age)))
     bars = df.where("tm_key is not null").select(*KEYS, "bar", "tm_ep", "high", "low", "tm_latest")
     meets = zone_overlaps(F.col("low"), F.col("high"), F.col("gap_low"), F.col("gap_high"), cfg.fill_tolerance)
-    hit = spread.join(bars, [*KEYS, "tm_ep", "bar"]).where(meets)
+    hit = interval_join(bars, gaps, [*KEYS, "tm_ep"], F.col("gap_bar") + 1, F.col("gap_bar") + cfg.max_age, cfg.max_age).where(meets)
     if cfg.only_latest:
         hit = hit.where(F.col("tm_latest") == F.col("gap_bar"))
     return hit.groupBy(*KEYS, "tm_ep").agg(F.min(F.struct(F.col("bar"), -F.col("gap_bar"), "gap_low", "gap_high")).alias("f")).select(*KEYS, "tm_ep", F.col("f.bar").alias("fill_bar"), F.col("f.gap_low").alias("gap_low"), F.col("f.gap_high").alias("gap_high"))

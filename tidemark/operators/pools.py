@@ -2,7 +2,8 @@
 
 Pool prices are running means that depend on order, and a sweep removes its
 pool, so a series is a fold over its bars. Only bars that change the state or
-read it enter the fold.
+read it enter the fold, and what it knows (open pools, zone, last sweep) is handed
+on from chunk to chunk.
 """
 
 from __future__ import annotations
@@ -13,7 +14,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.folds import fold_in_chunks
 from tidemark.functions.series import KEYS, effective_tolerance, first_existing, is_true, lag
+from tidemark.functions.tables import materialise
 from tidemark.operators.gaps import zone_key
 from tidemark.plans.config import PoolConfig
 
@@ -28,6 +31,15 @@ class Side:
     key: tuple | None = None
     sweep: int | None = None
 
+    def saved(self) -> dict:
+        """What the next chunk needs."""
+        return {"pools": self.pools, "key": self.key, "sweep": self.sweep}
+
+    def restored(self, state: dict) -> Side:
+        self.pools, self.sweep = state["pools"], state["sweep"]
+        self.key = None if state["key"] is None else tuple(state["key"])
+        return self
+
     def add(self, price: float, bar: int) -> None:
         """Give a swing to the nearest pool within the tolerance, or open one."""
         near = [(abs(price - p[0]), k) for k, p in enumerate(self.pools) if abs(price - p[0]) <= self.cfg.tolerance]
@@ -73,8 +85,8 @@ def fold_rows(rows: pd.DataFrame, sides: tuple[Side, Side]) -> pd.DataFrame:
     for r in rows.itertuples(index=False):
         got = []
         for side, swing, born, a, b in ((sides[0], r.sl, r.d_born, r.d_low, r.d_high), (sides[1], r.sh, r.s_born, r.s_low, r.s_high)):
-            key = None if _value(born) is None else (int(born), a, b)
-            got.append(side.step(r.bar, _value(swing), key, r.high, r.low, r.close, r.tol))
+            key = None if _value(born) is None else (int(born), float(a), float(b))
+            got.append(side.step(int(r.bar), _value(swing), key, r.high, r.low, r.close, r.tol))
         out.append((r.symbol, r.timeframe, r.bar, got[0][0], got[1][0], got[0][1], got[1][1]))
     return pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
 
@@ -94,10 +106,13 @@ def add_pools(df: DataFrame, config: PoolConfig | None = None, source: DataFrame
     keyed = keyed.withColumn("tm_live", high.isNotNull() | low.isNotNull() | F.col("tm_d").isNotNull() | F.col("tm_s").isNotNull() | lag("tm_d").isNotNull() | lag("tm_s").isNotNull())
     rows = keyed.where("tm_live").select(*KEYS, "bar", "high", "low", "close", high.alias("sh"), low.alias("sl"), tolerance.alias("tol"), *[F.col(f"tm_{s}.{c}").alias(f"{s}_{c}") for s in "ds" for c in ("born", "low", "high")])
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        return fold_rows(group.sort_values("bar"), (Side(1, cfg), Side(-1, cfg)))
+    def run(group: pd.DataFrame, state: list | None) -> tuple[pd.DataFrame, list]:
+        sides = [Side(1, cfg), Side(-1, cfg)]
+        if state:
+            sides = [side.restored(own) for side, own in zip(sides, state, strict=True)]
+        return fold_rows(group.sort_values("bar"), tuple(sides)), [side.saved() for side in sides]
 
-    found = rows.groupBy(*KEYS).applyInPandas(run, OUT)
+    found = fold_in_chunks(materialise(rows), [*KEYS], F.col("bar"), run, OUT)
     out = bars.join(found, [*KEYS, "bar"], "left")
     out = out.withColumns({c: is_true(F.col(c)) for c in ("liquidity_long_valid", "liquidity_short_valid")})
     return out.withColumn("Liquidity_Valid", F.col("liquidity_long_valid") | F.col("liquidity_short_valid"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.series import KEYS, confirmed_pivot, is_true, lag, require, rolling_mean, series, true_range
+from tidemark.functions.folds import fold_in_chunks
+from tidemark.functions.series import KEYS, confirmed_pivot, interval_join, is_true, lag, require, rolling_mean, series, true_range
+from tidemark.functions.tables import materialise
 from tidemark.plans.config import ZoneConfig
 
 ZONE = ("top", "bottom", "entry", "stop", "width_pips", "stop_pips")
@@ -93,37 +97,37 @@ def zone_candidates(df: DataFrame, pip: float | Column, cfg: ZoneConfig | None =
 def accepted_zones(candidates: DataFrame, cfg: ZoneConfig | None = None) -> DataFrame:
     """Candidates that keep their distance from the zone accepted before them on the same side.
 
-    A candidate far enough from the one before it is always accepted, so the greedy
-    choice is a fold over each run of close candidates, a few at a time. Accepted
-    ones get a ``zone_id`` in order of birth.
+    The greedy choice is a fold whose state is the last accepted bar, handed on
+    from chunk to chunk. Accepted ones get a ``zone_id`` in order of birth.
     """
     cfg = cfg or ZoneConfig()
     fields = ["created", "pivot_bar", "base_start", "base_end", "departure", "zone_atr", *ZONE]
-    order = Window.partitionBy(*KEYS, "side").orderBy("created", "pivot_bar")
-    fresh = F.coalesce(F.col("created") - F.lag("created").over(order) >= cfg.spacing, F.lit(True))
-    runs = candidates.withColumn("tm_fresh", fresh.cast("int")).withColumn("tm_run", F.sum("tm_fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    grouped = runs.groupBy(*KEYS, "side", "tm_run").agg(F.array_sort(F.collect_list(F.struct("created", "pivot_bar", *[c for c in fields if c not in ("created", "pivot_bar")]))).alias("all"))
-
-    def step(acc: Column, z: Column) -> Column:
-        far = acc["last"].isNull() | (z["created"] - acc["last"] >= cfg.spacing)
-        return F.when(far, F.struct(z["created"].alias("last"), F.array_append(acc["kept"], z["pivot_bar"]).alias("kept"))).otherwise(acc)
-
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("kept"))
-    kept = grouped.select(*KEYS, "side", F.aggregate("all", start, step)["kept"].alias("kept"), "all")
-    rows = kept.select(*KEYS, "side", F.inline(F.filter("all", lambda z: F.array_contains("kept", z["pivot_bar"]))))
+    keys, kinds = [*KEYS, "side"], dict(candidates.dtypes)
+
+    def choose(own: pd.DataFrame, last: int | None) -> tuple[pd.DataFrame, int | None]:
+        own = own.sort_values(["created", "pivot_bar"])
+        kept = np.zeros(len(own), bool)
+        for k, created in enumerate(own["created"].tolist()):
+            if last is None or created - last >= cfg.spacing:
+                kept[k], last = True, created
+        return own[kept], last
+
+    rows = materialise(candidates.select(*keys, *fields))
+    rows = fold_in_chunks(rows, keys, F.col("created"), choose, ", ".join(f"{c} {kinds[c]}" for c in (*keys, *fields)))
+    order = Window.partitionBy(*keys).orderBy("created", "pivot_bar")
     return rows.withColumn("zone_id", F.row_number().over(order))
 
 
 def zone_lifecycle(df: DataFrame, zones: DataFrame, cfg: ZoneConfig | None = None) -> DataFrame:
     """One row for each zone and bar of its life: age, overlap, retests and whether it is alive.
 
-    A zone meets at most ``max_age + 1`` bars, so the range join is an equi-join
-    on exploded bar numbers.
+    A zone meets at most ``max_age + 1`` bars, so zones and bars are joined by
+    stretches of that many bars, of which a zone touches two at most.
     """
     cfg = cfg or ZoneConfig()
-    spread = zones.withColumn("bar", F.explode(F.sequence(F.col("created"), F.col("created") + cfg.max_age)))
+    end = F.col("created") + cfg.max_age
     bars = df.select(*KEYS, "bar", "high", "low", "close", "atr")
-    rows = spread.join(bars, [*KEYS, "bar"])
+    rows = interval_join(bars, zones, [*KEYS], F.col("created"), end, cfg.max_age + 1)
     life = Window.partitionBy(*KEYS, "side", "zone_id").orderBy("bar")
     known = is_true(F.col("atr") > 0)
     inside = (F.col("high") >= F.col("bottom")) & (F.col("low") <= F.col("top"))

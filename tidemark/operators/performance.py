@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.normal import normal_cdf, normal_quantile
+from tidemark.functions.normal import normal_cdf, normal_quantile_of
 from tidemark.functions.ordering import max_drawdowns, row_numbers, with_last, with_running
 from tidemark.functions.tables import join_on
 
@@ -95,23 +95,35 @@ def sharpe_moments(trades: DataFrame, balance: float, keys: list[str] | None = N
     return base.withColumns({"skew": F.coalesce(skew, F.lit(0.0)), "kurtosis": F.coalesce(kurt, F.lit(0.0)), "sharpe_per_trade": F.coalesce(per_trade, F.lit(0.0)), "sharpe": F.coalesce(per_trade * F.sqrt(n), F.lit(0.0))}).drop("g1", "g2")
 
 
-def expected_max_sharpe(trials: int, variance: float) -> float:
-    """Expected largest Sharpe ratio of so many trials without skill."""
-    if trials <= 1 or variance <= 0:
-        return 0.0
-    a, b = normal_quantile(1 - 1 / trials), normal_quantile(1 - 1 / (trials * math.e))
-    return math.sqrt(variance) * ((1 - EULER_GAMMA) * a + EULER_GAMMA * b)
+def deflated_sharpe(trades: DataFrame, balance: float, keys: list[str] | None = None, trials: int = 1, variance: float = 0.0, trial: list[str] | None = None) -> DataFrame:
+    """Probability that the Sharpe ratio exceeds the threshold of the trials, given skewness and kurtosis.
 
-
-def deflated_sharpe(trades: DataFrame, balance: float, keys: list[str] | None = None, trials: int = 1, variance: float = 0.0) -> DataFrame:
-    """Probability that the Sharpe ratio exceeds the threshold of the trials, given skewness and kurtosis."""
+    The threshold is the largest ratio to expect of so many trials without skill.
+    ``trial`` names columns whose groups are the trials of a key: their number and the
+    variance of their Sharpe ratios stand in for ``trials`` and ``variance``.
+    """
+    keys = keys or []
     m = sharpe_moments(trades, balance, keys)
-    threshold = expected_max_sharpe(trials, variance)
+    known = {"tm_trials": F.lit(max(1, trials)).cast("long"), "tm_variance": F.lit(float(variance))}
+    if trial:
+        own = sharpe_moments(trades, balance, [*keys, *trial])
+        ratio = F.try_divide(F.col("mean"), F.col("deviation"))
+        spread_of = own.groupBy(*keys).agg(F.count("*").alias("tm_trials"), F.coalesce(F.var_samp(ratio), F.lit(0.0)).alias("tm_variance"))
+        m = join_on(m, spread_of, keys)
+    else:
+        m = m.withColumns(known)
+    many = (F.col("tm_trials") > 1) & (F.col("tm_variance") > 0) & (F.col("n") >= 2)
+    count = F.when(many, F.col("tm_trials").cast("double"))
+    top = (1 - EULER_GAMMA) * normal_quantile_of(1 - 1 / count) + EULER_GAMMA * normal_quantile_of(1 - 1 / (count * math.e))
+    threshold = F.when(many, F.sqrt("tm_variance") * top).otherwise(F.lit(0.0))
+    m = m.withColumn("deflated_sharpe_threshold", threshold)
     s, n = F.col("sharpe_per_trade"), F.col("n")
     spread = 1 - F.col("skew") * s + (F.col("kurtosis") + 2) / 4.0 * s * s
-    z = (s - threshold) * F.sqrt(n - 1) / F.sqrt(F.when(spread > 0, spread))
-    mode = "single_trial_psr_equivalent" if trials <= 1 else "multiple_trials"
-    return m.withColumns({"deflated_sharpe_ratio": F.when(n >= 2, normal_cdf(z)), "deflated_sharpe_threshold": F.lit(threshold), "deflated_sharpe_trials": F.lit(trials), "deflated_sharpe_mode": F.lit(mode)})
+    z = (s - F.col("deflated_sharpe_threshold")) * F.sqrt(n - 1) / F.sqrt(spread)
+    mode = F.when(n < 2, "insufficient_observations").when(many, "multiple_testing_adjusted").otherwise("single_trial_psr_equivalent")
+    ratio = F.when((n >= 2) & (spread > 0), normal_cdf(z)).otherwise(F.lit(0.0))
+    shown = F.when(n < 2, F.lit(1)).otherwise(F.col("tm_trials")).cast("int")
+    return m.withColumns({"deflated_sharpe_ratio": ratio, "deflated_sharpe_trials": shown, "deflated_sharpe_mode": mode}).drop("tm_trials", "tm_variance")
 
 
 def account_info(trades: DataFrame, balance: float, order: str = "row_id", keys: list[str] | None = None) -> DataFrame:

@@ -43,9 +43,10 @@ def _zoned(spark, sf_dir) -> DataFrame:
     return materialise(zones.add_zones(_bars(spark, sf_dir), PIP))
 
 
-def _trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The order lines as a trade table, numbered in a total order."""
-    raw = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+def _trades(spark: SparkSession, sf_dir: str, numbered: bool = True) -> DataFrame:
+    """The order lines as a trade table, numbered in a total order where that is asked for."""
+    order = ["l_shipdate", "l_orderkey", "l_returnflag", "l_linestatus", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    raw = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(order)
     cash = (F.col("l_quantity") - 25) * 10
     flag = lambda c, n: F.col(c) % n == 0
     cols = {
@@ -54,9 +55,8 @@ def _trades(spark: SparkSession, sf_dir: str) -> DataFrame:
         "session_valid": flag("l_partkey", 2), "profile_valid": flag("l_suppkey", 2), "gap_valid": flag("l_partkey", 3), "fib_valid": flag("l_suppkey", 3), "pool_valid": flag("l_partkey", 5), "level_valid": flag("l_suppkey", 5),
         "label": (cash > 0).cast("int"), "score": F.col("l_extendedprice"),
     }
-    order = ["l_shipdate", "l_orderkey", "l_returnflag", "l_linestatus", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-    numbered = row_numbers(raw, order)
-    out = numbered.select("row_id", "l_discount", "l_tax", *[c.alias(n) for n, c in cols.items()])
+    rows = row_numbers(raw, order) if numbered else raw
+    out = rows.select(*(["row_id"] if numbered else []), "l_discount", "l_tax", *[c.alias(n) for n, c in cols.items()])
     return out.withColumn("outcome", F.when(F.col("pnl_cash") > 0, "Win").when(F.col("pnl_cash") < 0, "Loss").otherwise("Breakeven"))
 
 
@@ -252,7 +252,7 @@ def trade_stats(spark, sf_dir):
 
 
 def engine_summary(spark, sf_dir):
-    return _rounded(performance.engine_summary(_trades(spark, sf_dir), 10_000.0, ["symbol"]), "win_rate", "expectancy_r", "profit_factor")
+    return _rounded(performance.engine_summary(_trades(spark, sf_dir, False), 10_000.0, ["symbol"]), "win_rate", "expectancy_r", "profit_factor")
 
 
 def account_info(spark, sf_dir):
@@ -264,21 +264,21 @@ def trading_metrics(spark, sf_dir):
 
 
 def sharpe_moments(spark, sf_dir):
-    m = performance.sharpe_moments(_trades(spark, sf_dir), 10_000.0, ["symbol"])
+    m = performance.sharpe_moments(_trades(spark, sf_dir, False), 10_000.0, ["symbol"])
     return _rounded(m, "mean", "deviation", "skew", "kurtosis", "sharpe_per_trade", "sharpe")
 
 
 def deflated_sharpe(spark, sf_dir):
-    m = performance.deflated_sharpe(_trades(spark, sf_dir), 10_000.0, ["symbol", "timeframe"])
+    m = performance.deflated_sharpe(_trades(spark, sf_dir, False), 10_000.0, ["symbol", "timeframe"])
     return m.select("symbol", "timeframe", F.round("sharpe", 6).alias("sharpe"), F.round("deflated_sharpe_ratio", 6).alias("deflated_sharpe_ratio"), "deflated_sharpe_mode")
 
 
 def outcome_groups(spark, sf_dir):
-    return analytics.outcome_groups(_trades(spark, sf_dir)).groupBy("symbol", "outcome_group").agg(F.count("*").alias("n"), F.sum("pnl_cash").alias("pnl"))
+    return analytics.outcome_groups(_trades(spark, sf_dir, False)).groupBy("symbol", "outcome_group").agg(F.count("*").alias("n"), F.sum("pnl_cash").alias("pnl"))
 
 
-def _normal(spark, sf_dir):
-    return analytics.outcome_groups(_trades(spark, sf_dir))
+def _normal(spark, sf_dir, numbered=False):
+    return analytics.outcome_groups(_trades(spark, sf_dir, numbered))
 
 
 def confluence_summary(spark, sf_dir):
@@ -294,15 +294,15 @@ def confluence_sets(spark, sf_dir):
 
 
 def confluence_counts(spark, sf_dir):
-    return analytics.condition_counts(_trades(spark, sf_dir))
+    return analytics.condition_counts(_trades(spark, sf_dir, False))
 
 
 def mean_confluences(spark, sf_dir):
-    return _rounded(analytics.mean_active(_trades(spark, sf_dir)), "mean_active")
+    return _rounded(analytics.mean_active(_trades(spark, sf_dir, False)), "mean_active")
 
 
 def filter_trades(spark, sf_dir):
-    return analytics.filter_trades(_normal(spark, sf_dir), symbol="A", side=None, outcome="Win", date_from="1994-01-01", date_to="1996-12-31", condition="gap_valid", state="active", min_r=1.0).select("row_id", "trade_date", "pnl_r")
+    return analytics.filter_trades(_normal(spark, sf_dir, True), symbol="A", side=None, outcome="Win", date_from="1994-01-01", date_to="1996-12-31", condition="gap_valid", state="active", min_r=1.0).select("row_id", "trade_date", "pnl_r")
 
 
 def _run_names(spark, sf_dir):
@@ -330,7 +330,7 @@ def pip_sizes(spark, sf_dir):
 
 def join_enrich(spark, sf_dir):
     """Outcomes of the better of two reports joined to a data set by five keys."""
-    t = _trades(spark, sf_dir).groupBy("symbol", "timeframe", "trade_date", "entry_bar", "position").agg(F.sum("pnl_cash").alias("pnl_cash"))
+    t = _trades(spark, sf_dir, False).groupBy("symbol", "timeframe", "trade_date", "entry_bar", "position").agg(F.sum("pnl_cash").alias("pnl_cash"))
     reports = t.withColumn("report", F.lit("full")).unionByName(t.where("symbol = 'A'").withColumn("report", F.lit("part")))
     data = t.drop("pnl_cash")
     return dataset.enrich(data, reports, ["pnl_cash"]).groupBy("symbol", "matched").agg(F.count("*").alias("n"), F.sum("pnl_cash").alias("pnl"))
@@ -351,8 +351,8 @@ def sample_weights(spark, sf_dir):
     return _trades(spark, sf_dir).select("row_id", F.round(dataset.sample_weight(), 6).alias("weight"))
 
 
-def _folded(spark, sf_dir):
-    return _trades(spark, sf_dir).withColumn("fold", F.col("symbol"))
+def _folded(spark, sf_dir, numbered=True):
+    return _trades(spark, sf_dir, numbered).withColumn("fold", F.col("symbol"))
 
 
 def rank_pct(spark, sf_dir):
@@ -382,7 +382,7 @@ def confusion_metrics(spark, sf_dir):
 
 
 def roc_auc(spark, sf_dir):
-    return _rounded(classification.roc_auc(_folded(spark, sf_dir), ["fold"]), "roc_auc")
+    return _rounded(classification.roc_auc(_folded(spark, sf_dir, False), ["fold"]), "roc_auc")
 
 
 def average_precision(spark, sf_dir):
@@ -390,7 +390,7 @@ def average_precision(spark, sf_dir):
 
 
 def roc_points(spark, sf_dir):
-    return _rounded(classification.roc_points(_folded(spark, sf_dir), ["fold"]), "fpr", "tpr")
+    return _rounded(classification.roc_points(_folded(spark, sf_dir, False), ["fold"]), "fpr", "tpr")
 
 
 def pooled_metrics(spark, sf_dir):
@@ -399,7 +399,7 @@ def pooled_metrics(spark, sf_dir):
 
 
 def dataset_overview(spark, sf_dir):
-    return dataset.overview(_trades(spark, sf_dir), "label")
+    return dataset.overview(_trades(spark, sf_dir, False), "label")
 
 
 def gbt_scores(spark, sf_dir):

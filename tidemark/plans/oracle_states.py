@@ -6,6 +6,9 @@ arrays; both must give the same trades and pools.
 
 from __future__ import annotations
 
+import math
+from statistics import NormalDist
+
 from tidemark.plans.oracle import _SR, _ZCHAIN, STRUCT, TRADES, _D, _rows
 
 _POOL = "STRUCT(p DOUBLE, c BIGINT, t BIGINT, n BIGINT)[]"
@@ -71,20 +74,40 @@ SIMULATED = f"""sw(symbol, bar, {_STATE}, trade) AS (
              SELECT *, pos = 1 AND worst <= lvl1 AS x_stop, pos = 2 AND worst <= tr1 AS x_rstop FROM (
               SELECT *, be OR (pos = 1 AND coalesce((best - en) / risk >= 1, false)) AS be1, CASE WHEN pos = 1 AND NOT be AND (best - en) / risk >= 1 THEN en + 6 + fc ELSE lvl END AS lvl1, CASE WHEN pos = 2 THEN greatest(tr, CASE WHEN pa > 0 THEN sgn * pc - pa END) END AS tr1 FROM (
                SELECT i.*, {', '.join('w.' + c.strip() for c in _STATE.split(','))}, CASE WHEN w.sgn = 1 THEN i.high ELSE -i.low END AS best, CASE WHEN w.sgn = 1 THEN i.low ELSE -i.high END AS worst FROM sw w JOIN tin i ON i.symbol = w.symbol AND i.bar = w.bar + 1)))))))))))))))"""
+#: Runners that keep their stop, and trades without a runner.
+FIXED_STOP = SIMULATED.replace("greatest(tr, CASE WHEN pa > 0 THEN sgn * pc - pa END)", "tr").replace("'atr_trail_stop'", "'initial_stop_after_partial'")
+NO_RUNNER = SIMULATED.replace("x_reach AND c_run IS NOT NULL", "false").replace("x_reach AND c_run IS NULL", "x_reach").replace("'close_rest_at_2r'", "'full_close_at_2r'").replace("'no_valid_sr_runner'", "'runner_disabled'").replace("CASE WHEN go THEN NULL WHEN x_reach THEN bar ELSE pb END", "NULL::BIGINT").replace("CASE WHEN go THEN NULL WHEN x_reach THEN tg - fc ELSE pp END", "NULL::DOUBLE").replace("WHEN x_reach THEN 2 ELSE pos", "ELSE pos")
 _CHAIN = "WITH RECURSIVE " + ",\n".join([STRUCT, *_ZCHAIN[3:]])
-_TRADED = ",\n".join([_CHAIN, _SR, _BREAKS, _COSTS, _INPUT, SIMULATED, "td AS (SELECT symbol, 'H1' AS timeframe, trade.* FROM sw WHERE trade IS NOT NULL)"])
+
+
+def _simulation(rules: str) -> str:
+    return ",\n".join([_CHAIN, _SR, _BREAKS, _COSTS, _INPUT, rules, "td AS (SELECT symbol, 'H1' AS timeframe, trade.* FROM sw WHERE trade IS NOT NULL)"])
+
+
+_TRADED = _simulation(SIMULATED)
 _ROUNDED = ("entry", "exit", "initial_stop", "final_stop", "target", "executed_stop", "executed_target", "risk_price", "size", "pnl_cash", "pnl_r", "partial_price", "runner_target", "runner_stop", "commission", "balance_after")
 
+SHOWN = ", ".join(f"round({c}, 6) AS {c}" for c in _ROUNDED) + ", outcome, be_moved, partial_bar, runner_qualified, runner_active, runner_exit_reason, exit_type"
+_LISTED = "\nSELECT symbol, timeframe, no AS trade_no, side, entry_bar, exit_bar, " + SHOWN + " FROM td"
+
 _MOMENTS = "g AS (SELECT symbol, timeframe, count(*)::DOUBLE AS n, avg(pnl_cash / 10000) / stddev_samp(pnl_cash / 10000) AS s, coalesce(skewness(pnl_cash / 10000), 0) AS skew, coalesce(kurtosis(pnl_cash / 10000), 0) AS kurt FROM t GROUP BY ALL)"
 #: The normal distribution function by its series around 0.
 _PHI = """z AS (SELECT *, s * sqrt(n - 1) / sqrt(1 - skew * s + (kurt + 2) / 4 * s * s) AS z FROM g),
 ph AS (SELECT symbol, timeframe, z, 0 AS k, z AS term, z AS total FROM z UNION ALL SELECT symbol, timeframe, z, k + 1, term * z * z / (2 * k + 3), total + term * z * z / (2 * k + 3) FROM ph WHERE k < 200)"""
 
+#: Trials of a symbol are its years; quantiles of the normal distribution for up to 40 trials.
+_QUANTILES = ", ".join(f"({n}, {NormalDist().inv_cdf(1 - 1 / n)!r}::DOUBLE, {NormalDist().inv_cdf(1 - 1 / (n * math.e))!r}::DOUBLE)" for n in range(2, 41))
+_TRIALS = f"""y AS (SELECT symbol, count(*) AS trials, var_samp(s) AS v FROM (SELECT symbol, avg(pnl_cash / 10000) / nullif(stddev_samp(pnl_cash / 10000), 0) AS s FROM t GROUP BY symbol, year(trade_date)) GROUP BY symbol),
+th AS (SELECT symbol, trials, CASE WHEN trials > 1 AND v > 0 THEN sqrt(v) * ((1 - 0.5772156649015329::DOUBLE) * qa + 0.5772156649015329::DOUBLE * qb) ELSE 0 END AS threshold FROM y LEFT JOIN (VALUES {_QUANTILES}) AS q(k, qa, qb) ON k = trials)"""
+
 SQL: dict[str, str] = {
     "liquidity_pools": _CHAIN + ",\n" + POOLS + "\nSELECT symbol, bar, round(aprice, 6) AS liquidity_pool_low, round(bprice, 6) AS liquidity_pool_high, avalid AS liquidity_long_valid, bvalid AS liquidity_short_valid FROM pw WHERE bar >= 0",
-    "trades": _TRADED + "\nSELECT symbol, timeframe, no AS trade_no, side, entry_bar, exit_bar, " + ", ".join(f"round({c}, 6) AS {c}" for c in _ROUNDED) + ", outcome, be_moved, partial_bar, runner_qualified, runner_active, runner_exit_reason, exit_type FROM td",
+    "trades": _TRADED + _LISTED,
+    "trades_with_fixed_stop": _simulation(FIXED_STOP) + _LISTED,
+    "trades_without_runner": _simulation(NO_RUNNER) + _LISTED,
     "equity_curve": _TRADED + f""", bl AS (SELECT symbol, max(bar) AS last FROM tin GROUP BY symbol), lx AS (SELECT symbol, max(exit_bar) AS done, arg_max(balance_after, no) AS equity FROM td GROUP BY symbol),
 pt AS (SELECT symbol, 0 AS k, 0 AS bar, {_D(10000)} AS equity FROM bl UNION ALL SELECT symbol, no, exit_bar, balance_after FROM td UNION ALL SELECT symbol, 1000000, last, coalesce(equity, {_D(10000)}) FROM bl LEFT JOIN lx USING (symbol) WHERE coalesce(done, 0) <> last)
 SELECT p.symbol, 'H1' AS timeframe, CAST(row_number() OVER (PARTITION BY p.symbol ORDER BY k) - 1 AS INTEGER) AS seq, CAST(p.bar AS BIGINT) AS bar, i.time, round(equity, 6) AS equity FROM pt p LEFT JOIN tin i ON i.symbol = p.symbol AND i.bar = p.bar""",
+    "deflated_sharpe_trials": f"WITH RECURSIVE {TRADES},\n{_MOMENTS.replace('symbol, timeframe,', 'symbol, 1 AS timeframe,')},\n{_TRIALS},\n{_PHI.replace('(s * ', '((s - threshold) * ').replace('s * sqrt(n - 1)', '(s - threshold) * sqrt(n - 1)').replace('FROM g)', 'FROM g JOIN th USING (symbol))')}\nSELECT z.symbol, round(s * sqrt(n), 6) AS sharpe, round(0.5 + total * exp(-z.z * z.z / 2) / sqrt(2 * pi()), 6) AS deflated_sharpe_ratio, round(threshold, 6) AS deflated_sharpe_threshold, CAST(trials AS INTEGER) AS deflated_sharpe_trials, 'multiple_testing_adjusted' AS deflated_sharpe_mode FROM z JOIN ph USING (symbol, timeframe) WHERE k = 200",
     "deflated_sharpe": f"WITH RECURSIVE {TRADES},\n{_MOMENTS},\n{_PHI}\nSELECT z.symbol, z.timeframe, round(s * sqrt(n), 6) AS sharpe, round(0.5 + total * exp(-z.z * z.z / 2) / sqrt(2 * pi()), 6) AS deflated_sharpe_ratio, 'single_trial_psr_equivalent' AS deflated_sharpe_mode FROM z JOIN ph USING (symbol, timeframe) WHERE k = 200",
 }

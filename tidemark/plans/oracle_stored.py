@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from tidemark.plans.oracle import SQL as _PLAIN_SQL
 from tidemark.plans.oracle import _BANDS, _FILL, _GAPS, _KEPT, _LEGS, _LEVELS, _PROFILE, _SR, ATR, BARS, PIP, TR, UPTO, ZCAND, ZIN, _blocks, _D, _t, _with
-from tidemark.plans.oracle_states import _BREAKS, _CHAIN, _COSTS, _INPUT, POOLS, SIMULATED
+from tidemark.plans.oracle_states import _BREAKS, _CHAIN, _COSTS, _INPUT, POOLS, SHOWN, SIMULATED
 
 _RANGE = "min(time) AS a, max(time) AS b FROM bars GROUP BY symbol"
 _REQUESTS = "(VALUES (0, DATE '2023-11-01', DATE '2024-01-10'), (1, DATE '2024-01-12', DATE '2024-03-01'), (2, DATE '2025-01-01', DATE '2025-02-01'), (3, DATE '2020-01-01', DATE '2020-02-01'), (4, DATE '2024-01-09', DATE '2024-01-09')) AS q(request, s, e)"
 _OWN_PIP = "(CASE symbol WHEN 'error' THEN 20.0 WHEN 'view' THEN 30.0 ELSE 25.0 END)::DOUBLE"
 
+_SWEEPS = _PLAIN_SQL["session_sweeps"]
+
 # all layers side by side, one row for each bar
 _SESSION = _blocks("zoned") + ",\n" + _LEVELS + f""",
 sw0 AS (SELECT *, {' OR '.join(f"coalesce(low < prev_{s}_low AND close >= prev_{s}_low, false)" for s in ('asia', 'london', 'newyork'))} AS dl, {' OR '.join(f"coalesce(high > prev_{s}_high AND close <= prev_{s}_high, false)" for s in ('asia', 'london', 'newyork'))} AS dh FROM sl),
@@ -66,22 +69,27 @@ SELECT DISTINCT CASE WHEN u LIKE '%XAU%' OR u LIKE '%GOLD%' THEN 'XAUUSD' WHEN u
     "zones_by_spec": _with(BARS, TR, ATR, ZIN, ZCAND.replace(PIP, _OWN_PIP).replace(_D(12.5), f"(0.5::DOUBLE * {_OWN_PIP})")) + "SELECT symbol, side, created, pivot_bar, entry, round(stop, 6) AS stop, round(width_pips, 6) AS width_pips, round(stop_pips, 6) AS stop_pips FROM cand",
     "training_rows": """WITH g AS (SELECT l_returnflag AS symbol, l_linestatus AS timeframe, l_shipdate AS trade_date, l_orderkey AS entry_bar, CASE WHEN l_linenumber % 2 = 0 THEN 'LONG' ELSE 'SHORT' END AS position, sum(l_quantity) AS q, max(l_partkey) AS p FROM lineitem GROUP BY ALL)
 SELECT row_number() OVER (ORDER BY trade_date, symbol, timeframe, entry_bar, position) AS row_id, symbol, timeframe, trade_date, entry_bar, position, CASE WHEN q > 25 THEN 1 ELSE 0 END AS label_positive FROM g WHERE p % 7 <> 0 AND p % 100 <> 0""",
-    "safe_rows": _t() + "SELECT symbol, timeframe, trade_date, entry_bar, position, 1 AS schema_version, session_valid::INT AS session_valid, CASE WHEN pnl_r BETWEEN -2 AND 2 THEN pnl_r END AS risk, pnl_cash, outcome, 1 AS label_positive, 0 AS label_hit_target, 0 AS label_runner FROM t WHERE trade_date < '1995-03-01'",
+    "safe_rows": _t() + "SELECT symbol, timeframe, trade_date, entry_bar, position, 1 AS schema_version, session_valid::INT AS session_valid, CASE WHEN pnl_r BETWEEN -2 AND 2 THEN pnl_r END AS risk, pnl_cash, outcome, 1 AS label_positive, 0 AS label_hit_target, 0 AS label_runner FROM t",
     "normalised_trades": """WITH w AS (SELECT *, l_partkey + l_linenumber AS k FROM lineitem), v AS (SELECT *, CASE WHEN k % 5 <> 0 THEN l_quantity END AS c, k % 8 IN (0, 1, 2) AS gap_valid, k % 7 IN (0, 1, 2) AS runner_active FROM w)
 SELECT gap_valid, runner_active, CASE WHEN coalesce(c, 0) > 0 THEN 'Win' WHEN c < 0 THEN 'Loss' ELSE 'Breakeven' END AS outcome_group, CAST(round_even(l_quantity / 4, 0) AS BIGINT) AS lots, count(*) AS rows, sum(c) AS pnl, count(*) FILTER (WHERE k % 9 <> 0) AS dated, max(l_shipdate) FILTER (WHERE k % 9 <> 0) AS "last" FROM v GROUP BY ALL""",
-    "trade_details": _t() + 'SELECT row_id, pnl_cash AS "result.pnl_cash", pnl_r AS "result.pnl_r", session_valid AS "conditions.session_valid", gap_valid AS "conditions.gap_valid" FROM t WHERE entry_bar < 2000',
+    "trade_details": _t() + 'SELECT row_id, pnl_cash AS "result.pnl_cash", pnl_r AS "result.pnl_r", session_valid AS "conditions.session_valid", gap_valid AS "conditions.gap_valid" FROM t',
     "equity_rebuilt": _t() + """, a AS (SELECT row_number() OVER (ORDER BY row_id) AS step, trade_date AS time, last_value(CASE WHEN row_id % 3 = 0 THEN row_id * 1.5::DOUBLE END IGNORE NULLS) OVER (ORDER BY row_id) AS equity, true AS stored FROM t WHERE row_id > 2),
 b AS (SELECT row_id AS step, trade_date AS time, 10000 + sum(pnl_cash) OVER (ORDER BY row_id) AS equity, false AS stored FROM t) SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT 0, min(time), 10000, stored FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY stored""",
     "run_stats": _t() + "SELECT symbol, count(*) AS trades, round_even(sum(pnl_cash), 2) AS net_pnl, round_even(sum(pnl_cash) / 10000 * 100.0, 2) AS roi_pct, round_even(avg(pnl_cash) FILTER (WHERE pnl_cash > 0), 4) AS avg_win, round_even(avg(pnl_cash) FILTER (WHERE pnl_cash < 0), 2) AS avg_loss, round_even(avg(pnl_r), 4) AS avg_rr_per_trade FROM t GROUP BY symbol",
     "run_trades_stored": _t() + 'SELECT symbol, gap_valid, outcome AS outcome_group, count(*) AS rows, sum(pnl_cash) AS pnl, max(trade_date) AS "last", 0::BIGINT AS missing_rows FROM t GROUP BY ALL',
     "trade_log": _TRADED + "\nSELECT td.symbol, td.timeframe, " + ", ".join(f"{x} AS {n}" if n in _PLAIN else f"round({x}, 6) AS {n}" for n, x in _LOG.items()) + f" {_AT}",
     "trade_report": _TRADED + f"""
-SELECT td.symbol, td.timeframe, td.no AS trade_no, i.time AS trade_date, x.time AS exit_time, l.session_name, {_COUNT} AS confluence_count, exit_bar - entry_bar AS duration_bars, round(risk_price / 25, 6) AS risk_pips, round(c.spread, 6) AS entry_spread_pips, round(e.slip, 6) AS exit_slippage_pips, e.sf AS exit_session_factor,
-(pnl_cash > 0)::INT AS label_positive, (partial_bar IS NOT NULL)::INT AS label_hit_target, runner_active::INT AS label_runner, {_SIDE('liquidity')}, {_SIDE('imbalance')}, {_SIDE('fibonacci')}, {_SIDE('volume_profile')} {_AT}""",
+SELECT td.symbol, td.timeframe, td.no AS trade_no, side, entry_bar, exit_bar, {SHOWN}, i.time AS trade_date, x.time AS exit_time, l.session_name, {_COUNT} AS confluence_count, exit_bar - entry_bar AS duration_bars, round(risk_price / 25, 6) AS risk_pips,
+round(c.spread, 6) AS entry_spread_pips, round(c.slip, 6) AS entry_slippage_pips, round(e.spread, 6) AS exit_spread_pips, round(e.slip, 6) AS exit_slippage_pips, e.sf AS exit_session_factor, e.vf AS exit_volatility_factor,
+round(CASE WHEN runner_qualified THEN CASE WHEN side = 'long' THEN lref ELSE sref END END, 6) AS sr_reference_level, round(CASE WHEN runner_qualified THEN CASE WHEN side = 'long' THEN lrr ELSE srr END END, 6) AS sr_target_rr,
+(pnl_cash > 0)::INT AS label_positive, (partial_bar IS NOT NULL)::INT AS label_hit_target, runner_active::INT AS label_runner, {', '.join(_SIDE(n) for n in _NAMES)} {_AT}""",
+    "streamed_sweeps": _SWEEPS + " WHERE time < (SELECT max(time) FROM bars) - INTERVAL 90 MINUTE",
     "layer_flags": _LAYERS + "\nSELECT symbol, bar, " + ", ".join(f"{n}_{s}_valid" for n in _NAMES for s in ("long", "short")) + ", long_signal, short_signal FROM lay",
     "lean_features": _with(BARS) + "SELECT symbol, count(*) AS bars, 0::BIGINT AS flags, 0::BIGINT AS known FROM bars GROUP BY symbol",
     "dataset_summaries": _t() + "SELECT symbol || '_X1' AS dataset, count(*) AS rows, symbol, min(trade_date) AS first_date, max(trade_date) AS last_date FROM t GROUP BY symbol",
-    "runs_deleted": "SELECT * FROM (VALUES ('run', 'EURUSD_H1_20240101_20240201_20240302T000000Z'), ('dataset', 'EURUSD_H1')) AS v(kind, name)",
+    "runs_deleted": """WITH y AS (SELECT 'SYM' || o_orderstatus || '_H' || o_custkey % 3 AS series, year(o_orderdate) AS y, count(*) AS n, max(o_orderdate) AS d FROM orders GROUP BY ALL),
+r AS (SELECT series, series || '_' || y || '0101_' || y || '1231_' || strftime(d, '%Y%m%d') || 'T' || lpad(n::VARCHAR, 6, '0') || 'Z' AS name, n % 2 = 0 AND series NOT LIKE 'SYMP%' AS stays FROM y)
+SELECT 'run' AS kind, name FROM r WHERE stays UNION ALL SELECT DISTINCT 'dataset', series FROM r WHERE stays""",
     "orphaned_datasets": "SELECT DISTINCT p_brand || '_' || p_type AS dataset FROM part WHERE p_brand || '_' || p_type NOT IN (SELECT p_brand || '_' || p_type FROM part WHERE p_size > 10)",
     "selection_effect": _t(_KEPT) + f", m AS (SELECT *, rk <= greatest(1, ceil(n * {_D(0.35)})) AS sel FROM k) SELECT timeframe, count(*) AS rows, count(*) FILTER (WHERE sel) AS kept, count(DISTINCT fold) AS folds, {_EFFECT} FROM m GROUP BY timeframe",
     "classification_runs": _t(_KEPT, _PRED, _metrics("run, split", "one"), _metrics("split", "pool")) + f""", mn AS (SELECT split, {', '.join(f'avg({n}) AS mean_{n}' for n in _MEANS)} FROM one GROUP BY split)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from tidemark.functions import series as S
@@ -13,7 +15,7 @@ from tidemark.plans.config import DEMO_EXECUTION
 from tidemark.plans.pipeline import DEFAULTS, build_features
 from tidemark.sources import bars as bar_source
 from tidemark.sources import remote, runs, sinks, specs
-from tidemark.sources.stores import new_folder
+from tidemark.sources.stores import new_folder, write_folders
 
 
 def bars_stored(spark, sf_dir):
@@ -105,7 +107,7 @@ def training_rows(spark, sf_dir):
 
 def safe_rows(spark, sf_dir):
     """The leakage-free projection of a trade report."""
-    t = _trades(spark, sf_dir).where("trade_date < '1995-03-01'").select("symbol", "timeframe", "trade_date", "entry_bar", "position", "session_valid", "pnl_cash", "outcome", F.when(F.col("pnl_r") > 2, float("inf")).when(F.col("pnl_r") < -2, float("nan")).otherwise(F.col("pnl_r")).alias("risk"), F.col("score").alias("exit_price"), F.lit(1).alias("label_positive"), F.lit(0).alias("label_hit_target"), F.lit(0).alias("label_runner"))
+    t = _trades(spark, sf_dir, False).select("symbol", "timeframe", "trade_date", "entry_bar", "position", "session_valid", "pnl_cash", "outcome", F.when(F.col("pnl_r") > 2, float("inf")).when(F.col("pnl_r") < -2, float("nan")).otherwise(F.col("pnl_r")).alias("risk"), F.col("score").alias("exit_price"), F.lit(1).alias("label_positive"), F.lit(0).alias("label_hit_target"), F.lit(0).alias("label_runner"))
     return dataset.safe_frame(t)
 
 
@@ -124,7 +126,7 @@ def normalised_trades(spark, sf_dir):
 def trade_details(spark, sf_dir):
     """Fields of single trades in named sections, flattened to dotted names."""
     sections = {"result": ["pnl_cash", "pnl_r", "unknown"], "conditions": ["session_valid", "gap_valid"], "none": ["nothing"]}
-    rows = analytics.detail_sections(_trades(spark, sf_dir).where("entry_bar < 2000"), sections)
+    rows = analytics.detail_sections(_trades(spark, sf_dir), sections)
     return sinks.flattened(rows.select("row_id", "result", "conditions"))
 
 
@@ -164,11 +166,50 @@ def trade_log(spark, sf_dir):
 
 
 def trade_report(spark, sf_dir):
-    """Entry-time conditions, costs and labels of the simulated trades."""
+    """The simulated trades with their entry-time conditions, costs and labels."""
     f = _features(spark, sf_dir)
     trades = materialise(execution.run_trades(f, DEMO_EXECUTION))
-    out = execution.trade_report(trades, f, DEMO_EXECUTION).select("symbol", "timeframe", "trade_no", "trade_date", "exit_time", "session_name", "confluence_count", "duration_bars", "risk_pips", "entry_spread_pips", "exit_slippage_pips", "exit_session_factor", "label_positive", "label_hit_target", "label_runner", "liquidity_valid", "imbalance_valid", "fibonacci_valid", "volume_profile_valid")
-    return _rounded(out, "risk_pips", "entry_spread_pips", "exit_slippage_pips")
+    more = ["trade_date", "exit_time", "session_name", "confluence_count", "duration_bars", "risk_pips", "entry_spread_pips", "entry_slippage_pips", "exit_spread_pips", "exit_slippage_pips", "exit_session_factor", "exit_volatility_factor", "sr_reference_level", "sr_target_rr", "label_positive", "label_hit_target", "label_runner"]
+    layers = ("session_liquidity", "volume_profile", "imbalance", "fibonacci", "liquidity", "support_resistance", "market_structure", "supply_demand")
+    out = execution.trade_report(trades, f, DEMO_EXECUTION).select(*trades.columns, *more, *[f"{n}_valid" for n in layers])
+    return _rounded(out, *[c for c, kind in out.dtypes if kind == "double" and not c.startswith("exit_") or c in ("exit_spread_pips", "exit_slippage_pips")])
+
+
+def deflated_sharpe_trials(spark, sf_dir):
+    """Deflated Sharpe ratios of all trades of a symbol, whose years are its trials."""
+    t = _trades(spark, sf_dir, False).withColumn("year", F.year("trade_date"))
+    m = performance.deflated_sharpe(t, 10_000.0, ["symbol"], trial=["year"])
+    return _rounded(m, "sharpe", "deflated_sharpe_ratio", "deflated_sharpe_threshold").select("symbol", "sharpe", "deflated_sharpe_ratio", "deflated_sharpe_threshold", "deflated_sharpe_trials", "deflated_sharpe_mode")
+
+
+def _traded(spark, sf_dir, runner):
+    out = execution.run_trades(_features(spark, sf_dir), replace(DEMO_EXECUTION, runner=runner))
+    return _rounded(out, *[c for c, kind in out.dtypes if kind == "double"])
+
+
+def trades_without_runner(spark, sf_dir):
+    """Simulated trades that close at their target."""
+    return _traded(spark, sf_dir, "none")
+
+
+def trades_with_fixed_stop(spark, sf_dir):
+    """Simulated trades whose runners keep their stop."""
+    return _traded(spark, sf_dir, "sr_only")
+
+
+def streamed_sweeps(spark, sf_dir):
+    """Session sweeps of a stream of bars with zones, in three runs that restart from one checkpoint; bars that the watermark hasn't passed are missing."""
+    from tidemark.streaming.sessions import streaming_sessions
+
+    source, out = new_folder(spark, "bars"), new_folder(spark, "swept")
+    bars = materialise(zones.add_zones(_bars(spark, sf_dir), PIP).select(*S.KEYS, F.col("time").cast("timestamp").alias("time"), "high", "low", "close", "sd_demand_valid", "sd_supply_valid"))
+    first, last = bars.agg(F.min(F.unix_seconds("time")), F.max(F.unix_seconds("time"))).first()
+    third = F.floor((F.unix_seconds("time") - first) * 3 / (last - first + 1))
+    for k in range(3):
+        bars.where(third == k).write.mode("append").parquet(f"{source}/bars")
+        made = streaming_sessions(spark.readStream.schema(bars.schema).parquet(f"{source}/bars"), SETTINGS.sessions, "90 minutes")
+        made.writeStream.format("parquet").option("path", f"{out}/bars").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(made.schema).parquet(f"{out}/bars").select(*KEY, "session_low_swept", "session_high_swept", "session_liquidity_long_valid", "session_liquidity_short_valid", "Session_Liquidity_Valid")
 
 
 def layer_flags(spark, sf_dir):
@@ -179,8 +220,6 @@ def layer_flags(spark, sf_dir):
 
 def lean_features(spark, sf_dir):
     """The pipeline with all optional layers off: their columns are false or null."""
-    from dataclasses import replace
-
     df = build_features(_bars(spark, sf_dir), replace(SETTINGS, sessions=None, profile=None, gaps=None, retracement=None, pools=None, levels=None))
     flags = [n for layer in DEFAULTS.values() for n in layer["boolean"]]
     rest = [n for layer in DEFAULTS.values() for kind in ("double", "string") for n in layer.get(kind, [])]
@@ -198,16 +237,16 @@ def dataset_summaries(spark, sf_dir):
 
 
 def runs_deleted(spark, sf_dir):
-    """Runs and data sets that are left after two runs were deleted: a data set goes with its last run."""
+    """Runs and data sets that are left when runs over odd numbers of orders, and all of one status, were deleted."""
     root, sets = new_folder(spark, "runs"), new_folder(spark, "sets")
-    names = ["EURUSD_H1_20240101_20240201_20240301T000000Z", "EURUSD_H1_20240101_20240201_20240302T000000Z", "GBPUSD_M30_20240101_20240201_20240301T000000Z"]
-    row = spark.range(1)
-    for n in names:
-        row.write.parquet(f"{root}/{n}")
-    for n in ("EURUSD_H1", "GBPUSD_M30"):
-        row.write.parquet(f"{sets}/{n}")
-    for n in (names[0], names[2]):
-        runs.delete_run(spark, root, n, sets)
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    series = [F.concat(F.lit("SYM"), F.col("o_orderstatus")).alias("symbol"), F.concat(F.lit("H"), F.col("o_custkey") % 3).alias("timeframe")]
+    yearly = o.groupBy(*series, F.year("o_orderdate").alias("year")).agg(F.count("*").alias("orders"), F.sum("o_totalprice").alias("total"), F.max("o_orderdate").alias("last"))
+    day = lambda x: F.concat(F.col("year"), F.lit(x))
+    named = materialise(yearly.withColumn("name", F.concat_ws("_", "symbol", "timeframe", day("0101"), day("1231"), F.concat(F.date_format("last", "yyyyMMdd"), F.lit("T"), F.lpad(F.col("orders").cast("string"), 6, "0"), F.lit("Z")))))
+    write_folders(named, root, "name")
+    write_folders(named.withColumn("dataset", F.concat_ws("_", "symbol", "timeframe")), sets, "dataset")
+    runs.delete_runs(spark, root, named.where("orders % 2 = 1 OR symbol = 'SYMP'"), sets)
     left = [runs.list_runs(spark, p).select(F.lit(kind).alias("kind"), "name") for kind, p in (("run", root), ("dataset", sets))]
     return left[0].unionByName(left[1])
 
@@ -287,7 +326,7 @@ def rows_in_blocks(spark, sf_dir):
 
 _ALL = (
     bars_stored, bars_standardised, bars_chunked, cache_covers, date_ranges, unordered_times, symbols_resolved, symbols_tradable, zones_by_spec, training_rows, safe_rows, normalised_trades, trade_details, equity_rebuilt, run_stats, run_trades_stored, trade_log, trade_report,
-    layer_flags, lean_features, dataset_summaries, runs_deleted, orphaned_datasets, encoded_features, selection_effect, classification_runs, keep_ratio_choice, streamed_bars, latest_rows, rows_in_blocks,
+    layer_flags, lean_features, dataset_summaries, runs_deleted, orphaned_datasets, encoded_features, selection_effect, classification_runs, keep_ratio_choice, streamed_bars, latest_rows, rows_in_blocks, deflated_sharpe_trials, trades_without_runner, trades_with_fixed_stop, streamed_sweeps,
 )
 
 

@@ -65,7 +65,7 @@ def orphaned_datasets(datasets: DataFrame, runs: DataFrame) -> DataFrame:
 
 def dataset_summary(df: DataFrame) -> DataFrame:
     """Rows, names and date range of each stored data set."""
-    return df.groupBy("dataset").agg(F.count("*").alias("rows"), F.first("symbol", ignorenulls=True).alias("symbol"), F.first("timeframe", ignorenulls=True).alias("timeframe"), F.min("trade_date").alias("first_date"), F.max("trade_date").alias("last_date"))
+    return df.groupBy("dataset").agg(F.count("*").alias("rows"), F.min("symbol").alias("symbol"), F.min("timeframe").alias("timeframe"), F.min("trade_date").alias("first_date"), F.max("trade_date").alias("last_date"))
 
 
 def delete_path(spark: SparkSession, path: str) -> bool:
@@ -74,19 +74,24 @@ def delete_path(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def delete_run(spark: SparkSession, root: str, name: str, datasets: str | None = None) -> dict[str, bool]:
-    """Delete the run ``name`` below ``root``, and its data set if no other run there has the same symbol and timeframe.
+def delete_runs(spark: SparkSession, root: str, names: DataFrame, datasets: str | None = None) -> dict[str, list[str]]:
+    """Delete the runs ``names`` (name) below ``root``, and each data set that no run left there belongs to.
 
-    Data sets are ``<datasets>/<symbol>_<timeframe>``. Returns what was deleted.
+    Data sets are ``<datasets>/<symbol>_<timeframe>`` of deleted runs. Returns the names of what was deleted.
     """
-    known = parse_runs(list_runs(spark, root))
-    own = parse_runs(spark.createDataFrame([(name,)], "name string")).where("stamp is not null").select("symbol", "timeframe")
-    others = known.where((F.col("name") != name) & F.col("stamp").isNotNull()).select("symbol", "timeframe")
-    free = own.join(others, ["symbol", "timeframe"], "left_anti").first() if datasets else None  # one row at most
-    done = {"run": delete_path(spark, f"{root}/{name}"), "dataset": False}
-    if free is not None:
-        done["dataset"] = delete_path(spark, f"{datasets}/{free['symbol']}_{free['timeframe']}")
-    return done
+    known = parse_runs(list_runs(spark, root)).withColumn("tm_series", F.concat_ws("_", "symbol", "timeframe"))
+    wanted = names.select("name").distinct()
+    gone = [r["name"] for r in known.join(wanted, "name", "left_semi").select("name").collect()]  # folders, which the driver has listed
+    series = parse_runs(wanted).where("stamp is not null").select(F.concat_ws("_", "symbol", "timeframe").alias("tm_series")).distinct()
+    left = known.where("stamp is not null").join(wanted, "name", "left_anti").select("tm_series")
+    free = [r[0] for r in series.join(left, "tm_series", "left_anti").collect()] if datasets else []
+    return {"run": [n for n in gone if delete_path(spark, f"{root}/{n}")], "dataset": [n for n in free if delete_path(spark, f"{datasets}/{n}")]}
+
+
+def delete_run(spark: SparkSession, root: str, name: str, datasets: str | None = None) -> dict[str, bool]:
+    """Delete one run as ``delete_runs`` does. Returns what was deleted."""
+    done = delete_runs(spark, root, spark.createDataFrame([(name,)], "name string"), datasets)
+    return {kind: bool(found) for kind, found in done.items()}
 
 
 #: Tables of a stored simulation and of a stored training, with their formats (fixed names).

@@ -22,6 +22,18 @@ def optional_table(spark: SparkSession, path: str, schema: str | None = None, fm
     return (reader.schema(schema) if schema else reader).format(fmt).load(path)
 
 
+def write_folders(df: DataFrame, root: str, name: str) -> None:
+    """Write a folder ``<root>/<value>`` for each value of the column ``name``, in one job."""
+    df.write.partitionBy(name).parquet(f"{root}/_all")
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(f"{root}/_all")
+    fs = path.getFileSystem(conf)
+    for status in fs.listStatus(path):
+        if status.isDirectory():
+            fs.rename(status.getPath(), jvm.org.apache.hadoop.fs.Path(f"{root}/{status.getPath().getName().partition('=')[2]}"))
+    fs.delete(path, True)
+
+
 def new_folder(spark: SparkSession, tag: str) -> str:
     """An unused path in the shared checkpoint folder; only a session on one machine may do without that."""
     base = spark.conf.get("spark.checkpoint.dir", None)

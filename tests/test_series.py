@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import folds, ordering
 from tidemark.functions import series as S
 from tidemark.functions.normal import normal_cdf
+from tidemark.functions.quantiles import exact_medians
 from tidemark.functions.ordering import max_drawdowns, row_numbers, with_last, with_running
 from tidemark.operators import gaps, levels, pools, retracement, signals, structure, zones
 from tidemark.plans.config import ExecutionConfig, FeatureConfig, GapConfig, PoolConfig, SessionConfig, ZoneConfig
@@ -302,3 +303,23 @@ def test_interval_join_moves_a_span_twice_at_most(spark, longest):
     table = spark.createDataFrame(spans, "symbol string, k int, a long, b long")
     got = sorted((x["k"], x["bar"]) for x in S.interval_join(bars, table, ["symbol"], F.col("a"), F.col("b"), longest).collect())
     assert got == sorted((k, bar) for _, k, a, b in spans for bar in range(max(a, 0), min(b, 199) + 1))
+
+
+@pytest.mark.parametrize("accuracy", [10, 50, 2000])
+def test_exact_medians(spark, monkeypatch, accuracy):
+    """Groups of many sizes with ties, outliers, negative numbers and nulls; brackets much narrower than the groups."""
+    from statistics import median
+
+    from tidemark.functions import quantiles
+
+    monkeypatch.setattr(quantiles, "ACCURACY", accuracy)
+    r = random.Random(accuracy)
+    kinds = [lambda: r.random(), lambda: r.choice((1.0, 2.0, 2.5)), lambda: 10 ** r.uniform(-9, 9) * r.choice((-1, 1)), lambda: 7.0, lambda: float(r.randrange(50))]
+    rows = [(f"{k}-{n}", r.choice((None, x())) if k == 1 and n > 3 else x()) for k, x in enumerate(kinds) for n in (1, 2, 3, 10, 61, 400, 3001) for _ in range(n)]
+    rows += [("none", None), (None, 3.0), (None, 4.0)]
+    got = {x["k"]: x["m"] for x in exact_medians(spark.createDataFrame(rows, "k string, v double").repartition(7), F.col("v"), ["k"], "m").collect()}
+    own = {}
+    for k, v in rows:
+        if v is not None:
+            own.setdefault(k, []).append(v)
+    assert got == {k: median(v) for k, v in own.items()}

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.folds import fold_in_chunks
+from tidemark.functions.quantiles import exact_medians
 from tidemark.functions.series import KEYS, first_existing, is_true
 from tidemark.functions.tables import materialise, renewed
 from tidemark.plans.config import ExecutionConfig
@@ -40,7 +41,7 @@ def with_costs(df: DataFrame, cfg: ExecutionConfig) -> DataFrame:
         df = df.withColumn("baseline_atr", F.lit(None).cast("double"))
         atr = F.lit(None).cast("double")
     else:
-        base = df.groupBy(*KEYS).agg(F.median(F.when(atr > 0, atr)).alias("baseline_atr"))
+        base = exact_medians(df, F.when(atr > 0, atr), [*KEYS], "baseline_atr")
         df = df.join(base, [*KEYS], "left")
     ratio = F.when((atr > 0) & (F.col("baseline_atr") > 0), atr / F.col("baseline_atr"))
     medium, high = cfg.volatility_levels

@@ -67,6 +67,7 @@ def keep_ratio_sweep(df: DataFrame, cfg: RankingConfig | None = None, group: str
     rows = by_blocks(ranked.select(order, group, "pnl_cash", "pnl_r", "tm_score", kept.alias("tm_kept")), order)
     rows = rows.select(order, group, "pnl_cash", "pnl_r", "tm_score", F.explode("tm_kept").alias("keep_ratio"))
     metrics = trading_metrics(rows, order, ["keep_ratio"])
+    # a median of a value for each fold
     cuts = rows.groupBy("keep_ratio", group).agg(F.min("tm_score").alias("c")).groupBy("keep_ratio").agg(F.median("c").alias("cutoff_score"))
     every = Window.partitionBy(F.lit(0))  # a row for each candidate
     base = {n: F.max(F.when(F.col("keep_ratio") < 0, F.col(c))).over(every) for n, c in (("b_pnl", "pnl"), ("b_dd", "max_drawdown_r"))}

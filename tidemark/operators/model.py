@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from tidemark.functions.ordering import row_numbers
 from tidemark.functions.tables import join_on, materialise
 from tidemark.operators.analytics import conditions
+from tidemark.operators.boosting import BoostConfig, fit_boosted
 from tidemark.operators.dataset import KEYS, LABELS, LEAKAGE, FoldConfig, quality_features, sample_weight, walk_forward
 from tidemark.operators.performance import trading_metrics
 from tidemark.operators.ranking import RankingConfig, best_ratio, condition_lift, flag_selected, keep_ratio_sweep, rank_percent
@@ -27,8 +30,12 @@ class TrainConfig:
     rate: float = 0.04
     subsample: float = 0.85
     columns: float = 0.85
-    min_rows: int = 2
+    min_child_weight: float = 2.0
+    l2: float = 1.0
+    l1: float = 0.0
+    patience: int = 40
     seed: int = 42
+    parallel: int = 3  # folds that are trained side by side
     folds: FoldConfig = field(default_factory=FoldConfig)
     ranking: RankingConfig = field(default_factory=RankingConfig)
 
@@ -65,23 +72,18 @@ def prepared(df: DataFrame, numeric: list[str]) -> DataFrame:
 
 
 def fit_scorer(train: DataFrame, valid: DataFrame | None, cfg: TrainConfig):
-    """Fit the trees on weighted rows; a validation part stops them early. Returns a scoring function and the model."""
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.functions import vector_to_array
-
+    """Fit the trees on weighted rows; a validation part stops them early. Returns a scoring function, the model and the encoder."""
     pipe, numeric = encoder(train, cfg.target)
     encode = pipe.fit(prepared(train, numeric))
-    gbt = GBTClassifier(labelCol=cfg.target, weightCol="weight", maxIter=cfg.trees, maxDepth=cfg.depth, stepSize=cfg.rate, subsamplingRate=cfg.subsample, featureSubsetStrategy=str(cfg.columns), minInstancesPerNode=cfg.min_rows, seed=cfg.seed)
     rows = train.withColumn("tm_valid", F.lit(False))
     if valid is not None:
         rows = rows.unionByName(valid.withColumn("tm_valid", F.lit(True)))
-        gbt = gbt.setValidationIndicatorCol("tm_valid")
-    ready = encode.transform(prepared(rows.withColumn("weight", sample_weight()), numeric)).withColumn(cfg.target, F.col(cfg.target).cast("double"))
-    ready = ready.select("features", "weight", "tm_valid", cfg.target).persist()  # every tree reads it
-    model = gbt.fit(ready)
-    ready.unpersist()
+    ready = encode.transform(prepared(rows.withColumn("weight", sample_weight()), numeric)).select("features", "weight", "tm_valid", cfg.target)
+    model = fit_boosted(ready, cfg.target, BoostConfig(cfg.trees, cfg.depth, cfg.rate, cfg.subsample, cfg.columns, cfg.min_child_weight, cfg.l2, cfg.l1, cfg.patience, cfg.seed))
 
     def score(df: DataFrame) -> DataFrame:
+        from pyspark.ml.functions import vector_to_array
+
         out = model.transform(encode.transform(prepared(df, numeric)))
         return out.select(*df.columns, vector_to_array("probability")[1].alias("score"))
 
@@ -145,24 +147,40 @@ def fold_table(assigned: DataFrame, predictions: dict[str, DataFrame]) -> DataFr
     return ranges.orderBy("fold")
 
 
+def side_by_side(spark: SparkSession, items: list, work, most: int) -> list:
+    """Results of ``work`` for every item, in their order; at most ``most`` at once, each in a scheduler pool of its own."""
+
+    def run(numbered):
+        number, item = numbered
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"tidemark-{number % most}")
+        return work(item)
+
+    with ThreadPoolExecutor(max(1, most)) as threads:
+        return list(threads.map(inheritable_thread_target(spark)(run), enumerate(items)))
+
+
+def scored_fold(rows: DataFrame, fold, cfg: TrainConfig) -> dict[str, DataFrame]:
+    """Scored validation and test rows of one fold."""
+    own = rows.where(F.col("fold") == fold)
+    score, _, _ = fit_scorer(own.where("split = 'train'"), own.where("split = 'valid'"), cfg)
+    return {split: score(own.where(F.col("split") == split)) for split in ("valid", "test")}
+
+
 def train_filter(data: DataFrame, cfg: TrainConfig | None = None) -> Training:
     """Walk-forward training of the filter.
 
     A model for each fold scores its validation and test rows; the ratio to keep
     is chosen on all validation rows and applied to both splits; one more model is
-    fitted on all rows. Needs six distinct dates. Folds are a few, so they are
-    trained one after another, each over the whole cluster.
+    fitted on all rows. Needs six distinct dates. Folds are trained side by side,
+    ``cfg.parallel`` at once: a level of a small tree leaves most of a cluster idle.
     """
     cfg = cfg or TrainConfig()
     data = materialise(quality_features(data))
     rows = materialise(walk_forward(data, cfg.folds))
     folds = [r["fold"] for r in rows.select("fold").distinct().orderBy("fold").collect()]  # a few folds
     scored: dict[str, DataFrame | None] = {"valid": None, "test": None}
-    for fold in folds:
-        own = rows.where(F.col("fold") == fold)
-        score, _, _ = fit_scorer(own.where("split = 'train'"), own.where("split = 'valid'"), cfg)
-        for split in scored:
-            part = score(own.where(F.col("split") == split))
+    for parts in side_by_side(data.sparkSession, folds, lambda fold: scored_fold(rows, fold, cfg), cfg.parallel):
+        for split, part in parts.items():
             scored[split] = part if scored[split] is None else scored[split].unionByName(part)
     ranked = {s: rank_percent(df) for s, df in scored.items()}
     sweep = materialise(keep_ratio_sweep(ranked["valid"], cfg.ranking))

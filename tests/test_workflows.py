@@ -10,7 +10,9 @@ from tidemark.plans.config import DEMO, DEMO_EXECUTION
 from tidemark.plans.pipeline import DEFAULTS, build_features, cached_features
 from tidemark.plans.workflows import run_simulation
 from tidemark.sources.bars import event_bars, standardise
-from tidemark.sources.remote import ChunkedBars, chunks
+from tidemark.sources.remote import ChunkedBars, chunked_bars, chunks, listed_symbols
+from tidemark.sources.sinks import save_dataset
+from tidemark.sources.specs import build_specs
 
 SF = "/root/testdata/sf0.001"
 LEAN = replace(DEMO, sessions=None, profile=None, gaps=None, retracement=None, pools=None, levels=None)
@@ -24,6 +26,12 @@ def fetch(symbol, timeframe, start, end):
         day += timedelta(days=1)
 
 
+def fetch_and_note(symbol, timeframe, start, end, log):
+    with open(log, "a") as f:
+        f.write(f"{symbol} {timeframe} {start}\n")
+    return fetch(symbol, timeframe, start, end)
+
+
 def test_chunks_cover_the_range_once(spark):
     got = chunks(datetime(2024, 1, 1), datetime(2024, 1, 10), 4)
     assert got[0][0] == datetime(2024, 1, 1) and got[-1][1] == datetime(2024, 1, 10) and all(a[1] == b[0] for a, b in zip(got, got[1:]))
@@ -47,6 +55,75 @@ def test_disabled_layers_leave_defaults_and_the_cache_is_reused(spark, tmp_path)
     assert first.count() == again.count() > 0
 
 
+def test_predicates_choose_the_chunks_that_are_fetched(spark, tmp_path):
+    log = str(tmp_path / "calls")
+
+    def calls(condition, symbol="X,Y,Z", start="2024-01-01", end="2024-01-31"):
+        open(log, "w").close()
+        df = chunked_bars(spark, "tests.test_workflows:fetch_and_note", symbol, ["D1", "H4"], start, end, chunk_days=10, arg_log=log).where(condition)
+        rows = {(r["symbol"], r["timeframe"], r["time"]) for r in df.collect()}
+        return rows, sorted(set(open(log).read().split("\n")) - {""})
+
+    every, fetched = calls("true")
+    assert len(fetched) == 18 and len(every) == 3 * 2 * 31
+    for condition, most in (("symbol = 'Y'", 6), ("symbol IN ('X', 'Z') AND timeframe = 'D1'", 6), ("time >= timestamp'2024-01-25' AND symbol = 'X'", 2), ("time < timestamp'2024-01-05'", 6), ("time = timestamp'2024-01-15' AND timeframe = 'H4'", 3), ("symbol = 'none'", 0), ("time > timestamp'2025-01-01'", 0)):
+        rows, fetched = calls(condition)
+        want = {(r["symbol"], r["timeframe"], r["time"]) for r in spark.createDataFrame(list(every), "symbol string, timeframe string, time timestamp").where(condition).collect()}
+        assert rows == want and len(fetched) == most, (condition, fetched)
+
+
+def test_listed_symbols_become_specs(spark, tmp_path):
+    spark.createDataFrame([("EURUSD", 5, 0.00001), ("USDJPY", 3, 0.001), ("GOLD", None, None)], "symbol string, digits int, point double").write.parquet(str(tmp_path / "listed"))
+    listed = listed_symbols(spark, "tidemark.sources.remote:stored_symbols", arg_path=str(tmp_path / "listed"))
+    assert sorted(r["symbol"] for r in listed.collect()) == ["EURUSD", "GOLD", "USDJPY"]
+    own = build_specs(listed.where("symbol IN ('USDJPY', 'GOLD')")).collect()
+    assert {r["symbol"]: r["digits"] for r in own}["USDJPY"] == 3 and len(own) == 2
+
+
+def test_the_cache_is_kept_up_with_appended_bars(spark, tmp_path):
+    """Old partitions and unchanged series stay as they are; the table equals a rebuild."""
+    bars = event_bars(spark, SF).where("symbol IN ('view', 'click')").persist()
+    first = bars.where("(symbol = 'view' AND time < '2024-01-10') OR symbol = 'click'")
+    more = bars.unionByName(bars.where("symbol = 'view'").withColumn("time", F.expr("time + INTERVAL 31 DAYS")).withColumn("bar", F.col("bar") + 10_000))
+    files = lambda: {p: p.stat().st_mtime_ns for p in tmp_path.rglob("features/**/*.parquet")}
+    cached_features(spark, first, LEAN, str(tmp_path), "all")
+    a = files()
+    cached_features(spark, bars, LEAN, str(tmp_path), "all")
+    b = files()
+    got = cached_features(spark, more, LEAN, str(tmp_path), "all")
+    c = files()
+    click = {p for p in a if "tm_symbol=click" in str(p)}
+    assert click and all(b[p] == a[p] and c[p] == a[p] for p in click)
+    january = {p for p in b if "tm_symbol=view" in str(p) and "2024-01" in str(p)}
+    assert january and not january & set(a) and all(c.get(p) == b[p] for p in january)
+    assert any("2024-02" in str(p) for p in c)
+    want = build_features(more, LEAN)
+    names = sorted(want.columns)
+    assert sorted(got.columns) == names and got.select(names).exceptAll(want.select(names)).isEmpty() and got.count() == want.count()
+    # bars that are taken away go from the cache
+    fewer = cached_features(spark, first, LEAN, str(tmp_path), "all")
+    assert fewer.where("time >= '2024-01-10' AND symbol = 'view'").isEmpty() and fewer.count() == first.count()
+
+
+def test_bad_training_tables_are_refused_and_leave_the_old_one(spark, tmp_path):
+    path, scans = str(tmp_path / "set"), spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def watched(x):
+        scans.add(1)
+        return x
+
+    good = spark.range(50, numPartitions=2).select("id", watched(F.col("id").cast("int")).alias("label_positive"))
+    save_dataset(good, path)
+    assert scans.value == 50  # counted and written in one pass
+    for bad in (good.limit(0), good.withColumn("label_positive", F.lit(None).cast("int"))):
+        with pytest.raises(ValueError):
+            save_dataset(bad, path)
+    assert spark.read.parquet(path).count() == 50 and [p.name for p in tmp_path.iterdir()] == ["set"]
+    save_dataset(good.where("id < 7"), path)
+    assert spark.read.parquet(path).count() == 7
+
+
 def test_a_run_stores_its_artifacts(spark, tmp_path):
     run = run_simulation(event_bars(spark, SF, each_type=False), str(tmp_path / "run"), LEAN, replace(DEMO_EXECUTION, runner="none"))
     trades = run.trades.collect()

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from tidemark.functions.series import add_atr, require
 from tidemark.functions.tables import materialise
@@ -16,7 +15,9 @@ from tidemark.operators.sessions import add_profile, add_sessions
 from tidemark.operators.structure import add_structure
 from tidemark.operators.zones import add_zones
 from tidemark.plans.config import FeatureConfig
+from tidemark.sources.runs import list_runs
 from tidemark.sources.specs import pip_of
+from tidemark.sources.stores import delete_path, exists, optional_table
 
 #: Columns that stand in for a layer that is switched off: flags are false, numbers null (fixed names).
 DEFAULTS = {
@@ -69,13 +70,57 @@ def build_features(bars: DataFrame, config: FeatureConfig | None = None) -> Data
     return materialise(df)
 
 
+def _version(spark: SparkSession, path: str) -> int:
+    """Number of the last manifest, 0 without one."""
+    return max((int(r["name"]) for r in list_runs(spark, f"{path}/manifest").collect() if r["name"].isdigit()), default=0)
+
+
+def _told_apart(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows and a sum of row hashes for each key, whatever their order."""
+    rest = [F.col(c) for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(F.count("*").alias("rows"), F.sum(F.xxhash64(*rest).cast("decimal(38,0)")).alias("hash"))
+
+
 def cached_features(spark: SparkSession, bars: DataFrame, config: FeatureConfig, folder: str, key: str, rebuild: bool = False) -> DataFrame:
-    """Features from the Parquet cache under ``folder/<key>_<signature>``, built and stored where it is missing."""
+    """Features from the Parquet cache under ``folder/<key>_<signature>``, kept up with the bars.
+
+    A manifest tells the bars of each series that the cache was made from, and its
+    partitions (series and month). Series whose bars are known aren't computed; of the
+    others, whose state may reach back to their first bar, all features are, and only
+    partitions that differ are written, so appended bars leave old ones alone.
+    Series that ``bars`` doesn't hold stay. The result equals a rebuild. A run that
+    breaks off leaves its series unknown, and the next one writes them anew.
+    """
     path = f"{folder.rstrip('/')}/{key}_{config.signature()}"
-    if not rebuild:
-        try:
-            return spark.read.parquet(path)
-        except AnalysisException:
-            pass
-    build_features(bars, config).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    if rebuild:
+        delete_path(spark, path)
+    at = _version(spark, path)
+    series, parts = ["symbol", "timeframe"], ["tm_symbol", "tm_timeframe", "tm_month"]
+    known = {kind: optional_table(spark, f"{path}/manifest/{at}/{kind}", f"{', '.join(f'{k} string' for k in keys)}, rows long, hash decimal(38,0)") for kind, keys in (("series", series), ("parts", parts))}
+    now = materialise(_told_apart(bars, series))
+    changed = materialise(now.join(known["series"], [*series, "rows", "hash"], "left_anti"))
+    if not changed.isEmpty():
+        built = build_features(bars.join(changed.select(series), series, "left_semi"), config)
+        built = materialise(built.withColumns({"tm_symbol": F.col("symbol"), "tm_timeframe": F.col("timeframe"), "tm_month": F.date_format("time", "yyyy-MM")}))
+        made = materialise(_told_apart(built, parts))
+        own = changed.select(F.col("symbol").alias("tm_symbol"), F.col("timeframe").alias("tm_timeframe"))
+        other, before = (known["parts"].join(own, parts[:2], how) for how in ("left_anti", "left_semi"))
+        rest = known["series"].join(changed.select(series), series, "left_anti")
+
+        def note(number: int, parts_: DataFrame, series_: DataFrame) -> None:
+            parts_.write.mode("overwrite").parquet(f"{path}/manifest/{number}/parts")
+            series_.write.mode("overwrite").parquet(f"{path}/manifest/{number}/series")
+
+        note(at + 1, other, rest)  # until they are written, nothing is known of the changed series
+        new = made.join(known["parts"], [*parts, "rows", "hash"], "left_anti")
+        writer = built.join(new.select(parts), parts, "left_semi").repartition(*parts).sortWithinPartitions("symbol", "timeframe", "time").write
+        writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(f"{path}/features")
+        gone = before.join(made.select(parts), parts, "left_anti").collect()  # months that lost all their bars
+        for r in gone:
+            delete_path(spark, f"{path}/features/" + "/".join(f"{p}={r[p]}" for p in parts))
+        note(at + 2, other.unionByName(made), rest.unionByName(changed))
+        for old in (at, at + 1):
+            delete_path(spark, f"{path}/manifest/{old}")
+    if not exists(spark, f"{path}/features"):
+        return build_features(bars.limit(0), config)
+    return spark.read.parquet(f"{path}/features").drop(*parts)

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from tidemark.functions import series as S
 from tidemark.functions.ordering import row_numbers
 from tidemark.functions.tables import materialise
-from tidemark.operators import analytics, classification, dataset, execution, model, performance, ranking, zones
+from tidemark.operators import analytics, classification, dataset, execution, model, performance, ranking, signals, zones
 from tidemark.plans.catalogue import KEY, PIP, SETTINGS, _bars, _features, _folded, _predicted, _rounded, _trades
 from tidemark.plans.config import DEMO_EXECUTION
-from tidemark.plans.pipeline import DEFAULTS, build_features
+from tidemark.plans.pipeline import DEFAULTS, build_features, cached_features
 from tidemark.sources import bars as bar_source
 from tidemark.sources import remote, runs, sinks, specs
 from tidemark.sources.stores import new_folder, write_folders
@@ -48,6 +48,36 @@ def bars_chunked(spark, sf_dir):
     return bar_source.clip(again, *bounds).select("symbol", "timeframe", "bar", "time", "open", "high", "low", "close", "tick_volume")
 
 
+def bars_fetched(spark, sf_dir):
+    """Bars of all series from a remote source, of which predicates choose the series and chunks to fetch."""
+    store = new_folder(spark, "remote")
+    _bars(spark, sf_dir).write.parquet(store)
+    found = remote.chunked_bars(spark, "tidemark.sources.remote:stored_bars", ["click", "error", "purchase", "signup", "view"], "H1", "2024-01-01 00:00:00", "2024-01-31 00:00:00", chunk_days=5, arg_path=store)
+    asked = found.where("symbol IN ('view', 'error', 'none') AND time >= timestamp'2024-01-12 03:00:00' AND time < timestamp'2024-01-21 00:00:00'")
+    return bar_source.standardise(asked).select("symbol", "timeframe", "time", "open", "high", "low", "close", "tick_volume")
+
+
+def symbols_listed(spark, sf_dir):
+    """Symbols that a source lists with their metadata, as specs."""
+    k = F.col("p_partkey")
+    name = F.concat(F.when(k % 3 == 0, "USDJPY").when(k % 3 == 1, "XAUUSD").otherwise("EURUSD"), F.lit("."), k)
+    raw = spark.read.parquet(f"{sf_dir}/part.parquet").select(name.alias("symbol"), F.when(k % 5 != 0, (k % 6).cast("int")).alias("digits"), F.when(k % 4 != 0, F.lit(0.001)).alias("point"), F.lit(0.25).alias("tick_size"), F.lit(100.0).alias("contract_size"))
+    path = new_folder(spark, "listed")
+    raw.write.parquet(path)
+    listed = remote.listed_symbols(spark, "tidemark.sources.remote:stored_symbols", arg_path=path).where("contract_size = 100")
+    return listed.select("symbol", "digits", "point", "tick_size", "contract_size", F.col("volume_min").isNull().alias("unknown"))
+
+
+def features_cached(spark, sf_dir):
+    """Validity of all layers and the signals from a cache that was made from the first half of the bars and kept up with all of them."""
+    bars, folder = materialise(_bars(spark, sf_dir)), new_folder(spark, "features")
+    middle = bars.agg(F.timestamp_seconds((F.min(F.unix_seconds(F.col("time").cast("timestamp"))) + F.max(F.unix_seconds(F.col("time").cast("timestamp")))) / 2).alias("m")).first()["m"]
+    cached_features(spark, bars.where(F.col("time") < F.lit(middle).cast("timestamp_ntz")), SETTINGS, folder, "H1")
+    kept = signals.add_signals(cached_features(spark, bars, SETTINGS, folder, "H1"))
+    layers = ("session_liquidity", "volume_profile", "imbalance", "fibonacci", "liquidity", "support_resistance", "market_structure", "supply_demand")
+    return kept.select(*KEY, *[f"{n}_{s}_valid" for n in layers for s in ("long", "short")], "long_signal", "short_signal")
+
+
 def cache_covers(spark, sf_dir):
     """Whether stored bars lie inside a requested range."""
     return bar_source.covers(_bars(spark, sf_dir), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"), F.lit("2024-01-30 22:00:00").cast("timestamp_ntz")).drop("timeframe")
@@ -325,7 +355,7 @@ def rows_in_blocks(spark, sf_dir):
 
 
 _ALL = (
-    bars_stored, bars_standardised, bars_chunked, cache_covers, date_ranges, unordered_times, symbols_resolved, symbols_tradable, zones_by_spec, training_rows, safe_rows, normalised_trades, trade_details, equity_rebuilt, run_stats, run_trades_stored, trade_log, trade_report,
+    bars_fetched, symbols_listed, features_cached, bars_stored, bars_standardised, bars_chunked, cache_covers, date_ranges, unordered_times, symbols_resolved, symbols_tradable, zones_by_spec, training_rows, safe_rows, normalised_trades, trade_details, equity_rebuilt, run_stats, run_trades_stored, trade_log, trade_report,
     layer_flags, lean_features, dataset_summaries, runs_deleted, orphaned_datasets, encoded_features, selection_effect, classification_runs, keep_ratio_choice, streamed_bars, latest_rows, rows_in_blocks, deflated_sharpe_trials, trades_without_runner, trades_with_fixed_stop, streamed_sweeps,
 )
 

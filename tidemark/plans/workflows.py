@@ -15,7 +15,7 @@ from tidemark.operators.model import TrainConfig, Training, train_filter
 from tidemark.operators.signals import add_signals
 from tidemark.plans.config import ExecutionConfig, FeatureConfig
 from tidemark.plans.pipeline import build_features
-from tidemark.sources import runs, sinks
+from tidemark.sources import runs, sinks, stores
 
 
 @dataclass
@@ -52,7 +52,7 @@ def run_simulation(bars: DataFrame, folder: str, features: FeatureConfig | None
     if not run.trades.isEmpty():
         sinks.save_dataset(table, f"{folder}/dataset")
     else:
-        runs.delete_path(bars.sparkSession, f"{folder}/dataset")  # that of an earlier run
+        stores.delete_path(bars.sparkSession, f"{folder}/dataset")  # that of an earlier run
     return run
 
 

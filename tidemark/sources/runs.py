@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.analytics import normalise
-from tidemark.sources.stores import optional_table
+from tidemark.sources.stores import delete_path, optional_table
 
 #: Name of a run folder: symbol, timeframe, first and last day, time of the run; and of a training: symbol, timeframe, mode, time (fixed patterns).
 RUN = r"^(.+?)_([A-Z0-9]+)_([0-9]{4}-?[0-9]{2}-?[0-9]{2})_([0-9]{4}-?[0-9]{2}-?[0-9]{2})_([0-9]{8}T?[0-9]{6})Z?$"
@@ -68,12 +68,6 @@ def dataset_summary(df: DataFrame) -> DataFrame:
     return df.groupBy("dataset").agg(F.count("*").alias("rows"), F.min("symbol").alias("symbol"), F.min("timeframe").alias("timeframe"), F.min("trade_date").alias("first_date"), F.max("trade_date").alias("last_date"))
 
 
-def delete_path(spark: SparkSession, path: str) -> bool:
-    """Delete a file or folder; false where there is none."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def delete_runs(spark: SparkSession, root: str, names: DataFrame, datasets: str | None = None) -> dict[str, list[str]]:
     """Delete the runs ``names`` (name) below ``root``, and each data set that no run left there belongs to.
 

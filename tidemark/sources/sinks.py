@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tidemark.sources.stores import delete_path, move_path
+
 #: Names and parts of names whose values have two decimals; all others have four (fixed values).
 PERCENT_NAMES = ("win_rate", "baseline_freq", "accepted_freq", "long_signal_hit_rate", "short_signal_hit_rate", "overall_signal_hit_rate")
 TWO_DECIMALS = ("balance", "pnl", "profit", "loss", "drawdown", "roi_pct", "avg_pnl", "largest_", "commission", "price", "pips", "bars")
@@ -62,11 +66,18 @@ def save_run(folder: str, trades: DataFrame, stats: DataFrame, account: DataFram
 
 
 def save_dataset(df: DataFrame, path: str, label: str = "label_positive") -> None:
-    """A training table as Parquet. Raises ValueError without rows or without any label."""
-    row = df.agg(F.count("*").alias("n"), F.count(label).alias("labels")).first()
-    if not row["n"] or not row["labels"]:
-        raise ValueError(f"{row['n']} rows with {row['labels']} labels can't be stored for training")
-    df.write.mode("overwrite").parquet(path)
+    """A training table as Parquet. Raises ValueError without rows or without any label, and leaves what was stored before.
+
+    Rows and labels are counted while they are written, beside the wanted path, so the table is computed once.
+    """
+    seen = Observation()
+    beside = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+    df.observe(seen, F.count(F.lit(1)).alias("n"), F.count(label).alias("labels")).write.parquet(beside)
+    counts = seen.get
+    if not counts.get("n") or not counts.get("labels"):
+        delete_path(df.sparkSession, beside)
+        raise ValueError(f"{counts.get('n', 0)} rows with {counts.get('labels', 0)} labels can't be stored for training")
+    move_path(df.sparkSession, beside, path)
 
 
 #: Columns of the raw log of trades with what they are taken from (fixed names).

@@ -22,6 +22,22 @@ def optional_table(spark: SparkSession, path: str, schema: str | None = None, fm
     return (reader.schema(schema) if schema else reader).format(fmt).load(path)
 
 
+def delete_path(spark: SparkSession, path: str) -> bool:
+    """Delete a file or folder; false where there is none."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def move_path(spark: SparkSession, path: str, to: str) -> None:
+    """Put a folder in the place of another one, which is deleted."""
+    delete_path(spark, to)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    a, b = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, to))
+    fs = a.getFileSystem(conf)
+    fs.mkdirs(b.getParent())
+    fs.rename(a, b)
+
+
 def write_folders(df: DataFrame, root: str, name: str) -> None:
     """Write a folder ``<root>/<value>`` for each value of the column ``name``, in one job."""
     df.write.partitionBy(name).parquet(f"{root}/_all")

@@ -155,6 +155,24 @@ def test_keep_ratios_and_ties(spark, trades):
     assert best["pnl"] == max(r["pnl"] for r in ranking.keep_ratio_sweep(scored).where("eligible or trades >= 2").collect())
 
 
+def test_candidates_equal_metrics_of_their_rows(spark, monkeypatch):
+    """One pass over blocks against the metrics of the rows that each ratio keeps."""
+    import random
+
+    r = random.Random(8)
+    monkeypatch.setattr(ranking, "BLOCK", 16)
+    monkeypatch.setattr(ranking, "GROUP", 3)
+    rows = [(k, k % 3, r.choice((None, float(r.randrange(-40, 50)))), r.randrange(-20, 30) / 8, r.randrange(40) / 4) for k in range(1, 400)]
+    df = spark.createDataFrame(rows, "row_id long, fold int, pnl_cash double, pnl_r double, score double")
+    got = {x["keep_ratio"]: x for x in ranking.keep_ratio_sweep(df).collect()}
+    for ratio in (0.35, ranking.RankingConfig().ratios()[5], ranking.RankingConfig().ratios()[-1]):
+        own = ranking.top_fraction(df, ratio)
+        want = performance.trading_metrics(own).first()
+        assert all(got[ratio][c] == pytest.approx(want[c]) for c in want.asDict())
+        cuts = own.groupBy("fold").agg(F.min("score").alias("c")).agg(F.median("c")).first()[0]
+        assert got[ratio]["cutoff_score"] == cuts
+
+
 def test_enrichment_takes_the_fullest_report(trades):
     reports = trades.withColumn("report", F.lit("full")).unionByName(trades.where("row_id < 4").withColumn("report", F.lit("z_part")))
     got = dataset.enrich(trades.drop("pnl_cash"), reports, ["pnl_cash"])

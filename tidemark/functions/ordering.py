@@ -46,11 +46,6 @@ def _block(order: str) -> Column:
     return F.floor(F.col(order) / BLOCK)
 
 
-def by_blocks(df: DataFrame, order: str) -> DataFrame:
-    """Bring the rows of each block together, so that running values of any keys need no further exchange."""
-    return df.repartition(_block(order))
-
-
 def _before(sums: DataFrame, keys: list[str], combine: dict[str, tuple]) -> DataFrame:
     """(keys, tm_block) and, for each column, its values of all earlier blocks combined; combine: (aggregate, sum of two)."""
     upto = (Window.unboundedPreceding, -1)
@@ -102,16 +97,25 @@ def max_drawdowns(df: DataFrame, values: dict[str, Column], order: str, keys: li
     """
     keys = keys or []
     parts = df.select(*keys, F.col(order).alias("tm_at"), *[x.alias(f"{p}_{n}") for n, x in values.items() for p in ("tm_s", "tm_lo", "tm_hi")], *[F.lit(0.0).alias(f"tm_f_{n}") for n in values])
-    for width in (BLOCK, GROUP, None):
+    return joined_falls(parts, list(values), keys, (BLOCK, GROUP))
+
+
+def joined_falls(parts: DataFrame, names: list[str], keys: list[str], widths: tuple[int, ...]) -> DataFrame:
+    """Largest falls over stretches of rows that are joined by ``widths`` at a time, and then all.
+
+    ``parts`` has, besides the keys, the stretch's number ``tm_at`` and for each name
+    tm_s (sum), tm_lo and tm_hi (lowest and highest running sum) and tm_f (largest fall).
+    """
+    for width in (*widths, None):
         cut = [] if width is None else ["tm_cut"]
         if cut:
             parts = parts.withColumn("tm_cut", F.floor(F.col("tm_at") / width))
         before = Window.partitionBy(*keys, *cut).orderBy("tm_at").rowsBetween(Window.unboundedPreceding, -1)
-        parts = parts.withColumns({f"tm_c_{n}": F.coalesce(F.sum(f"tm_s_{n}").over(before), F.lit(0.0)) for n in values})
-        parts = parts.withColumns({f"{p}_{n}": F.col(f"{p}_{n}") + F.col(f"tm_c_{n}") for n in values for p in ("tm_lo", "tm_hi")})
-        parts = parts.withColumns({f"tm_f_{n}": F.greatest(f"tm_f_{n}", F.max(f"tm_hi_{n}").over(before) - F.col(f"tm_lo_{n}")) for n in values})
-        cells = [f(f"{p}_{n}").alias(f"{p}_{n}") for n in values for p, f in (("tm_s", F.sum), ("tm_lo", F.min), ("tm_hi", F.max), ("tm_f", F.max))]
+        parts = parts.withColumns({f"tm_c_{n}": F.coalesce(F.sum(f"tm_s_{n}").over(before), F.lit(0.0)) for n in names})
+        parts = parts.withColumns({f"{p}_{n}": F.col(f"{p}_{n}") + F.col(f"tm_c_{n}") for n in names for p in ("tm_lo", "tm_hi")})
+        parts = parts.withColumns({f"tm_f_{n}": F.greatest(f"tm_f_{n}", F.max(f"tm_hi_{n}").over(before) - F.col(f"tm_lo_{n}")) for n in names})
+        cells = [f(f"{p}_{n}").alias(f"{p}_{n}") for n in names for p, f in (("tm_s", F.sum), ("tm_lo", F.min), ("tm_hi", F.max), ("tm_f", F.max))]
         parts = parts.groupBy(*keys, *cut).agg(*cells)
         if cut:
             parts = parts.withColumnRenamed("tm_cut", "tm_at")
-    return parts.select(*keys, *[F.col(f"tm_f_{n}").alias(n) for n in values])
+    return parts.select(*keys, *[F.col(f"tm_f_{n}").alias(n) for n in names])

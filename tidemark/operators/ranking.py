@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.ordering import by_blocks, row_numbers
-from tidemark.operators.performance import trading_metrics
+from tidemark.functions.ordering import BLOCK, GROUP, joined_falls, row_numbers
+from tidemark.functions.tables import materialise
+from tidemark.operators.performance import TOLERANCE, cash
 
 
 @dataclass(frozen=True)
@@ -53,22 +56,53 @@ def flag_selected(df: DataFrame, ratio: float, group: str = "fold", score: str =
     return _ranked(df, group, score, order).withColumn("selected", (F.col("tm_rank") <= keep).cast("int")).drop("tm_score", "tm_n", "tm_rank")
 
 
+_DRAWN = ("max_drawdown", "max_drawdown_r")
+_SUMS = ("trades", "wins", "won", "lost", "pnl", "pnl_r")
+_CELLS = "keep_ratio double, tm_at long, " + ", ".join(f"{c} double" for c in (*_SUMS, *[f"tm_{p}_{n}" for n in _DRAWN for p in ("s", "lo", "hi", "f")]))
+
+
+def candidate_sums(rows: pd.DataFrame, block: int, ratios: list[float], order: str) -> pd.DataFrame:
+    """Sums of every candidate over the rows of one block that it keeps, and what its running sums do there."""
+    rows = rows.sort_values(order)
+    p, r = (rows[c].fillna(0.0).to_numpy(float) for c in ("tm_p", "tm_r"))
+    rank, n = rows["tm_rank"].to_numpy(), rows["tm_n"].to_numpy()
+    out = []
+    for ratio in ratios:
+        keep = rank <= np.maximum(1, np.ceil(n * abs(ratio)))
+        if keep.any():
+            own, won, lost = p[keep], p[keep] > TOLERANCE, p[keep] < -TOLERANCE
+            falls = []
+            for x in (own, r[keep]):
+                c = np.cumsum(x)
+                falls += [c[-1], c.min(), c.max(), (np.maximum.accumulate(c) - c).max()]
+            out.append((ratio, block, len(own), won.sum(), own[won].sum(), own[lost].sum(), own.sum(), r[keep].sum(), *falls))
+    return pd.DataFrame(out, columns=[c.split()[0] for c in _CELLS.split(", ")])
+
+
+def candidate_metrics(ranked: DataFrame, ratios: list[float], order: str) -> DataFrame:
+    """``trading_metrics`` of every candidate, from one pass over the rows: blocks are summed for all candidates at once, without copies of rows."""
+    rows = ranked.select(F.floor(F.col(order) / BLOCK).alias("tm_block"), order, cash("pnl_cash").alias("tm_p"), cash("pnl_r").alias("tm_r"), "tm_rank", "tm_n")
+    cells = materialise(rows.groupBy("tm_block").applyInPandas(lambda key, own: candidate_sums(own, int(key[0]), ratios, order), _CELLS))
+    sums = cells.groupBy("keep_ratio").agg(*[F.sum(c).alias(c) for c in _SUMS])
+    lost, n = F.abs("lost"), F.col("trades")
+    factor = F.when(lost > TOLERANCE, F.col("won") / lost).when(F.col("won") > TOLERANCE, F.lit(float("inf"))).otherwise(F.lit(0.0))
+    out = sums.select("keep_ratio", "trades", "pnl", "pnl_r", (F.col("pnl") / n).alias("expectancy"), (F.col("pnl_r") / n).alias("expectancy_r"), (F.col("wins") / n * 100.0).alias("win_rate"), factor.alias("profit_factor"))
+    return out.join(joined_falls(cells, list(_DRAWN), ["keep_ratio"], (GROUP,)), "keep_ratio")
+
+
 def keep_ratio_sweep(df: DataFrame, cfg: RankingConfig | None = None, group: str = "fold", score: str = "score", order: str = "row_id") -> DataFrame:
     """Metrics, retention and objective of every candidate ratio.
 
-    Rows are brought together by blocks of their order first and then exploded to
-    the few candidates that keep them, with one more (-1) that keeps all as the
-    baseline. Blocks of every candidate are summed apart, so no candidate is one task.
+    One more candidate (-1) keeps all rows as the baseline. The cut-off score of a
+    ratio is the median over the groups of the last score that it keeps.
     """
     cfg = cfg or RankingConfig()
-    ranked = _ranked(df.select(order, group, "pnl_cash", "pnl_r", score), group, score, order)
-    ratios = F.array(*[F.lit(r) for r in (-1.0, *cfg.ratios())])
-    kept = F.filter(ratios, lambda x: F.col("tm_rank") <= F.greatest(F.lit(1), F.ceil(F.col("tm_n") * F.abs(x))))
-    rows = by_blocks(ranked.select(order, group, "pnl_cash", "pnl_r", "tm_score", kept.alias("tm_kept")), order)
-    rows = rows.select(order, group, "pnl_cash", "pnl_r", "tm_score", F.explode("tm_kept").alias("keep_ratio"))
-    metrics = trading_metrics(rows, order, ["keep_ratio"])
-    # a median of a value for each fold
-    cuts = rows.groupBy("keep_ratio", group).agg(F.min("tm_score").alias("c")).groupBy("keep_ratio").agg(F.median("c").alias("cutoff_score"))
+    ranked = materialise(_ranked(df.select(order, group, "pnl_cash", "pnl_r", score), group, score, order))
+    metrics = candidate_metrics(ranked, [-1.0, *cfg.ratios()], order)
+    ratios = F.array(*[F.lit(r) for r in cfg.ratios()])
+    last = F.filter(ratios, lambda x: F.col("tm_rank") == F.greatest(F.lit(1), F.ceil(F.col("tm_n") * x)))
+    # a median of a value for each group
+    cuts = ranked.select(F.explode(last).alias("keep_ratio"), "tm_score").groupBy("keep_ratio").agg(F.median("tm_score").alias("cutoff_score"))
     every = Window.partitionBy(F.lit(0))  # a row for each candidate
     base = {n: F.max(F.when(F.col("keep_ratio") < 0, F.col(c))).over(every) for n, c in (("b_pnl", "pnl"), ("b_dd", "max_drawdown_r"))}
     out = metrics.withColumns(base).where("keep_ratio > 0").join(cuts, "keep_ratio")

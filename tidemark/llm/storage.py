@@ -30,6 +30,17 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Bytes of a batch that a Python worker is given (one row at least).
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Give Python workers batches of at most ``BATCH_BYTES`` where the session doesn't set a bound of its own."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(setting, None) is None:
+        spark.conf.set(setting, str(BATCH_BYTES))
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
     """Return an unused path below the shared folder."""
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import langid, line_dedup, mixing, near_dup, packing
 from tidemark.llm.columns import carried, restored
-from tidemark.llm.storage import drop, scratch, stored
+from tidemark.llm.storage import bound_batches, drop, scratch, stored
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,6 +23,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Learned from the rows with a lang. Repeated rows share their fate.
     """
+    bound_batches(spark)
     plain = ["doc_id", "text", "lang"]
     own = carried(docs, *plain)
     found = langid.identify(own, langid.fit(own))
@@ -45,6 +46,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Null and empty texts have no duplicates and stay. Of rows with equal doc_id
     and text one stays.
     """
+    bound_batches(spark)
     own = carried(docs, "doc_id", "text")
     groups = near_dup.near_duplicates(own.select("doc_id", "text"))
     kept = groups.where("kept").select(F.col("doc_id").alias("tm_id")).distinct()
@@ -69,6 +71,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     A null text packs its end id alone; repeated rows are packed each time.
     """
+    bound_batches(spark)
     return packing.pack(carried(docs, "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.plans.config import DEMO, DEMO_EXECUTION
 from tidemark.plans.pipeline import DEFAULTS, build_features, cached_features
 from tidemark.plans.workflows import run_simulation
-from tidemark.sources.bars import event_bars, standardise
+from tidemark.sources.bars import event_bars, standardise, utc_time
 from tidemark.sources.remote import ChunkedBars, chunked_bars, chunks, listed_symbols
 from tidemark.sources.sinks import save_dataset
 from tidemark.sources.specs import build_specs
@@ -72,6 +72,22 @@ def test_predicates_choose_the_chunks_that_are_fetched(spark, tmp_path):
         assert rows == want and len(fetched) == most, (condition, fetched)
 
 
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Kolkata"])
+def test_times_are_utc_in_any_session(spark, zone):
+    texts = ["2024-03-10 02:30:00", "2024-03-10T04:30:00+02:00", "2024-03-09 21:30:00.000 -05:00", "2024-03-10T02:30:00Z", "2024-03-10", "2024-03-09 17:00:00-0700", "soon", None]
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").withColumn("s", F.lit(1710037800).cast("long"))
+        rows = df.select("k", utc_time(df, "t").alias("t"), utc_time(df, "s").alias("s")).orderBy("k").collect()
+        stamps = df.select(F.timestamp_seconds(F.col("s")).alias("x"))
+        assert stamps.select(utc_time(stamps, "x")).first()[0] == datetime(2024, 3, 10, 2, 30)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    half, midnight = datetime(2024, 3, 10, 2, 30), datetime(2024, 3, 10)
+    assert [r["t"] for r in rows] == [half, half, half, half, midnight, midnight, None, None]
+    assert {r["s"] for r in rows} == {half}
+
+
 def test_listed_symbols_become_specs(spark, tmp_path):
     spark.createDataFrame([("EURUSD", 5, 0.00001), ("USDJPY", 3, 0.001), ("GOLD", None, None)], "symbol string, digits int, point double").write.parquet(str(tmp_path / "listed"))
     listed = listed_symbols(spark, "tidemark.sources.remote:stored_symbols", arg_path=str(tmp_path / "listed"))

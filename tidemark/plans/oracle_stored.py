@@ -57,6 +57,7 @@ _AT = "FROM td JOIN tin i ON i.symbol = td.symbol AND i.bar = entry_bar JOIN tin
 SQL: dict[str, str] = {
     "bars_stored": _with(BARS) + "SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY time) - 1 AS bar, time, open, close FROM bars WHERE symbol IN ('click', 'view') AND time BETWEEN '2024-01-05 06:00:00' AND '2024-01-20 18:00:00'",
     "bars_standardised": "SELECT event_type AS symbol, date_trunc('minute', ts) AS time, min(value) AS close FROM events WHERE event_id % 50 <> 0 GROUP BY ALL",
+    "bars_zoned": "SELECT event_type AS symbol, date_trunc('minute', ts) AS time, min(value) AS close FROM events GROUP BY ALL",
     "bars_chunked": _with(BARS) + "SELECT symbol, 'H1' AS timeframe, row_number() OVER (ORDER BY time) - 1 AS bar, time, open, high, low, close, tick_volume FROM bars WHERE symbol = 'purchase' AND time BETWEEN '2024-01-03 00:00:00' AND '2024-01-25 12:00:00'",
     "bars_fetched": _with(BARS) + "SELECT symbol, 'H1' AS timeframe, time, open, high, low, close, tick_volume FROM bars WHERE symbol IN ('view', 'error') AND time >= '2024-01-12 03:00:00' AND time < '2024-01-21 00:00:00'",
     "symbols_listed": """SELECT CASE p_partkey % 3 WHEN 0 THEN 'USDJPY' WHEN 1 THEN 'XAUUSD' ELSE 'EURUSD' END || '.' || p_partkey AS symbol, CASE WHEN p_partkey % 5 <> 0 THEN (p_partkey % 6)::INT END AS digits, CASE WHEN p_partkey % 4 <> 0 THEN 0.001::DOUBLE END AS point, 0.25::DOUBLE AS tick_size, 100.0::DOUBLE AS contract_size, true AS unknown FROM part""",

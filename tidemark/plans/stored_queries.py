@@ -36,6 +36,18 @@ def bars_standardised(spark, sf_dir):
     return bar_source.standardise(spark.read.option("header", True).csv(path)).select("symbol", "time", "close")
 
 
+def bars_zoned(spark, sf_dir):
+    """Bars from CSV texts whose times have different zones or none."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    minute, k = F.date_trunc("minute", "ts").cast("timestamp_ntz"), F.col("event_id") % 4
+    text = lambda hours, zone: F.concat(F.date_format(minute + F.make_interval(hours=F.lit(hours)), "yyyy-MM-dd'T'HH:mm:ss"), F.lit(zone))
+    time = F.when(k == 0, text(0, "")).when(k == 1, text(2, "+02:00")).when(k == 2, text(-5, "-05:00")).otherwise(text(0, "Z"))
+    raw = e.select(F.col("event_type").alias("symbol"), F.lit("M1").alias("timeframe"), time.alias("time"), *[F.col("value").alias(c) for c in ("open", "high", "low", "close")], F.lit(1.0).alias("tick_volume"))
+    path = new_folder(spark, "csv")
+    sinks.write_csv(raw, path)
+    return bar_source.standardise(spark.read.option("header", True).csv(path)).select("symbol", "time", "close")
+
+
 def bars_chunked(spark, sf_dir):
     """Bars of one series fetched in chunks of a remote source, stored, and read again from the store."""
     store, path = new_folder(spark, "remote"), new_folder(spark, "fetched")
@@ -355,7 +367,7 @@ def rows_in_blocks(spark, sf_dir):
 
 
 _ALL = (
-    bars_fetched, symbols_listed, features_cached, bars_stored, bars_standardised, bars_chunked, cache_covers, date_ranges, unordered_times, symbols_resolved, symbols_tradable, zones_by_spec, training_rows, safe_rows, normalised_trades, trade_details, equity_rebuilt, run_stats, run_trades_stored, trade_log, trade_report,
+    bars_zoned, bars_fetched, symbols_listed, features_cached, bars_stored, bars_standardised, bars_chunked, cache_covers, date_ranges, unordered_times, symbols_resolved, symbols_tradable, zones_by_spec, training_rows, safe_rows, normalised_trades, trade_details, equity_rebuilt, run_stats, run_trades_stored, trade_log, trade_report,
     layer_flags, lean_features, dataset_summaries, runs_deleted, orphaned_datasets, encoded_features, selection_effect, classification_runs, keep_ratio_choice, streamed_bars, latest_rows, rows_in_blocks, deflated_sharpe_trials, trades_without_runner, trades_with_fixed_stop, streamed_sweeps,
 )
 

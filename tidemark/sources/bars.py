@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.series import require, with_bar
@@ -14,16 +14,29 @@ BAR_SCHEMA = "symbol string, timeframe string, time timestamp_ntz, open double,
 CANONICAL = ("time", "open", "high", "low", "close", "tick_volume")
 
 
+#: Ending of a time of day with a zone.
+_ZONE = r":[0-9]{2}([.][0-9]+)? ?(Z|UTC|GMT|[+-][0-9]{1,2}:?[0-9]{2}|[+-][0-9]{2})$"
+
+
+def utc_time(df: DataFrame, name: str) -> Column:
+    """A time column as UTC without a zone, whatever the session's zone.
+
+    Epoch seconds, texts and timestamps are taken; texts without a zone and
+    timestamps without one are UTC already, others are moved there. What is no time is NULL.
+    """
+    kind, x = dict(df.dtypes)[name], F.col(name)
+    moved = lambda t: F.convert_timezone(F.current_timezone(), F.lit("UTC"), t.cast("timestamp_ntz"))
+    if kind in ("int", "bigint", "double", "float"):
+        return moved(F.timestamp_seconds(x))
+    if kind == "string":
+        return F.when(x.rlike(_ZONE), moved(F.try_to_timestamp(x))).otherwise(x.try_cast("timestamp_ntz"))
+    return moved(x) if kind == "timestamp" else x.cast("timestamp_ntz")
+
+
 def standardise(df: DataFrame) -> DataFrame:
-    """Canonical bars: epoch seconds or text to timestamps, six columns, no null time, first row of equal times."""
+    """Canonical bars: times in UTC (``utc_time``), six columns, no null time, first row of equal times."""
     require(df, *CANONICAL)
-    kind = dict(df.dtypes)["time"]
-    if kind in ("int", "bigint", "double", "float"):
-        time = F.timestamp_seconds(F.col("time")).cast("timestamp_ntz")
-    elif kind == "string":
-        time = F.try_to_timestamp("time").cast("timestamp_ntz")
-    else:
-        time = F.col("time").cast("timestamp_ntz")
+    time = utc_time(df, "time")
     keys = [c for c in ("symbol", "timeframe") if c in df.columns]
     one = df.select(*keys, time.alias("time"), *[F.col(c).try_cast("double").alias(c) for c in CANONICAL[1:]]).where("time is not null")
     first = Window.partitionBy(*keys, "time").orderBy("open", "high", "low", "close", "tick_volume")

@@ -125,7 +125,28 @@ def test_moments_match_pandas(trades):
     m = performance.deflated_sharpe(trades, 100.0).first()
     assert m["skew"] == pytest.approx(r.skew()) and m["kurtosis"] == pytest.approx(r.kurt())
     assert m["deflated_sharpe_mode"] == "single_trial_psr_equivalent"
-    assert performance.expected_max_sharpe(1, 1.0) == 0.0
+    assert performance.deflated_sharpe(trades.limit(1), 100.0).first()["deflated_sharpe_mode"] == "insufficient_observations"
+
+
+def test_trials_raise_the_threshold(spark, trades):
+    import math
+    from statistics import NormalDist, variance
+
+    from tidemark.functions.normal import normal_quantile_of
+
+    p = [1e-9, 0.001, 0.2, 0.5, 0.5001, 0.9, 1 - 1e-7]
+    got = spark.createDataFrame([(x,) for x in p], "p double").select(normal_quantile_of(F.col("p"))).collect()
+    assert [x[0] for x in got] == pytest.approx([NormalDist().inv_cdf(x) for x in p], abs=1e-8)
+    many = performance.deflated_sharpe(trades.withColumn("run", F.col("row_id") % 3), 100.0, trial=["run"]).first()
+    rows = trades.collect()
+    own = [[x["pnl_cash"] / 100 for x in rows if x["row_id"] % 3 == k] for k in range(3)]
+    ratios = [sum(r) / len(r) / math.sqrt(variance(r)) for r in own]
+    top = (1 - performance.EULER_GAMMA) * NormalDist().inv_cdf(1 - 1 / 3) + performance.EULER_GAMMA * NormalDist().inv_cdf(1 - 1 / (3 * math.e))
+    assert many["deflated_sharpe_threshold"] == pytest.approx(math.sqrt(variance(ratios)) * top)
+    assert (many["deflated_sharpe_trials"], many["deflated_sharpe_mode"]) == (3, "multiple_testing_adjusted")
+    assert many["deflated_sharpe_ratio"] < performance.deflated_sharpe(trades, 100.0).first()["deflated_sharpe_ratio"]
+    given = performance.deflated_sharpe(trades, 100.0, trials=3, variance=variance(ratios)).first()
+    assert given["deflated_sharpe_ratio"] == pytest.approx(many["deflated_sharpe_ratio"])
 
 
 def test_condition_tables(trades):

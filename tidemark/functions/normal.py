@@ -25,7 +25,7 @@ def normal_cdf(z: Column) -> Column:
 
 
 def normal_quantile_of(p: Column) -> Column:
-    """``normal_quantile`` of a Column: a rational start value and Newton steps."""
+    """Value below which a standard normal lies with probability ``p``: a rational start value and Newton steps."""
     q = F.least(p, 1 - p)
     t = F.sqrt(-2 * F.log(q))
     # fixed values: Abramowitz and Stegun 26.2.23
@@ -33,10 +33,3 @@ def normal_quantile_of(p: Column) -> Column:
     step = lambda x, _: x - (normal_cdf(x) - q) * F.exp(x * x / 2) * math.sqrt(2 * math.pi)
     x = F.aggregate(F.sequence(F.lit(1), F.lit(4)), x, step)
     return F.when(p > 0.5, -x).otherwise(x)
-
-
-def normal_quantile(p: float) -> float:
-    """Value below which a standard normal lies with probability ``p``."""
-    from statistics import NormalDist
-
-    return NormalDist().inv_cdf(p)

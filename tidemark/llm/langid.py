@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .columns import REST, carried, restored
-from .subword import byte_view, steps, text_column
+from .subword import byte_view, forget, steps, text_column
 
 DIMS = 4096
 CENTROIDS = 4
@@ -180,6 +180,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x centroids x dims numbers
 
     def run(batches):
+        forget()  # an earlier tokenisation in this worker; nothing here reads it
         own = shared.value
         names = pa.array([*own.languages, "und"])
         for batch in batches:

@@ -229,3 +229,9 @@ class PieceTable:
 def piece_table(path: str) -> PieceTable:
     """The worker's table for a vocabulary file."""
     return PieceTable(path)
+
+
+def forget() -> None:
+    """Drop what this worker remembers of vocabularies and pre-tokens; the next use reads it anew."""
+    piece_table.cache_clear()
+

@@ -22,7 +22,7 @@ from tidemark.sources import runs, specs
 SETTINGS: FeatureConfig = replace(DEMO, atr_method="sma")
 PIP = SETTINGS.pip
 #: Trees of the registered query; the filter's default is 400.
-GBT_TREES = 25
+GBT_TREES = 10
 
 
 def _rounded(df: DataFrame, *names: str) -> DataFrame:

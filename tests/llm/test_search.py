@@ -7,8 +7,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tidemark.llm import curve_search, lexical_search, whitening
+from tidemark.llm import curve_search, lexical_search, storage, whitening
 
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -67,6 +68,16 @@ def test_ranking_of_nothing(spark):
     assert [tuple(r) for r in lexical_search.search(docs, items).collect()] == [(1, 1, 1, 287 * (1_000_000_000 // (1000 + 8 * 100)))]
 
 
+def test_tasks_hold_few_shards(spark, corpus, monkeypatch):
+    monkeypatch.setattr(lexical_search, "SHARD_BYTES", 200)
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(bound)
+    index = lexical_search.build_index(spark.createDataFrame(corpus, "doc_id long, text string").coalesce(1))
+    files = [r["count"] for r in index.shards.groupBy(F.input_file_name()).count().collect()]
+    assert sum(files) > 20 and max(files) <= lexical_search.FILE_SHARDS
+    assert int(spark.conf.get(bound)) == storage.BATCH_BYTES
+
+
 def test_best_keeps_all_ties():
     scores, ids = np.array([5, 9, 5, 5, 1]), np.array([40, 7, 3, 20, 1])
     assert ids[lexical_search.best(scores, ids, 3)].tolist() == [7, 3, 20]

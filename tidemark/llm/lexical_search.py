@@ -20,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import drop, stored
+from .storage import bound_batches, drop, stored
 from .subword import byte_view, text_column
 
 #: Bytes of text after which a shard is full; a longer text makes its own shard.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
+#: Shards of a file: a task holds no more of them at once, however large its part of the index is.
+FILE_SHARDS = 4
 #: Queries, and distinct terms of theirs, that go through the index at once (one query at least).
 BLOCK_ITEMS, BLOCK_TERMS = 1000, 200_000
 
@@ -117,7 +119,8 @@ class LexicalIndex:
 
 def build_index(docs: DataFrame) -> LexicalIndex:
     """Index all rows of (doc_id, text); every row is a document, whatever its id."""
-    raw = stored(build_shards(docs), "shards")
+    bound_batches(docs.sparkSession)
+    raw = stored(build_shards(docs), "shards", file_rows=FILE_SHARDS)
 
     def lists(batches):
         for batch in batches:
@@ -148,7 +151,7 @@ def build_index(docs: DataFrame) -> LexicalIndex:
                 out.append((IMPACT * tf // (TF * tf + LENGTH * m[_numbers(columns["docs"], k, np.int32)])).astype(np.int32).tobytes())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.binary())], _SHARD)
 
-    shards = stored(held.mapInArrow(weigh, _SHARD_SCHEMA).drop("lengths"), "impacts")
+    shards = stored(held.mapInArrow(weigh, _SHARD_SCHEMA).drop("lengths"), "impacts", file_rows=FILE_SHARDS)
     drop(raw)
     return LexicalIndex(shards, frequencies, documents, terms)
 
@@ -243,6 +246,7 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10, index: LexicalIndex |
     texts of one item_id (null is an id too) are one query together. Empty tables give no rows.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     index = index or build_index(docs)
     out = None
     if index.terms:

@@ -3,6 +3,7 @@
 import random
 import re
 import textwrap
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -398,6 +399,21 @@ def test_language_training_with_copies_rare_languages_and_long_texts(spark):
     assert all(x["lang_pred"] == x["lang"] and not x["lang_rejected"] for x in found)
 
 
+def test_language_fit_holds_parts_of_the_vectors(spark):
+    r = random.Random(8)
+    rows = [(" ".join("".join(r.choices(f"{lang}xyz", k=4)) for _ in range(30)), lang) for lang in "abcd" for _ in range(400)]
+    table = spark.createDataFrame(rows, "text string, lang string")
+    tracemalloc.start()
+    model = langid.fit(table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * len(rows) * langid.DIMS * 4  # all vectors at once, with what scales them, are five times these bytes
+    counts, letters, langs = langid.training_vectors(table, langid.DIMS, langid.TRAIN_ROWS)
+    x = langid.scale(counts, np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + np.float32(0.1)).astype(np.float32)
+    assert np.array_equal(model.centroids, np.concatenate([langid.spherical_kmeans(x[langs == lang], langid.CENTROIDS) for lang in "abcd"]).astype(np.float32))
+    assert np.allclose(model.nearest[model.nearest > 0], (x @ model.centroids.T).max(axis=1).min(), atol=1e-6)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as cp
 

@@ -25,6 +25,8 @@ CENTROIDS = 4
 #: Of a language, those with the smallest hashes are taken. A language always has one text at least.
 TRAIN_ROWS = 3000
 STEP_BYTES = 1 << 20
+#: Training texts whose vectors the driver makes at once.
+BLOCK = 256
 #: Upper bounds, in letters, of the size classes that have a rejection distance of their own.
 SIZES = (20, 60, 200, 1000)
 #: A text is rejected below this share of the smallest cosine that training texts of its size class reach.
@@ -110,8 +112,8 @@ def language_parts(counts: dict[str, int], rows: int) -> dict[str, int]:
     return out
 
 
-def training_vectors(train: DataFrame, dims: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(n-gram counts, letters, languages) of the training texts, by hash.
+def training_counts(train: DataFrame, dims: int, rows: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
+    """(n-gram counts, letters, languages) of the training texts, by hash; counts are pairs of used places and what they hold.
 
     Copies of a row count once and texts are taken whole, whatever their length;
     only the counts reach the driver.
@@ -141,28 +143,51 @@ def training_vectors(train: DataFrame, dims: int, rows: int) -> tuple[np.ndarray
         seen[name] += 1
         if seen[name] <= parts[name]:
             take.append(k)
-    found = np.zeros((len(take), dims), np.float32)
-    for row, k in enumerate(take):
-        found[row, np.frombuffer(got["places"][k].as_buffer(), np.uint16)] = np.frombuffer(got["counts"][k].as_buffer(), np.float32)
+    found = [(np.frombuffer(got["places"][k].as_buffer(), np.uint16), np.frombuffer(got["counts"][k].as_buffer(), np.float32)) for k in take]
     return found, got["letters"].to_numpy()[take], np.array([langs[k] for k in take])
 
 
+def unpacked(counts: list[tuple[np.ndarray, np.ndarray]], dims: int) -> np.ndarray:
+    """Texts x dims of what ``training_counts`` gives."""
+    out = np.zeros((len(counts), dims), np.float32)
+    for row, (places, times) in zip(out, counts, strict=True):
+        row[places] = times
+    return out
+
+
+def training_vectors(train: DataFrame, dims: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``training_counts`` with the counts as one array (texts x dims)."""
+    counts, letters, langs = training_counts(train, dims, rows)
+    return unpacked(counts, dims), letters, langs
+
+
+def _scaled(counts: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray) -> np.ndarray:
+    """Vectors of length one, made block by block."""
+    out = np.empty((len(counts), len(idf)), np.float32)
+    for lo in range(0, len(counts), BLOCK):
+        out[lo : lo + BLOCK] = scale(unpacked(counts[lo : lo + BLOCK], len(idf)), idf)
+    return out
+
+
 def fit(train: DataFrame, dims: int = DIMS, centroids: int = CENTROIDS, rows: int = TRAIN_ROWS) -> LanguageModel:
     """Fit on distinct (text, lang); at most ``rows`` are used, of every language as many as ``language_parts`` says.
 
     Null texts and languages are left out. Without training rows the model has
-    no language and rejects every text. Languages are ordered by name.
+    no language and rejects every text. Languages are ordered by name. The driver
+    holds the vectors of one language, then of ``BLOCK`` texts.
     """
-    counts, letters, langs = training_vectors(train, dims, rows)
+    counts, letters, langs = training_counts(train, dims, rows)
     if not len(counts):
         return LanguageModel([], np.zeros(0, int), np.zeros((0, dims), np.float32), np.ones(dims, np.float32), np.zeros(len(SIZES) + 1))
-    idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + np.float32(0.1)
-    x = scale(counts, idf).astype(np.float32)
+    used = np.zeros(dims, np.int64)
+    for places, _ in counts:
+        used[places] += 1
+    idf = np.log((1 + len(counts)) / (1 + used)).astype(np.float32) + np.float32(0.1)
     names = sorted(set(langs.tolist()))
-    parts = [spherical_kmeans(x[langs == name], centroids) for name in names]
+    parts = [spherical_kmeans(_scaled([counts[k] for k in np.flatnonzero(langs == name)], idf), centroids) for name in names]
     owner = np.repeat(np.arange(len(names)), [len(p) for p in parts])
     c = np.concatenate(parts).astype(np.float32)
-    top = (x @ c.T).max(axis=1)
+    top = np.concatenate([(_scaled(counts[lo : lo + BLOCK], idf) @ c.T).max(axis=1) for lo in range(0, len(counts), BLOCK)])
     kind = np.searchsorted(SIZES, letters, "left")
     nearest = np.array([top[(kind == k) & (letters > 0)].min() if ((kind == k) & (letters > 0)).any() else 0.0 for k in range(len(SIZES) + 1)])
     return LanguageModel(names, owner, c, idf, nearest)

@@ -61,6 +61,26 @@ def test_forgetting_changes_nothing(monkeypatch, texts):
         assert ids.tolist() == library().encode(t or "", add_special_tokens=False).ids
 
 
+def test_equal_hashes_change_nothing(monkeypatch, texts):
+    monkeypatch.setattr(subword, "piece_hashes", lambda raw, ends: np.diff(ends).astype(np.uint64) % np.uint64(3))
+    table = subword.PieceTable(VOCABULARY)
+    for t in texts + texts:
+        ids, _ = table.encode(subword.text_column(pa.array([t])))
+        assert ids.tolist() == library().encode(t or "", add_special_tokens=False).ids
+
+
+def test_many_pieces_are_encoded_once(monkeypatch):
+    table, words = subword.PieceTable(VOCABULARY), np.array(list("abcdefghij"))
+    steps = [[" " + "".join(words[[int(c) for c in str(k)]]) for k in range(a, a + 100_000)] for a in range(100_000, 500_000, 100_000)]
+    first = [table.count_pieces([w.encode() for w in step]) for step in steps]
+    monkeypatch.setattr(table, "learn", lambda *_: pytest.fail("encoded again"))
+    for step, counts in zip(steps, first, strict=True):
+        assert table.count_pieces([w.encode() for w in step]).tolist() == counts.tolist()
+    held = sum(x.nbytes for x in (table.ids, table.ends, table.text, table.text_ends, table.hashes, table.row_of))
+    assert held < 150 * 400_000
+    assert first[0][:50].tolist() == [len(library().encode(w, add_special_tokens=False).ids) for w in steps[0][:50]]
+
+
 def expected_documents(rows):
     """Per document its ids with the end id, in ascending id order (null first)."""
     tk = library()

@@ -9,15 +9,22 @@ hold a special string are given to the library whole.
 
 from __future__ import annotations
 
+import os
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 
+from .shingles import mix
+
 #: Longest text, in bytes, that one step of the vectorised split handles at once (a longer single text makes its own step).
 STEP_BYTES = 2 << 20
 #: Distinct pre-tokens remembered by one worker before it starts over.
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 500_000
+
+#: Base of the polynomial hash of a pre-token (a fixed value).
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 _OTHER, _LETTER, _NUMBER, _SPACE, _END, _NEWER = range(6)
 
@@ -120,10 +127,31 @@ def distinct_pretokens(raw: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray,
     return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
 
 
+def spans(firsts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places of spans one after another, each given by its first place and its size."""
+    ends = np.cumsum(sizes)
+    return np.repeat(firsts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def piece_hashes(raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes; no span may be empty."""
+    size = np.diff(ends)
+    powers = np.cumprod(np.full(int(size.max()), _BASE, np.uint64), dtype=np.uint64)
+    place = np.arange(len(raw)) - np.repeat(ends[:-1], size)
+    return mix(np.add.reduceat((raw.astype(np.uint64) + np.uint64(1)) * powers[place], ends[:-1]))
+
+
+def _room(held: np.ndarray, least: int) -> np.ndarray:
+    """The array with space for ``least`` values, doubled where it has too little."""
+    return held if least <= len(held) else np.resize(held, 2 * least)
+
+
 class PieceTable:
     """Piece ids of distinct pre-tokens, each encoded once while it is remembered."""
 
     def __init__(self, path: str):
+        # tasks are the parallelism: threads of the library beside them cost more CPU time than they save
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -148,40 +176,67 @@ class PieceTable:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.count = 0  # remembered pre-tokens; row k holds ids[ends[k] : ends[k + 1]] and the bytes text[text_ends[k] : text_ends[k + 1]]
         self.ids = np.zeros(1 << 20, np.uint32)
-        self.ends = np.zeros(1 << 18, np.int64)  # row k holds ids[ends[k] : ends[k + 1]]
-
-    def learn(self, pieces: list[bytes]) -> None:
-        """Encode pre-tokens and remember their ids."""
-        chunks = [pieces[k : k + 500] for k in range(0, len(pieces), 500)]
-        lines = [self.alphabet[np.frombuffer(b"\xff".join(chunk), np.uint8)].tobytes().decode("utf-32-le") for chunk in chunks]
+        self.ends = np.zeros(1 << 18, np.int64)
+        self.text = np.zeros(1 << 21, np.uint8)
+        self.text_ends = np.zeros(1 << 18, np.int64)
+        self.hashes, self.row_of = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted hashes and their rows
+
+    def learn(self, raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Encode pre-tokens, at least one, given by their bytes and n + 1 bounds; remember their ids and return their rows."""
+        n, row = len(ends) - 1, self.count
+        data, at = raw.tobytes(), ends.tolist()
+        lines = []
+        for k in range(0, n, 500):
+            pieces = [data[i:j] for i, j in pairwise(at[k : k + 501])]
+            lines.append(self.alphabet[np.frombuffer(b"\xff".join(pieces), np.uint8)].tobytes().decode("utf-32-le"))
         new = np.concatenate([np.array(got.ids, np.uint32) for got in self.by_line.encode_batch_fast(lines, add_special_tokens=False)])
-        row = len(self.known)
-        used, total = int(self.ends[row]), int(self.ends[row]) + len(new)
-        if total > len(self.ids):
-            self.ids = np.resize(self.ids, 2 * total)
-        if row + len(pieces) >= len(self.ends):
-            self.ends = np.resize(self.ends, 2 * (row + len(pieces)))
-        self.ids[used:total] = new
-        bytes_to = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
-        self.ends[row + 1 : row + 1 + len(pieces)] = used + np.searchsorted(np.cumsum(self.width[new]), bytes_to) + 1
-        self.known.update(zip(pieces, range(row, row + len(pieces)), strict=True))
-
-    def rows(self, pieces: list[bytes]) -> np.ndarray:
-        """Rows of distinct pre-tokens; those not remembered are encoded first."""
-        found = list(map(self.known.get, pieces))
-        if None in found:
-            if len(self.known) > CACHE_ENTRIES:
-                self.forget()
-                found = [None] * len(pieces)
-            self.learn([piece for piece, row in zip(pieces, found, strict=True) if row is None])
-            found = map(self.known.__getitem__, pieces)
-        return np.fromiter(found, np.int64, len(pieces))
-
-    def count_pieces(self, pieces: list[bytes]) -> np.ndarray:
+        used, said = int(self.ends[row]), int(self.text_ends[row])
+        self.ids = _room(self.ids, used + len(new))
+        self.text = _room(self.text, said + len(raw))
+        self.ends, self.text_ends = _room(self.ends, row + n + 1), _room(self.text_ends, row + n + 1)
+        self.ids[used : used + len(new)] = new
+        self.text[said : said + len(raw)] = raw
+        self.ends[row + 1 : row + 1 + n] = used + np.searchsorted(np.cumsum(self.width[new]), ends[1:]) + 1
+        self.text_ends[row + 1 : row + 1 + n] = said + ends[1:]
+        self.count += n
+        return np.arange(row, row + n)
+
+    def rows(self, pieces: pa.Array) -> np.ndarray:
+        """Rows of distinct pre-tokens (large binary); those not remembered are encoded first.
+
+        Hashes find candidates and the bytes decide; of different pre-tokens with
+        equal hashes all but one are encoded each time.
+        """
+        raw, ends = byte_view(pieces)
+        if not len(pieces):
+            return np.zeros(0, np.int64)
+        size = np.diff(ends)
+        own = piece_hashes(raw, ends)
+        row = np.full(len(pieces), -1, np.int64)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, own), len(self.hashes) - 1)
+            candidate = self.row_of[at]
+            hit = np.flatnonzero((self.hashes[at] == own) & (self.text_ends[candidate + 1] - self.text_ends[candidate] == size))
+            candidate, length = candidate[hit], size[hit]
+            same = self.text[spans(self.text_ends[candidate], length)] == raw[spans(ends[hit], length)]
+            good = np.logical_and.reduceat(same, np.cumsum(length) - length) if len(hit) else np.zeros(0, bool)
+            row[hit[good]] = candidate[good]
+        new = np.flatnonzero(row < 0)
+        if len(new) and self.count > CACHE_ENTRIES:
+            self.forget()
+            new = np.arange(len(pieces))
+        if len(new):
+            row[new] = self.learn(raw[spans(ends[new], size[new])], np.append(0, np.cumsum(size[new])))
+            new = new[np.argsort(own[new], kind="stable")]
+            at = np.searchsorted(self.hashes, own[new])
+            self.hashes, self.row_of = np.insert(self.hashes, at, own[new]), np.insert(self.row_of, at, row[new])
+        return row
+
+    def count_pieces(self, pieces: list[bytes] | pa.Array) -> np.ndarray:
         """Number of ids of each distinct pre-token."""
-        row = self.rows(pieces)
+        row = self.rows(pa.array(pieces, pa.large_binary()) if isinstance(pieces, list) else pieces.cast(pa.large_binary()))
         return self.ends[row + 1] - self.ends[row]
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -192,7 +247,7 @@ class PieceTable:
         if len(marks) == 1:
             return np.zeros(0, np.uint32), np.zeros(len(column) + 1, np.int64)
         number, distinct = distinct_pretokens(raw, marks)
-        row = self.rows(distinct.to_pylist())
+        row = self.rows(distinct)
         size = self.ends[row + 1] - self.ends[row]
         ends = np.append(0, np.cumsum(size))
         own = self.ids[np.repeat(self.ends[row] - ends[:-1], size) + np.arange(ends[-1])]

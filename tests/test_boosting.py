@@ -123,3 +123,82 @@ def test_work_runs_side_by_side(spark):
     together = side_by_side(spark, list(range(5)), work, 2)
     assert most[0] == 2 and pools == {"tidemark-0", "tidemark-1"}
     assert together == side_by_side(spark, list(range(5)), work, 1)
+
+
+def test_rows_are_held_in_blocks(spark):
+    x, y, w, valid, df = table(spark)
+    blocks = boosting.binned(df, boosting.quantile_edges(df), "label")
+    assert blocks.count() <= df.rdd.getNumPartitions()
+    assert blocks.agg(F.sum("n")).first()[0] == 600
+
+
+def test_a_feature_of_all_distinct_values_keeps_its_last_bin(spark):
+    """64 edges make 65 bins; the last one must not run into the next feature, or past the end."""
+    rng = np.random.default_rng(5)
+    x = np.stack([rng.permutation(4000) * 1.0, rng.permutation(4000) * 1.0], axis=1)
+    y = (x[:, 1] >= 2000).astype(int)
+    rows = [([float(v) for v in x[k]], 1.0, False, int(y[k])) for k in range(len(x))]
+    df = spark.createDataFrame(rows, "x array<double>, weight double, tm_valid boolean, label int").withColumn("features", array_to_vector("x"))
+    edges = boosting.quantile_edges(df)
+    assert [len(e) for e in edges] == [64, 64]
+    cfg = BoostConfig(trees=1, depth=1, subsample=1.0, columns=1.0)
+    tree = boosting.fit_boosted(df, "label", cfg).trees[0]
+    assert tree["feature"][0] == 1 and abs(tree["threshold"][0] - 2000) <= 63
+
+
+def test_joined_features_cover_all_in_bounds():
+    bins = [2, 64, 65, 2, 11, 9, 1, 5000]
+    groups = boosting.joined_features(bins)
+    assert sorted(f for g in groups for f in g) == list(range(len(bins)))
+    assert all(len(g) == 1 or np.prod([bins[f] for f in g]) <= boosting.JOINT for g in groups)
+
+
+def test_leaves_of_small_and_large_trees():
+    rng = np.random.default_rng(3)
+    cells = rng.integers(0, 60, (5, 700)).astype(np.uint8)
+    for splits in (20, 200):
+        tree, open_nodes = boosting.Tree(), [0]
+        for _ in range(splits):
+            node = open_nodes.pop(0)
+            open_nodes += tree.split(node, int(rng.integers(5)), int(rng.integers(60)), 1.0, (float(rng.normal()), float(rng.normal())))
+        want = []
+        for row in cells.T:
+            node = 0
+            while tree.feature[node] >= 0:
+                node = tree.left[node] + int(row[tree.feature[node]] > tree.bin[node])
+            want.append(node)
+        assert tree.leaves(cells).tolist() == want
+
+
+def test_plain_columns_have_the_values_of_the_encoder(spark):
+    """Nulls, unknown texts and constant columns are numbers, bins and scores as the encoder's vectors give them."""
+    from tidemark.operators import model
+
+    rows = [(k, k % 3 == 0 if k % 7 else None, float(k % 11) if k % 5 else None, "ab"[k % 2] if k % 13 else None, "c", k % 2 if k % 9 else 1 - k % 2) for k in range(400)]
+    df = spark.createDataFrame(rows, "k int, flag boolean, size double, kind string, same string, label_positive int").drop("k").repartition(3)
+    pipe, numeric = model.encoder(df, "label_positive")
+    encode = pipe.fit(model.prepared(df, numeric))
+    inputs = boosting.ColumnInputs(numeric, model.labels_of(encode))
+    later = df.unionByName(df.limit(5).withColumn("kind", F.lit("new")))
+    vectors = encode.transform(model.prepared(later, numeric)).select(F.posexplode(boosting.vector_to_array("features")).alias("f", "x")).groupBy("f").agg(F.sum("x").alias("x")).orderBy("f").collect()
+    batch = later.select(*[c.alias(f"x{k}") for k, c in enumerate(inputs.columns)]).toArrow().combine_chunks()
+    got = inputs.matrix([c.chunk(0) for c in batch.columns], len(vectors))
+    assert got.sum(axis=1).tolist() == [r["x"] for r in vectors]
+    ready = encode.transform(model.prepared(df, numeric)).withColumns({"weight": F.lit(1.0), "tm_valid": F.lit(False)})
+    assert [e.tolist() for e in inputs.edges(df)] == [e.tolist() for e in boosting.quantile_edges(ready)]
+    cfg = BoostConfig(trees=3, depth=3, subsample=1.0, rate=0.3)
+    a = boosting.fit_boosted(ready, "label_positive", cfg)
+    b = boosting.fit_boosted(df.withColumns({"weight": F.lit(1.0), "tm_valid": F.lit(False)}), "label_positive", cfg, inputs)
+    assert a.trees[0]["feature"] == b.trees[0]["feature"] and np.allclose(a.trees[-1]["value"], b.trees[-1]["value"])
+
+
+def test_folds_are_parts_of_the_walk_forward_table(spark):
+    from tidemark.operators import dataset
+
+    df = spark.range(500).selectExpr("id as row_id", "case when id % 50 <> 7 then date_add(date'2024-01-01', cast(id % 40 as int)) end as trade_date")
+    bounds, folds = dataset.fold_dates(df)
+    whole = dataset.walk_forward(df)
+    assert folds == sorted({r["fold"] for r in whole.collect()})
+    parts = [sorted(map(tuple, dataset.in_fold(df, bounds, f).select("row_id", "fold", "split").collect())) for f in folds]
+    assert parts == [sorted(map(tuple, whole.where(F.col("fold") == f).select("row_id", "fold", "split").collect())) for f in folds]
+    assert "hashpartitioning" not in whole._jdf.queryExecution().executedPlan().toString()

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.functions.ordering import row_numbers, with_running
-from tidemark.functions.tables import join_on
+from tidemark.functions.ordering import FEW, row_numbers, with_running
+from tidemark.functions.tables import fetched, join_on, release, stored
 
 
 def confusion(df: DataFrame, keys: list[str], target: str = "label", chosen: str = "selected") -> DataFrame:
@@ -51,9 +54,62 @@ def roc_points(df: DataFrame, keys: list[str], target: str = "label", score: str
     return run.select(*keys, F.col(score).alias("threshold"), rate("neg").alias("fpr"), rate("pos").alias("tpr"))
 
 
+def _with_positives(rows: DataFrame) -> DataFrame:
+    """Add to sorted partitions tm_pos (positive rows of the partition so far) and tm_tied (its neighbours may have the same key and score).
+
+    The first and the last row of a batch count as tied, as their neighbours aren't seen.
+    """
+
+    def run(batches):
+        total = 0
+        for batch in batches:
+            if batch.num_rows:
+                pos = total + np.cumsum(batch.column("tm_y").to_numpy(zero_copy_only=False))
+                total, group = int(pos[-1]), batch.column("tm_group").to_numpy(zero_copy_only=False)
+                same = np.concatenate([[True], group[1:] == group[:-1], [True]])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(pos, pa.int64()), pa.array(same[1:] | same[:-1])], [*batch.schema.names[:-1], "tm_pos", "tm_tied"])
+
+    fields = [f for f in rows.schema.fields if f.name != "tm_group"]
+    return rows.mapInArrow(run, T.StructType([*fields, T.StructField("tm_pos", T.LongType()), T.StructField("tm_tied", T.BooleanType())]))
+
+
+def curve_areas(df: DataFrame, keys: list[str], order: str, target: str = "label", score: str = "score") -> DataFrame:
+    """``roc_auc`` and ``average_precision`` of each key by one sort: a small table, whose long ones are gone when it is there.
+
+    Rows are stored by falling score with the positives that their partition has so far; those of earlier
+    partitions are added from a table of partitions. A positive row then knows its place and the negatives
+    above it. Of equal scores half of the pairs count, so rows that share theirs are put right by groups.
+    """
+    y = F.coalesce((F.col(target) == 1).cast("int"), F.lit(0))
+    rows = df.select(*keys, F.col(score).alias("tm_s"), F.col(order).alias("tm_o"), y.alias("tm_y"))
+    by = [*map(F.col, keys), F.desc("tm_s"), F.col("tm_o")]
+    ranged = rows.repartitionByRange(*by).sortWithinPartitions(*by)
+    ranged = ranged.select(*keys, "tm_s", "tm_y", F.monotonically_increasing_id().alias("tm_m"), F.xxhash64(*keys, F.col("tm_s")).alias("tm_group"))
+    table = stored(_with_positives(ranged))
+    try:
+        placed = table.withColumns({"tm_part": F.shiftright("tm_m", 33), "tm_at": F.col("tm_m").bitwiseAND((1 << 33) - 1)}).drop("tm_m")
+        counts = placed.groupBy("tm_part", *keys).agg(F.count("*").alias("tm_n"), F.sum("tm_y").alias("tm_p"), F.min("tm_at").alias("tm_first"), F.min(F.col("tm_pos") - F.col("tm_y")).alias("tm_base"))
+        earlier = Window.partitionBy(*keys).orderBy("tm_part").rowsBetween(Window.unboundedPreceding, -1)
+        before = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0))
+        shifts = counts.select("tm_part", *keys, (before("tm_n") - F.col("tm_first") + 1).alias("tm_shift"), (before("tm_p") - F.col("tm_base")).alias("tm_lift"))
+        if counts.count() <= FEW:
+            shifts = F.broadcast(shifts)
+        run = join_on(placed, shifts, ["tm_part", *keys]).withColumns({"tm_rank": F.col("tm_at") + F.col("tm_shift"), "tm_hits": F.col("tm_pos") + F.col("tm_lift")})
+        above = F.sum(F.when(F.col("tm_y") == 1, F.col("tm_rank") - F.col("tm_hits")).otherwise(0))
+        whole = run.groupBy(*keys).agg(F.sum("tm_y").alias("tm_p"), F.count("*").alias("tm_n"), above.alias("tm_above"), F.avg(F.when(F.col("tm_y") == 1, F.col("tm_hits") / F.col("tm_rank"))).alias("tm_ap"))
+        tied = run.where("tm_tied").groupBy(*keys, "tm_s").agg(F.sum("tm_y").alias("p"), F.count("*").alias("n"), above.alias("above"), F.min("tm_rank").alias("r"), F.min(F.col("tm_hits") - F.col("tm_y")).alias("h"))
+        half = F.col("p") * (F.col("n") - F.col("p")) / 2.0 - (F.col("above") - F.col("p") * (F.col("r") - 1 - F.col("h")))
+        out = join_on(whole, tied.groupBy(*keys).agg(F.sum(half).alias("tm_half")), keys, "left")
+        pairs = (F.col("tm_p") * (F.col("tm_n") - F.col("tm_p"))).cast("double")
+        area = F.try_divide(pairs - F.col("tm_above") - F.coalesce("tm_half", F.lit(0.0)), pairs)
+        return fetched(out.select(*keys, area.alias("roc_auc"), F.coalesce("tm_ap", F.lit(0.0)).alias("average_precision")))
+    finally:
+        release(table)
+
+
 def all_metrics(df: DataFrame, keys: list[str], order: str, target: str = "label", chosen: str = "selected", score: str = "score") -> DataFrame:
-    """Confusion, ROC area and average precision side by side."""
-    return confusion(df, keys, target, chosen).join(roc_auc(df, keys, target, score), keys).join(average_precision(df, keys, order, target, score), keys)
+    """Confusion, ROC area and average precision side by side (a row for each key, computed at once)."""
+    return fetched(confusion(df, keys, target, chosen)).join(curve_areas(df, keys, order, target, score), keys)
 
 
 METRICS = ("roc_auc", "average_precision", "precision", "recall", "f1", "accuracy", "selected_rate", "positive_rate")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import series as S
 from tidemark.functions.ordering import row_numbers
-from tidemark.functions.tables import materialise
+from tidemark.functions.tables import materialise, release
 from tidemark.operators import analytics, classification, dataset, execution, model, performance, ranking, signals, zones
 from tidemark.plans.catalogue import KEY, PIP, SETTINGS, _bars, _features, _folded, _predicted, _rounded, _trades
 from tidemark.plans.config import DEMO_EXECUTION
@@ -320,14 +320,20 @@ def selection_effect(spark, sf_dir):
     return _rounded(df.select("timeframe", "rows", "kept", "folds", *names), *names)
 
 
-def _run_predictions(spark, sf_dir):
-    ranked = ranking.rank_percent(_predicted(spark, sf_dir))
+def _run_predictions(spark, sf_dir, held):
+    """Predictions of all trades; ``held`` takes the stored table that they are read from."""
+    own = []
+    trades = _trades(spark, sf_dir, kept=["symbol", "timeframe", "label", "score"], held=own)
+    ranked = ranking.ranked_and_flagged(trades, 0.35, ["row_id", "symbol", "timeframe", "label"], held, group="symbol")
+    release(own[0])
     return ranked.select(F.col("symbol").alias("run"), F.when(F.col("timeframe") == "F", "test").otherwise("validation").alias("split"), "label", "selected", (1.0 - F.col("rank_pct")).alias("ranking_score"), "row_id")
 
 
 def classification_runs(spark, sf_dir):
     """Classification metrics of each run and split, and pooled over runs with their means."""
-    per_run, pooled = classification.run_metrics(materialise(_run_predictions(spark, sf_dir)))
+    held = []
+    per_run, pooled = classification.run_metrics(_run_predictions(spark, sf_dir, held))
+    release(held[0])
     out = per_run.unionByName(pooled, allowMissingColumns=True)
     names = [c for c, kind in out.dtypes if kind == "double"]
     return _rounded(out.drop("mean_accuracy"), *[n for n in names if n != "mean_accuracy"])
